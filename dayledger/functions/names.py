@@ -47,12 +47,12 @@ def capture_time(df: DataFrame, path_col: str, zone: str = "Asia/Tokyo") -> Data
     """
     name = base_name(F.col(path_col))
     digits = F.regexp_extract(name, r"^(\d{8})(\d{4})?", 0)
-    local = F.try_to_timestamp(F.when(F.length(digits) == 12, digits), F.lit("yyyyMMddHHmm"))
+    # Columns of the digits: position and length of year, month, day, hour and minute.
+    spans = [(1, 4), (5, 2), (7, 2), (9, 2), (11, 2)]
+    parts = [F.substring(digits, at, length).try_cast("int") for at, length in spans]
     return df.withColumns({
         "name_date": strict_date(F.substring(digits, 1, 8)),
-        "captured_at": F.convert_timezone(
-            F.lit(zone), F.lit("UTC"), local.cast("timestamp_ntz")
-        ).cast("timestamp"),
+        "captured_at": F.try_make_timestamp(*parts, F.lit(0).cast("decimal(8,6)"), F.lit(zone)),
     })
 
 

@@ -74,7 +74,7 @@ def exact_quantiles(
     def between(name: str, p: float) -> Column:
         low, high = F.col(f"__low_{name}"), F.col(f"__high_{name}")
         share = position(p) - F.floor(position(p))
-        return (low + (high - low) * share).cast("double").alias(name)
+        return (low + (high - low) * share).alias(name)
 
     return picked.select(
         *by, "n_rows", "min_value",
