@@ -23,7 +23,8 @@ def kind_matrix(df: DataFrame, keys: list[str], kind: str, kinds: list[str]) ->
 def kind_signature(df: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """Number of keys per distinct set of kinds."""
     return (
-        df.groupBy(*keys)
+        df.select(*keys, kind).distinct()
+        .groupBy(*keys)
         .agg(F.concat_ws("+", F.array_sort(F.collect_set(kind))).alias("signature"))
         .groupBy("signature")
         .agg(F.count("*").alias("n_keys"))
@@ -35,13 +36,12 @@ def missing_days(
 ) -> DataFrame:
     """Days of the calendar without a record, per key.
 
-    Each key keeps the set of its days and subtracts it from the calendar in place; there is no
-    grid of keys and days to build or join.
+    Each key collects its distinct days, at most one calendar of them, and subtracts them from the
+    calendar in place; there is no grid of keys and days to build or join.
     """
     start, end = (F.lit(dt.date.fromisoformat(str(d))) for d in (start, end))
-    day = F.col(date_col).cast("date")
-    seen = F.collect_set(F.when(day.between(start, end), day))
-    return df.groupBy(*keys).agg(seen.alias("__days")).select(
+    seen = F.collect_set(F.when(F.col("day").between(start, end), F.col("day")))
+    return distinct_days(df, date_col, keys).groupBy(*keys).agg(seen.alias("__days")).select(
         *keys, F.explode(F.array_except(F.sequence(start, end), "__days")).alias("missing_day")
     )
 
@@ -86,25 +86,26 @@ def expected_minus_actual(
     df: DataFrame, keys: list[str], kind: str, kinds: list[str]
 ) -> DataFrame:
     """The kinds each recorded key (day) lacks."""
-    seen = F.collect_set(F.when(F.col(kind).isin(kinds), F.col(kind)))
-    return df.groupBy(*keys).agg(seen.alias("__kinds")).select(
-        *keys,
-        F.explode(F.array_except(F.array(*[F.lit(k) for k in kinds]), "__kinds")).alias(
-            "missing_kind"
-        ),
+    seen = has_kinds(df, keys, kind, kinds)
+    lacking = [F.when(~F.col(f"__has_{i}"), k) for i, k in enumerate(kinds)]
+    return seen.select(
+        *keys, F.explode(F.array_compact(F.array(*lacking))).alias("missing_kind")
     )
 
 
+def has_kinds(df: DataFrame, keys: list[str], kind: str, kinds: list[str]) -> DataFrame:
+    """One flag per key and kind."""
+    return df.groupBy(*keys).agg(*[
+        F.coalesce(F.bool_or(F.col(kind) == k), F.lit(False)).alias(f"__has_{i}")
+        for i, k in enumerate(kinds)
+    ])
+
+
 def days_in_all(df: DataFrame, keys: list[str], kind: str, kinds: list[str]) -> DataFrame:
     """Keys that have every one of the kinds: one grouped pass instead of one intersect per kind."""
-    flags = {f"__has_{i}": F.bool_or(F.col(kind) == k) for i, k in enumerate(kinds)}
-    return (
-        df.where(F.col(kind).isin(kinds))
-        .groupBy(*keys)
-        .agg(*[flag.alias(name) for name, flag in flags.items()])
-        .where(reduce(lambda a, b: a & b, [F.col(name) for name in flags]))
-        .select(*keys)
-    )
+    seen = has_kinds(df.where(F.col(kind).isin(kinds)), keys, kind, kinds)
+    every = reduce(lambda a, b: a & b, [F.col(f"__has_{i}") for i in range(len(kinds))])
+    return seen.where(every).select(*keys)
 
 
 def days_in_any(df: DataFrame, keys: list[str], kind: str, kinds: list[str]) -> DataFrame:

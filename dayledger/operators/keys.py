@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi join in which NULL equals NULL, as it does in a grouping; keys come from the left."""
-    if not on:
-        return left.join(right)
     renamed = right.withColumnsRenamed({c: f"__{c}" for c in on})
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
     return left.join(renamed, same, how).drop(*[f"__{c}" for c in on])

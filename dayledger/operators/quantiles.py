@@ -10,28 +10,28 @@ from dayledger.operators.slices import ROWS_PER_SLICE, cut_points, slice_number
 from dayledger.session import kept
 
 
-def exact_quantiles(
-    df: DataFrame,
-    by: list[str],
-    value: str,
-    fractions: dict[str, float],
-    rows_per_slice: int = ROWS_PER_SLICE,
+def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Each group's values ``__v`` with their number ``__n``, written once for the passes to come.
+
+    Counting first combines on the map side and spreads a large group over its values.
+    """
+    values = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v"))
+    return kept(values.agg(F.count("*").alias("__n")), "values")
+
+
+def quantiles_of_counts(
+    counted: DataFrame, by: list[str], fractions: dict[str, float], rows_per_slice: int
 ) -> DataFrame:
-    """Count, minimum, maximum and interpolated quantiles of the non-NULL values per group.
+    """Count, minimum, maximum and interpolated quantiles of counted values.
 
-    The built-in exact percentile keeps every distinct value of a group in one task. Here values
-    are counted first, cut into slices, and only the slices that hold a wanted rank are ordered.
+    The values are cut into slices; totals per group and slice tell which slices hold a wanted
+    rank, and only those are ordered.
     """
-    values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
-    cuts = cut_points(values, ["__v"], rows_per_slice)
-    counted = (
-        values.groupBy(*by, "__v").agg(F.count("*").alias("__n"))
-        .withColumn("__slice", slice_number(values, ["__v"], cuts))
-    )
-    ordered = Window.partitionBy(*by).orderBy("__slice")
-    group = Window.partitionBy(*by)
+    cuts = cut_points(counted, ["__v"], rows_per_slice)
+    sliced = counted.withColumn("__slice", slice_number(counted, ["__v"], cuts))
+    ordered, group = Window.partitionBy(*by).orderBy("__slice"), Window.partitionBy(*by)
     pieces = (
-        counted.groupBy(*by, "__slice")
+        sliced.groupBy(*by, "__slice")
         .agg(F.sum("__n").alias("__rows"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
         .select(
             *by, "__slice", "__rows",
@@ -45,18 +45,17 @@ def exact_quantiles(
     def position(p: float) -> Column:
         return F.lit(p) * (F.col("n_rows") - 1)
 
-    ranks = [f(position(p)) for p in fractions.values() for f in (F.floor, F.ceil)]
-
     def holds(rank: Column, start: Column, rows: Column) -> Column:
         return (rank >= start) & (rank < start + rows)
 
     wanted = F.lit(False)
-    for rank in ranks:
-        wanted = wanted | holds(rank, F.col("__below"), F.col("__rows"))
+    for p in fractions.values():
+        for rank in (F.floor(position(p)), F.ceil(position(p))):
+            wanted = wanted | holds(rank, F.col("__below"), F.col("__rows"))
     inside = Window.partitionBy(*by, "__slice").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    placed = null_safe_join(counted, pieces.where(wanted), [*by, "__slice"]).withColumn(
+    placed = null_safe_join(sliced, pieces.where(wanted), [*by, "__slice"]).withColumn(
         "__start", F.col("__below") + F.sum("__n").over(inside) - F.col("__n")
     )
 
@@ -64,9 +63,7 @@ def exact_quantiles(
         return F.max(F.when(holds(rank, F.col("__start"), F.col("__n")), F.col("__v")))
 
     picked = placed.groupBy(*by).agg(
-        F.first("n_rows").alias("n_rows"),
-        F.first("min_value").alias("min_value"),
-        F.first("max_value").alias("max_value"),
+        *[F.max(c).alias(c) for c in ("n_rows", "min_value", "max_value")],
         *[at(F.floor(position(p))).alias(f"__low_{name}") for name, p in fractions.items()],
         *[at(F.ceil(position(p))).alias(f"__high_{name}") for name, p in fractions.items()],
     )
@@ -91,10 +88,14 @@ def size_distribution(
     accuracy: int = 10_000,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Count, minimum, quartiles, 99th percentile and maximum per group."""
+    """Count, minimum, quartiles, 99th percentile and maximum of the non-NULL values per group.
+
+    The built-in exact percentile keeps all distinct values of a group in one task; the exact form
+    here does not, and the approximate form keeps a sketch of ``accuracy`` points.
+    """
     fractions = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
     if exact:
-        return exact_quantiles(df, by, value, fractions, rows_per_slice)
+        return quantiles_of_counts(counted_values(df, by, value), by, fractions, rows_per_slice)
     return df.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.count("*").alias("n_rows"),
         F.min(value).alias("min_value"),
@@ -108,20 +109,28 @@ def robust_outliers(
 ) -> DataFrame:
     """Rows further from their group's median than ``k`` scaled median absolute deviations.
 
-    The two small tables of medians are written before they are joined: they are needed more than
-    once, and the planner then knows their size and broadcasts them only if that is small.
+    The input is read twice: to count its values and to pick the outliers. Medians and deviations
+    come from the counted values. The tables of medians are written, so the planner knows their
+    size and broadcasts them only if that is small.
     """
+    if not by:
+        raise ValueError("name at least one grouping column")
+    counted = counted_values(df, by, value)
     medians = kept(
-        exact_quantiles(df, by, value, {"median": 0.5}, rows_per_slice).select(*by, "median"),
+        quantiles_of_counts(counted, by, {"median": 0.5}, rows_per_slice).select(*by, "median"),
         "medians",
     )
-    deviations = null_safe_join(df.select(*by, value), medians, by).withColumn(
-        "__deviation", F.abs(F.col(value) - F.col("median"))
+    # Two values may share a deviation; they stay two rows, so that no grouping follows this join
+    # and a hot group can be split in it.
+    deviations = kept(
+        null_safe_join(counted, medians, by).select(
+            *by, "median", F.abs(F.col("__v") - F.col("median")).alias("__v"), "__n"
+        ),
+        "deviations",
     )
     spreads = kept(
-        exact_quantiles(
-            deviations, [*by, "median"], "__deviation", {"mad": 0.5}, rows_per_slice
-        ).select(*by, "median", "mad"),
+        quantiles_of_counts(deviations, [*by, "median"], {"mad": 0.5}, rows_per_slice)
+        .select(*by, "median", "mad"),
         "spreads",
     )
     # Fixed value: 1.4826 turns the deviation of a normal distribution into its standard deviation.

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayledger.operators.keys import null_safe_join
 from dayledger.operators.slices import ROWS_PER_SLICE, cut_points, slice_number
 
 
@@ -19,33 +18,32 @@ def transitions(
     """Rows whose value differs from the row before, with that ``previous`` value.
 
     ``order`` should end in a unique column. A key with many rows is worked in slices: inside a
-    slice the row before is a ``lag``; the first row of a slice gets the last value of the key's
-    slice before, one small row per key and slice.
+    slice the row before is a ``lag``, and a slice opens with one extra row that carries the last
+    value of the key's slice before.
     """
     cuts = cut_points(df, order, rows_per_slice)
-    boxed = F.struct(F.col(value).alias("v"))
-    if not cuts:
-        line = Window.partitionBy(*keys).orderBy(*order)
-        before = df.withColumn("__before", F.lag(boxed).over(line))
-    else:
-        sliced = df.withColumn("__slice", slice_number(df, order, cuts))
-        line = Window.partitionBy(*keys, "__slice").orderBy(*order)
-        last = F.max_by(boxed, F.struct(*order))
+    sliced = df.withColumns({
+        "__slice": slice_number(df, order, cuts),
+        "__box": F.struct(F.col(value).alias("v")),
+        "__real": F.lit(True),
+    })
+    line = Window.partitionBy(*keys, "__slice").orderBy("__real", *order)
+    if cuts:
+        earlier = Window.partitionBy(*keys).orderBy("__slice")
         carried = (
-            sliced.groupBy(*keys, "__slice").agg(last.alias("__last"))
-            .withColumn(
-                "__carried", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__slice"))
+            sliced.groupBy(*keys, "__slice")
+            .agg(F.max_by("__box", F.struct(*order)).alias("__last"))
+            .select(
+                *keys, "__slice",
+                F.lag("__last").over(earlier).alias("__box"),
+                F.lit(False).alias("__real"),
             )
-            .drop("__last")
-        )
-        inside = sliced.withColumn("__inside", F.lag(boxed).over(line))
-        before = (
-            null_safe_join(inside, carried, [*keys, "__slice"], "left")
-            .withColumn("__before", F.coalesce("__inside", "__carried"))
-            .drop("__inside", "__carried", "__slice")
+            .where(F.col("__box").isNotNull())
         )
+        sliced = sliced.unionByName(carried, allowMissingColumns=True)
+    before = sliced.withColumn("__before", F.lag("__box").over(line)).where("__real")
     changed = F.col("__before").isNotNull() & ~F.col("__before.v").eqNullSafe(F.col(value))
-    return before.where(changed).withColumn("previous", F.col("__before.v")).drop("__before")
+    return before.where(changed).select(*df.columns, F.col("__before.v").alias("previous"))
 
 
 def daily(df: DataFrame, keys: list[str], date_col: str, total: Column) -> DataFrame:

@@ -6,10 +6,12 @@ Every operator is a DataFrame to DataFrame function that also runs on a batch Da
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayledger.operators.coverage import has_kinds
 from dayledger.session import fresh_path
 from dayledger.sources.pointers import RECORD_SCHEMA, name_glob, parsed, with_path_columns
 
@@ -37,8 +39,9 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}.parquet"
     table = spark.read.parquet(path)
     reader = spark.readStream.schema(table.schema)
-    if any(f.rstrip("/").endswith(f"/{name}.parquet") for f in table.inputFiles()[:1]):
-        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    first = table.select("_metadata.file_name").first()
+    if first and first["file_name"] == f"{name}.parquet":
+        return reader.option("pathGlobFilter", first["file_name"]).parquet(folder)
     return reader.parquet(path)
 
 
@@ -91,17 +94,15 @@ def late_split(df: DataFrame, captured: str, published: str, limit_seconds: int)
 
 
 def day_completeness(
-    df: DataFrame, keys: list[str | Column], kind: str, kinds: list[str]
+    df: DataFrame, keys: list[str], kind: str, kinds: list[str]
 ) -> DataFrame:
     """Kinds seen so far per key and whether that is all of them; state is one flag per kind."""
     ordered = sorted(kinds)
-    flags = {f"__has_{i}": F.bool_or(F.col(kind) == k) for i, k in enumerate(ordered)}
-    seen = F.concat_ws("+", *[F.when(F.col(f"__has_{i}"), k) for i, k in enumerate(ordered)])
-    grouped = df.groupBy(*keys).agg(*[flag.alias(name) for name, flag in flags.items()])
-    complete = F.lit(True)
-    for name in flags:
-        complete = complete & F.coalesce(F.col(name), F.lit(False))
-    return grouped.withColumns({"seen": seen, "complete": complete}).drop(*flags)
+    seen = has_kinds(df, keys, kind, ordered)
+    flags = [F.col(f"__has_{i}") for i in range(len(ordered))]
+    named = F.concat_ws("+", *[F.when(flag, k) for flag, k in zip(flags, ordered)])
+    complete = reduce(lambda a, b: a & b, flags)
+    return seen.withColumns({"seen": named, "complete": complete}).drop(*flags)
 
 
 def append_to_table(stream: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
