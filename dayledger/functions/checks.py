@@ -35,7 +35,7 @@ def record_rules() -> dict[str, Column]:
         "name_date": name_date == partition_date,
         "url_date": url_date(path) == partition_date,
         "size_positive": F.col("out.size") > 0,
-        "tag_size": (F.col("kind") != "trace") | (tag_size == F.col("out.size")),
+        "tag_size": ~F.col("kind").eqNullSafe("trace") | (tag_size == F.col("out.size")),
         "calendar_date": partition_date.isNotNull(),
     }
 

@@ -37,28 +37,33 @@ def verify_payloads(
 
 
 def companions(
-    df: DataFrame, keys: list[str], kind: str, left: list[str], right: list[str], how: str = "both"
+    df: DataFrame,
+    keys: list[str],
+    kind: str,
+    left: list[str],
+    right: list[str],
+    how: str | None = None,
 ) -> DataFrame:
-    """Keys (days) that hold ``both`` sides, ``left_only`` or ``right_only``.
+    """Keys (days) by the ``side`` they hold: ``both``, ``left_only`` or ``right_only``.
 
-    One grouped pass with two flags instead of joining the table with itself.
+    One grouped pass with two flags instead of joining the table with itself; ``how`` keeps one
+    side.
     """
-    has_left, has_right = F.col("__left"), F.col("__right")
-    wanted = {
-        "both": has_left & has_right,
-        "left_only": has_left & ~has_right,
-        "right_only": ~has_left & has_right,
-    }[how]
-    return (
+    side = (
+        F.when(F.col("__left") & F.col("__right"), "both")
+        .when(F.col("__left"), "left_only")
+        .otherwise("right_only")
+    )
+    sides = (
         df.where(F.col(kind).isin(left + right))
         .groupBy(*keys)
         .agg(
             F.bool_or(F.col(kind).isin(left)).alias("__left"),
             F.bool_or(F.col(kind).isin(right)).alias("__right"),
         )
-        .where(wanted)
-        .select(*keys)
+        .select(*keys, side.alias("side"))
     )
+    return sides if how is None else sides.where(F.col("side") == how)
 
 
 def having(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:

@@ -26,9 +26,10 @@ def volume(
 
 
 def duplicate_groups(df: DataFrame, content: list[str], key: str) -> DataFrame:
-    """Contents held more than once: number of copies, first and last key."""
+    """Known contents held more than once: number of copies, first and last key."""
     return (
-        df.groupBy(*content)
+        df.dropna(subset=content)
+        .groupBy(*content)
         .agg(
             F.count("*").alias("copies"),
             F.min(key).alias("first_key"),

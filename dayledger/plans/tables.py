@@ -277,13 +277,9 @@ def unlabelled_docs(spark, folder):
 
 @query
 def companion_days(spark, folder):
-    events = event_days(spark, folder)
-    sides = [
-        joins.companions(events, ["user_id", "day"], "event_type", ["purchase"], ["error"], how)
-        .withColumn("side", F.lit(how))
-        for how in ("both", "left_only", "right_only")
-    ]
-    return sides[0].unionByName(sides[1]).unionByName(sides[2])
+    return joins.companions(
+        event_days(spark, folder), ["user_id", "day"], "event_type", ["purchase"], ["error"]
+    )
 
 
 @query
@@ -292,11 +288,11 @@ def snapshot_diff(spark, folder):
     on_record = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("state")
     )
-    low, high = F.min("l_linestatus"), F.max("l_linestatus")
+    finished, opened = (F.bool_and(F.col("l_linestatus") == state) for state in ("F", "O"))
     derived = (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_orderkey").alias("orderkey"))
-        .agg(F.when(low == high, low).otherwise("P").alias("state"))
+        .agg(F.when(finished, "F").when(opened, "O").otherwise("P").alias("state"))
     )
     return joins.snapshot_diff(on_record, derived, ["orderkey"], ["state"])
 

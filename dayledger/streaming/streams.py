@@ -70,7 +70,14 @@ def arrivals(
 def coverage_sessions(
     df: DataFrame, ts: str, gap: str, keys: list[str], delay: str = "1 day"
 ) -> DataFrame:
-    """Stretches of records with no pause longer than ``gap``."""
+    """Stretches of records with no pause longer than ``gap``.
+
+    Map tasks merge what they hold into sessions before the shuffle, so a busy key sends its
+    sessions and not its rows to one task.
+    """
+    df.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
+    )
     framed = df.withWatermark(ts, delay).groupBy(*keys, F.session_window(ts, gap))
     return framed.agg(F.count("*").alias("n_rows")).select(
         *keys,
@@ -80,11 +87,21 @@ def coverage_sessions(
     )
 
 
-def dedup_stream(df: DataFrame, ts: str, key: list[str], delay: str) -> DataFrame:
-    """Drop records that are delivered again within ``delay``; state holds keys only that long."""
+def dedup_stream(
+    df: DataFrame, ts: str, key: list[str], delay: str, spread: int = 0
+) -> DataFrame:
+    """Drop records that are delivered again within ``delay``; state holds keys only that long.
+
+    ``spread`` first drops copies among that many groups of input partitions, for streams in which
+    one record is delivered so often that its copies would burden one task.
+    """
     if not df.isStreaming:
         return df.dropDuplicates(key)
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
+    marked = df.withWatermark(ts, delay)
+    if spread:
+        salted = marked.withColumn("__salt", F.spark_partition_id() % spread)
+        marked = salted.dropDuplicatesWithinWatermark([*key, "__salt"]).drop("__salt")
+    return marked.dropDuplicatesWithinWatermark(key)
 
 
 def late_split(df: DataFrame, captured: str, published: str, limit_seconds: int) -> DataFrame:

@@ -1,0 +1,218 @@
+"""Records: parsing, rendering, digests, rules, names, tags."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from dayledger.functions import checks, names, records, tags
+from dayledger.sources.pointers import DataLoader, catalogue, parsed, scan_pointers
+from tests import records as made
+
+
+@pytest.fixture(scope="module")
+def tree(tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("tree") / "v1.1")
+    return root, made.write_tree(root)
+
+
+def test_parsed_values(spark, tree):
+    root, written = tree
+    rows = {r["out"]["path"]: r for r in catalogue(spark, root).collect()}
+    assert set(rows) == set(written)
+    for name, v in written.items():
+        row = rows[name]
+        assert row["stage_md5"] == made.stage_md5(v)
+        assert row["frozen"] is True
+        assert (row["n_deps"], row["n_outs"]) == (1, 1)
+        assert tuple(row["dep"]) == (v["etag"], v["dep_size"], "md5", v["url"])
+        assert tuple(row["out"]) == ("md5", name, v["out_md5"], v["out_size"])
+        assert row["version"] == "v1.1"
+        assert row["capture_date"] == dt.datetime.strptime(name[:8], "%Y%m%d").date()
+        assert row["tag_size"] == (v["out_size"] if name.endswith(".gz") else None)
+
+
+def test_kinds(spark, tree):
+    root, _ = tree
+    for row in catalogue(spark, root).collect():
+        date = row["out"]["path"][:8]
+        assert made.names_of(date)[row["kind"]] == row["out"]["path"]
+        assert row["format"] == {"csv": "csv", "xml": "xml"}.get(row["kind"][-3:], "pcap")
+
+
+@pytest.mark.parametrize("layout", ["plain", "folded", "reordered"])
+def test_layouts_parse_alike(spark, layout):
+    v = made.record("20110105_notice.csv")
+    df = spark.createDataFrame([(made.text_of(v, layout),)], ["value"])
+    row = records.stage_digest(records.parse_pointer(df)).first()
+    assert tuple(row["dep"]) == (v["etag"], 4506, "md5", v["url"])
+    assert tuple(row["out"]) == ("md5", v["name"], v["out_md5"], 4506)
+    assert row["stage_ok"]
+
+
+def test_stage_digest_known_value(spark):
+    text = '{"deps": [{"checksum": "\\"1\\"", "hash": "md5", "path": "u"}], "outs": [{"hash": "md5", "md5": "m", "path": "p"}]}'
+    df = spark.range(1).select(
+        F.struct(F.lit("1").alias("etag"), F.lit("md5").alias("hash"), F.lit("u").alias("url")).alias("dep"),
+        F.struct(F.lit("md5").alias("hash"), F.lit("m").alias("md5"), F.lit("p").alias("path")).alias("out"),
+    )
+    assert df.select(records.stage_text().alias("t")).first()["t"] == text
+
+
+def test_render_is_the_text(spark, tree):
+    root, _ = tree
+    raw = scan_pointers(spark, root).withColumn("raw", F.col("value"))
+    rendered = records.render_pointer(records.parse_pointer(raw))
+    different = [r["out"]["path"] for r in rendered.where("raw <> value").collect()]
+    assert different == ["201203021400.pcap.gz"]  # the record with reordered keys
+    again = records.parse_pointer(rendered.select("value"))
+    assert again.exceptAll(rendered.select(*again.columns)).count() == 0
+
+
+def test_broken_text_gives_nulls(spark):
+    df = spark.createDataFrame([("",), ("md5: x\n",), ("frozen: maybe\ndeps:\nouts:\n",)], ["value"])
+    for row in records.stage_digest(records.parse_pointer(df)).collect():
+        assert row["out"]["size"] is None and row["dep"]["url"] is None
+        assert not row["stage_ok"] or row["stage_md5"] is None
+
+
+FAULTS = {
+    "frozen": dict(frozen="false"),
+    "hash_name": dict(dep_hash="sha1"),
+    "digest_shape": dict(out_md5="abc"),
+    "one_dep_one_out": dict(more_deps=["- checksum: '\"1\"'"]),
+    "sizes_agree": dict(dep_size=1),
+    "name_is_url": dict(url="http://labels.example.org/v1.1/2011/01/05/20110105_notice.xml"),
+    "url_date": dict(url="http://labels.example.org/v1.1/2011/01/06/20110105_notice.csv"),
+    "size_positive": dict(dep_size=0, out_size=0),
+}
+
+
+@pytest.fixture(scope="module")
+def faulty(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("faulty") / "v1.1")
+    expected = {}
+    for i, (rule, changes) in enumerate(FAULTS.items()):
+        # One version folder per fault keeps the file names apart.
+        date = "20110105"
+        v = made.record("20110105_notice.csv", **changes)
+        path = made.write_record(f"{root}/set={i}", date, v)
+        expected[path] = {rule}
+    v = made.record("20110105_notice.csv")
+    expected[made.write_record(f"{root}/set=20", "20110105", v, file_name="20110105_other.csv")] = {"name_is_file"}
+    expected[made.write_record(f"{root}/set=21", "20110106", v)] = {"name_date", "url_date"}
+    v = made.record("201101051400.pcap.gz", etag="1-425fef8cdcb40")
+    expected[made.write_record(f"{root}/set=22", "20110105", v)] = {"tag_size"}
+    v = made.record("20111301_notice.csv")
+    expected[made.write_record(f"{root}/set=23", "20111301", v)] = {"name_date", "url_date", "calendar_date"}
+    v = made.record("20110105_notice.xml")
+    expected[made.write_record(f"{root}/set=24", "20110105", v)] = set()
+    return catalogue(spark, root), expected
+
+
+def test_each_rule_finds_its_fault(faulty):
+    df, expected = faulty
+    checked = checks.validate(df, checks.record_rules()).collect()
+    got = {r["file_path"].replace("file:", "").replace("//", "/"): set(r["failed"]) for r in checked}
+    got = {path.replace("%3D", "="): failed for path, failed in got.items()}
+    assert got == expected
+
+
+def test_violations_are_rows(faulty):
+    df, expected = faulty
+    rows = checks.violations(df, checks.record_rules(), ["file_path"])
+    assert rows.count() == sum(map(len, expected.values()))
+
+
+def test_sound_tree_has_no_violations(spark, tree):
+    root, _ = tree
+    assert checks.violations(catalogue(spark, root), checks.record_rules(), ["file_path"]).count() == 0
+
+
+def test_capture_time_uses_the_zone(spark):
+    df = spark.createDataFrame(
+        [("x/201101051400.dump.gz",), ("20110105_notice.csv",), ("20111305_notice.csv",), ("readme",)],
+        ["path"],
+    )
+    rows = names.capture_time(df, "path").withColumn(
+        "at", F.date_format("captured_at", "yyyy-MM-dd HH:mm")
+    ).collect()
+    assert [r["at"] for r in rows] == ["2011-01-05 05:00", None, None, None]
+    assert [str(r["name_date"]) for r in rows] == ["2011-01-05", "2011-01-05", "None", "None"]
+    utc = names.capture_time(df, "path", zone="UTC").withColumn(
+        "at", F.date_format("captured_at", "HH:mm")
+    )
+    assert utc.first()["at"] == "14:00"
+
+
+def test_url_parts(spark):
+    df = spark.createDataFrame(
+        [(made.url_of("20110105_notice.csv"),), (made.url_of("201101051400.dump.gz"),),
+         ("http://h/a/2011/201201051400.dump.gz?q=1#f",), ("not a url",), (None,)],
+        ["url"],
+    )
+    rows = names.url_parts(df, "url").collect()
+    assert [r["url_host"] for r in rows] == ["labels.example.org", "traces.example.net", "h", None, None]
+    assert [str(r["url_date"]) for r in rows] == ["2011-01-05", "2011-01-05", "None", "None", "None"]
+    assert rows[2]["url_name"] == "201201051400.dump.gz"
+    assert (rows[2]["url_query"], rows[2]["url_fragment"]) == ("q=1", "f")
+
+
+def test_source_tags(spark):
+    df = spark.createDataFrame([("2d091815-425fef8cdcb40",), ("273216480",), (None,), ("zz-1",)], ["tag"])
+    rows = tags.decode_source_tag(df, "tag").withColumn("at", F.unix_micros("tag_modified")).collect()
+    assert [r["tag_size"] for r in rows] == [755570709, None, None, None]
+    assert [r["at"] for r in rows] == [int("425fef8cdcb40", 16), None, None, None]
+
+
+def test_publish_lag(spark, tree):
+    root, _ = tree
+    traces = names.capture_time(
+        catalogue(spark, root, ["trace"]).withColumn("path", F.col("out.path")), "path"
+    )
+    for row in tags.publish_lag(traces, "tag_modified", "captured_at").collect():
+        captured = dt.datetime.strptime(row["path"][:8], "%Y%m%d") + dt.timedelta(hours=5)
+        published = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int("425fef8cdcb40", 16))
+        assert row["lag_seconds"] == pytest.approx((published - captured).total_seconds())
+
+
+def test_empty_payloads(spark):
+    df = spark.createDataFrame(
+        [("notice_csv", 93), ("notice_csv", 94), ("notice_xml", 93), ("trace", 1), (None, 1)],
+        "kind STRING, size BIGINT",
+    )
+    flagged = checks.is_empty_payload(df, {"notice_csv": 93, "notice_xml": 628})
+    assert [r["is_empty"] for r in flagged.collect()] == [True, False, True, False, False]
+
+
+def test_loader(spark, tree):
+    root, written = tree
+    loader = DataLoader(spark, root)
+
+    def loaded(*args, **kwargs):
+        return {r["out"]["path"] for r in loader.load(*args, **kwargs).collect()}
+
+    def expected(start, end):
+        return {n for n in written if start <= n[:8] <= end}
+
+    assert loaded("2010-12-31", "2011-01-05") == expected("20101231", "20110105")
+    assert loaded(dt.date(2011, 1, 5), dt.date(2012, 3, 1)) == expected("20110105", "20120301")
+    assert loaded("2013-01-01", "2013-12-31") == set()
+    assert loaded("2010-01-01", "2012-12-31", kinds=["trace"]) == {n for n in written if n.endswith(".gz")}
+    assert loaded("2010-01-01", "2012-12-31", version="v1.1") == set(written)
+    assert loaded("2010-01-01", "2012-12-31", version="v2") == set()
+
+
+def test_range_prunes_folders(spark, tree):
+    root, _ = tree
+    df = DataLoader(spark, root).load("2011-01-05", "2011-01-06")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "year" in filters.split("PartitionFilters:")[1]
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_parse_runs_without_python(spark, tree):
+    root, _ = tree
+    plan = records.stage_digest(parsed(scan_pointers(spark, root)))._jdf.queryExecution().toString()
+    assert "Python" not in plan
