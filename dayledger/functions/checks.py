@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayledger.functions.names import base_name, strict_date, url_date
+from dayledger.functions.names import base_name, date_of, strict_date, url_date
 from dayledger.functions.tags import TRACE_TAG, hex_value
 
 
@@ -23,7 +23,6 @@ def record_rules() -> dict[str, Column]:
         hex_value(F.regexp_extract(F.col("dep.etag"), TRACE_TAG, 1)),
     )
     path = F.try_parse_url(F.col("dep.url"), F.lit("PATH"))
-    name_date = strict_date(F.regexp_extract(F.col("out.path"), r"^(\d{8})", 1))
     return {
         "frozen": F.col("frozen"),
         "hash_name": (F.col("dep.hash") == "md5") & (F.col("out.hash") == "md5"),
@@ -32,7 +31,7 @@ def record_rules() -> dict[str, Column]:
         "sizes_agree": F.col("dep.size") == F.col("out.size"),
         "name_is_file": F.concat(F.col("out.path"), F.lit(".dvc")) == base_name(F.col("file_path")),
         "name_is_url": F.col("out.path") == base_name(path),
-        "name_date": name_date == partition_date,
+        "name_date": date_of(F.col("out.path")) == partition_date,
         "url_date": url_date(path) == partition_date,
         "size_positive": F.col("out.size") > 0,
         "tag_size": ~F.col("kind").eqNullSafe("trace") | (tag_size == F.col("out.size")),

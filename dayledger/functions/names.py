@@ -24,18 +24,29 @@ def strict_date(text: Column, pattern: str = "yyyyMMdd") -> Column:
     return F.try_to_timestamp(text, F.lit(pattern)).cast("date")
 
 
+def kind_of(name: Column) -> Column:
+    """The kind a file name stands for; NULL for other names."""
+    short = F.when(F.regexp_extract(name, LABEL_NAME, 2) == "notice", "notice").otherwise("anomalous")
+    return F.when(
+        name.rlike(LABEL_NAME), F.concat_ws("_", short, F.regexp_extract(name, LABEL_NAME, 3))
+    ).when(name.rlike(TRACE_NAME), "trace")
+
+
+def date_of(name: Column) -> Column:
+    """The day a file name starts with."""
+    return strict_date(F.regexp_extract(name, r"^(\d{8})", 1))
+
+
 def classify_kind(df: DataFrame, path_col: str) -> DataFrame:
     """Add ``kind``, ``label_set``, ``format`` and ``compression``; NULL for other names."""
     name = base_name(F.col(path_col))
-    label_set = F.regexp_extract(name, LABEL_NAME, 2)
-    label_format = F.regexp_extract(name, LABEL_NAME, 3)
-    trace_format = F.regexp_extract(name, TRACE_NAME, 2)
     is_label, is_trace = name.rlike(LABEL_NAME), name.rlike(TRACE_NAME)
-    short = F.when(label_set == "notice", "notice").otherwise("anomalous")
     return df.withColumns({
-        "kind": F.when(is_label, F.concat_ws("_", short, label_format)).when(is_trace, "trace"),
-        "label_set": F.when(is_label, label_set),
-        "format": F.when(is_label, label_format).when(is_trace, trace_format),
+        "kind": kind_of(name),
+        "label_set": F.when(is_label, F.regexp_extract(name, LABEL_NAME, 2)),
+        "format": F.when(is_label, F.regexp_extract(name, LABEL_NAME, 3)).when(
+            is_trace, F.regexp_extract(name, TRACE_NAME, 2)
+        ),
         "compression": F.when(is_trace, "gzip"),
     })
 
@@ -51,7 +62,7 @@ def capture_time(df: DataFrame, path_col: str, zone: str = "Asia/Tokyo") -> Data
     spans = [(1, 4), (5, 2), (7, 2), (9, 2), (11, 2)]
     parts = [F.substring(digits, at, length).try_cast("int") for at, length in spans]
     return df.withColumns({
-        "name_date": strict_date(F.substring(digits, 1, 8)),
+        "name_date": date_of(name),
         "captured_at": F.try_make_timestamp(*parts, F.lit(0).cast("decimal(8,6)"), F.lit(zone)),
     })
 

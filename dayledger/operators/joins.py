@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dayledger.operators.keys import join_groups
+
 
 def verify_payloads(
     catalogue: DataFrame,
@@ -66,14 +68,19 @@ def companions(
     return sides if how is None else sides.where(F.col("side") == how)
 
 
+def keys_of(other: DataFrame, on: list[str]) -> DataFrame:
+    """The distinct keys, so that a hot one is a single row; a NULL is nobody's partner."""
+    return other.select(*on).dropna().distinct()
+
+
 def having(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
-    """Rows with a partner in ``other``. Its keys are made distinct first, so it has no hot key."""
-    return df.join(other.select(*on).distinct(), on, "left_semi")
+    """Rows with a partner in ``other``."""
+    return join_groups(df, keys_of(other, on), on, "left_semi")
 
 
 def lacking(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     """Rows without a partner in ``other``."""
-    return df.join(other.select(*on).distinct(), on, "left_anti")
+    return join_groups(df, keys_of(other, on), on, "left_anti")
 
 
 def snapshot_diff(
@@ -103,15 +110,15 @@ def snapshot_diff(
 def moved_content(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """Added keys whose content was under another key that is gone.
 
-    The gone side shrinks to one row per digest, its first key, before the join: copies never pair
-    up with copies, and the adaptive skew join can split a digest that many added keys share.
+    The gone side shrinks to one row per digest, its first key, before the join, so copies never
+    pair up with copies.
     """
-    added = new.select(key, digest).join(old.select(key), key, "left_anti")
-    removed = old.select(key, digest).join(new.select(key), key, "left_anti")
-    sources = removed.groupBy(digest).agg(
+    added = lacking(new.select(key, digest), old, [key])
+    removed = lacking(old.select(key, digest), new, [key])
+    sources = removed.dropna(subset=[digest]).groupBy(digest).agg(
         F.min(key).alias("moved_from"), F.count("*").alias("n_sources")
     )
-    return added.join(sources, digest).select(key, digest, "moved_from", "n_sources")
+    return join_groups(added, sources, [digest])
 
 
 def reconcile_labels(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

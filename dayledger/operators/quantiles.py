@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayledger.operators.keys import null_safe_join
+from dayledger.operators.keys import join_groups
 from dayledger.operators.slices import ROWS_PER_SLICE, cut_points, slice_number
 from dayledger.session import kept
 
@@ -55,7 +55,7 @@ def quantiles_of_counts(
     inside = Window.partitionBy(*by, "__slice").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    placed = null_safe_join(sliced, pieces.where(wanted), [*by, "__slice"]).withColumn(
+    placed = join_groups(sliced, pieces.where(wanted), [*by, "__slice"]).withColumn(
         "__start", F.col("__below") + F.sum("__n").over(inside) - F.col("__n")
     )
 
@@ -123,7 +123,7 @@ def robust_outliers(
     # Two values may share a deviation; they stay two rows, so that no grouping follows this join
     # and a hot group can be split in it.
     deviations = kept(
-        null_safe_join(counted, medians, by).select(
+        join_groups(counted, medians, by).select(
             *by, "median", F.abs(F.col("__v") - F.col("median")).alias("__v"), "__n"
         ),
         "deviations",
@@ -135,4 +135,4 @@ def robust_outliers(
     )
     # Fixed value: 1.4826 turns the deviation of a normal distribution into its standard deviation.
     far = F.abs(F.col(value) - F.col("median")) > F.lit(k * 1.4826) * F.col("mad")
-    return null_safe_join(df, spreads, by).where(far)
+    return join_groups(df, spreads, by).where(far)

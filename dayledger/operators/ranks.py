@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayledger.operators.keys import null_safe_join
+from dayledger.operators.keys import join_groups
 
 
 def largest(df: DataFrame, n: int, value: str, tie: str) -> DataFrame:
@@ -32,7 +32,7 @@ def topk(
         return first_rows(df, by, [F.desc(value), F.asc(tie)], k)
     values = first_rows(df.select(*by, value), by, [F.desc(value)], k)
     ranks = values.groupBy(*by, value).agg(F.min("rank").alias("rank"))
-    return null_safe_join(df, ranks, [*by, value])
+    return join_groups(df, ranks, [*by, value])
 
 
 def as_of(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dayledger.operators.keys import join_groups
+
 
 def volume(
     df: DataFrame,
@@ -40,13 +42,9 @@ def duplicate_groups(df: DataFrame, content: list[str], key: str) -> DataFrame:
 
 
 def duplicate_content(df: DataFrame, content: list[str], key: str) -> DataFrame:
-    """Every record whose content is held more than once, as rows.
-
-    Copies stay rows, never a list in one cell. The groups side has one row per content, so the
-    adaptive skew join can split a content that holds a large share of the records.
-    """
+    """Every record whose content is held more than once. Copies stay rows, never a list in a cell."""
     groups = duplicate_groups(df, content, key).select(*content, "copies", "first_key")
-    return df.select(key, *content).join(groups, content).select(key, *content, "copies", "first_key")
+    return join_groups(df.select(key, *content), groups, content)
 
 
 def tag_collisions(df: DataFrame, tag: str, digest: str) -> DataFrame:

@@ -203,7 +203,7 @@ def labels_csv(spark, folder):
     )
     path = fresh_path(spark, "labels")
     rows.write.option("header", "true").csv(path)
-    return labels.read_labels_csv(spark, path).drop("file_path", "capture_date", "kind")
+    return labels.read_labels_csv(spark, path).drop("file_path", "capture_date", "file_kind")
 
 
 @query
@@ -212,7 +212,7 @@ def labels_xml(spark, folder):
     path = fresh_path(spark, "labels")
     rows.write.format("xml").option("rowTag", "row").save(path)
     read = labels.read_labels_xml(spark, path, "row", rows.schema)
-    return read.drop("file_path", "capture_date", "kind")
+    return read.drop("file_path", "capture_date", "file_kind")
 
 
 @query

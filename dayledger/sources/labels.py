@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dayledger.functions.names import capture_time, classify_kind
+from dayledger.functions.names import base_name, date_of, kind_of
 
 # The columns of the label table, in file order.
 LABEL_SCHEMA = (
@@ -16,11 +16,12 @@ LABEL_SCHEMA = (
 
 
 def with_file_columns(df: DataFrame) -> DataFrame:
-    named = df.withColumn("file_path", F.col("_metadata.file_path"))
-    dated = capture_time(classify_kind(named, "file_path"), "file_path")
-    return dated.withColumnRenamed("name_date", "capture_date").drop(
-        "label_set", "format", "compression", "captured_at"
-    )
+    """Add path, day and kind of the file a row came from."""
+    path = F.col("_metadata.file_path")
+    name = base_name(path)
+    return df.withColumns({
+        "file_path": path, "capture_date": date_of(name), "file_kind": kind_of(name),
+    })
 
 
 def read_labels_csv(

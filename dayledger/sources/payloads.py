@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,33 +17,86 @@ LARGEST_CELL = 2**31 - 1
 MAX_TASKS = 20_000
 
 
-def scan_payloads(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
-    """Path, length and modification time of the files below ``root``; contents stay unread."""
+def binary_files(spark: SparkSession, root: str, name_glob: str) -> DataFrame:
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", name_glob)
         .load(root)
-        .select("path", "length", "modificationTime")
     )
 
 
+def file_system(uri: str):
+    """The file system of a URI as Spark writes it, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", uri)))
+
+
+def scan_payloads(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
+    """Path, length and modification time of the files below ``root``; contents stay unread.
+
+    File sources leave out files without content, which an inventory must not, so those are added.
+    """
+    listed = binary_files(spark, root, name_glob).select("path", "length", "modificationTime")
+    return listed.unionByName(scan_empty_files(spark, root, name_glob))
+
+
+def scan_empty_files(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
+    """Files of length zero. The driver lists the first level only, tasks the folders below it."""
+    from pyarrow import fs
+
+    filesystem, inner = file_system(root)
+    prefix = re.sub(r"^file:/+|^/", "file:/", root.rstrip("/"))[: -len(inner.rstrip("/"))]
+    entries = filesystem.get_file_info(fs.FileSelector(inner))
+    top = [(prefix + e.path, e.type == fs.FileType.Directory) for e in entries]
+    tasks = max(1, min(MAX_TASKS, len(top)))
+    folders = spark.createDataFrame(top, "path STRING, is_folder BOOLEAN").repartition(tasks, "path")
+    found = folders.mapInPandas(
+        empty_files_in(prefix, name_glob), "path STRING, length BIGINT, modified_us BIGINT"
+    )
+    return found.select(
+        "path", "length", F.timestamp_micros("modified_us").alias("modificationTime")
+    )
+
+
+def empty_files_in(prefix: str, name_glob: str) -> Callable:
+    def list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, is_folder in zip(batch["path"], batch["is_folder"]):
+                filesystem, inner = file_system(path)
+                found = filesystem.get_file_info(
+                    fs.FileSelector(inner, recursive=True) if is_folder else [inner]
+                )
+                empty = [
+                    f for f in found
+                    if f.type == fs.FileType.File and f.size == 0
+                    and fnmatch.fnmatchcase(f.base_name, name_glob)
+                    and not f.base_name.startswith(("_", "."))
+                ]
+                if empty:
+                    yield pd.DataFrame({
+                        "path": [prefix + f.path for f in empty],
+                        "length": [f.size for f in empty],
+                        "modified_us": [f.mtime_ns // 1000 for f in empty],
+                    })
+
+    return list_batches
+
+
 def digest_small_files(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
-    """Path, length and md5 of the files that fit one cell."""
+    """Path, length and md5 of the files that have content and fit one cell."""
     return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name_glob)
-        .load(root)
+        binary_files(spark, root, name_glob)
         .where(F.col("length") <= LARGEST_CELL)
         .select("path", "length", F.md5("content").alias("md5"))
     )
 
 
 def file_md5(uri: str) -> str:
-    from pyarrow import fs
-
-    filesystem, path = fs.FileSystem.from_uri(uri)
+    filesystem, path = file_system(uri)
     digest = hashlib.md5()
     with filesystem.open_input_stream(path) as stream:
         while block := stream.read(BLOCK):
@@ -52,8 +107,7 @@ def file_md5(uri: str) -> str:
 def digest_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, length in zip(batch["path"], batch["length"]):
-            uri = path if "://" in path else path.replace("file:/", "file:///", 1)
-            yield pd.DataFrame({"path": [path], "length": [length], "md5": [file_md5(uri)]})
+            yield pd.DataFrame({"path": [path], "length": [length], "md5": [file_md5(path)]})
 
 
 def digest_large_files(paths: DataFrame) -> DataFrame:
@@ -71,5 +125,6 @@ def digest_large_files(paths: DataFrame) -> DataFrame:
 
 def payload_digests(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
     """Digests of all files: inside the JVM up to the cell limit, in blocks beyond it."""
-    large = scan_payloads(spark, root, name_glob).where(F.col("length") > LARGEST_CELL)
-    return digest_small_files(spark, root, name_glob).unionByName(digest_large_files(large))
+    listed = scan_payloads(spark, root, name_glob)
+    others = listed.where((F.col("length") > LARGEST_CELL) | (F.col("length") == 0))
+    return digest_small_files(spark, root, name_glob).unionByName(digest_large_files(others))

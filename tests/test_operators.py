@@ -1,0 +1,427 @@
+"""Operators against brute force, on data in which one key holds a third of the rows or more."""
+
+import datetime as dt
+import random
+import statistics
+from collections import Counter, defaultdict
+from itertools import groupby
+
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from dayledger.operators import coverage, joins, quantiles, ranks, series, slices, volume
+
+SLICED = [10**9, 40]
+
+
+@pytest.fixture(scope="module")
+def skewed():
+    """Rows (id, key, day, kind, size): key 'hot' has half of them, sizes repeat, keys may be NULL."""
+    rng = random.Random(5)
+    start = dt.date(2020, 1, 1)
+    return [
+        (
+            i,
+            "hot" if rng.random() < 0.5 else rng.choice(["a", "b", "c", None]),
+            start + dt.timedelta(rng.randrange(60)),
+            rng.choice("xxxyz"),
+            rng.choice([0, 7, 7, 7, rng.randrange(1000)]),
+        )
+        for i in range(600)
+    ]
+
+
+@pytest.fixture(scope="module")
+def frame(spark, skewed):
+    return spark.createDataFrame(
+        skewed, "id BIGINT, key STRING, day DATE, kind STRING, size BIGINT"
+    ).repartition(5).cache()
+
+
+def grouped(rows, at=1):
+    out = defaultdict(list)
+    for r in rows:
+        out[r[at]].append(r)
+    return out
+
+
+def rows_of(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+
+
+# Slices
+
+
+@pytest.mark.parametrize("order", [["size", "id"], ["day", "id"], ["key", "id"], ["kind", "key", "id"]])
+def test_slices_follow_the_order(frame, order):
+    cuts = slices.cut_points(frame, order, 40)
+    assert 5 < len(cuts) < 16
+    numbered = frame.withColumn("slice", slices.slice_number(frame, order, cuts)).orderBy(*order)
+    got = [r["slice"] for r in numbered.collect()]
+    assert got == sorted(got)
+    assert set(got) <= set(range(len(cuts) + 1))
+    assert max(Counter(got).values()) < 200
+
+
+def test_slices_split_a_hot_key(frame):
+    cuts = slices.cut_points(frame, ["key", "id"], 40)
+    numbered = frame.withColumn("slice", slices.slice_number(frame, ["key", "id"], cuts))
+    assert numbered.where("key = 'hot'").select("slice").distinct().count() >= 5
+
+
+def test_one_slice_needs_no_cut(frame):
+    assert slices.cut_points(frame, ["id"], 10**9) == []
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    cuts=st.lists(st.integers(-50, 50), unique=True, max_size=20),
+    values=st.lists(st.integers(-60, 60), min_size=1, max_size=30),
+)
+def test_slice_number_counts_cuts(spark, cuts, values):
+    df = spark.createDataFrame([(v,) for v in values], "v INT")
+    points = [(c,) for c in sorted(cuts)]
+    rows = df.withColumn("n", slices.slice_number(df, ["v"], points)).collect()
+    assert [r["n"] for r in rows] == [sum(c <= v for c in cuts) for v in values]
+
+
+# Series
+
+
+@pytest.mark.parametrize("rows_per_slice", SLICED)
+@pytest.mark.parametrize("order", [["day", "id"], ["size", "id"], ["id"]])
+def test_transitions(skewed, frame, order, rows_per_slice):
+    at = {"id": 0, "key": 1, "day": 2, "kind": 3, "size": 4}
+    expected = []
+    for rows in grouped(skewed).values():
+        rows = sorted(rows, key=lambda r: [r[at[c]] for c in order])
+        expected += [(b[0], a[3], b[3]) for a, b in zip(rows, rows[1:]) if a[3] != b[3]]
+    got = series.transitions(frame, ["key"], order, "kind", rows_per_slice)
+    assert rows_of(got, "id", "previous", "kind") == sorted(expected, key=repr)
+    assert got.columns == [*frame.columns, "previous"]
+
+
+@pytest.mark.parametrize("rows_per_slice", SLICED)
+def test_transitions_between_null_values(spark, rows_per_slice):
+    values = [None, None, "a", None, "b", "b"] * 20
+    df = spark.createDataFrame(list(enumerate(values)), "id INT, v STRING").withColumn("k", F.lit(1))
+    expected = [(i, values[i - 1]) for i in range(1, len(values)) if values[i] != values[i - 1]]
+    got = series.transitions(df, ["k"], ["id"], "v", rows_per_slice)
+    assert rows_of(got, "id", "previous") == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("rows_per_slice", SLICED)
+@pytest.mark.parametrize("order", [["id"], ["day", "id"], ["key", "id"]])
+def test_byte_bins(skewed, frame, order, rows_per_slice):
+    at = {"id": 0, "key": 1, "day": 2}
+    rows = sorted(skewed, key=lambda r: [(r[at[c]] is not None, r[at[c]]) for c in order])
+    running, expected = 0, []
+    for r in rows:
+        expected.append((r[0], running // 5000))
+        running += r[4]
+    binned = series.byte_bins(frame, order, "size", 5000, rows_per_slice)
+    assert rows_of(binned, "id", "bin") == sorted(expected, key=repr)
+    totals = series.bin_totals(binned, "size").agg(F.sum("files"), F.sum("bytes")).first()
+    assert tuple(totals) == (600, running)
+
+
+def test_rolling(skewed, frame):
+    got = {(r["key"], r["day"]): r for r in series.rolling(frame, ["key"], "day", F.sum("size"), 7).collect()}
+    for key, rows in grouped(skewed).items():
+        for day in {r[2] for r in rows}:
+            inside = [r[4] for r in rows if 0 <= (day - r[2]).days < 7]
+            assert got[key, day]["rolling_sum"] == sum(inside)
+            assert got[key, day]["rolling_mean"] == pytest.approx(sum(inside) / 7)
+    assert len(got) == len({(r[1], r[2]) for r in skewed})
+
+
+def test_growth(skewed, frame):
+    months = Counter(r[2].month for r in skewed)
+    rows = {r["period"]: r for r in series.growth(frame, F.month("day"), F.count("*")).collect()}
+    assert {p: r["total"] for p, r in rows.items()} == months
+    assert rows[1]["change"] is None and rows[2]["change"] == months[2] - months[1]
+    by_key = series.growth(frame, F.month("day"), F.count("*"), ["key"])
+    assert by_key.count() == len({(r[1], r[2].month) for r in skewed})
+
+
+# Quantiles
+
+
+@pytest.mark.parametrize("rows_per_slice", SLICED)
+def test_size_distribution(skewed, frame, rows_per_slice):
+    got = {r["key"]: r for r in quantiles.size_distribution(
+        frame, ["key"], "size", rows_per_slice=rows_per_slice
+    ).collect()}
+    assert set(got) == {r[1] for r in skewed}
+    for key, rows in grouped(skewed).items():
+        sizes = [r[4] for r in rows]
+        row = got[key]
+        assert (row["n_rows"], row["min_value"], row["max_value"]) == (len(sizes), min(sizes), max(sizes))
+        wanted = np.percentile(sizes, [25, 50, 75, 99])
+        assert [row[c] for c in ("q1", "median", "q3", "p99")] == pytest.approx(list(wanted))
+
+
+def test_size_distribution_of_all_rows(skewed, frame):
+    (row,) = quantiles.size_distribution(frame, [], "size", rows_per_slice=40).collect()
+    assert row["median"] == statistics.median(r[4] for r in skewed)
+
+
+def test_size_distribution_ignores_null(spark):
+    df = spark.createDataFrame([("a", None), ("a", 4), ("b", None)], "k STRING, v INT")
+    (row,) = quantiles.size_distribution(df, ["k"], "v").collect()
+    assert (row["k"], row["n_rows"], row["median"]) == ("a", 1, 4.0)
+
+
+def test_approximate_distribution_is_close(skewed, frame):
+    rows = quantiles.size_distribution(frame, ["key"], "size", exact=False).collect()
+    for row in rows:
+        sizes = sorted(r[4] for r in skewed if r[1] == row["key"])
+        assert sizes[len(sizes) // 4 - 2] <= row["q1"] <= sizes[len(sizes) // 4 + 2]
+
+
+@pytest.mark.parametrize("rows_per_slice", SLICED)
+def test_robust_outliers(skewed, frame, rows_per_slice):
+    expected = []
+    for rows in grouped(skewed).values():
+        sizes = [r[4] for r in rows]
+        median = statistics.median(sizes)
+        mad = statistics.median(abs(s - median) for s in sizes)
+        expected += [(r[0],) for r in rows if abs(r[4] - median) > 2.0 * 1.4826 * mad]
+    got = quantiles.robust_outliers(frame, ["key"], "size", 2.0, rows_per_slice)
+    assert rows_of(got, "id") == sorted(expected, key=repr)
+
+
+# Rankings
+
+
+def test_topk(skewed, frame):
+    expected = []
+    for rows in grouped(skewed).values():
+        top = sorted(rows, key=lambda r: (-r[4], r[0]))[:4]
+        expected += [(r[0], place) for place, r in enumerate(top, start=1)]
+    assert rows_of(ranks.topk(frame, ["key"], "size", 4, tie="id"), "id", "rank") == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("k", [1, 3, 500])
+def test_topk_keeps_all_ties(skewed, frame, k):
+    expected = []
+    for rows in grouped(skewed).values():
+        for r in rows:
+            rank = 1 + sum(o[4] > r[4] for o in rows)
+            if rank <= k:
+                expected.append((r[0], rank))
+    assert rows_of(ranks.topk(frame, ["key"], "size", k), "id", "rank") == sorted(expected, key=repr)
+
+
+def test_largest(skewed, frame):
+    expected = [r[0] for r in sorted(skewed, key=lambda r: (-r[4], r[0]))[:9]]
+    assert [r["id"] for r in ranks.largest(frame, 9, "size", "id").collect()] == expected
+
+
+def test_as_of(skewed, frame):
+    until = dt.date(2020, 1, 20)
+    expected = []
+    for rows in grouped(skewed).values():
+        known = [r for r in rows if r[2] <= until]
+        expected.append((max(known, key=lambda r: (r[2], r[0]))[0],))
+    got = ranks.as_of(frame, ["key"], "day", F.lit(until), tie="id")
+    assert rows_of(got, "id") == sorted(expected, key=repr)
+
+
+def test_extremes(skewed, frame):
+    got = {r["key"]: tuple(r)[1:] for r in volume.extremes(frame, ["key"], "size", "id").collect()}
+    for key, rows in grouped(skewed).items():
+        low, high = min(rows, key=lambda r: (r[4], r[0])), min(rows, key=lambda r: (-r[4], r[0]))
+        assert got[key] == (low[4], low[0], high[4], high[0])
+
+
+# Volume and duplicates
+
+
+def test_volume_modes(skewed, frame):
+    plain = volume.volume(frame, ["key", "kind"], "size")
+    assert plain.count() == len({(r[1], r[3]) for r in skewed})
+    cube = volume.volume(frame, ["key", "kind"], "size", "cube").collect()
+    total = [r for r in cube if r["level"] == 3]
+    assert [(r["files"], r["bytes"]) for r in total] == [(600, sum(r[4] for r in skewed))]
+    rollup = volume.volume(frame, ["key", "kind"], "size", "rollup").where("level = 1").collect()
+    assert {r["key"]: r["files"] for r in rollup} == Counter(r[1] for r in skewed)
+    sets = volume.volume(frame, ["key", "kind"], "size", "sets", [["kind"], []]).collect()
+    assert {r["kind"]: r["files"] for r in sets if r["level"] == 2} == Counter(r[3] for r in skewed)
+
+
+def test_duplicates(skewed, frame):
+    copies = defaultdict(list)
+    for r in skewed:
+        copies[r[3], r[4]].append(r[0])
+    expected = [
+        (i, k, s, len(ids), min(ids)) for (k, s), ids in copies.items() if len(ids) > 1 for i in ids
+    ]
+    got = volume.duplicate_content(frame, ["kind", "size"], "id")
+    assert rows_of(got, "id", "kind", "size", "copies", "first_key") == sorted(expected, key=repr)
+    groups = volume.duplicate_groups(frame, ["kind", "size"], "id")
+    assert groups.count() == sum(len(ids) > 1 for ids in copies.values())
+
+
+def test_unknown_content_is_no_duplicate(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "m"), (4, "m")], "id INT, md5 STRING")
+    assert rows_of(volume.duplicate_content(df, ["md5"], "id"), "id") == [(3,), (4,)]
+    assert volume.duplicate_groups(df, ["md5"], "id").count() == 1
+
+
+def test_tag_collisions(spark):
+    df = spark.createDataFrame(
+        [("t1", "m1"), ("t1", "m2"), ("t2", "m3"), ("t2", "m3"), ("t3", "m3")], "tag STRING, md5 STRING"
+    )
+    assert rows_of(volume.tag_collisions(df, "tag", "md5"), "direction", "value", "n_values") == [
+        ("digest_with_tags", "m3", 2), ("tag_with_digests", "t1", 2),
+    ]
+
+
+def test_cardinality(skewed, frame):
+    exact = volume.cardinality(frame, ["id", "kind", "day"]).first()
+    assert tuple(exact) == (600, 3, len({r[2] for r in skewed}))
+    near = volume.cardinality(frame, ["id", "kind"], exact=False).first()
+    assert near["kind"] == 3 and abs(near["id"] - 600) < 90
+
+
+def test_label_profile(skewed, frame):
+    rows = volume.label_profile(frame, ["kind"], ["key"], "rollup", exact=True).collect()
+    assert {r["kind"]: r["rows"] for r in rows} == {**Counter(r[3] for r in skewed), None: 600}
+    assert {r["distinct_key"] for r in rows} == {4}
+    assert volume.label_profile(frame, ["kind"], ["key"]).count() == 3
+
+
+# Coverage
+
+
+def test_coverage(skewed, frame):
+    start, end = dt.date(2019, 12, 30), dt.date(2020, 2, 10)
+    calendar = {start + dt.timedelta(i) for i in range((end - start).days + 1)}
+    missing, gaps, runs = [], [], []
+    for key, rows in grouped(skewed).items():
+        days = sorted({r[2] for r in rows})
+        missing += [(key, d) for d in calendar - set(days)]
+        gaps += [
+            (key, a + dt.timedelta(1), b - dt.timedelta(1), (b - a).days - 1)
+            for a, b in zip(days, days[1:]) if (b - a).days > 1
+        ]
+        for _, run in groupby(enumerate(days), key=lambda p: p[1] - dt.timedelta(p[0])):
+            run = [d for _, d in run]
+            runs.append((key, run[0], run[-1], len(run)))
+    assert rows_of(coverage.missing_days(frame, "day", ["key"], start, end), "key", "missing_day") == sorted(missing, key=repr)
+    assert rows_of(coverage.coverage_gaps(frame, "day", ["key"]), "key", "gap_start", "gap_end", "n_days") == sorted(gaps, key=repr)
+    assert rows_of(coverage.coverage_runs(frame, "day", ["key"]), "key", "run_start", "run_end", "n_days") == sorted(runs, key=repr)
+
+
+def test_a_key_outside_the_range_misses_every_day(spark):
+    df = spark.createDataFrame([(1, dt.date(2020, 1, 1))], "k INT, day DATE")
+    assert coverage.missing_days(df, "day", ["k"], "2021-01-01", "2021-01-05").count() == 5
+
+
+def test_kinds(skewed, frame):
+    sets = defaultdict(set)
+    for r in skewed:
+        sets[r[1], r[2]].add(r[3])
+    kinds = ["x", "y", "z"]
+    matrix = coverage.kind_matrix(frame, ["key", "day"], "kind", kinds).collect()
+    assert {(r["key"], r["day"]): {k for k in kinds if r[k]} for r in matrix} == sets
+    signature = coverage.kind_signature(frame, ["key", "day"], "kind").collect()
+    assert {r["signature"]: r["n_keys"] for r in signature} == Counter("+".join(sorted(s)) for s in sets.values())
+    missing = [(*key, k) for key, s in sets.items() for k in kinds if k not in s]
+    got = coverage.expected_minus_actual(frame, ["key", "day"], "kind", kinds)
+    assert rows_of(got, "key", "day", "missing_kind") == sorted(missing, key=repr)
+    every = [key for key, s in sets.items() if {"y", "z"} <= s]
+    some = [key for key, s in sets.items() if {"y", "z"} & s]
+    assert rows_of(coverage.days_in_all(frame, ["key", "day"], "kind", ["y", "z"]), "key", "day") == sorted(every, key=repr)
+    assert rows_of(coverage.days_in_any(frame, ["key", "day"], "kind", ["y", "z"]), "key", "day") == sorted(some, key=repr)
+
+
+# Joins
+
+
+def test_companions(skewed, frame):
+    sets = defaultdict(set)
+    for r in skewed:
+        sets[r[2]].add(r[3])
+    for how, test in {
+        "both": lambda s: {"y"} & s and {"z"} & s,
+        "left_only": lambda s: "y" in s and "z" not in s,
+        "right_only": lambda s: "z" in s and "y" not in s,
+    }.items():
+        got = joins.companions(frame, ["day"], "kind", ["y"], ["z"], how)
+        assert rows_of(got, "day") == sorted(((d,) for d, s in sets.items() if test(s)), key=repr)
+
+
+def test_having_and_lacking(spark, frame, skewed):
+    other = spark.createDataFrame([("a",), ("a",), ("hot",)], "key STRING")
+    with_partner = joins.having(frame, other, ["key"])
+    assert with_partner.count() == sum(r[1] in ("a", "hot") for r in skewed)
+    assert joins.lacking(frame, other, ["key"]).count() == 600 - with_partner.count()
+
+
+def test_snapshot_diff(spark):
+    old = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, "c", "x")], "id INT, md5 STRING, note STRING")
+    new = spark.createDataFrame([(1, "a", None), (2, "B", "x"), (4, "c", "x")], "id INT, md5 STRING, note STRING")
+    diff = joins.snapshot_diff(old, new, ["id"], ["md5", "note"])
+    assert rows_of(diff, "id", "status", "old_md5", "new_md5") == [
+        (1, "unchanged", "a", "a"), (2, "changed", "b", "B"), (3, "removed", "c", None), (4, "added", None, "c"),
+    ]
+
+
+def test_moved_content_never_pairs_copies(spark):
+    old = spark.createDataFrame([(f"old/{i}", "same") for i in range(50)] + [("old/x", "m")], "path STRING, md5 STRING")
+    new = spark.createDataFrame([(f"new/{i}", "same") for i in range(40)] + [("new/y", "n")], "path STRING, md5 STRING")
+    moved = joins.moved_content(old, new, "path", "md5")
+    assert moved.count() == 40
+    assert {tuple(r)[1:] for r in moved.collect()} == {("same", "old/0", 50)}
+
+
+def test_reconcile(spark):
+    left = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id INT")
+    right = spark.createDataFrame([(2,), (3,), (3,)], "id INT")
+    assert rows_of(joins.reconcile_labels(left, right, ["id"]), "id", "side") == [
+        (1, "left_only"), (3, "right_only"), (None, "left_only"),
+    ]
+
+
+FLOW_FIELDS = {"src": "srcIP", "sport": "srcPort", "dst": "dstIP", "dport": "dstPort"}
+
+
+def test_match_labels_against_nested_loops(spark):
+    rng = random.Random(3)
+
+    def address():
+        return rng.choice(["p", "q", "r"])
+
+    flows = [
+        (i, rng.randrange(2), "p" if rng.random() < 0.5 else rng.choice(["q", None]),
+         rng.choice([1, 2]), address(), rng.choice([1, 2, None]))
+        for i in range(200)
+    ]
+    rules = [
+        (j, rng.randrange(2), *[None if rng.random() < 0.5 else v for v in (address(), rng.choice([1, 2]), address(), rng.choice([1, 2]))])
+        for j in range(60)
+    ]
+    expected = [
+        (f[0], r[0]) for f in flows for r in rules
+        if f[1] == r[1] and all(r[i] is None or r[i] == f[i] for i in range(2, 6))
+    ]
+    f = spark.createDataFrame(flows, "flow INT, day INT, src STRING, sport INT, dst STRING, dport INT")
+    r = spark.createDataFrame(rules, "rule INT, day INT, srcIP STRING, srcPort INT, dstIP STRING, dstPort INT")
+    got = joins.match_labels(f, r, ["day"], FLOW_FIELDS)
+    assert rows_of(got, "flow", "rule") == sorted(expected, key=repr)
+    assert got.columns == ["flow", "day", "src", "sport", "dst", "dport", "rule"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_match_labels_without_labels(spark):
+    f = spark.createDataFrame([(1, 1, "p")], "flow INT, day INT, src STRING")
+    r = spark.createDataFrame([], "rule INT, day INT, srcIP STRING")
+    assert joins.match_labels(f, r, ["day"], {"src": "srcIP"}).count() == 0
+    with pytest.raises(ValueError):
+        joins.match_labels(f, r, [], {"src": "srcIP"})
