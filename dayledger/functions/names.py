@@ -19,17 +19,28 @@ def blank_to_null(value: Column) -> Column:
     return F.when(value != "", value)
 
 
-def strict_date(text: Column, pattern: str = "yyyyMMdd") -> Column:
-    """The date, or NULL where the text names no calendar day."""
-    return F.try_to_timestamp(text, F.lit(pattern)).cast("date")
+def strict_date(digits: Column) -> Column:
+    """The date of eight digits, or NULL where they name no calendar day."""
+    parts = [F.substring(digits, at, length) for at, length in ((1, 4), (5, 2), (7, 2))]
+    return F.concat_ws("-", *parts).try_cast("date")
 
 
 def kind_of(name: Column) -> Column:
     """The kind a file name stands for; NULL for other names."""
-    short = F.when(F.regexp_extract(name, LABEL_NAME, 2) == "notice", "notice").otherwise("anomalous")
-    return F.when(
-        name.rlike(LABEL_NAME), F.concat_ws("_", short, F.regexp_extract(name, LABEL_NAME, 3))
-    ).when(name.rlike(TRACE_NAME), "trace")
+    label_set, label_format, trace_format = name_parts(name)
+    short = F.when(label_set == "notice", "notice").otherwise("anomalous")
+    return F.when(label_set != "", F.concat_ws("_", short, label_format)).when(
+        trace_format != "", "trace"
+    )
+
+
+def name_parts(name: Column) -> tuple[Column, Column, Column]:
+    """Label set, label format and trace format, each empty where the name has none."""
+    return (
+        F.regexp_extract(name, LABEL_NAME, 2),
+        F.regexp_extract(name, LABEL_NAME, 3),
+        F.regexp_extract(name, TRACE_NAME, 2),
+    )
 
 
 def date_of(name: Column) -> Column:
@@ -40,14 +51,12 @@ def date_of(name: Column) -> Column:
 def classify_kind(df: DataFrame, path_col: str) -> DataFrame:
     """Add ``kind``, ``label_set``, ``format`` and ``compression``; NULL for other names."""
     name = base_name(F.col(path_col))
-    is_label, is_trace = name.rlike(LABEL_NAME), name.rlike(TRACE_NAME)
+    label_set, label_format, trace_format = name_parts(name)
     return df.withColumns({
         "kind": kind_of(name),
-        "label_set": F.when(is_label, F.regexp_extract(name, LABEL_NAME, 2)),
-        "format": F.when(is_label, F.regexp_extract(name, LABEL_NAME, 3)).when(
-            is_trace, F.regexp_extract(name, TRACE_NAME, 2)
-        ),
-        "compression": F.when(is_trace, "gzip"),
+        "label_set": blank_to_null(label_set),
+        "format": F.coalesce(blank_to_null(label_format), blank_to_null(trace_format)),
+        "compression": F.when(trace_format != "", "gzip"),
     })
 
 
@@ -57,13 +66,14 @@ def capture_time(df: DataFrame, path_col: str, zone: str = "Asia/Tokyo") -> Data
     The names state no time zone, so it is a parameter.
     """
     name = base_name(F.col(path_col))
-    digits = F.regexp_extract(name, r"^(\d{8})(\d{4})?", 0)
-    # Columns of the digits: position and length of year, month, day, hour and minute.
-    spans = [(1, 4), (5, 2), (7, 2), (9, 2), (11, 2)]
-    parts = [F.substring(digits, at, length).try_cast("int") for at, length in spans]
+    day = date_of(name)
+    clock = F.regexp_extract(name, r"^\d{8}([01]\d|2[0-3])([0-5]\d)", 0)
+    minutes = F.substring(clock, 9, 2).cast("bigint") * 60 + F.substring(clock, 11, 2).cast("bigint")
+    # The time of day as if in UTC; reading it in the zone does not involve the session's zone.
+    as_written = F.timestamp_micros((F.unix_date(day) * 1440 + minutes) * 60_000_000)
     return df.withColumns({
-        "name_date": date_of(name),
-        "captured_at": F.try_make_timestamp(*parts, F.lit(0).cast("decimal(8,6)"), F.lit(zone)),
+        "name_date": day,
+        "captured_at": F.when(clock != "", F.to_utc_timestamp(as_written, zone)),
     })
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayledger.operators.keys import join_groups
-from dayledger.operators.slices import ROWS_PER_SLICE, cut_points, slice_number
+from dayledger.operators.slices import ROWS_PER_SLICE, cut_points, with_slice
 from dayledger.session import kept
 
 
@@ -28,7 +28,7 @@ def quantiles_of_counts(
     rank, and only those are ordered.
     """
     cuts = cut_points(counted, ["__v"], rows_per_slice)
-    sliced = counted.withColumn("__slice", slice_number(counted, ["__v"], cuts))
+    sliced = with_slice(counted, ["__v"], cuts)
     ordered, group = Window.partitionBy(*by).orderBy("__slice"), Window.partitionBy(*by)
     pieces = (
         sliced.groupBy(*by, "__slice")

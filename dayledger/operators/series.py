@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayledger.operators.slices import ROWS_PER_SLICE, cut_points, slice_number
+from dayledger.operators.slices import ROWS_PER_SLICE, cut_points, with_slice
+from dayledger.session import kept
 
 
 def transitions(
@@ -17,33 +18,33 @@ def transitions(
 ) -> DataFrame:
     """Rows whose value differs from the row before, with that ``previous`` value.
 
-    ``order`` should end in a unique column. A key with many rows is worked in slices: inside a
-    slice the row before is a ``lag``, and a slice opens with one extra row that carries the last
-    value of the key's slice before.
+    ``order`` should end in a unique column. A key with many rows is worked in slices. One window
+    finds the changes inside a slice and the slice's first and last row; these rows are written,
+    and a second window over the first and last rows alone, two per key and slice, finds the changes
+    from slice to slice.
     """
     cuts = cut_points(df, order, rows_per_slice)
-    sliced = df.withColumns({
-        "__slice": slice_number(df, order, cuts),
-        "__box": F.struct(F.col(value).alias("v")),
-        "__real": F.lit(True),
-    })
-    line = Window.partitionBy(*keys, "__slice").orderBy("__real", *order)
-    if cuts:
-        earlier = Window.partitionBy(*keys).orderBy("__slice")
-        carried = (
-            sliced.groupBy(*keys, "__slice")
-            .agg(F.max_by("__box", F.struct(*order)).alias("__last"))
-            .select(
-                *keys, "__slice",
-                F.lag("__last").over(earlier).alias("__box"),
-                F.lit(False).alias("__real"),
-            )
-            .where(F.col("__box").isNotNull())
-        )
-        sliced = sliced.unionByName(carried, allowMissingColumns=True)
-    before = sliced.withColumn("__before", F.lag("__box").over(line)).where("__real")
+    box = F.struct(F.col(value).alias("v"))
+    line = Window.partitionBy(*keys, "__slice").orderBy(*order)
     changed = F.col("__before").isNotNull() & ~F.col("__before.v").eqNullSafe(F.col(value))
-    return before.where(changed).select(*df.columns, F.col("__before.v").alias("previous"))
+    first = F.col("__before").isNull()
+
+    def result(marked: DataFrame) -> DataFrame:
+        return marked.where(changed).select(*df.columns, F.col("__before.v").alias("previous"))
+
+    marked = with_slice(df, order, cuts).withColumn("__before", F.lag(box).over(line))
+    if not cuts:
+        return result(marked)
+    marked = marked.withColumn("__last", F.lead(box).over(line).isNull())
+    written = kept(marked.where(changed | first | F.col("__last")), "changes")
+    ends = Window.partitionBy(*keys).orderBy("__slice", *order)
+    seams = (
+        written.where(first | F.col("__last"))
+        .withColumn("__carried", F.lag(box).over(ends))
+        .where(first)
+        .withColumn("__before", F.col("__carried"))
+    )
+    return result(written).unionByName(result(seams))
 
 
 def daily(df: DataFrame, keys: list[str], date_col: str, total: Column) -> DataFrame:
@@ -89,7 +90,7 @@ def running_total(
     a running total inside each slice on top of the slices before it.
     """
     cuts = cut_points(df, order, rows_per_slice)
-    sliced = df.withColumn("__slice", slice_number(df, order, cuts))
+    sliced = with_slice(df, order, cuts)
     inside = F.sum(size).over(Window.partitionBy("__slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0
     ))

@@ -8,16 +8,20 @@ every retried task sees the same slices.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 4096
 SAMPLED_PER_SLICE = 20
+AS_TEXT = (T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
 
 
-def cut_points(df: DataFrame, order: list[str], rows_per_slice: int) -> list[tuple]:
-    """Ascending cut points that divide ``df`` about evenly; none where one slice will do.
+def cut_points(df: DataFrame, order: list[str], rows_per_slice: int) -> list[dict]:
+    """Cut points that divide ``df`` about evenly along ``order``; none where one slice will do.
 
     The sample only decides how even the slices are. It holds some ``SAMPLED_PER_SLICE`` rows per
     slice, so at most about 80,000 short rows reach the driver.
@@ -27,27 +31,33 @@ def cut_points(df: DataFrame, order: list[str], rows_per_slice: int) -> list[tup
     slices = min(MAX_SLICES, -(-rows // rows_per_slice))
     if slices <= 1:
         return []
+    written = [
+        F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, AS_TEXT) else f.name
+        for f in narrow.schema
+    ]
     fraction = min(1.0, slices * SAMPLED_PER_SLICE / rows)
-    sampled = [tuple(r) for r in narrow.sample(fraction, seed=11).orderBy(*order).collect()]
-    chosen = [sampled[len(sampled) * i // slices] for i in range(1, slices)] if sampled else []
-    return list(dict.fromkeys(chosen))
+    sampled = [
+        r.asDict() for r in narrow.sample(fraction, seed=11).orderBy(*order).select(*written).collect()
+    ]
+    return [sampled[len(sampled) * i // slices] for i in range(1, slices)] if sampled else []
+
 
+def with_slice(df: DataFrame, order: list[str], cuts: list[dict]) -> DataFrame:
+    """Add ``__slice``, how many cut points lie at or below the row, by binary search.
 
-def slice_number(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
-    """How many cut points lie at or below the row, by binary search."""
+    The cut points are one literal, sorted by Spark's own ordering. Each halving is a projection of
+    its own, so that all of them compile into one loop body; a lambda over the cut points would be
+    interpreted row by row.
+    """
     if not cuts:
-        return F.lit(0)
-    types = [df.schema[c].dataType for c in order]
-    points = F.array(*[
-        F.struct(*[F.lit(v).cast(t).alias(c) for c, t, v in zip(order, types, cut)])
-        for cut in cuts
-    ])
-    row = F.struct(*[F.col(c) for c in order])
-    strides = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
-    return F.aggregate(
-        strides,
-        F.lit(0),
-        lambda at, stride: F.when(
-            F.get(points, at + stride - 1) <= row, at + stride
-        ).otherwise(at),
-    )
+        return df.withColumn("__slice", F.lit(0))
+    kinds = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
+    points = F.sort_array(F.from_json(F.lit(json.dumps(cuts)), T.ArrayType(kinds)))
+    found = df.withColumns({"__points": points, "__row": F.struct(*order), "__slice": F.lit(0)})
+    for power in reversed(range(len(cuts).bit_length())):
+        stride = 1 << power
+        beyond = F.get("__points", F.col("__slice") + (stride - 1)) <= F.col("__row")
+        found = found.withColumn(
+            "__slice", F.when(beyond, F.col("__slice") + stride).otherwise(F.col("__slice"))
+        )
+    return found.drop("__points", "__row")

@@ -59,8 +59,8 @@ def rows_of(df, *cols):
 def test_slices_follow_the_order(frame, order):
     cuts = slices.cut_points(frame, order, 40)
     assert 5 < len(cuts) < 16
-    numbered = frame.withColumn("slice", slices.slice_number(frame, order, cuts)).orderBy(*order)
-    got = [r["slice"] for r in numbered.collect()]
+    numbered = slices.with_slice(frame, order, cuts).orderBy(*order)
+    got = [r["__slice"] for r in numbered.collect()]
     assert got == sorted(got)
     assert set(got) <= set(range(len(cuts) + 1))
     assert max(Counter(got).values()) < 200
@@ -68,8 +68,29 @@ def test_slices_follow_the_order(frame, order):
 
 def test_slices_split_a_hot_key(frame):
     cuts = slices.cut_points(frame, ["key", "id"], 40)
-    numbered = frame.withColumn("slice", slices.slice_number(frame, ["key", "id"], cuts))
-    assert numbered.where("key = 'hot'").select("slice").distinct().count() >= 5
+    numbered = slices.with_slice(frame, ["key", "id"], cuts)
+    assert numbered.where("key = 'hot'").select("__slice").distinct().count() >= 5
+
+
+ORDERED_TYPES = {
+    "double": "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 50 = 1 THEN double('NaN') "
+              "WHEN id % 50 = 2 THEN double('Infinity') ELSE sqrt(id) END",
+    "decimal": "cast(id AS DECIMAL(20, 6)) / 7",
+    "date": "date_add(DATE'2020-01-01', cast(id AS INT))",
+    "timestamp": "timestamp_micros(1600000000000000 + id * 777777)",
+    "timestamp_ntz": "cast(timestamp_micros(1600000000000000 + id * 777777) AS TIMESTAMP_NTZ)",
+    "string": """concat_ws('"', 'ü', md5(cast(id AS STRING)))""",
+    "boolean": "id % 2 = 0",
+}
+
+
+@pytest.mark.parametrize("kind", ORDERED_TYPES)
+def test_slices_follow_any_type(spark, kind):
+    df = spark.range(600).selectExpr("id", f"{ORDERED_TYPES[kind]} AS v")
+    cuts = slices.cut_points(df, ["v", "id"], 40)
+    got = [r["__slice"] for r in slices.with_slice(df, ["v", "id"], cuts).orderBy("v", "id").collect()]
+    assert got == sorted(got)
+    assert len(set(got)) > 8 and max(Counter(got).values()) < 200
 
 
 def test_one_slice_needs_no_cut(frame):
@@ -83,9 +104,8 @@ def test_one_slice_needs_no_cut(frame):
 )
 def test_slice_number_counts_cuts(spark, cuts, values):
     df = spark.createDataFrame([(v,) for v in values], "v INT")
-    points = [(c,) for c in sorted(cuts)]
-    rows = df.withColumn("n", slices.slice_number(df, ["v"], points)).collect()
-    assert [r["n"] for r in rows] == [sum(c <= v for c in cuts) for v in values]
+    rows = slices.with_slice(df, ["v"], [{"v": c} for c in cuts]).collect()
+    assert [r["__slice"] for r in rows] == [sum(c <= v for c in cuts) for v in values]
 
 
 # Series
