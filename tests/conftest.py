@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -17,7 +16,6 @@ def spark():
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="6g",
-        spark__checkpoint__dir=tempfile.mkdtemp(prefix="dayledger-tests-"),
         # Tests run many small streams: the in-memory store starts faster.
         spark__sql__streaming__stateStore__providerClass=(
             "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from dayledger.operators import joins, ranks, volume
-from dayledger.session import shared_folder
+from dayledger.session import kept, shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -124,4 +124,8 @@ def test_rows_with_a_hot_partner_are_split(hot):
 
 
 def test_shared_folder_is_the_one_named(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_folder(spark) == (named or spark.sparkContext.getCheckpointDir())
+    if named:
+        written = kept(spark.range(3)).inputFiles()
+        assert all(named in f for f in written)
