@@ -52,7 +52,10 @@ def field_flag(text: Column) -> Column:
 
 
 def render_pointer(df: DataFrame, text_col: str = "value") -> DataFrame:
-    """Add the record text in the usual key order; a URL too long for its line gets its own."""
+    """Add the record text in the usual key order; a URL too long for its line gets its own.
+
+    The text of an incomplete record is NULL.
+    """
     url_line = F.concat(F.lit("  path: "), F.col("dep.url"))
     folded = F.concat(F.lit("  path: \n    "), F.col("dep.url"))
     lines = [
@@ -69,7 +72,7 @@ def render_pointer(df: DataFrame, text_col: str = "value") -> DataFrame:
         F.concat(F.lit("  md5: "), F.col("out.md5")),
         F.concat(F.lit("  size: "), F.col("out.size").cast("string")),
     ]
-    return df.withColumn(text_col, F.concat_ws("\n", *lines, F.lit("")))
+    return df.withColumn(text_col, F.concat(*[F.concat(line, F.lit("\n")) for line in lines]))
 
 
 def stage_text() -> Column:

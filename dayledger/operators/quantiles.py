@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,23 +14,33 @@ from dayledger.session import kept
 
 
 def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Each group's values ``__v`` with their number ``__n``, written once for the passes to come.
+    """Each group's values ``__v`` with their number ``__n``.
 
     Counting first combines on the map side and spreads a large group over its values.
     """
     values = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v"))
-    return kept(values.agg(F.count("*").alias("__n")), "values")
+    return values.agg(F.count("*").alias("__n"))
 
 
-def quantiles_of_counts(
-    counted: DataFrame, by: list[str], fractions: dict[str, float], rows_per_slice: int
+def placed_in_one(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Counted values with ``__start``, the rank of the first row of a value in its group."""
+    group, ordered = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("__v")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumns({
+        "__start": F.sum("__n").over(upto) - F.col("__n"),
+        "n_rows": F.sum("__n").over(group),
+        "min_value": F.min("__v").over(group),
+        "max_value": F.max("__v").over(group),
+    })
+
+
+def placed_in_slices(
+    counted: DataFrame, by: list[str], cuts: list[dict], wanted: Callable[[Column, Column], Column]
 ) -> DataFrame:
-    """Count, minimum, maximum and interpolated quantiles of counted values.
+    """The same for the slices that hold a ``wanted`` rank.
 
-    The values are cut into slices; totals per group and slice tell which slices hold a wanted
-    rank, and only those are ordered.
+    Totals per group and slice tell where each slice starts; no other slice is ordered.
     """
-    cuts = cut_points(counted, ["__v"], rows_per_slice)
     sliced = with_slice(counted, ["__v"], cuts)
     ordered, group = Window.partitionBy(*by).orderBy("__slice"), Window.partitionBy(*by)
     pieces = (
@@ -40,24 +53,35 @@ def quantiles_of_counts(
             F.min("__min").over(group).alias("min_value"),
             F.max("__max").over(group).alias("max_value"),
         )
+        .where(wanted(F.col("__below"), F.col("__rows")))
+    )
+    inside = Window.partitionBy(*by, "__slice").orderBy("__v").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    return join_groups(sliced, pieces, [*by, "__slice"]).withColumn(
+        "__start", F.col("__below") + F.sum("__n").over(inside) - F.col("__n")
     )
 
+
+def quantiles_of_counts(
+    counted: DataFrame, by: list[str], fractions: dict[str, float], rows_per_slice: int | None
+) -> DataFrame:
+    """Count, minimum, maximum and interpolated quantiles of counted values.
+
+    ``rows_per_slice`` is None for values that are known to be few.
+    """
     def position(p: float) -> Column:
         return F.lit(p) * (F.col("n_rows") - 1)
 
     def holds(rank: Column, start: Column, rows: Column) -> Column:
         return (rank >= start) & (rank < start + rows)
 
-    wanted = F.lit(False)
-    for p in fractions.values():
-        for rank in (F.floor(position(p)), F.ceil(position(p))):
-            wanted = wanted | holds(rank, F.col("__below"), F.col("__rows"))
-    inside = Window.partitionBy(*by, "__slice").orderBy("__v").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    placed = join_groups(sliced, pieces.where(wanted), [*by, "__slice"]).withColumn(
-        "__start", F.col("__below") + F.sum("__n").over(inside) - F.col("__n")
-    )
+    def wanted(start: Column, rows: Column) -> Column:
+        ranks = [f(position(p)) for p in fractions.values() for f in (F.floor, F.ceil)]
+        return reduce(lambda a, b: a | b, [holds(rank, start, rows) for rank in ranks])
+
+    cuts = cut_points(counted, ["__v"], rows_per_slice) if rows_per_slice else []
+    placed = placed_in_slices(counted, by, cuts, wanted) if cuts else placed_in_one(counted, by)
 
     def at(rank: Column) -> Column:
         return F.max(F.when(holds(rank, F.col("__start"), F.col("__n")), F.col("__v")))
@@ -95,7 +119,10 @@ def size_distribution(
     """
     fractions = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
     if exact:
-        return quantiles_of_counts(counted_values(df, by, value), by, fractions, rows_per_slice)
+        counted = counted_values(df, by, value)
+        if df.count() <= rows_per_slice:
+            return quantiles_of_counts(counted, by, fractions, None)
+        return quantiles_of_counts(kept(counted, "values"), by, fractions, rows_per_slice)
     return df.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.count("*").alias("n_rows"),
         F.min(value).alias("min_value"),
@@ -110,26 +137,31 @@ def robust_outliers(
     """Rows further from their group's median than ``k`` scaled median absolute deviations.
 
     The input is read twice: to count its values and to pick the outliers. Medians and deviations
-    come from the counted values. The tables of medians are written, so the planner knows their
-    size and broadcasts them only if that is small.
+    come from the counted values. Beyond one slice of rows the tables in between are written: each
+    is needed more than once, and the planner broadcasts a table of medians only if it is small.
     """
     if not by:
         raise ValueError("name at least one grouping column")
-    counted = counted_values(df, by, value)
-    medians = kept(
-        quantiles_of_counts(counted, by, {"median": 0.5}, rows_per_slice).select(*by, "median"),
-        "medians",
+    few = df.count() <= rows_per_slice
+    slicing = None if few else rows_per_slice
+
+    def table(part: DataFrame, name: str) -> DataFrame:
+        return part if few else kept(part, name)
+
+    counted = table(counted_values(df, by, value), "values")
+    medians = table(
+        quantiles_of_counts(counted, by, {"median": 0.5}, slicing).select(*by, "median"), "medians"
     )
     # Two values may share a deviation; they stay two rows, so that no grouping follows this join
     # and a hot group can be split in it.
-    deviations = kept(
+    deviations = table(
         join_groups(counted, medians, by).select(
             *by, "median", F.abs(F.col("__v") - F.col("median")).alias("__v"), "__n"
         ),
         "deviations",
     )
-    spreads = kept(
-        quantiles_of_counts(deviations, [*by, "median"], {"mad": 0.5}, rows_per_slice)
+    spreads = table(
+        quantiles_of_counts(deviations, [*by, "median"], {"mad": 0.5}, slicing)
         .select(*by, "median", "mad"),
         "spreads",
     )

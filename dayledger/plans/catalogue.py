@@ -17,21 +17,23 @@ def day_report(
 ) -> DataFrame:
     """Every calendar day of the range: number of files, their bytes and the kinds it lacks."""
     kinds = kinds or KINDS
-    within = in_range(records, start, end).select(
-        "capture_date", "kind", F.col("out.size").alias("size")
+    has = [F.bool_or(F.col("kind") == k) for k in kinds]
+    per_day = (
+        in_range(records, start, end)
+        .groupBy("capture_date")
+        .agg(
+            F.count("*").alias("files"),
+            F.sum("out.size").alias("bytes"),
+            F.array_compact(F.array(*[F.when(~flag, k) for flag, k in zip(has, kinds)])).alias("lacks"),
+        )
     )
-    lacks = [F.when(~F.col(f"__has_{i}"), k) for i, k in enumerate(kinds)]
-    held = volume.volume(within, ["capture_date"], "size")
-    recorded = held.join(
-        coverage.has_kinds(within, ["capture_date"], "kind", kinds), "capture_date"
-    ).select("capture_date", "files", "bytes", F.array_compact(F.array(*lacks)).alias("lacks"))
-    absent = coverage.missing_days(within, "capture_date", [], start, end).select(
+    absent = coverage.missing_days(per_day, "capture_date", [], start, end).select(
         F.col("missing_day").alias("capture_date"),
         F.lit(0).cast("bigint").alias("files"),
         F.lit(0).cast("bigint").alias("bytes"),
         F.array(*[F.lit(k) for k in kinds]).alias("lacks"),
     )
-    return recorded.unionByName(absent)
+    return per_day.unionByName(absent)
 
 
 def yearly_volume(records: DataFrame) -> DataFrame:

@@ -20,10 +20,25 @@ doc_bytes AS (
   FROM doc_fields
 )"""
 
+# One record per month of orders.
+ORDER_RECORDS = """
+WITH totals AS (
+  SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS day, count(*) AS n,
+         CAST(sum(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) * 100 AS BIGINT)) AS BIGINT) AS size
+  FROM orders GROUP BY 1)
+SELECT day AS capture_date, TRUE AS stage_ok, CAST(n AS VARCHAR) AS etag,
+       concat('http://example.org/v1/', strftime(day, '%Y/%m/%d/%Y%m%d'), '_notice.csv') AS url,
+       concat(strftime(day, '%Y%m%d'), '_notice.csv') AS path,
+       md5(CAST(size AS VARCHAR)) AS md5, size
+FROM totals"""
+
 EVENT_DAYS = "event_days AS (SELECT *, CAST(ts AS DATE) AS day FROM events)"
 USER_DAYS = "user_days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)"
 
 SQL = {
+    "scan_records": ORDER_RECORDS,
+    "load_records": f"{ORDER_RECORDS} WHERE day BETWEEN DATE '1996-11-15' AND DATE '1998-02-14'",
+    "stream_records": ORDER_RECORDS,
     "content_digest": """
 SELECT doc_id, md5(text) AS md5, CAST(octet_length(encode(text)) AS INTEGER) AS n_bytes
 FROM documents""",
@@ -312,6 +327,21 @@ WHERE abs(n_chars - median) > 3.5::DOUBLE * 1.4826::DOUBLE * mad""",
     "byte_bins": """
 SELECT doc_id, n_chars, CAST((running - n_chars) // 100000 AS BIGINT) AS bin
 FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS running FROM documents)""",
+    "day_report": """
+WITH calendar AS (
+  SELECT CAST(d AS DATE) AS day
+  FROM generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1997-12-31', INTERVAL 1 DAY) t(d)
+), cells AS (
+  SELECT day, kind, o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) * 100 AS BIGINT) AS cents
+  FROM calendar
+  CROSS JOIN (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS kind)
+  LEFT JOIN orders ON CAST(o_orderdate AS DATE) = day AND o_orderpriority = kind
+)
+SELECT day AS capture_date, count(o_orderkey) AS files,
+       CAST(coalesce(sum(cents), 0) AS BIGINT) AS bytes,
+       coalesce(string_agg(DISTINCT kind, '+' ORDER BY kind) FILTER (WHERE o_orderkey IS NULL), '')
+         AS lacks
+FROM cells GROUP BY day""",
     "topk_docs": """
 SELECT doc_id, source, n_chars, CAST(place AS INTEGER) AS rank FROM (
   SELECT doc_id, source, n_chars,

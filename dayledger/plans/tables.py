@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from dayledger.functions import checks, names, records, tags
 from dayledger.operators import coverage, joins, quantiles, ranks, series, volume
+from dayledger.plans import catalogue
 from dayledger.session import fresh_path
 from dayledger.sources import labels, payloads, pointers
 from dayledger.streaming import streams
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 EVENT_DAYS = ("2024-01-01", "2024-01-30")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +60,53 @@ def document_records(spark: SparkSession, folder: str) -> DataFrame:
     return plain.withColumn("stage_md5", F.md5(records.stage_text()))
 
 
+def order_month_files(spark: SparkSession, folder: str) -> str:
+    """A catalogue on disk with one record per month of orders, dated on its first day."""
+    day = F.trunc("o_orderdate", "month")
+    cents = F.sum((F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint"))
+    totals = table(spark, folder, "orders").groupBy(day.alias("date")).agg(
+        F.count("*").cast("string").alias("etag"), cents.alias("size")
+    )
+    path = F.concat(F.date_format("date", "yyyyMMdd"), F.lit("_notice.csv"))
+    url = F.concat(F.lit("http://example.org/v1/"), F.date_format("date", "yyyy/MM/dd/"), path)
+    filed = totals.select(
+        F.year("date").alias("year"), F.month("date").alias("month"), F.day("date").alias("day"),
+        F.lit(True).alias("frozen"),
+        F.struct("etag", "size", F.lit("md5").alias("hash"), url.alias("url")).alias("dep"),
+        F.struct(
+            F.lit("md5").alias("hash"), path.alias("path"),
+            F.md5(F.col("size").cast("string")).alias("md5"), "size",
+        ).alias("out"),
+    ).withColumn("stage_md5", F.md5(records.stage_text()))
+    root = fresh_path(spark, "records")
+    pointers.write_pointers(filed, root)
+    return root
+
+
+def flat_records(parsed: DataFrame) -> DataFrame:
+    return records.stage_digest(parsed).select(
+        "capture_date", "stage_ok", F.col("dep.etag").alias("etag"), F.col("dep.url").alias("url"),
+        F.col("out.path").alias("path"), F.col("out.md5").alias("md5"),
+        F.col("out.size").alias("size"),
+    )
+
+
 # Records, names and rules
 
 
+@query
+def scan_records(spark, folder):
+    return flat_records(
+        pointers.catalogue(spark, order_month_files(spark, folder), suffix=".txt")
+    )
+
+
+@query
+def load_records(spark, folder):
+    loader = pointers.DataLoader(spark, order_month_files(spark, folder), suffix=".txt")
+    return flat_records(loader.load("1996-11-15", "1998-02-14"))
+
+
 @query
 def content_digest(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -504,6 +550,20 @@ def byte_bins(spark, folder):
     return series.byte_bins(docs, ["doc_id"], "n_chars", 100_000)
 
 
+@query
+def day_report(spark, folder):
+    """Days of two years: orders, their value in cents and the priorities without an order."""
+    day = F.to_date("o_orderdate")
+    cents = (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint")
+    filed = table(spark, folder, "orders").select(
+        F.year(day).alias("year"), F.month(day).alias("month"), F.day(day).alias("day"),
+        day.alias("capture_date"), F.col("o_orderpriority").alias("kind"),
+        F.struct(cents.alias("size")).alias("out"),
+    )
+    report = catalogue.day_report(filed, "1996-01-01", "1997-12-31", PRIORITIES)
+    return report.withColumn("lacks", F.concat_ws("+", "lacks"))
+
+
 # Rankings
 
 
@@ -535,6 +595,13 @@ def largest_docs(spark, folder):
 # Streams
 
 
+@query
+def stream_records(spark, folder):
+    root = order_month_files(spark, folder)
+    arrived = streams.append_to_table(streams.stream_pointers(spark, root, suffix=".txt"))
+    return flat_records(arrived)
+
+
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return streams.zoned(streams.stream_table(spark, folder, "events"), "ts")
 

@@ -5,12 +5,17 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The functions below travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 8 * 1024 * 1024
 # Fixed value: the longest file whose content fits one binary cell.
 LARGEST_CELL = 2**31 - 1

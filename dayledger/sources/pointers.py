@@ -12,19 +12,20 @@ from dayledger.functions.names import classify_kind, strict_date
 from dayledger.functions.records import parse_pointer, render_pointer
 from dayledger.functions.tags import decode_source_tag
 
-# The file names of each kind.
+# The payload names of each kind.
 NAME_GLOBS = {
-    "notice_csv": "*_notice.csv.dvc",
-    "notice_xml": "*_notice.xml.dvc",
-    "anomalous_csv": "*_anomalous_suspicious.csv.dvc",
-    "anomalous_xml": "*_anomalous_suspicious.xml.dvc",
-    "trace": "*.gz.dvc",
+    "notice_csv": "*_notice.csv",
+    "notice_xml": "*_notice.xml",
+    "anomalous_csv": "*_anomalous_suspicious.csv",
+    "anomalous_xml": "*_anomalous_suspicious.xml",
+    "trace": "*.gz",
 }
+SUFFIX = ".dvc"
 RECORD_SCHEMA = "value STRING, year INT, month INT, day INT"
 
 
-def name_glob(kinds: Iterable[str] | None) -> str:
-    globs = [NAME_GLOBS[k] for k in kinds] if kinds is not None else ["*.dvc"]
+def name_glob(kinds: Iterable[str] | None, suffix: str = SUFFIX) -> str:
+    globs = [NAME_GLOBS[k] + suffix for k in kinds] if kinds is not None else ["*" + suffix]
     return globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}"
 
 
@@ -45,21 +46,22 @@ def with_path_columns(df: DataFrame) -> DataFrame:
 
 
 def scan_pointers(
-    spark: SparkSession, root: str, kinds: Iterable[str] | None = None
+    spark: SparkSession, root: str, kinds: Iterable[str] | None = None, suffix: str = SUFFIX
 ) -> DataFrame:
     """One row per record below ``root``, as raw text with path columns.
 
-    ``root`` is the folder that holds the ``year=`` folders. Kinds narrow the file listing.
+    ``root`` is the folder that holds the ``year=`` folders; kinds and suffix narrow the file
+    listing.
     """
-    raw = spark.read.text(root, wholetext=True, pathGlobFilter=name_glob(kinds))
+    raw = spark.read.text(root, wholetext=True, pathGlobFilter=name_glob(kinds, suffix))
     return with_path_columns(raw)
 
 
 def catalogue(
-    spark: SparkSession, root: str, kinds: Iterable[str] | None = None
+    spark: SparkSession, root: str, kinds: Iterable[str] | None = None, suffix: str = SUFFIX
 ) -> DataFrame:
     """The parsed records below ``root``."""
-    return parsed(scan_pointers(spark, root, kinds))
+    return parsed(scan_pointers(spark, root, kinds, suffix))
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -91,8 +93,8 @@ def in_range(
 class DataLoader:
     """Loads the records of a range of days from one catalogue."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, suffix: str = SUFFIX):
+        self.spark, self.root, self.suffix = spark, root, suffix
 
     def load(
         self,
@@ -101,7 +103,7 @@ class DataLoader:
         kinds: Iterable[str] | None = None,
         version: str | None = None,
     ) -> DataFrame:
-        raw = in_range(scan_pointers(self.spark, self.root, kinds), start, end)
+        raw = in_range(scan_pointers(self.spark, self.root, kinds, self.suffix), start, end)
         if version is not None:
             raw = raw.where(F.col("version") == version)
         return parsed(raw)

@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from dayledger.operators.coverage import has_kinds
 from dayledger.session import fresh_path
-from dayledger.sources.pointers import RECORD_SCHEMA, name_glob, parsed, with_path_columns
+from dayledger.sources.pointers import (
+    RECORD_SCHEMA,
+    SUFFIX,
+    name_glob,
+    parsed,
+    with_path_columns,
+)
 
 
 def stream_pointers(
@@ -21,13 +27,14 @@ def stream_pointers(
     root: str,
     kinds: Iterable[str] | None = None,
     files_per_batch: int | None = None,
+    suffix: str = SUFFIX,
 ) -> DataFrame:
     """New records below ``root`` as a stream of parsed rows."""
     reader = (
         spark.readStream.format("text")
         .schema(RECORD_SCHEMA)
         .option("wholetext", "true")
-        .option("pathGlobFilter", name_glob(kinds))
+        .option("pathGlobFilter", name_glob(kinds, suffix))
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
