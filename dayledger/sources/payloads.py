@@ -54,39 +54,39 @@ def scan_empty_files(spark: SparkSession, root: str, name_glob: str = "*") -> Da
     filesystem, inner = file_system(root)
     prefix = re.sub(r"^file:/+|^/", "file:/", root.rstrip("/"))[: -len(inner.rstrip("/"))]
     entries = filesystem.get_file_info(fs.FileSelector(inner))
-    top = [(prefix + e.path, e.type == fs.FileType.Directory) for e in entries]
-    tasks = max(1, min(MAX_TASKS, len(top)))
-    folders = spark.createDataFrame(top, "path STRING, is_folder BOOLEAN").repartition(tasks, "path")
-    found = folders.mapInPandas(
-        empty_files_in(prefix, name_glob), "path STRING, length BIGINT, modified_us BIGINT"
-    )
+    listing = "path STRING, length BIGINT, modified_us BIGINT"
+    found = spark.createDataFrame(empty_rows(entries, prefix, name_glob), listing)
+    folders = [(prefix + e.path,) for e in entries if e.type == fs.FileType.Directory]
+    if folders:
+        tasks = min(MAX_TASKS, len(folders))
+        below = spark.createDataFrame(folders, "path STRING").repartition(tasks, "path")
+        found = found.unionByName(below.mapInPandas(list_empty_files(prefix, name_glob), listing))
     return found.select(
         "path", "length", F.timestamp_micros("modified_us").alias("modificationTime")
     )
 
 
-def empty_files_in(prefix: str, name_glob: str) -> Callable:
+def empty_rows(entries: list, prefix: str, name_glob: str) -> list[tuple]:
+    """Path, length and time of the empty files among listed entries."""
+    return [
+        (prefix + e.path, 0, e.mtime_ns // 1000)
+        for e in entries
+        if e.is_file and e.size == 0
+        and fnmatch.fnmatchcase(e.base_name, name_glob)
+        and not e.base_name.startswith(("_", "."))
+    ]
+
+
+def list_empty_files(prefix: str, name_glob: str) -> Callable:
     def list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         for batch in batches:
-            for path, is_folder in zip(batch["path"], batch["is_folder"]):
+            for path in batch["path"]:
                 filesystem, inner = file_system(path)
-                found = filesystem.get_file_info(
-                    fs.FileSelector(inner, recursive=True) if is_folder else [inner]
-                )
-                empty = [
-                    f for f in found
-                    if f.type == fs.FileType.File and f.size == 0
-                    and fnmatch.fnmatchcase(f.base_name, name_glob)
-                    and not f.base_name.startswith(("_", "."))
-                ]
-                if empty:
-                    yield pd.DataFrame({
-                        "path": [prefix + f.path for f in empty],
-                        "length": [f.size for f in empty],
-                        "modified_us": [f.mtime_ns // 1000 for f in empty],
-                    })
+                below = filesystem.get_file_info(fs.FileSelector(inner, recursive=True))
+                if rows := empty_rows(below, prefix, name_glob):
+                    yield pd.DataFrame(rows, columns=["path", "length", "modified_us"])
 
     return list_batches
 

@@ -27,7 +27,7 @@ def test_no_query_pairs_all_rows(plans):
 
 def test_python_only_reads_files(plans):
     with_python = {n for n, p in plans.items() if "InPandas" in p or "EvalPython" in p or "MapInArrow" in p}
-    assert with_python == {"payload_digests", "payload_inventory"}
+    assert with_python == {"payload_digests"}
 
 
 def test_scans_read_only_what_they_need(plans):

@@ -81,6 +81,7 @@ def payload_files(tmp_path):
     root = tmp_path / "payloads"
     contents = {
         "a/one.csv": b"x" * 10, "a/two.csv": b"", "b/three.xml": os.urandom(100_000), "b/extra.bin": b"?",
+        "top.csv": b"", "b/c/deep.csv": b"",
     }
     for name, content in contents.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
@@ -96,7 +97,9 @@ def test_inventory(spark, payload_files):
     root, contents = payload_files
     rows = short(payloads.scan_payloads(spark, root), root)
     assert {n: r["length"] for n, r in rows.items()} == {n: len(c) for n, c in contents.items()}
-    assert set(short(payloads.scan_payloads(spark, root, "*.csv"), root)) == {"a/one.csv", "a/two.csv"}
+    assert set(short(payloads.scan_payloads(spark, root, "*.csv"), root)) == {
+        "a/one.csv", "a/two.csv", "top.csv", "b/c/deep.csv",
+    }
 
 
 def test_digests(spark, payload_files, monkeypatch):
