@@ -110,11 +110,11 @@ def snapshot_diff(
 def moved_content(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """Added keys whose content was under another key that is gone.
 
-    The gone side shrinks to one row per digest, its first key, before the join, so copies never
-    pair up with copies.
+    Keys are unique on each side. The gone side shrinks to one row per digest, its first key, before
+    the join, so copies never pair up with copies.
     """
-    added = lacking(new.select(key, digest), old, [key])
-    removed = lacking(old.select(key, digest), new, [key])
+    added = new.select(key, digest).join(old.select(key), key, "left_anti")
+    removed = old.select(key, digest).join(new.select(key), key, "left_anti")
     sources = removed.dropna(subset=[digest]).groupBy(digest).agg(
         F.min(key).alias("moved_from"), F.count("*").alias("n_sources")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayledger.functions.names import KINDS
-from dayledger.operators import coverage, volume
+from dayledger.operators import coverage, joins, volume
 from dayledger.sources.pointers import in_range
 
 
@@ -36,6 +36,26 @@ def day_report(
     return per_day.unionByName(absent)
 
 
+def verify_archive(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Status of every recorded payload and every file, matched by their path from ``year=`` on.
+
+    ``files`` is an inventory, with an ``md5`` column once digests are computed.
+    """
+    placed = r"(year=.*)$"
+    recorded = records.select(
+        F.regexp_extract(F.regexp_replace("file_path", r"\.dvc$", ""), placed, 1).alias("path"),
+        F.col("out.size").alias("size"),
+        F.col("out.md5").alias("md5"),
+    )
+    digest = F.col("md5") if "md5" in files.columns else F.lit(None).cast("string")
+    found = files.select(
+        F.regexp_extract("path", placed, 1).alias("path"),
+        F.col("length").alias("size"),
+        digest.alias("md5"),
+    )
+    return joins.verify_payloads(recorded, found)
+
+
 def yearly_volume(records: DataFrame) -> DataFrame:
     """Files and bytes by year and kind, with totals per year and overall."""
     sized = records.select("year", "kind", F.col("out.size").alias("size"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dayledger.functions import checks, names, records, tags
 from dayledger.operators import coverage, joins, quantiles, ranks, series, volume
 from dayledger.plans import catalogue
-from dayledger.session import fresh_path
+from dayledger.session import fresh_path, kept
 from dayledger.sources import labels, payloads, pointers
 from dayledger.streaming import streams
 
@@ -276,14 +276,25 @@ def payload_digests(spark, folder):
 # Joins
 
 
-def mirror(spark: SparkSession, folder: str) -> DataFrame:
+def digested(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        "doc_id", F.octet_length("text").alias("size"), F.md5("text").alias("md5")
+    )
+
+
+def document_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and digest of every document, for queries that would read the texts more than once."""
+    return kept(digested(table(spark, folder, "documents")), "digests")
+
+
+def mirror(spark: SparkSession, folder: str, recorded: DataFrame) -> DataFrame:
     """A mirror of the documents with every kind of fault.
 
     It keeps the first copy of each content, holds the benchmark texts besides, has lost the text
     of toxic documents and has swapped a letter in those of low quality.
     """
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    first = docs.groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    first = recorded.groupBy("md5").agg(F.min("doc_id").alias("doc_id"))
     marked = (
         docs.join(first.select("doc_id"), "doc_id", "left_semi")
         .join(table(spark, folder, "labels"), "doc_id", "left")
@@ -297,16 +308,11 @@ def mirror(spark: SparkSession, folder: str) -> DataFrame:
     return marked.select("doc_id", text.alias("text")).unionByName(extra)
 
 
-def digested(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "doc_id", F.octet_length("text").alias("size"), F.md5("text").alias("md5")
-    )
-
-
 @query
 def verify_join(spark, folder):
-    recorded = digested(table(spark, folder, "documents"))
-    return joins.verify_payloads(recorded, digested(mirror(spark, folder)), path="doc_id")
+    recorded = document_digests(spark, folder)
+    found = digested(mirror(spark, folder, recorded))
+    return joins.verify_payloads(recorded, found, path="doc_id")
 
 
 @query
@@ -346,9 +352,9 @@ def snapshot_diff(spark, folder):
 @query
 def moved_content(spark, folder):
     """Documents before and after the labelled ones move to a folder of their own."""
-    docs = table(spark, folder, "documents").select(
+    docs = kept(table(spark, folder, "documents").select(
         "doc_id", "source", F.md5("text").alias("md5")
-    )
+    ), "digests")
     number = F.col("doc_id").cast("string")
     home = F.concat_ws("/", "source", number)
     moved = docs.join(
@@ -435,7 +441,7 @@ def size_distribution(spark, folder):
 
 @query
 def duplicate_content(spark, folder):
-    docs = digested(table(spark, folder, "documents"))
+    docs = document_digests(spark, folder)
     return volume.duplicate_content(docs, ["md5", "size"], "doc_id")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dayledger.operators import joins
-from dayledger.plans.catalogue import day_report, yearly_volume
+from dayledger.plans.catalogue import day_report, verify_archive, yearly_volume
 from dayledger.sources import labels, payloads, pointers
 from tests import records as made
 
@@ -144,6 +144,34 @@ def test_verify(spark):
     }
 
 
+def test_verify_archive(spark, tmp_path):
+    """Payloads on disk against their records: sound, altered, cut, emptied, gone and unrecorded."""
+    root, store = str(tmp_path / "v1.1"), tmp_path / "store"
+    expected = {}
+    for i, fate in enumerate(["ok", "md5_mismatch", "size_mismatch", "emptied", "missing", "untracked"]):
+        name = f"2011010{i + 1}_notice.csv"
+        content = os.urandom(100 + i)
+        if fate != "untracked":
+            made.write_record(root, name[:8], made.record(
+                name, size=len(content), out_md5=hashlib.md5(content).hexdigest()
+            ))
+        folder = store / "year=2011" / "month=01" / f"day={name[6:8]}"
+        folder.mkdir(parents=True)
+        held = {"md5_mismatch": content[::-1], "size_mismatch": content[:-1], "emptied": b""}
+        if fate != "missing":
+            (folder / name).write_bytes(held.get(fate, content))
+        key = f"year=2011/month=01/day={name[6:8]}/{name}"
+        expected[key] = "size_mismatch" if fate == "emptied" else fate
+    records = pointers.catalogue(spark, root)
+
+    def statuses(files):
+        return {r["path"]: r["status"] for r in verify_archive(records, files).collect()}
+
+    assert statuses(payloads.payload_digests(spark, str(store))) == expected
+    by_size = {k: "ok" if v == "md5_mismatch" else v for k, v in expected.items()}
+    assert statuses(payloads.scan_payloads(spark, str(store))) == by_size
+
+
 def test_label_header_digest():
     assert hashlib.md5(HEADER.encode()).hexdigest() == "b9bfb5f5554d023eb895f6bcef6b7247"
     assert HEADER.strip().split(", ") == [c.split()[0] for c in labels.LABEL_SCHEMA.split(", ")]
