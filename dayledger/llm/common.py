@@ -94,3 +94,24 @@ def ranked(
     return join_groups(numbered, starts, [group, "__part"]).withColumn(
         "rank", F.col("__start") + F.col("__inside")
     ).drop("__parts", "__part", "__inside", "__start")
+
+
+def training_sample(
+    labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id"
+) -> tuple[DataFrame, dict[int, int]]:
+    """At most ``per_class`` labelled ids of each class (doc_id, label), and the classes' sizes.
+
+    Only rows that may be learnt from count. Ids are drawn by the hash of the id, so the draw does
+    not depend on the order of the rows. Rows whose id or label is null, or whose label is not 0 or
+    1, are left out; an id labelled both ways counts as 1.
+    """
+    usable = labels.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label")
+    ).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & for_training(F.col("doc_id")))
+    known = kept(usable.groupBy("doc_id").agg(F.max("label").alias("label")), "labelled")
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    drawn = [
+        known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        for c in (0, 1)
+    ]
+    return kept(drawn[0].union(drawn[1]), "sample"), sizes
