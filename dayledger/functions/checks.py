@@ -11,8 +11,11 @@ from dayledger.functions.names import base_name, date_of, strict_date, url_date
 from dayledger.functions.tags import TRACE_TAG, hex_value
 
 
-def record_rules() -> dict[str, Column]:
-    """The conditions of a sound catalogue record, by the name of the rule."""
+def record_rules(suffix: str = ".dvc") -> dict[str, Column]:
+    """The conditions of a sound catalogue record, by the name of the rule.
+
+    ``name_is_file`` is for records in files of their own; ``suffix`` is that of these files.
+    """
     digest = r"^[0-9a-f]{32}$"
     day = F.concat_ws(
         "", F.lpad("year", 4, "0"), F.lpad("month", 2, "0"), F.lpad("day", 2, "0")
@@ -29,7 +32,7 @@ def record_rules() -> dict[str, Column]:
         "digest_shape": F.col("stage_md5").rlike(digest) & F.col("out.md5").rlike(digest),
         "one_dep_one_out": (F.col("n_deps") == 1) & (F.col("n_outs") == 1),
         "sizes_agree": F.col("dep.size") == F.col("out.size"),
-        "name_is_file": F.concat(F.col("out.path"), F.lit(".dvc")) == base_name(F.col("file_path")),
+        "name_is_file": F.concat(F.col("out.path"), F.lit(suffix)) == base_name(F.col("file_path")),
         "name_is_url": F.col("out.path") == base_name(path),
         "name_date": date_of(F.col("out.path")) == partition_date,
         "url_date": url_date(path) == partition_date,

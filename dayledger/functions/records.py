@@ -8,27 +8,30 @@ from pyspark.sql import functions as F
 from dayledger.functions.names import blank_to_null
 
 LINE_WIDTH = 80
+# Fixed value: what may stand between a key and its value.
+GAP = r"(?:[ \t]+|[ \t]*\n    )"
 
 
 def parse_pointer(df: DataFrame, text_col: str = "value") -> DataFrame:
     """Replace the record text by typed columns.
 
     Keys are looked up by name over the whole text of their section, so their order and a URL
-    folded on to its own line do not matter. What a record lacks is NULL.
+    folded on to its own line do not matter. A value stands on the line of its key or, folded, on
+    the next one behind four spaces. What a record lacks, or leaves empty, is NULL.
     """
     text = F.col(text_col)
     source = F.regexp_extract(text, r"(?s)\ndeps:(.*?)(?=\nouts:|$)", 1)
     local = F.regexp_extract(text, r"(?s)\nouts:(.*)$", 1)
 
     def field(section: Column, key: str, shape: str = r"(\S+)") -> Column:
-        return blank_to_null(F.regexp_extract(section, rf"\n[- ] {key}:\s+{shape}", 1))
+        return blank_to_null(F.regexp_extract(section, rf"\n[- ] {key}:{GAP}{shape}", 1))
 
     def bytes_of(section: Column) -> Column:
         return field(section, "size").try_cast("bigint")
 
     return df.select(
         *[c for c in df.columns if c != text_col],
-        blank_to_null(F.regexp_extract(text, r"^md5:\s+(\S+)", 1)).alias("stage_md5"),
+        blank_to_null(F.regexp_extract(text, r"^md5:[ \t]+(\S+)", 1)).alias("stage_md5"),
         field_flag(text).alias("frozen"),
         F.struct(
             field(source, "checksum", r"'\"([^\"]*)\"'").alias("etag"),
@@ -48,7 +51,16 @@ def parse_pointer(df: DataFrame, text_col: str = "value") -> DataFrame:
 
 
 def field_flag(text: Column) -> Column:
-    return F.regexp_extract(text, r"\nfrozen:\s+(\S+)", 1).try_cast("boolean")
+    return F.regexp_extract(text, r"\nfrozen:[ \t]+(\S+)", 1).try_cast("boolean")
+
+
+def split_records(df: DataFrame, text_col: str = "value") -> DataFrame:
+    """One row per record of a text that holds any number of them, one after the other.
+
+    A record begins with its digest, the only key of that name at the start of a line.
+    """
+    starts = F.split(F.col(text_col), r"(?m)(?=^md5:)")
+    return df.withColumn(text_col, F.explode(starts))
 
 
 def render_pointer(df: DataFrame, text_col: str = "value") -> DataFrame:

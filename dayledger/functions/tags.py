@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRACE_TAG = r"^([0-9a-f]{1,15})-([0-9a-f]{1,15})$"
+# Fixed value: both parts fit a BIGINT.
+TRACE_TAG = r"^(0*[0-7]?[0-9a-f]{1,15})-(0*[0-7]?[0-9a-f]{1,15})$"
 
 
 def hex_value(text: Column) -> Column:

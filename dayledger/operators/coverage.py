@@ -83,10 +83,17 @@ def coverage_runs(df: DataFrame, date_col: str, keys: list[str]) -> DataFrame:
 
 
 def expected_minus_actual(
-    df: DataFrame, keys: list[str], kind: str, kinds: list[str]
+    df: DataFrame, keys: list[str], kind: str, kinds: list[str], days: DataFrame | None = None
 ) -> DataFrame:
-    """The kinds each recorded key (day) lacks."""
-    seen = has_kinds(df, keys, kind, kinds)
+    """The kinds each key (day) lacks: of the recorded ones, and of those in ``days`` if given.
+
+    An expected day without any record lacks every kind.
+    """
+    rows = df.select(*keys, kind)
+    if days is not None:
+        unseen = F.lit(None).cast(df.schema[kind].dataType).alias(kind)
+        rows = rows.unionByName(days.select(*keys, unseen))
+    seen = has_kinds(rows, keys, kind, kinds)
     lacking = [F.when(~F.col(f"__has_{i}"), k) for i, k in enumerate(kinds)]
     return seen.select(
         *keys, F.explode(F.array_compact(F.array(*lacking))).alias("missing_kind")

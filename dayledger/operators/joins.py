@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from dayledger.operators.keys import join_groups
 
+#: Label fields that may be wildcards, and the mark of a label row that could not be read whole.
+MOST_FIELDS = 8
+DAMAGED = "damaged"
+
 
 def verify_payloads(
     catalogue: DataFrame,
@@ -17,27 +21,47 @@ def verify_payloads(
     size: str = "size",
     digest: str = "md5",
 ) -> DataFrame:
-    """Status of every path on either side. A digest that is not known on both sides is not judged."""
-    expected = catalogue.select(
-        path, F.col(size).alias("expected_size"), F.col(digest).alias("expected_md5"),
-        F.lit(True).alias("expected"),
-    )
-    found = files.select(
-        path, F.col(size).alias("found_size"), F.col(digest).alias("found_md5"),
-        F.lit(True).alias("found"),
+    """Status of every path on either side. A digest that is not known on both sides is not judged.
+
+    A path that a side holds more than once is a ``duplicate`` with the least size of each side, one
+    row however often it is held. Rows without a path are judged side by side, not against each
+    other. Both sides are grouped together in one shuffle.
+    """
+    both = sided(
+        catalogue.select(path, F.col(size).alias("size"), F.col(digest).alias("md5")),
+        files.select(path, F.col(size).alias("size"), F.col(digest).alias("md5")),
+        [path], ["size", "md5"],
     )
     status = (
-        F.when(F.col("found").isNull(), "missing")
-        .when(F.col("expected").isNull(), "untracked")
-        .when(~F.col("expected_size").eqNullSafe(F.col("found_size")), "size_mismatch")
-        .when(F.col("expected_md5") != F.col("found_md5"), "md5_mismatch")
+        F.when((F.col("n_left") > 1) | (F.col("n_right") > 1), "duplicate")
+        .when(F.col("n_right") == 0, "missing")
+        .when(F.col("n_left") == 0, "untracked")
+        .when(~F.col("left_size").eqNullSafe(F.col("right_size")), "size_mismatch")
+        .when(F.col("left_md5") != F.col("right_md5"), "md5_mismatch")
         .otherwise("ok")
     )
-    return expected.join(found, path, "full_outer").select(
-        path, status.alias("status"), "expected_size", "found_size"
+    return both.select(
+        path, status.alias("status"), F.col("left_size").alias("expected_size"),
+        F.col("right_size").alias("found_size"),
     )
 
 
+def sided(left: DataFrame, right: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """One row per key: its rows on each side (n_left, n_right) and the least of each column there.
+
+    Rows whose key holds a NULL meet only rows of their own side.
+    """
+    nobody = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+    rows = left.select(*key, *columns, F.lit("left").alias("__side")).unionByName(
+        right.select(*key, *columns, F.lit("right").alias("__side"))
+    )
+    sides = ("left", "right")
+    return rows.groupBy(*key, F.when(nobody, F.col("__side")).alias("__apart")).agg(
+        *[F.count_if(F.col("__side") == s).alias(f"n_{s}") for s in sides],
+        *[F.min(F.when(F.col("__side") == s, F.col(c))).alias(f"{s}_{c}") for c in columns for s in sides],
+    ).drop("__apart")
+
+
 def companions(
     df: DataFrame,
     keys: list[str],
@@ -86,24 +110,26 @@ def lacking(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 def snapshot_diff(
     old: DataFrame, new: DataFrame, key: list[str], compare: list[str]
 ) -> DataFrame:
-    """Keys as added, removed, changed or unchanged, with the compared columns of both sides."""
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(
-            *key, *[F.col(c).alias(f"{name}_{c}") for c in compare], F.lit(True).alias(name)
-        )
+    """Keys as added, removed, changed or unchanged, with the compared columns of both sides.
 
+    A key that a side holds more than once is a ``duplicate``, one row with the least values of each
+    side. Keys that hold a NULL are judged side by side.
+    """
     same = reduce(
         lambda a, b: a & b,
-        [F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in compare],
+        [F.col(f"left_{c}").eqNullSafe(F.col(f"right_{c}")) for c in compare],
     )
     status = (
-        F.when(F.col("old").isNull(), "added")
-        .when(F.col("new").isNull(), "removed")
+        F.when((F.col("n_left") > 1) | (F.col("n_right") > 1), "duplicate")
+        .when(F.col("n_left") == 0, "added")
+        .when(F.col("n_right") == 0, "removed")
         .when(same, "unchanged")
         .otherwise("changed")
     )
-    return side(old, "old").join(side(new, "new"), key, "full_outer").select(
-        *key, status.alias("status"), *[f"{s}_{c}" for c in compare for s in ("old", "new")]
+    return sided(old, new, key, compare).select(
+        *key, status.alias("status"),
+        *[F.col(f"{s}_{c}").alias(f"{name}_{c}") for c in compare
+          for s, name in (("left", "old"), ("right", "new"))],
     )
 
 
@@ -140,27 +166,30 @@ def match_labels(
     """Every pair of a flow row and a label row that agree on ``on`` and on all set label fields.
 
     ``fields`` maps flow columns to label columns; a NULL label field matches any value. A label's
-    pattern is the list of its set fields. Flow rows are read once, repeated for the patterns that
-    occur (at most two to the number of fields) with the other fields blanked, and then meet the
-    labels in one equi join.
+    pattern is the list of its set fields. Each flow row is repeated for the patterns that the labels
+    of its key have (at most two to the number of fields) with the other fields blanked, and then
+    meets the labels in an equi join. Labels that reading has marked as ``damaged`` match nothing:
+    a field that could not be read is no wildcard.
     """
     if not on:
         raise ValueError("labels without a common key would match every row")
+    if len(fields) > MOST_FIELDS:
+        raise ValueError(f"a flow row may be repeated for every pattern of at most {MOST_FIELDS} fields")
+    if DAMAGED in labels.columns:
+        labels = labels.where(~F.coalesce(F.col(DAMAGED), F.lit(False))).drop(DAMAGED)
     pattern = F.concat(*[
         F.when(F.col(c).isNotNull(), "1").otherwise("0") for c in fields.values()
     ])
     marked = labels.withColumn("__pattern", pattern)
-    patterns = sorted(r[0] for r in marked.select("__pattern").distinct().collect())
-    if not patterns:
-        patterns = ["0" * len(fields)]
+    occurring = marked.dropna(subset=on).groupBy(*on).agg(F.collect_set("__pattern").alias("__patterns"))
 
     masks = {
         f"__{c}": F.when(F.substring("__pattern", i, 1) == "1", F.col(c))
         for i, c in enumerate(fields, start=1)
     }
-    repeated = flows.withColumn(
-        "__pattern", F.explode(F.array(*[F.lit(p) for p in patterns]))
-    ).withColumns(masks)
+    repeated = join_groups(flows, occurring, on).withColumn(
+        "__pattern", F.explode("__patterns")
+    ).drop("__patterns").withColumns(masks)
     # A set label field cannot match a flow row that lacks the value.
     complete = reduce(
         lambda a, b: a & b,

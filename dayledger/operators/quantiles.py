@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayledger.operators.keys import join_groups
-from dayledger.operators.slices import ROWS_PER_SLICE, cut_points, with_slice
+from dayledger.operators.slices import sliced
 from dayledger.session import kept
 
 
@@ -22,29 +22,17 @@ def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return values.agg(F.count("*").alias("__n"))
 
 
-def placed_in_one(counted: DataFrame, by: list[str]) -> DataFrame:
-    """Counted values with ``__start``, the rank of the first row of a value in its group."""
-    group, ordered = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("__v")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    return counted.withColumns({
-        "__start": F.sum("__n").over(upto) - F.col("__n"),
-        "n_rows": F.sum("__n").over(group),
-        "min_value": F.min("__v").over(group),
-        "max_value": F.max("__v").over(group),
-    })
-
-
 def placed_in_slices(
-    counted: DataFrame, by: list[str], cuts: list[dict], wanted: Callable[[Column, Column], Column]
+    rows: DataFrame, by: list[str], wanted: Callable[[Column, Column], Column]
 ) -> DataFrame:
-    """The same for the slices that hold a ``wanted`` rank.
+    """The rows of the slices that hold a ``wanted`` rank, with ``__start``, the rank of the first
+    row of a value in its group.
 
     Totals per group and slice tell where each slice starts; no other slice is ordered.
     """
-    sliced = with_slice(counted, ["__v"], cuts)
     ordered, group = Window.partitionBy(*by).orderBy("__slice"), Window.partitionBy(*by)
     pieces = (
-        sliced.groupBy(*by, "__slice")
+        rows.groupBy(*by, "__slice")
         .agg(F.sum("__n").alias("__rows"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
         .select(
             *by, "__slice", "__rows",
@@ -58,18 +46,15 @@ def placed_in_slices(
     inside = Window.partitionBy(*by, "__slice").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    return join_groups(sliced, pieces, [*by, "__slice"]).withColumn(
+    return join_groups(rows, pieces, [*by, "__slice"]).withColumn(
         "__start", F.col("__below") + F.sum("__n").over(inside) - F.col("__n")
     )
 
 
 def quantiles_of_counts(
-    counted: DataFrame, by: list[str], fractions: dict[str, float], rows_per_slice: int | None
+    counted: DataFrame, by: list[str], fractions: dict[str, float], slices: int | None = None
 ) -> DataFrame:
-    """Count, minimum, maximum and interpolated quantiles of counted values.
-
-    ``rows_per_slice`` is None for values that are known to be few.
-    """
+    """Count, minimum, maximum and interpolated quantiles of counted values."""
     def position(p: float) -> Column:
         return F.lit(p) * (F.col("n_rows") - 1)
 
@@ -80,8 +65,7 @@ def quantiles_of_counts(
         ranks = [f(position(p)) for p in fractions.values() for f in (F.floor, F.ceil)]
         return reduce(lambda a, b: a | b, [holds(rank, start, rows) for rank in ranks])
 
-    cuts = cut_points(counted, ["__v"], rows_per_slice) if rows_per_slice else []
-    placed = placed_in_slices(counted, by, cuts, wanted) if cuts else placed_in_one(counted, by)
+    placed = placed_in_slices(sliced(counted, ["__v"], slices), by, wanted)
 
     def at(rank: Column) -> Column:
         return F.max(F.when(holds(rank, F.col("__start"), F.col("__n")), F.col("__v")))
@@ -110,7 +94,7 @@ def size_distribution(
     value: str,
     exact: bool = True,
     accuracy: int = 10_000,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Count, minimum, quartiles, 99th percentile and maximum of the non-NULL values per group.
 
@@ -119,10 +103,7 @@ def size_distribution(
     """
     fractions = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
     if exact:
-        counted = counted_values(df, by, value)
-        if df.count() <= rows_per_slice:
-            return quantiles_of_counts(counted, by, fractions, None)
-        return quantiles_of_counts(kept(counted, "values"), by, fractions, rows_per_slice)
+        return quantiles_of_counts(counted_values(df, by, value), by, fractions, slices)
     return df.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.count("*").alias("n_rows"),
         F.min(value).alias("min_value"),
@@ -132,36 +113,32 @@ def size_distribution(
 
 
 def robust_outliers(
-    df: DataFrame, by: list[str], value: str, k: float = 3.5, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, by: list[str], value: str, k: float = 3.5, slices: int | None = None
 ) -> DataFrame:
     """Rows further from their group's median than ``k`` scaled median absolute deviations.
 
-    The input is read twice: to count its values and to pick the outliers. Medians and deviations
-    come from the counted values. Beyond one slice of rows the tables in between are written: each
-    is needed more than once, and the planner broadcasts a table of medians only if it is small.
+    Without ``by`` all rows are one group. The input is read twice: to count its values and to pick
+    the outliers. Medians and deviations come from the counted values. The tables in between are
+    written: each is needed more than once, and the planner broadcasts a table of medians only if it
+    is small.
     """
     if not by:
-        raise ValueError("name at least one grouping column")
-    few = df.count() <= rows_per_slice
-    slicing = None if few else rows_per_slice
-
-    def table(part: DataFrame, name: str) -> DataFrame:
-        return part if few else kept(part, name)
-
-    counted = table(counted_values(df, by, value), "values")
-    medians = table(
-        quantiles_of_counts(counted, by, {"median": 0.5}, slicing).select(*by, "median"), "medians"
+        whole = df.withColumn("__all", F.lit(0))
+        return robust_outliers(whole, ["__all"], value, k, slices).drop("__all")
+    counted = kept(counted_values(df, by, value), "values")
+    medians = kept(
+        quantiles_of_counts(counted, by, {"median": 0.5}, slices).select(*by, "median"), "medians"
     )
     # Two values may share a deviation; they stay two rows, so that no grouping follows this join
     # and a hot group can be split in it.
-    deviations = table(
+    deviations = kept(
         join_groups(counted, medians, by).select(
             *by, "median", F.abs(F.col("__v") - F.col("median")).alias("__v"), "__n"
         ),
         "deviations",
     )
-    spreads = table(
-        quantiles_of_counts(deviations, [*by, "median"], {"mad": 0.5}, slicing)
+    spreads = kept(
+        quantiles_of_counts(deviations, [*by, "median"], {"mad": 0.5}, slices)
         .select(*by, "median", "mad"),
         "spreads",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayledger.operators.slices import ROWS_PER_SLICE, cut_points, with_slice
+from dayledger.operators.slices import sliced
 from dayledger.session import kept
 
 
@@ -14,16 +14,15 @@ def transitions(
     keys: list[str],
     order: list[str],
     value: str,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Rows whose value differs from the row before, with that ``previous`` value.
 
-    ``order`` should end in a unique column. A key with many rows is worked in slices. One window
-    finds the changes inside a slice and the slice's first and last row; these rows are written,
+    ``order`` should end in a unique column. Rows are worked in slices of the order, whatever their
+    number. One window finds the changes inside a slice and the slice's first and last row; these rows are written,
     and a second window over the first and last rows alone, two per key and slice, finds the changes
     from slice to slice.
     """
-    cuts = cut_points(df, order, rows_per_slice)
     box = F.struct(F.col(value).alias("v"))
     line = Window.partitionBy(*keys, "__slice").orderBy(*order)
     changed = F.col("__before").isNotNull() & ~F.col("__before.v").eqNullSafe(F.col(value))
@@ -32,10 +31,9 @@ def transitions(
     def result(marked: DataFrame) -> DataFrame:
         return marked.where(changed).select(*df.columns, F.col("__before.v").alias("previous"))
 
-    marked = with_slice(df, order, cuts).withColumn("__before", F.lag(box).over(line))
-    if not cuts:
-        return result(marked)
-    marked = marked.withColumn("__last", F.lead(box).over(line).isNull())
+    marked = sliced(df, order, slices).withColumns({
+        "__before": F.lag(box).over(line), "__last": F.lead(box).over(line).isNull(),
+    })
     written = kept(marked.where(changed | first | F.col("__last")), "changes")
     ends = Window.partitionBy(*keys).orderBy("__slice", *order)
     seams = (
@@ -71,7 +69,7 @@ def rolling(
 def growth(
     df: DataFrame, period: Column, total: Column, keys: list[str] | None = None
 ) -> DataFrame:
-    """Total per period, with the change from the period before."""
+    """Total per period, with the change from the recorded period before."""
     keys = keys or []
     ordered = Window.partitionBy(*keys).orderBy("period")
     before = F.lag("total").over(ordered)
@@ -82,41 +80,39 @@ def growth(
 
 
 def running_total(
-    df: DataFrame, order: list[str], size: str, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, order: list[str], size: str, slices: int | None = None
 ) -> DataFrame:
     """Add ``running``, the total of ``size`` up to and with the row, over the whole table.
 
-    Two passes instead of one task: totals of the slices first (at most a few thousand rows), then
-    a running total inside each slice on top of the slices before it.
+    Two passes instead of one task: totals of the slices first (one row each), then a running total
+    inside each slice on top of the slices before it. A NULL size counts as 0.
     """
-    cuts = cut_points(df, order, rows_per_slice)
-    sliced = with_slice(df, order, cuts)
-    inside = F.sum(size).over(Window.partitionBy("__slice").orderBy(*order).rowsBetween(
+    rows = sliced(df, order, slices)
+    sized = F.coalesce(F.col(size), F.lit(0))
+    inside = F.sum(sized).over(Window.partitionBy("__slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0
     ))
-    if not cuts:
-        return sliced.withColumn("running", inside).drop("__slice")
     earlier = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy("__slice").agg(F.sum(size).alias("__total"))
+        rows.groupBy("__slice").agg(F.sum(sized).alias("__total"))
         .select("__slice", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__offset"))
     )
-    # At most MAX_SLICES rows of two numbers, so the broadcast has a fixed bound.
     return (
-        sliced.withColumn("__inside", inside)
-        .join(F.broadcast(offsets), "__slice")
+        rows.withColumn("__inside", inside)
+        .join(offsets, "__slice")
         .withColumn("running", F.col("__offset") + F.col("__inside"))
         .drop("__slice", "__inside", "__offset")
     )
 
 
 def byte_bins(
-    df: DataFrame, order: list[str], size: str, budget: int, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, order: list[str], size: str, budget: int, slices: int | None = None
 ) -> DataFrame:
     """Number contiguous transfer batches of about ``budget`` bytes, by where each row starts."""
+    start = F.col("running") - F.coalesce(F.col(size), F.lit(0))
     return (
-        running_total(df, order, size, rows_per_slice)
-        .withColumn("bin", F.call_function("div", F.col("running") - F.col(size), F.lit(budget)))
+        running_total(df, order, size, slices)
+        .withColumn("bin", F.call_function("div", start, F.lit(budget)))
         .drop("running")
     )
 

@@ -1,63 +1,26 @@
 """Contiguous slices of an order, the unit in which hot groups are split.
 
 A window over a group runs in one task. Operators that need a running total or the row before
-therefore cut each group along the order, work inside a slice, and carry one small row per group
-and slice from each slice to the next. The cut points are literals, so every branch of a plan and
-every retried task sees the same slices.
+therefore cut the order into slices, work inside a slice, and carry one small row per group and slice
+from each slice to the next. Slices are the partitions of Spark's range partitioner, written once to
+the shared folder with their number, so that every branch of a plan and every retried task sees the
+same ones.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 4096
-SAMPLED_PER_SLICE = 20
-AS_TEXT = (T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
-
 
-def cut_points(df: DataFrame, order: list[str], rows_per_slice: int) -> list[dict]:
-    """Cut points that divide ``df`` about evenly along ``order``; none where one slice will do.
-
-    The sample only decides how even the slices are. It holds some ``SAMPLED_PER_SLICE`` rows per
-    slice, so at most about 80,000 short rows reach the driver.
-    """
-    narrow = df.select(*order)
-    rows = narrow.count()
-    slices = min(MAX_SLICES, -(-rows // rows_per_slice))
-    if slices <= 1:
-        return []
-    written = [
-        F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, AS_TEXT) else f.name
-        for f in narrow.schema
-    ]
-    fraction = min(1.0, slices * SAMPLED_PER_SLICE / rows)
-    sampled = [
-        r.asDict() for r in narrow.sample(fraction, seed=11).orderBy(*order).select(*written).collect()
-    ]
-    return [sampled[len(sampled) * i // slices] for i in range(1, slices)] if sampled else []
+from dayledger.session import kept
 
 
-def with_slice(df: DataFrame, order: list[str], cuts: list[dict]) -> DataFrame:
-    """Add ``__slice``, how many cut points lie at or below the row, by binary search.
+def sliced(df: DataFrame, order: list[str], slices: int | None = None) -> DataFrame:
+    """``df`` as a stored table with ``__slice``; later rows of ``order`` have no lower number.
 
-    The cut points are one literal, sorted by Spark's own ordering. Each halving is a projection of
-    its own, so that all of them compile into one loop body; a lambda over the cut points would be
-    interpreted row by row.
+    ``slices`` is their number, by default that of shuffle partitions; size it as those, so that a
+    slice fits a task. Rows that are equal in ``order`` share a slice: end ``order`` in a unique
+    column.
     """
-    if not cuts:
-        return df.withColumn("__slice", F.lit(0))
-    kinds = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
-    points = F.sort_array(F.from_json(F.lit(json.dumps(cuts)), T.ArrayType(kinds)))
-    found = df.withColumns({"__points": points, "__row": F.struct(*order), "__slice": F.lit(0)})
-    for power in reversed(range(len(cuts).bit_length())):
-        stride = 1 << power
-        beyond = F.get("__points", F.col("__slice") + (stride - 1)) <= F.col("__row")
-        found = found.withColumn(
-            "__slice", F.when(beyond, F.col("__slice") + stride).otherwise(F.col("__slice"))
-        )
-    return found.drop("__points", "__row")
+    dealt = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
+    return kept(dealt.withColumn("__slice", F.spark_partition_id()), "slices")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayledger.operators.keys import join_groups
@@ -72,16 +72,22 @@ def cardinality(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame
 def extremes(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
     """Smallest and largest record per group; the lower key wins a tie.
 
-    Records shrink to the lowest key per group and value first, so any type of key can break ties
-    and both steps combine on the map side.
+    The smallest is the least pair of value and key, the largest the first row by value from above
+    and key; both leave one row per group and task to shuffle.
     """
-    ends = df.groupBy(*by, value).agg(F.min(key).alias("__key"))
-    return ends.groupBy(*by).agg(
-        F.min(value).alias("min_value"),
-        F.min_by("__key", value).alias("min_key"),
-        F.max(value).alias("max_value"),
-        F.max_by("__key", value).alias("max_key"),
+    if not by:
+        whole = df.select(value, key, F.lit(0).alias("__all"))
+        return extremes(whole, ["__all"], value, key).drop("__all")
+    valued = F.col(value).isNotNull()
+    least = F.min(F.when(valued, F.struct(F.col(value).alias("v"), F.col(key).alias("k"))))
+    smallest = df.groupBy(*by).agg(least.alias("__min"))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), F.asc(key)))
+    largest = df.where(valued).select(*by, value, key).withColumn("__rank", first).where("__rank = 1")
+    largest = largest.select(*by, F.col(value).alias("max_value"), F.col(key).alias("max_key"))
+    ends = smallest.select(
+        *by, F.col("__min.v").alias("min_value"), F.col("__min.k").alias("min_key")
     )
+    return join_groups(ends, largest, by, "left")
 
 
 def label_profile(

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayledger.functions.names import KINDS
 from dayledger.operators import coverage, joins, volume
-from dayledger.sources.pointers import in_range
+from dayledger.sources.pointers import SUFFIX, in_range, without_suffix
+
+# Fixed value: the scheme and the authority of a URI.
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
 def day_report(
@@ -17,7 +21,7 @@ def day_report(
 ) -> DataFrame:
     """Every calendar day of the range: number of files, their bytes and the kinds it lacks."""
     kinds = kinds or KINDS
-    has = [F.bool_or(F.col("kind") == k) for k in kinds]
+    has = [F.coalesce(F.bool_or(F.col("kind") == k), F.lit(False)) for k in kinds]
     per_day = (
         in_range(records, start, end)
         .groupBy("capture_date")
@@ -36,20 +40,35 @@ def day_report(
     return per_day.unionByName(absent)
 
 
-def verify_archive(records: DataFrame, files: DataFrame) -> DataFrame:
-    """Status of every recorded payload and every file, matched by their path from ``year=`` on.
+def below(path: Column, root: str) -> Column:
+    """A path relative to a root, whatever their schemes; the full path if it lies elsewhere."""
+    bare = F.regexp_replace(path, SCHEME, "")
+    top = re.sub(SCHEME, "", root).rstrip("/") + "/"
+    inside = F.startswith(bare, F.lit(top))
+    return F.when(inside, F.substring(bare, len(top) + 1, 2**31 - 1)).otherwise(bare)
+
+
+def verify_archive(
+    records: DataFrame, files: DataFrame, records_root: str, files_root: str, suffix: str = SUFFIX
+) -> DataFrame:
+    """Status of every recorded payload and every file, matched by their paths below their roots.
 
-    ``files`` is an inventory, with an ``md5`` column once digests are computed.
+    A record in a file of its own stands for the payload of that name; one of many in a file for the
+    payload it names, in the same folder. ``files`` is an inventory, with an ``md5`` column once
+    digests are computed.
     """
-    placed = r"(year=.*)$"
+    own = without_suffix(F.col("file_path"), suffix)
+    named = F.endswith(own, F.concat(F.lit("/"), F.col("out.path")))
+    beside = F.concat(F.regexp_extract("file_path", r"^(.*/)[^/]*$", 1), F.col("out.path"))
+    many = F.regexp_extract("file_path", r"/(part-[^/]*)$", 1) != ""
     recorded = records.select(
-        F.regexp_extract(F.regexp_replace("file_path", r"\.dvc$", ""), placed, 1).alias("path"),
+        below(F.when(many & ~named, beside).otherwise(own), records_root).alias("path"),
         F.col("out.size").alias("size"),
         F.col("out.md5").alias("md5"),
     )
     digest = F.col("md5") if "md5" in files.columns else F.lit(None).cast("string")
     found = files.select(
-        F.regexp_extract("path", placed, 1).alias("path"),
+        below(F.col("path"), files_root).alias("path"),
         F.col("length").alias("size"),
         digest.alias("md5"),
     )

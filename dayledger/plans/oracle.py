@@ -20,25 +20,93 @@ doc_bytes AS (
   FROM doc_fields
 )"""
 
-# One record per month of orders.
-ORDER_RECORDS = """
-WITH totals AS (
-  SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS day, count(*) AS n,
+# One record per month of orders and priority.
+ORDER_RECORDS = r"""
+totals AS (
+  SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS day, o_orderpriority AS priority, count(*) AS n,
          CAST(sum(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) * 100 AS BIGINT)) AS BIGINT) AS size
-  FROM orders GROUP BY 1)
-SELECT day AS capture_date, TRUE AS stage_ok, CAST(n AS VARCHAR) AS etag,
-       concat('http://example.org/v1/', strftime(day, '%Y/%m/%d/%Y%m%d'), '_notice.csv') AS url,
-       concat(strftime(day, '%Y%m%d'), '_notice.csv') AS path,
-       md5(CAST(size AS VARCHAR)) AS md5, size
-FROM totals"""
+  FROM orders GROUP BY ALL
+), kinds AS (
+  SELECT *, strftime(day, '%Y%m%d') AS digits,
+         CASE priority WHEN '1-URGENT' THEN 'notice_csv' WHEN '2-HIGH' THEN 'notice_xml'
+              WHEN '3-MEDIUM' THEN 'anomalous_csv' WHEN '4-NOT SPECIFIED' THEN 'anomalous_xml'
+              ELSE 'trace' END AS kind
+  FROM totals
+), named AS (
+  SELECT *, CASE WHEN kind <> 'trace' THEN split_part(kind, '_', 2) WHEN year(day) < 1996 THEN 'dump'
+                 ELSE 'pcap' END AS format,
+         concat(digits, CASE kind WHEN 'notice_csv' THEN '_notice.csv' WHEN 'notice_xml' THEN '_notice.xml'
+           WHEN 'anomalous_csv' THEN '_anomalous_suspicious.csv'
+           WHEN 'anomalous_xml' THEN '_anomalous_suspicious.xml'
+           ELSE CASE WHEN year(day) < 1996 THEN '1400.dump.gz' ELSE '1400.pcap.gz' END END) AS path
+  FROM kinds
+), filed AS (
+  SELECT *, md5(CAST(size AS VARCHAR)) AS md5,
+         CASE kind WHEN 'trace' THEN concat(format('{:x}', size), '-', format('{:x}', n))
+              ELSE CAST(n AS VARCHAR) END AS etag,
+         CASE kind WHEN 'trace' THEN concat('http://traces.example.net/point/', strftime(day, '%Y/'), path)
+              ELSE concat('http://labels.example.org/records/v1.1/', strftime(day, '%Y/%m/%d/'), path)
+              END AS url
+  FROM named
+), flat AS (
+  SELECT day AS capture_date, kind, format, TRUE AS frozen, 1 AS n_deps, 1 AS n_outs, TRUE AS stage_ok,
+         etag, url, size AS dep_size, path, md5, size,
+         CASE kind WHEN 'trace' THEN size END AS tag_size,
+         CASE kind WHEN 'trace' THEN make_timestamp(n) END AS tag_modified
+  FROM filed
+)"""
+
+# The text of every such record, and of the days they make.
+ORDER_DAYS = ORDER_RECORDS + r""",
+texts AS (
+  SELECT day, concat('md5: ', md5(concat('{"deps": [{"checksum": "\"', etag, '\"", "hash": "md5", "path": "',
+           url, '"}], "outs": [{"hash": "md5", "md5": "', md5, '", "path": "', path, '"}]}')), chr(10),
+         'frozen: true', chr(10), 'deps:', chr(10), '- checksum: ''"', etag, '"''', chr(10),
+         '  size: ', size, chr(10), '  hash: md5', chr(10), '  path: ',
+         CASE WHEN length(url) > 72 THEN concat(chr(10), '    ') ELSE '' END, url, chr(10), 'outs:', chr(10),
+         CASE kind WHEN 'trace' THEN concat('- md5: ', md5, chr(10), '  size: ', size, chr(10),
+                '  hash: md5', chr(10), '  path: ', path, chr(10))
+              ELSE concat('- hash: md5', chr(10), '  path: ', path, chr(10), '  md5: ', md5, chr(10),
+                '  size: ', size, chr(10)) END) AS value
+  FROM filed
+), days AS (
+  SELECT day, concat(string_agg(value, '' ORDER BY value), chr(10)) AS value FROM texts GROUP BY day
+)"""
 
 EVENT_DAYS = "event_days AS (SELECT *, CAST(ts AS DATE) AS day FROM events)"
 USER_DAYS = "user_days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)"
 
 SQL = {
-    "scan_records": ORDER_RECORDS,
-    "load_records": f"{ORDER_RECORDS} WHERE day BETWEEN DATE '1996-11-15' AND DATE '1998-02-14'",
-    "stream_records": ORDER_RECORDS,
+    "scan_records": f"""
+WITH {ORDER_RECORDS}
+SELECT 'v1.1' AS version, * FROM flat
+UNION ALL SELECT 'v1.0', * FROM flat WHERE year(capture_date) <= 1996""",
+    "load_records": f"""
+WITH {ORDER_RECORDS}
+SELECT 'v1.1' AS version, * FROM flat
+WHERE capture_date BETWEEN DATE '1995-11-15' AND DATE '1997-02-14'
+  AND kind IN ('notice_csv', 'anomalous_xml', 'trace')""",
+    "stream_records": f"WITH {ORDER_RECORDS} SELECT 'v1.1' AS version, * FROM flat",
+    "payload_inventory": f"""
+WITH {ORDER_DAYS} SELECT day, CAST(octet_length(encode(value)) AS BIGINT) AS length FROM days""",
+    "payload_digests": f"""
+WITH {ORDER_DAYS}
+SELECT day, CAST(octet_length(encode(value)) AS BIGINT) AS length, md5(value) AS md5 FROM days""",
+    "record_violations": f"""
+WITH {ORDER_RECORDS}, faults AS (
+  SELECT path, kind = 'trace' AS is_trace,
+         CAST((year(day) * 12 + month(day) + CAST(substr(priority, 1, 1) AS INTEGER)) % 13 AS INTEGER) AS fault
+  FROM filed
+), broken AS (
+  SELECT path, fault, unnest(CASE fault
+    WHEN 1 THEN ['frozen'] WHEN 2 THEN ['hash_name'] WHEN 3 THEN ['digest_shape']
+    WHEN 4 THEN ['one_dep_one_out'] WHEN 5 THEN ['sizes_agree'] WHEN 6 THEN ['name_is_file']
+    WHEN 7 THEN ['name_is_url'] WHEN 8 THEN ['name_date', 'url_date'] WHEN 9 THEN ['url_date']
+    WHEN 10 THEN CASE WHEN is_trace THEN ['size_positive', 'tag_size'] ELSE ['size_positive'] END
+    WHEN 11 THEN CASE WHEN is_trace THEN ['tag_size'] ELSE [] END
+    WHEN 12 THEN ['name_date', 'url_date', 'calendar_date'] ELSE [] END) AS rule
+  FROM faults)
+SELECT path, fault, rule FROM broken""",
     "content_digest": """
 SELECT doc_id, md5(text) AS md5, CAST(octet_length(encode(text)) AS INTEGER) AS n_bytes
 FROM documents""",
@@ -101,7 +169,9 @@ WITH parts AS (
          nullif(regexp_extract(url, '\?([^#]*)', 1), '') AS url_query,
          nullif(regexp_extract(url, '#(.*)$', 1), '') AS url_fragment
   FROM pages)
-SELECT *, nullif(regexp_extract(url_path, '([^/]*)$', 1), '') AS url_name FROM parts""",
+SELECT *, nullif(regexp_extract(url_path, '([^/]*)$', 1), '') AS url_name,
+       TRY_CAST(replace(regexp_extract(url_path, '/(\d{4}/\d{2}/\d{2})/', 1), '/', '-') AS DATE) AS url_date
+FROM parts""",
     "hex_decode": """
 SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS tag_size,
        make_timestamp(CAST(concat('0x', substr(md5(text), 1, 12)) AS BIGINT)) AS tag_modified
@@ -116,6 +186,10 @@ WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01'""",
     "orders_catalogue": """
 SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_orderdate AS DATE) AS capture_date,
        o_orderpriority AS kind, o_orderkey AS file_path
+FROM orders""",
+    "orders_catalogue_range": """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_orderdate AS DATE) AS capture_date,
+       o_orderpriority AS kind, o_orderkey AS file_path
 FROM orders WHERE o_orderdate >= DATE '1995-03-01' AND o_orderdate < DATE '1997-03-01'""",
     "labels_csv": """
 SELECT CAST(l_orderkey AS INTEGER) AS "anomalyID", concat('10.0.0.', l_suppkey) AS "srcIP",
@@ -123,9 +197,20 @@ SELECT CAST(l_orderkey AS INTEGER) AS "anomalyID", concat('10.0.0.', l_suppkey)
        CASE WHEN l_returnflag <> 'N' THEN concat('10.1.0.', l_suppkey) END AS "dstIP",
        CASE WHEN l_returnflag <> 'N' THEN CAST(l_partkey AS INTEGER) END AS "dstPort",
        l_returnflag AS taxonomy, CAST(l_quantity AS INTEGER) AS heuristic, l_discount AS distance,
-       l_linenumber AS "nbDetectors", l_linestatus AS label
+       l_linenumber AS "nbDetectors", l_linestatus AS label, CAST(NULL AS DATE) AS capture_date,
+       CAST(NULL AS VARCHAR) AS file_kind, FALSE AS damaged
 FROM lineitem""",
-    "labels_xml": "SELECT doc_id, quality, toxic FROM labels",
+    "labels_damaged": """
+SELECT CAST(l_orderkey AS INTEGER) AS "order", l_linenumber AS line, 'matched' AS what
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE l_linenumber <> 4 AND l_linestatus = o_orderstatus
+  AND (l_returnflag = 'R' OR l_linenumber = o_custkey % 7)
+UNION ALL
+SELECT CAST(l_orderkey AS INTEGER), l_linenumber, 'damaged' FROM lineitem WHERE l_linenumber = 4""",
+    "labels_xml": """
+SELECT doc_id, quality, toxic, CAST(NULL AS DATE) AS capture_date, CAST(NULL AS VARCHAR) AS file_kind,
+       FALSE AS damaged
+FROM labels""",
     "verify_join": """
 WITH recorded AS (
   SELECT doc_id, CAST(octet_length(encode(text)) AS INTEGER) AS size, md5(text) AS md5
@@ -137,15 +222,24 @@ WITH recorded AS (
                         ELSE d.text END AS text
   FROM documents d JOIN first_copy f ON f.doc_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id
   UNION ALL SELECT -1 - item_id, text FROM benchmark
-), found AS (
-  SELECT doc_id, CAST(octet_length(encode(text)) AS INTEGER) AS size, md5(text) AS md5 FROM mirror
-)
-SELECT coalesce(r.doc_id, f.doc_id) AS doc_id,
-       CASE WHEN f.doc_id IS NULL THEN 'missing' WHEN r.doc_id IS NULL THEN 'untracked'
-            WHEN r.size <> f.size THEN 'size_mismatch' WHEN r.md5 <> f.md5 THEN 'md5_mismatch'
-            ELSE 'ok' END AS status,
-       r.size AS expected_size, f.size AS found_size
-FROM recorded r FULL OUTER JOIN found f ON r.doc_id = f.doc_id""",
+), sides AS (
+  SELECT source || '/' || n_chars AS path, r.size, r.md5, TRUE AS recorded
+  FROM recorded r JOIN documents d ON d.doc_id = r.doc_id
+  UNION ALL
+  SELECT coalesce(source || '/' || n_chars, CAST(m.doc_id AS VARCHAR)),
+         CAST(octet_length(encode(m.text)) AS INTEGER), md5(m.text), FALSE
+  FROM mirror m LEFT JOIN documents d ON d.doc_id = m.doc_id
+), paths AS (
+  SELECT path, count(*) FILTER (recorded) AS n_recorded, count(*) FILTER (NOT recorded) AS n_found,
+         min(size) FILTER (recorded) AS expected_size, min(size) FILTER (NOT recorded) AS found_size,
+         min(md5) FILTER (recorded) AS expected_md5, min(md5) FILTER (NOT recorded) AS found_md5
+  FROM sides GROUP BY path)
+SELECT path,
+       CASE WHEN n_recorded > 1 OR n_found > 1 THEN 'duplicate' WHEN n_found = 0 THEN 'missing'
+            WHEN n_recorded = 0 THEN 'untracked' WHEN expected_size <> found_size THEN 'size_mismatch'
+            WHEN expected_md5 <> found_md5 THEN 'md5_mismatch' ELSE 'ok' END AS status,
+       expected_size, found_size
+FROM paths""",
     "labelled_docs": """
 SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""",
     "unlabelled_docs": """
@@ -162,12 +256,21 @@ UNION ALL SELECT *, 'right_only' FROM (SELECT * FROM e EXCEPT SELECT * FROM p)""
 WITH derived AS (
   SELECT l_orderkey, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) ELSE 'P' END
          AS state
-  FROM lineitem GROUP BY l_orderkey)
-SELECT coalesce(o_orderkey, l_orderkey) AS orderkey,
-       CASE WHEN o_orderkey IS NULL THEN 'added' WHEN l_orderkey IS NULL THEN 'removed'
-            WHEN o_orderstatus IS NOT DISTINCT FROM state THEN 'unchanged' ELSE 'changed' END AS status,
-       o_orderstatus AS old_state, state AS new_state
-FROM orders FULL OUTER JOIN derived ON o_orderkey = l_orderkey""",
+  FROM lineitem GROUP BY l_orderkey
+), sides AS (
+  SELECT o_custkey, o_orderdate, o_orderstatus AS state, TRUE AS on_record FROM orders
+  UNION ALL SELECT o_custkey, o_orderdate, state, FALSE FROM derived JOIN orders ON o_orderkey = l_orderkey
+), months AS (
+  SELECT o_custkey AS custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+         count(*) FILTER (on_record) AS n_old, count(*) FILTER (NOT on_record) AS n_new,
+         min(state) FILTER (on_record) AS old_state, min(state) FILTER (NOT on_record) AS new_state
+  FROM sides GROUP BY 1, 2)
+SELECT custkey, month,
+       CASE WHEN n_old > 1 OR n_new > 1 THEN 'duplicate' WHEN n_old = 0 THEN 'added'
+            WHEN n_new = 0 THEN 'removed' WHEN old_state IS NOT DISTINCT FROM new_state THEN 'unchanged'
+            ELSE 'changed' END AS status,
+       old_state, new_state
+FROM months""",
     "moved_content": """
 WITH moved AS (
   SELECT concat(source, '/', d.doc_id) AS home, concat('labelled/', d.doc_id) AS path,
@@ -274,6 +377,13 @@ WITH {EVENT_DAYS}
 SELECT user_id, day, kind AS missing_kind
 FROM (SELECT DISTINCT user_id, day FROM event_days)
 CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS kind)
+EXCEPT SELECT user_id, day, event_type FROM event_days""",
+    "missing_cells_of_days": f"""
+WITH {EVENT_DAYS}
+SELECT user_id, CAST(day AS DATE) AS day, kind AS missing_kind
+FROM (SELECT DISTINCT user_id FROM event_days)
+CROSS JOIN generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) AS calendar(day)
+CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS kind)
 EXCEPT SELECT user_id, day, event_type FROM event_days""",
     "user_days_in_all": f"""
 WITH {EVENT_DAYS}

@@ -15,6 +15,8 @@ from dayledger.sources import labels, payloads, pointers
 from dayledger.streaming import streams
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+# What follows the date in the names of the first four kinds.
+ENDINGS = ["_notice.csv", "_notice.xml", "_anomalous_suspicious.csv", "_anomalous_suspicious.xml"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 EVENT_DAYS = ("2024-01-01", "2024-01-30")
 
@@ -60,34 +62,81 @@ def document_records(spark: SparkSession, folder: str) -> DataFrame:
     return plain.withColumn("stage_md5", F.md5(records.stage_text()))
 
 
-def order_month_files(spark: SparkSession, folder: str) -> str:
-    """A catalogue on disk with one record per month of orders, dated on its first day."""
-    day = F.trunc("o_orderdate", "month")
-    cents = F.sum((F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint"))
-    totals = table(spark, folder, "orders").groupBy(day.alias("date")).agg(
-        F.count("*").cast("string").alias("etag"), cents.alias("size")
+def order_records(spark: SparkSession, folder: str) -> DataFrame:
+    """One record per month of orders and priority, dated on the month's first day.
+
+    Priorities stand for the five kinds; traces change their format in 1996.
+    """
+    orders = table(spark, folder, "orders").select(
+        F.trunc("o_orderdate", "month").alias("date"), F.col("o_orderpriority").alias("priority"),
+        (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint").alias("cents"),
     )
-    path = F.concat(F.date_format("date", "yyyyMMdd"), F.lit("_notice.csv"))
-    url = F.concat(F.lit("http://example.org/v1/"), F.date_format("date", "yyyy/MM/dd/"), path)
+    totals = orders.groupBy("date", "priority").agg(F.count("*").alias("n"), F.sum("cents").alias("size"))
+    digits = F.date_format("date", "yyyyMMdd")
+    trace = F.col("priority") == PRIORITIES[4]
+    ending = F.when(trace, F.when(F.year("date") < 1996, "1400.dump.gz").otherwise("1400.pcap.gz"))
+    for priority, name in zip(PRIORITIES, ENDINGS):
+        ending = ending.when(F.col("priority") == priority, name)
+    path = F.concat(digits, ending)
+    host = F.when(trace, F.concat(F.lit("http://traces.example.net/point/"), F.date_format("date", "yyyy/")))
+    url = F.concat(host.otherwise(
+        F.concat(F.lit("http://labels.example.org/records/v1.1/"), F.date_format("date", "yyyy/MM/dd/"))
+    ), path)
+    tag = F.concat_ws("-", F.lower(F.hex("size")), F.lower(F.hex("n")))
+    etag = F.when(trace, tag).otherwise(F.col("n").cast("string"))
     filed = totals.select(
         F.year("date").alias("year"), F.month("date").alias("month"), F.day("date").alias("day"),
-        F.lit(True).alias("frozen"),
-        F.struct("etag", "size", F.lit("md5").alias("hash"), url.alias("url")).alias("dep"),
+        "priority", F.lit(True).alias("frozen"),
+        F.struct(etag.alias("etag"), "size", F.lit("md5").alias("hash"), url.alias("url")).alias("dep"),
         F.struct(
             F.lit("md5").alias("hash"), path.alias("path"),
             F.md5(F.col("size").cast("string")).alias("md5"), "size",
         ).alias("out"),
-    ).withColumn("stage_md5", F.md5(records.stage_text()))
+    )
+    return filed.withColumn("stage_md5", F.md5(records.stage_text()))
+
+
+def order_texts(filed: DataFrame) -> DataFrame:
+    """The records' texts; those of traces list the keys of the local file in the other order."""
+    other = F.regexp_replace(
+        "value", r"- hash: (\S+)\n  path: (\S+)\n  md5: (\S+)\n  size: (\d+)\n$",
+        "- md5: $3\n  size: $4\n  hash: $1\n  path: $2\n",
+    )
+    rendered = records.render_pointer(filed)
+    return rendered.withColumn(
+        "value", F.when(F.endswith("out.path", F.lit(".gz")), other).otherwise(F.col("value"))
+    )
+
+
+def order_files(spark: SparkSession, folder: str) -> str:
+    """A catalogue on disk in two versions; the older one ends with 1996. A file holds many records."""
     root = fresh_path(spark, "records")
-    pointers.write_pointers(filed, root)
+    filed = order_records(spark, folder)
+    versions = {"v1.0": filed.where("year <= 1996"), "v1.1": filed}
+    for version, own in versions.items():
+        texts = order_texts(own).repartitionByRange("year", "month", "day", "out.path")
+        pointers.write_texts(texts, f"{root}/{version}")
+    return root
+
+
+def order_days(spark: SparkSession, folder: str) -> str:
+    """One file per month of orders with the texts of its records, in order."""
+    texts = order_texts(order_records(spark, folder))
+    days = texts.groupBy("year", "month", "day").agg(
+        F.array_join(F.sort_array(F.collect_list("value")), "").alias("value")
+    )
+    root = fresh_path(spark, "days")
+    pointers.write_texts(days, root)
     return root
 
 
 def flat_records(parsed: DataFrame) -> DataFrame:
     return records.stage_digest(parsed).select(
-        "capture_date", "stage_ok", F.col("dep.etag").alias("etag"), F.col("dep.url").alias("url"),
-        F.col("out.path").alias("path"), F.col("out.md5").alias("md5"),
-        F.col("out.size").alias("size"),
+        "version", "capture_date", "kind", "format", "frozen", "n_deps", "n_outs", "stage_ok",
+        F.col("dep.etag").alias("etag"), F.col("dep.url").alias("url"),
+        F.col("dep.size").alias("dep_size"), F.col("out.path").alias("path"),
+        F.col("out.md5").alias("md5"), F.col("out.size").alias("size"), "tag_size",
+        local(F.col("tag_modified")).alias("tag_modified"),
     )
 
 
@@ -97,14 +146,15 @@ def flat_records(parsed: DataFrame) -> DataFrame:
 @query
 def scan_records(spark, folder):
     return flat_records(
-        pointers.catalogue(spark, order_month_files(spark, folder), suffix=".txt")
+        pointers.catalogue(spark, order_files(spark, folder), suffix=".txt")
     )
 
 
 @query
 def load_records(spark, folder):
-    loader = pointers.DataLoader(spark, order_month_files(spark, folder), suffix=".txt")
-    return flat_records(loader.load("1996-11-15", "1998-02-14"))
+    loader = pointers.DataLoader(spark, order_files(spark, folder), suffix=".txt")
+    kinds = ["notice_csv", "anomalous_xml", "trace"]
+    return flat_records(loader.load("1995-11-15", "1997-02-14", kinds=kinds, version="v1.1"))
 
 
 @query
@@ -149,6 +199,45 @@ def violations(spark, folder):
     return checks.violations(docs, rules, ["doc_id"])
 
 
+@query
+def record_violations(spark, folder):
+    """The records of orders, twelve of every thirteen with a fault."""
+    number = F.substring("priority", 1, 1).cast("int")
+    filed = order_records(spark, folder).withColumns({
+        "fault": F.pmod(F.col("year") * 12 + F.col("month") + number, F.lit(13)),
+        "kind": F.when(F.endswith("out.path", F.lit(".gz")), "trace").otherwise("label"),
+        "n_deps": F.lit(1), "n_outs": F.lit(1),
+    })
+
+    def faulty(fault: int, column: Column, value: Column) -> Column:
+        return F.when(F.col("fault") == fault, value).otherwise(column)
+
+    file_path = F.concat(F.lit("/v1.1/"), F.col("out.path"), F.lit(".dvc"))
+    sizes = {
+        "dep": faulty(5, faulty(10, F.col("dep.size"), F.lit(0).cast("bigint")), F.col("dep.size") + 1),
+        "out": faulty(10, F.col("out.size"), F.lit(0).cast("bigint")),
+    }
+    elsewhere = F.regexp_replace("dep.url", r"/\d{4}/", "/1900/")
+    url = faulty(9, faulty(7, F.col("dep.url"), F.concat("dep.url", F.lit(".bak"))), elsewhere)
+    broken = filed.withColumns({
+        "file_path": faulty(6, file_path, F.lit("/v1.1/other.csv.dvc")),
+        "frozen": faulty(1, F.col("frozen"), F.lit(False)),
+        "n_deps": faulty(4, F.col("n_deps"), F.lit(2)),
+        "month": faulty(12, F.col("month"), F.lit(13)),
+        "day": faulty(8, F.col("day"), F.lit(2)),
+        "dep": F.struct(
+            faulty(11, F.col("dep.etag"), F.lit("f-1")).alias("etag"), sizes["dep"].alias("size"),
+            faulty(2, F.col("dep.hash"), F.lit("sha1")).alias("hash"), url.alias("url"),
+        ),
+        "out": F.struct(
+            "out.hash", "out.path", faulty(3, F.col("out.md5"), F.lit("abc")).alias("md5"),
+            sizes["out"].alias("size"),
+        ),
+    })
+    found = checks.violations(broken, checks.record_rules(), ["out.path", "fault"])
+    return found
+
+
 @query
 def empty_payloads(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
@@ -185,7 +274,7 @@ def classify_pages(spark, folder):
 @query
 def page_url_parts(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url")
-    return names.url_parts(pages, "url").drop("url", "url_date")
+    return names.url_parts(pages, "url").drop("url")
 
 
 @query
@@ -217,7 +306,7 @@ def orders_in_range(spark, folder):
 
 @query
 def orders_catalogue(spark, folder):
-    """All orders written as a columnar catalogue by year, and a range of days read from it."""
+    """All orders written as a columnar catalogue by year."""
     filed = table(spark, folder, "orders").select(
         F.year("o_orderdate").alias("year"),
         F.to_date("o_orderdate").alias("capture_date"),
@@ -226,9 +315,15 @@ def orders_catalogue(spark, folder):
     )
     path = fresh_path(spark, "catalogue")
     pointers.write_catalogue(filed, path)
+    return spark.read.parquet(path).select("year", "capture_date", "kind", "file_path")
+
+
+@query
+def orders_catalogue_range(spark, folder):
+    """A range of days of that catalogue."""
     return pointers.in_range(
-        spark.read.parquet(path), "1995-03-01", "1997-02-28", "capture_date"
-    ).select("year", "capture_date", "kind", "file_path")
+        orders_catalogue(spark, folder), "1995-03-01", "1997-02-28", "capture_date"
+    )
 
 
 @query
@@ -249,7 +344,36 @@ def labels_csv(spark, folder):
     )
     path = fresh_path(spark, "labels")
     rows.write.option("header", "true").csv(path)
-    return labels.read_labels_csv(spark, path).drop("file_path", "capture_date", "file_kind")
+    # The files' names, which Spark makes up, name no day and no kind.
+    return labels.read_labels_csv(spark, path).drop("file_path")
+
+
+@query
+def labels_damaged(spark, folder):
+    """Line items as a label table in which some ports are words, against orders.
+
+    A label sets the line's status, and its port where the item was not returned; a damaged port
+    must not become a wildcard.
+    """
+    port = F.when(F.col("l_linenumber") == 4, "eighty").when(
+        F.col("l_returnflag") != "R", F.col("l_linenumber").cast("string")
+    )
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").cast("int").alias("order"), port.alias("port"),
+        F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line"),
+    )
+    path = fresh_path(spark, "labels")
+    rows.write.option("header", "true").csv(path)
+    read = labels.read_labels_csv(spark, path, "order INT, port INT, status STRING, line INT")
+    rules = read.select("order", "port", "status", "line", "damaged")
+    flows = table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("int").alias("order"), F.col("o_orderstatus").alias("state"),
+        F.pmod("o_custkey", F.lit(7)).cast("int").alias("number"),
+    )
+    matched = joins.match_labels(flows, rules, ["order"], {"number": "port", "state": "status"})
+    return matched.select("order", "line", F.lit("matched").alias("what")).unionByName(
+        read.where("damaged").select("order", "line", F.lit("damaged").alias("what"))
+    )
 
 
 @query
@@ -258,19 +382,27 @@ def labels_xml(spark, folder):
     path = fresh_path(spark, "labels")
     rows.write.format("xml").option("rowTag", "row").save(path)
     read = labels.read_labels_xml(spark, path, "row", rows.schema)
-    return read.drop("file_path", "capture_date", "file_kind")
+    return read.drop("file_path")
+
+
+def day_named(files: DataFrame) -> DataFrame:
+    """Files by the day that their folders name."""
+    day = F.regexp_replace(
+        F.regexp_extract("path", r"year=\d+/month=\d+/day=\d+", 0), r"year=|month=|day=", ""
+    )
+    return files.withColumn("day", F.to_date(day, "yyyy/MM/dd")).drop("path")
 
 
 @query
 def payload_inventory(spark, folder):
-    files = payloads.scan_payloads(spark, folder, "*.parquet")
-    return files.select(names.base_name(F.col("path")).alias("name"), "length")
+    files = payloads.scan_payloads(spark, order_days(spark, folder), "*.txt")
+    return day_named(files).select("day", "length")
 
 
 @query
 def payload_digests(spark, folder):
-    files = payloads.digest_large_files(payloads.scan_payloads(spark, folder, "*.parquet"))
-    return files.select(names.base_name(F.col("path")).alias("name"), "length", "md5")
+    files = payloads.payload_digests(spark, order_days(spark, folder), "*.txt")
+    return day_named(files).select("day", "length", "md5")
 
 
 # Joins
@@ -310,9 +442,14 @@ def mirror(spark: SparkSession, folder: str, recorded: DataFrame) -> DataFrame:
 
 @query
 def verify_join(spark, folder):
+    """Documents named by source and length, so that some share a name, against their mirror."""
+    name = F.concat("source", F.lit("/"), F.col("n_chars").cast("string"))
+    named = table(spark, folder, "documents").select("doc_id", name.alias("path"))
     recorded = document_digests(spark, folder)
-    found = digested(mirror(spark, folder, recorded))
-    return joins.verify_payloads(recorded, found, path="doc_id")
+    found = digested(mirror(spark, folder, recorded)).join(named, "doc_id", "left").withColumn(
+        "path", F.coalesce("path", F.col("doc_id").cast("string"))
+    )
+    return joins.verify_payloads(recorded.join(named, "doc_id"), found)
 
 
 @query
@@ -336,17 +473,22 @@ def companion_days(spark, folder):
 
 @query
 def snapshot_diff(spark, folder):
-    """Order states on record against those that follow from the line items."""
+    """Order states on record against those that follow from the line items, by customer and month.
+
+    A customer may have several orders in a month.
+    """
     on_record = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("state")
+        F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"),
+        F.to_date(F.trunc("o_orderdate", "month")).alias("month"), F.col("o_orderstatus").alias("state"),
     )
     finished, opened = (F.bool_and(F.col("l_linestatus") == state) for state in ("F", "O"))
     derived = (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_orderkey").alias("orderkey"))
         .agg(F.when(finished, "F").when(opened, "O").otherwise("P").alias("state"))
+        .join(on_record.drop("state"), "orderkey")
     )
-    return joins.snapshot_diff(on_record, derived, ["orderkey"], ["state"])
+    return joins.snapshot_diff(on_record, derived, ["custkey", "month"], ["state"])
 
 
 @query
@@ -504,6 +646,17 @@ def missing_cells(spark, folder):
     )
 
 
+@query
+def missing_cells_of_days(spark, folder):
+    """The same for all days of the calendar, also those on which a user did nothing."""
+    events = event_days(spark, folder)
+    start, end = (F.lit(d).cast("date") for d in EVENT_DAYS)
+    days = events.select("user_id").distinct().select(
+        "user_id", F.explode(F.sequence(start, end)).alias("day")
+    )
+    return coverage.expected_minus_actual(events, ["user_id", "day"], "event_type", EVENT_TYPES, days)
+
+
 @query
 def user_days_in_all(spark, folder):
     return coverage.days_in_all(
@@ -603,7 +756,7 @@ def largest_docs(spark, folder):
 
 @query
 def stream_records(spark, folder):
-    root = order_month_files(spark, folder)
+    root = order_files(spark, folder) + "/v1.1"
     arrived = streams.append_to_table(streams.stream_pointers(spark, root, suffix=".txt"))
     return flat_records(arrived)
 
@@ -612,6 +765,18 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return streams.zoned(streams.stream_table(spark, folder, "events"), "ts")
 
 
+def closed_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events and, last, a row ten years on, which moves the watermark past all of them."""
+    events = event_stream(spark, folder)
+    batch = table(spark, folder, "events")
+    last = F.expr("timestamp'2034-01-01 00:00:00'")
+    path = fresh_path(spark, "last-event")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in batch.schema]
+    spark.range(1).select(*nothing).withColumn("ts", last).write.parquet(path)
+    end = spark.readStream.schema(events.schema).parquet(path)
+    return events.unionByName(end)
+
+
 def unzoned(df: DataFrame) -> DataFrame:
     return df.withColumns({c: local(F.col(c)) for c, t in df.dtypes if t == "timestamp"})
 
@@ -627,15 +792,15 @@ def stream_daily(spark, folder):
 @query
 def stream_sliding(spark, folder):
     measures = {"n_events": F.count("*")}
-    return unzoned(streams.latest_result(
-        streams.arrivals(event_stream(spark, folder), "ts", "6 hours", measures, slide="3 hours")
+    return unzoned(streams.append_to_table(
+        streams.arrivals(closed_stream(spark, folder), "ts", "6 hours", measures, slide="3 hours")
     ))
 
 
 @query
 def stream_sessions(spark, folder):
-    return unzoned(streams.latest_result(
-        streams.coverage_sessions(event_stream(spark, folder), "ts", "30 minutes", ["user_id"])
+    return unzoned(streams.append_to_table(
+        streams.coverage_sessions(closed_stream(spark, folder), "ts", "30 minutes", ["user_id"])
     ))
 
 
@@ -660,7 +825,7 @@ def stream_late(spark, folder):
 
 @query
 def stream_sets(spark, folder):
-    days = event_stream(spark, folder).withColumn("day", F.to_date("ts"))
-    return streams.latest_result(
-        streams.day_completeness(days, ["user_id", "day"], "event_type", EVENT_TYPES)
+    sets = streams.day_completeness(
+        event_stream(spark, folder), ["user_id"], "event_type", EVENT_TYPES, "ts"
     )
+    return streams.updated_result(sets, ["user_id", "day"])

@@ -1,4 +1,9 @@
-"""Payload files: inventory and digests."""
+"""Payload files: inventory and digests.
+
+Listing and digests open files from tasks, through pyarrow's file systems: local folders as they
+are, other schemes with pyarrow's own settings and credentials on every executor (Hadoop's settings
+are not read).
+"""
 
 from __future__ import annotations
 
@@ -7,101 +12,90 @@ import hashlib
 import re
 import sys
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The functions below travel with the job, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from dayledger.session import kept
 
+# How a URI begins, and names that Spark's readers take as hidden.
+ORIGIN = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):(//[^/]*)?")
+HIDDEN = ("_", ".")
 BLOCK = 8 * 1024 * 1024
-# Fixed value: the longest file whose content fits one binary cell.
-LARGEST_CELL = 2**31 - 1
-MAX_TASKS = 20_000
-
-
-def binary_files(spark: SparkSession, root: str, name_glob: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name_glob)
-        .load(root)
-    )
+ENTRIES = "path STRING, name STRING, is_folder BOOLEAN, length BIGINT, modified_us BIGINT"
 
 
-def file_system(uri: str):
-    """The file system of a URI as Spark writes it, and the path in it."""
+@lru_cache(maxsize=16)
+def opened(origin: str):
+    """The file system of a scheme and authority."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", uri)))
-
-
-def scan_payloads(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
-    """Path, length and modification time of the files below ``root``; contents stay unread.
-
-    File sources leave out files without content, which an inventory must not, so those are added.
-    """
-    listed = binary_files(spark, root, name_glob).select("path", "length", "modificationTime")
-    return listed.unionByName(scan_empty_files(spark, root, name_glob))
+    if origin in ("", "file:", "file://"):
+        return fs.LocalFileSystem()
+    scheme = re.sub("^s3[an]:", "s3:", origin)
+    return fs.FileSystem.from_uri(scheme + "/")[0]
 
 
-def scan_empty_files(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
-    """Files of length zero. The driver lists the first level only, tasks the folders below it."""
-    from pyarrow import fs
-
-    filesystem, inner = file_system(root)
-    prefix = re.sub(r"^file:/+|^/", "file:/", root.rstrip("/"))[: -len(inner.rstrip("/"))]
-    entries = filesystem.get_file_info(fs.FileSelector(inner))
-    listing = "path STRING, length BIGINT, modified_us BIGINT"
-    found = spark.createDataFrame(empty_rows(entries, prefix, name_glob), listing)
-    folders = [(prefix + e.path,) for e in entries if e.type == fs.FileType.Directory]
-    if folders:
-        tasks = min(MAX_TASKS, len(folders))
-        below = spark.createDataFrame(folders, "path STRING").repartition(tasks, "path")
-        found = found.unionByName(below.mapInPandas(list_empty_files(prefix, name_glob), listing))
-    return found.select(
-        "path", "length", F.timestamp_micros("modified_us").alias("modificationTime")
-    )
+def file_system(uri: str):
+    """The file system of a URI as Spark writes it, the URI's beginning and the plain path in it."""
+    found = ORIGIN.match(uri)
+    origin = found.group(0) if found else ""
+    path = uri[len(origin):]
+    if re.match("s3", origin):
+        path = origin.split("//", 1)[1] + path
+    return opened(origin), uri[: len(uri) - len(path)], path
 
 
-def empty_rows(entries: list, prefix: str, name_glob: str) -> list[tuple]:
-    """Path, length and time of the empty files among listed entries."""
-    return [
-        (prefix + e.path, 0, e.mtime_ns // 1000)
-        for e in entries
-        if e.is_file and e.size == 0
-        and fnmatch.fnmatchcase(e.base_name, name_glob)
-        and not e.base_name.startswith(("_", "."))
-    ]
+def by_value(function: Callable) -> Callable:
+    """A function that travels with the job, so executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return function
 
 
-def list_empty_files(prefix: str, name_glob: str) -> Callable:
-    def list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entries of each folder, hidden ones left out."""
+    from pyarrow import fs
 
-        for batch in batches:
-            for path in batch["path"]:
-                filesystem, inner = file_system(path)
-                below = filesystem.get_file_info(fs.FileSelector(inner, recursive=True))
-                if rows := empty_rows(below, prefix, name_glob):
-                    yield pd.DataFrame(rows, columns=["path", "length", "modified_us"])
+    for batch in batches:
+        rows = []
+        for folder in batch["path"]:
+            filesystem, start, path = file_system(folder)
+            for e in filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+                if not e.base_name.startswith(HIDDEN):
+                    rows.append((
+                        start + e.path, e.base_name, e.type == fs.FileType.Directory,
+                        0 if e.size is None else e.size, (e.mtime_ns or 0) // 1000,
+                    ))
+        yield pd.DataFrame(rows, columns=["path", "name", "is_folder", "length", "modified_us"])
 
-    return list_batches
 
+def scan_payloads(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
+    """Path, length and modification time of the files below ``root``; contents stay unread.
 
-def digest_small_files(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
-    """Path, length and md5 of the files that have content and fit one cell."""
-    return (
-        binary_files(spark, root, name_glob)
-        .where(F.col("length") <= LARGEST_CELL)
-        .select("path", "length", F.md5("content").alias("md5"))
+    Folders are listed level by level, one folder per row, from tasks: the driver sees only whether a
+    level is left. Files without content, which file sources leave out, are listed too. Hidden files
+    and all below hidden folders are not.
+    """
+    level = spark.createDataFrame([(root.rstrip("/") or "/",)], "path STRING")
+    files = None
+    while True:
+        entries = kept(level.repartition("path").mapInPandas(by_value(list_folders), ENTRIES), "level")
+        own = entries.where("NOT is_folder")
+        files = own if files is None else files.union(own)
+        level = entries.where("is_folder").select("path")
+        if level.isEmpty():
+            break
+    pattern = F.col("name").rlike(fnmatch.translate(name_glob).replace(r"\Z", "$").replace(r"\z", "$"))
+    return files.where(pattern).select(
+        "path", "length", F.timestamp_micros("modified_us").alias("modificationTime")
     )
 
 
 def file_md5(uri: str) -> str:
-    filesystem, path = file_system(uri)
+    filesystem, _, path = file_system(uri)
     digest = hashlib.md5()
     with filesystem.open_input_stream(path) as stream:
         while block := stream.read(BLOCK):
@@ -111,25 +105,20 @@ def file_md5(uri: str) -> str:
 
 def digest_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, length in zip(batch["path"], batch["length"]):
-            yield pd.DataFrame({"path": [path], "length": [length], "md5": [file_md5(path)]})
+        yield batch[["path", "length"]].assign(md5=[file_md5(path) for path in batch["path"]])
 
 
-def digest_large_files(paths: DataFrame) -> DataFrame:
+def digest_files(paths: DataFrame, tasks: int | None = None) -> DataFrame:
     """Path, length and md5 of files of any size, read in blocks.
 
-    An md5 cannot be split, so the unit of work is a file: up to ``MAX_TASKS`` tasks, ordered by
-    length so that the longest files start first.
+    An md5 cannot be split, so the unit of work is a file. Files are dealt by their path, over as
+    many tasks as shuffles have unless named.
     """
     listed = paths.select("path", "length")
-    tasks = max(1, min(MAX_TASKS, listed.count()))
-    return listed.repartitionByRange(tasks, F.desc("length"), "path").mapInPandas(
-        digest_batches, "path STRING, length BIGINT, md5 STRING"
-    )
+    dealt = listed.repartition(tasks, "path") if tasks else listed.repartition("path")
+    return dealt.mapInPandas(by_value(digest_batches), "path STRING, length BIGINT, md5 STRING")
 
 
 def payload_digests(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
-    """Digests of all files: inside the JVM up to the cell limit, in blocks beyond it."""
-    listed = scan_payloads(spark, root, name_glob)
-    others = listed.where((F.col("length") > LARGEST_CELL) | (F.col("length") == 0))
-    return digest_small_files(spark, root, name_glob).unionByName(digest_large_files(others))
+    """Digests of all files below ``root``."""
+    return digest_files(scan_payloads(spark, root, name_glob))

@@ -5,11 +5,14 @@ Every operator is a DataFrame to DataFrame function that also runs on a batch Da
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dayledger.operators.coverage import has_kinds
 from dayledger.session import fresh_path
@@ -29,7 +32,7 @@ def stream_pointers(
     files_per_batch: int | None = None,
     suffix: str = SUFFIX,
 ) -> DataFrame:
-    """New records below ``root`` as a stream of parsed rows."""
+    """New records below ``root`` as a stream of parsed rows; a file may hold any number of them."""
     reader = (
         spark.readStream.format("text")
         .schema(RECORD_SCHEMA)
@@ -38,7 +41,8 @@ def stream_pointers(
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return parsed(with_path_columns(reader.load(root)))
+    records = parsed(with_path_columns(reader.load(root), suffix))
+    return records if kinds is None else records.where(F.col("kind").isin(list(kinds)))
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,12 +83,9 @@ def coverage_sessions(
 ) -> DataFrame:
     """Stretches of records with no pause longer than ``gap``.
 
-    Map tasks merge what they hold into sessions before the shuffle, so a busy key sends its
-    sessions and not its rows to one task.
+    With the session's settings map tasks merge what they hold into sessions before the shuffle, so
+    a busy key sends its sessions and not its rows to one task.
     """
-    df.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
     framed = df.withWatermark(ts, delay).groupBy(*keys, F.session_window(ts, gap))
     return framed.agg(F.count("*").alias("n_rows")).select(
         *keys,
@@ -118,11 +119,22 @@ def late_split(df: DataFrame, captured: str, published: str, limit_seconds: int)
 
 
 def day_completeness(
-    df: DataFrame, keys: list[str], kind: str, kinds: list[str]
+    df: DataFrame, keys: list[str], kind: str, kinds: list[str], ts: str | None = None,
+    delay: str = "1 day",
 ) -> DataFrame:
-    """Kinds seen so far per key and whether that is all of them; state is one flag per kind."""
+    """Kinds seen so far per key and whether that is all of them; state is one flag per kind.
+
+    With ``ts`` the result is also by ``day`` of that time, and a day's state ends when the watermark
+    passes it.
+    """
     ordered = sorted(kinds)
-    seen = has_kinds(df, keys, kind, ordered)
+    if ts is None:
+        seen = has_kinds(df, keys, kind, ordered)
+    else:
+        daily = df.withWatermark(ts, delay).withColumn("__day", F.window(ts, "1 day"))
+        seen = has_kinds(daily, [*keys, "__day"], kind, ordered).withColumn(
+            "day", F.to_date("__day.start")
+        ).drop("__day")
     flags = [F.col(f"__has_{i}") for i in range(len(ordered))]
     named = F.concat_ws("+", *[F.when(flag, k) for flag, k in zip(flags, ordered)])
     complete = reduce(lambda a, b: a & b, flags)
@@ -145,29 +157,57 @@ def append_to_table(stream: DataFrame, out: str | None = None, checkpoint: str |
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def latest_result(stream: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Process what has arrived and return the whole result so far.
-
-    Each batch writes its result to a folder of its own, so a repeated batch replaces its own
-    output only.
-    """
+def batches_written(
+    stream: DataFrame, mode: str, out: str | None, checkpoint: str | None
+) -> DataFrame | None:
+    """Process what has arrived, each batch to a folder of its own (a repeated batch replaces its own
+    output only), and return what all runs so far have written, with the number of the batch."""
     spark = stream.sparkSession
     out = out or fresh_path(spark, "stream-out")
-    done: list[str] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        path = f"{out}/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(path)
-        done.append(path)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     (
-        stream.writeStream.outputMode("complete")
+        stream.writeStream.outputMode(mode)
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint or fresh_path(spark, "stream-state"))
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
     )
-    if not done:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(done[-1])
+    try:
+        return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def latest_result(stream: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Process what has arrived and return the whole result so far.
+
+    After a restart on the same ``out`` and ``checkpoint`` the last result stands until a batch
+    replaces it.
+    """
+    written = batches_written(stream, "complete", out, checkpoint)
+    if written is None:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    numbers = [int(n) for f in written.inputFiles() for n in re.findall(r"/batch=(\d+)/", f)]
+    return written.where(F.col("batch") == max(numbers, default=0)).drop("batch")
+
+
+def updated_result(
+    stream: DataFrame, keys: list[str], out: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
+    """Process what has arrived and return the last state of every key.
+
+    Batches write only the keys that changed; state that the watermark has passed is gone from the
+    stream and stays in the result.
+    """
+    written = batches_written(stream, "update", out, checkpoint)
+    if written is None:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    others = [c for c in stream.columns if c not in keys]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("__last"))
+    return last.select(*keys, "__last.*").select(*stream.columns)

@@ -56,6 +56,84 @@ def test_record_texts_by_day(spark, tree, tmp_path):
     assert {r[0][5:] for r in lines.select("value").collect()} == {made.stage_md5(v) for v in written.values()}
 
 
+def test_written_texts_scan_back(spark, tree, tmp_path):
+    """All records of a day in one file, of three layouts, come back as they were."""
+    root, written = tree
+    records = pointers.catalogue(spark, root)
+    out = str(tmp_path / "v1.1")
+    pointers.write_pointers(records.coalesce(1), out)
+    back = pointers.catalogue(spark, out, suffix=".txt")
+    same = [c for c in records.columns if c != "file_path"]
+    assert back.count() == len(written)
+    assert back.select(*same).exceptAll(records.select(*same)).count() == 0
+    some = pointers.DataLoader(spark, out, ".txt").load("2010-12-31", "2011-01-06", kinds=["trace"])
+    assert {r[0] for r in some.select("out.path").collect()} == {
+        n for n in written if n.endswith(".gz") and "20101231" <= n[:8] <= "20110106"
+    }
+
+
+def test_records_with_another_suffix_and_odd_folders(spark, tmp_path):
+    root = tmp_path / "a b%20c+d" / "v1.1"
+    path = made.write_record(str(root), "20110105", made.record("20110105_notice.csv"))
+    os.rename(path, path.replace(".dvc", ".rec"))
+    (row,) = pointers.catalogue(spark, str(root).replace("%", "[%]"), suffix=".rec").collect()
+    assert (row["kind"], row["format"], str(row["capture_date"])) == ("notice_csv", "csv", "2011-01-05")
+    assert row["file_path"].endswith("/a b%20c+d/v1.1/year=2011/month=01/day=05/20110105_notice.csv.rec")
+
+
+def test_one_of_two_versions(spark, tmp_path):
+    for version, days in (("v1.0", ["20101231", "20110105"]), ("v1.1", ["20110105", "20110207", "20120101"])):
+        for day in days:
+            for name in ("notice.csv", "anomalous_suspicious.xml"):
+                made.write_record(str(tmp_path / version), day, made.record(f"{day}_{name}"))
+    loader = pointers.DataLoader(spark, str(tmp_path))
+    assert loader.load("2010-01-01", "2012-12-31").count() == 10
+    got = loader.load("2011-01-01", "2011-12-31", kinds=["notice_csv"], version="v1.1")
+    assert sorted((r["version"], str(r["capture_date"])) for r in got.collect()) == [
+        ("v1.1", "2011-01-05"), ("v1.1", "2011-02-07"),
+    ]
+    listed = {f.split("/")[-4:][0] for f in got.inputFiles()}
+    assert listed == {"year=2011"} and all("v1.1" in f for f in got.inputFiles())
+    assert loader.load("1999-01-01", "1999-12-31").count() == 0
+    assert loader.load("2011-01-01", "2011-12-31", version="v9").count() == 0
+
+
+def test_folders_of_a_range():
+    import datetime as dt
+
+    def folders(a, b):
+        return pointers.folders_of(dt.date.fromisoformat(a), dt.date.fromisoformat(b))
+
+    assert folders("2011-01-01", "2012-12-31") == ["year=2011", "year=2012"]
+    assert folders("2011-01-30", "2011-03-01") == [
+        "year=2011/month=01/day=30", "year=2011/month=01/day=31", "year=2011/month=02",
+        "year=2011/month=03/day=01",
+    ]
+    assert folders("2011-01-02", "2011-01-01") == []
+
+
+def test_a_record_of_no_kind_lacks_all(spark):
+    rows = spark.createDataFrame(
+        [(2011, 1, 5, "2011-01-05", None, 7)], "year INT, month INT, day INT, d STRING, kind STRING, size BIGINT"
+    ).selectExpr("year", "month", "day", "date(d) AS capture_date", "kind", "struct(size) AS out")
+    (row,) = day_report(rows, "2011-01-05", "2011-01-05").collect()
+    assert len(row["lacks"]) == 5 and row["files"] == 1
+
+
+def test_archive_paths_that_lie_elsewhere(spark):
+    records = spark.createDataFrame(
+        [("file:/r/no%tice a.csv.dvc", 1, "m"), ("/r/x/b.csv.dvc", 1, "m"), ("/else/c.csv.dvc", 1, "m")],
+        "file_path STRING, size BIGINT, md5 STRING",
+    ).selectExpr("file_path", "struct(size, md5, regexp_extract(file_path, '([^/]*).dvc$', 1) AS path) AS out")
+    files = spark.createDataFrame(
+        [("file:/s/no%tice a.csv", 1), ("hdfs://h:1/s/x/b.csv", 1), ("/s/d.csv", 1)], "path STRING, length BIGINT"
+    )
+    got = verify_archive(records, files, "file:///r", "/s/")
+    assert {(r["path"], r["status"]) for r in got.collect()} == {
+        ("no%tice a.csv", "ok"), ("x/b.csv", "ok"), ("/else/c.csv.dvc"[:-4], "missing"), ("d.csv", "untracked"),
+    }
+
+
 def test_day_report(spark, tree):
     root, written = tree
     rows = {str(r["capture_date"]): r for r in day_report(
@@ -102,17 +180,26 @@ def test_inventory(spark, payload_files):
     }
 
 
-def test_digests(spark, payload_files, monkeypatch):
+def test_digests(spark, payload_files):
     root, contents = payload_files
     expected = {n: hashlib.md5(c).hexdigest() for n, c in contents.items()}
-    streamed = short(payloads.digest_large_files(payloads.scan_payloads(spark, root)), root)
-    assert {n: r["md5"] for n, r in streamed.items()} == expected
-    small = short(payloads.digest_small_files(spark, root), root)
-    assert {n: r["md5"] for n, r in small.items()} == {n: m for n, m in expected.items() if contents[n]}
-    monkeypatch.setattr(payloads, "LARGEST_CELL", 50)
     both = payloads.payload_digests(spark, root)
     assert {n: r["md5"] for n, r in short(both, root).items()} == expected
     assert both.count() == len(contents)
+    some = payloads.digest_files(both.where("length > 50"), tasks=2)
+    assert {r["md5"] for r in some.collect()} == {expected["b/three.xml"]}
+
+
+def test_inventory_of_odd_names_and_hidden_folders(spark, tmp_path):
+    names = ["a b/c%20d/e+f.csv", "a b/empty.csv", "deep/1/2/3/x.csv", "ü.csv"]
+    for name in [*names, "_temporary/0/x.csv", ".stage/empty.csv", "a b/_SUCCESS"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else b"abc")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        rows = short(payloads.scan_payloads(spark, root, "*.csv"), str(tmp_path))
+        assert set(rows) == set(names)
+        digests = short(payloads.payload_digests(spark, root, "*.csv"), str(tmp_path))
+        assert digests["a b/c%20d/e+f.csv"]["md5"] == hashlib.md5(b"abc").hexdigest()
 
 
 def test_block_reads_cover_long_files(tmp_path, monkeypatch):
@@ -123,11 +210,6 @@ def test_block_reads_cover_long_files(tmp_path, monkeypatch):
     assert payloads.file_md5(f"file://{path}") == hashlib.md5(content).hexdigest()
 
 
-def test_inventory_skips_contents(spark, payload_files):
-    plan = payloads.scan_payloads(spark, payload_files[0])._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[1]
-
-
 def test_verify(spark):
     catalogue = spark.createDataFrame(
         [("ok", 1, "a"), ("gone", 1, "a"), ("short", 9, "a"), ("changed", 1, "a"), ("unread", 1, "a")],
@@ -165,7 +247,7 @@ def test_verify_archive(spark, tmp_path):
     records = pointers.catalogue(spark, root)
 
     def statuses(files):
-        return {r["path"]: r["status"] for r in verify_archive(records, files).collect()}
+        return {r["path"]: r["status"] for r in verify_archive(records, files, root, str(store)).collect()}
 
     assert statuses(payloads.payload_digests(spark, str(store))) == expected
     by_size = {k: "ok" if v == "md5_mismatch" else v for k, v in expected.items()}
@@ -193,6 +275,27 @@ def test_label_table(spark, tmp_path):
     assert {(str(r["capture_date"]), r["file_kind"]) for r in rows} == {("2011-01-05", "notice_csv")}
 
 
+def test_label_table_with_exchanged_columns_fails(spark, tmp_path):
+    swapped = HEADER.replace("srcIP, srcPort, dstIP", "dstIP, srcPort, srcIP")
+    (tmp_path / "20110105_notice.csv").write_text(swapped + "1, 10.0.0.1, 80, , , alpha, 20, 1.5, 3, notice\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        labels.read_labels_csv(spark, str(tmp_path)).collect()
+
+
+def test_damaged_label_rows_are_marked(spark, tmp_path):
+    (tmp_path / "20110105_notice.csv").write_text(
+        HEADER + "1, 10.0.0.1, eighty, , , alpha, 20, 1.5, 3, notice\n2, , , , , beta, 504, 0.25, 2, x\n3, short\n"
+    )
+    (tmp_path / "20110105_notice.xml").write_text(
+        "<set><entry><id>one</id><kind>a</kind></entry><entry><id>2</id></entry></set>"
+    )
+    rows = labels.read_labels_csv(spark, str(tmp_path))
+    assert {r["anomalyID"]: r["damaged"] for r in rows.collect()} == {1: True, 2: False, 3: True}
+    assert rows.where("damaged").count() == 2
+    found = labels.read_labels_xml(spark, str(tmp_path), "entry", "id INT, kind STRING").collect()
+    assert {(r["id"], r["damaged"]) for r in found} == {(None, True), (2, False)}
+
+
 def test_label_document(spark, tmp_path):
     (tmp_path / "20110105_notice.xml").write_text(
         "<set><entry><id>1</id><kind>a</kind></entry><entry><id>2</id></entry></set>"

@@ -132,6 +132,27 @@ def test_a_stream_goes_on_where_it_stopped(spark, rows, tmp_path):
     assert deliver(rows[50:200]).count() == 200  # half a part is delivered again
 
 
+def test_the_last_result_stands_after_a_restart(spark, rows, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(folder)
+
+    def run():
+        stream = spark.readStream.schema(SCHEMA).parquet(folder)
+        return streams.latest_result(stream.groupBy("key").count(), out, state)
+
+    first = sorted(map(tuple, run().collect()))
+    assert first and sorted(map(tuple, run().collect())) == first
+    spark.createDataFrame(rows[:10], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    assert sum(r["count"] for r in run().collect()) == 310
+
+
+def test_updates_give_the_last_state_and_state_ends(arriving, batch):
+    def complete(df):
+        return streams.day_completeness(df, ["key"], "kind", ["z", "x", "y"], "ts", "1 hour")
+
+    same(streams.updated_result(complete(arriving), ["key", "day"]), complete(batch))
+
+
 def test_pointer_stream(spark, tmp_path):
     root, late = str(tmp_path / "v1.1"), str(tmp_path / "late")
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
