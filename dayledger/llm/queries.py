@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayledger.llm import lines, mixing, packing, quality, simhash, toxicity
+from dayledger.llm import (
+    caps, collisions, lines, mixing, packing, quality, secret_scan, simhash, templates, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +25,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_neighbours(spark, folder):
+    return collisions.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op2_toxicity(spark, folder):
     documents, labels = (table(spark, folder, t) for t in ("documents", "labels"))
@@ -34,6 +41,11 @@ def op3_mix(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
 
+@query
+def op4_secrets(spark, folder):
+    return secret_scan.report(secret_scan.secrets(table(spark, folder, "documents")))
+
+
 @query
 def op5_lines(spark, folder):
     documents = lines.deduplicated(table(spark, folder, "documents"))
@@ -47,12 +59,22 @@ def op5_lines(spark, folder):
     )
 
 
+@query
+def op6_main_text(spark, folder):
+    return templates.main_texts(table(spark, folder, "pages"))
+
+
 @query
 def op7_quality(spark, folder):
     documents, labels = (table(spark, folder, t) for t in ("documents", "labels"))
     return quality.rated(documents, quality.train(documents, labels))
 
 
+@query
+def op8_caps(spark, folder):
+    return caps.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query
 def op9_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))

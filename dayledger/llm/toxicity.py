@@ -46,7 +46,7 @@ GROUPS = (
 #: Bytes that are not letters in ASCII part words, capitals become small; other
 #: punctuation and spaces outside ASCII part words too.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-MARKS = re.compile("[\u0080-¿×÷ -⁯　-〿﻿]")
+MARKS = re.compile("[\\u0080-\\u00bf\\u00d7\\u00f7\\u2000-\\u206f\\u3000-\\u303f\\ufeff]")
 
 
 def words_of(text: str | None) -> set[bytes]:
