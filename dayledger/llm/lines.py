@@ -4,7 +4,8 @@ Two lines are linked if ``EDITS`` or fewer insertions, deletions and replacement
 one of the other. Cut into ``EDITS + 1`` segments, the shorter line then has one that the other one
 holds unchanged, near the same place. So every line is indexed under its segments, with its length,
 and probes the substrings that could be a segment of a line of each length that is in reach; lines
-that meet are compared by a banded bit-parallel edit distance.
+that meet are compared, sign by sign, by a banded bit-parallel edit distance. No pair leaves the task
+that compares it: out come the number of links of each line and links that connect what is linked.
 
 Equal lines are one from the start, so copies of a line cost nothing in the join. Lines are told
 apart by a 64-bit hash. Lines of fewer than ``SHORTEST`` characters are only compared for equality,
@@ -27,6 +28,9 @@ from dayledger.session import kept
 
 EDITS = 2
 SHORTEST = 20
+#: Lines of a sign that are compared at a time, by either role; rows of a group of small signs.
+TILE = 256
+ROWS = 2048
 #: Lines that a task remembers having sent.
 REMEMBERED = 200_000
 #: Bits of the filter that keeps most lines out of a join; its size does not depend on the data.
@@ -84,6 +88,18 @@ def probes(line: str, edits: int) -> list[int]:
     return list(found)
 
 
+def shared(a: str, b: str, most: int) -> int:
+    """Length of the common beginning, ``most`` at most, by halving."""
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is ``edits`` or less.
 
@@ -95,13 +111,10 @@ def within(a: str, b: str, edits: int) -> bool:
         a, b = b, a
     if len(b) - len(a) > edits:
         return False
-    start = 0
-    while start < len(a) and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < len(a) - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    start = shared(a, b, len(a))
+    a, b = a[start:], b[start:]
+    end = shared(a[::-1], b[::-1], len(a))
+    a, b = a[: len(a) - end], b[: len(b) - end]
     if not a:
         return len(b) <= edits
     width = 2 * edits + 1
@@ -218,37 +231,111 @@ def signatures(docs: DataFrame, text_col: str, repeated: DataFrame, edits: int)
     return single.union(others)
 
 
-def linked(docs: DataFrame, text_col: str, repeated: DataFrame, edits: int) -> DataFrame:
-    """Links a < b between ids of different lines within ``edits`` of each other."""
-    signs = signatures(docs, text_col, repeated, edits)
-    own = signs.where("role = 0").select(F.col("id").alias("a"), "sign")
-    probe = signs.where("role = 1").select(F.col("id").alias("b"), F.col("sign").alias("other"))
-    met = own.join(probe, (F.col("sign") == F.col("other")) & (F.col("a") != F.col("b")))
-    pairs = kept(
-        met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"
+def members(signs: DataFrame) -> DataFrame:
+    """The rows of ``signs`` that meet a row of another line in the other role: sign, id, role.
+
+    Semi joins with a condition: what comes out is never more than what went in, and the adaptive
+    skew join splits a sign that many lines have.
+    """
+    own = signs.where("role = 0").select("sign", "id")
+    probe = signs.where("role = 1").select("sign", "id")
+
+    def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+        other = right.select(F.col("sign").alias("__sign"), F.col("id").alias("__id"))
+        met = (F.col("sign") == F.col("__sign")) & (F.col("id") != F.col("__id"))
+        return left.join(other, met, "left_semi")
+
+    probing = kept(meeting(probe, own), "probing")
+    found = meeting(own, probing)
+    return probing.withColumn("role", F.lit(1)).union(found.withColumn("role", F.lit(0)))
+
+
+def cells(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows to compare, by ``cell``: many signs of a few lines, or one tile of a large sign.
+
+    Indexed and probing lines of a sign are dealt into parts of ``TILE`` rows; a tile is a part of
+    either. Every row has its line and all the signs that it shares, by role.
+    """
+    lists = met.groupBy("id").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("sign")))).alias(name)
+        for role, name in enumerate(("indexed", "probed"))
+    ])
+    whole = kept(lists.join(texts, "id"), "whole")
+    sizes = met.groupBy("sign").agg(*[
+        F.ceil(F.count_if(F.col("role") == role) / TILE).alias(f"parts_{role}") for role in (0, 1)
+    ])
+    number = -(-met.count() // ROWS) or 1
+    dealt = join_groups(met, kept(sizes, "sizes"), ["sign"])
+    mine = F.when(F.col("role") == 0, F.col("parts_0")).otherwise(F.col("parts_1"))
+    others = F.when(F.col("role") == 0, F.col("parts_1")).otherwise(F.col("parts_0"))
+    tiled = dealt.select(
+        "sign", "id", "role", (F.greatest("parts_0", "parts_1") > 1).alias("large"),
+        F.pmod(F.xxhash64("id"), mine).alias("part"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)).alias("other"),
     )
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    packed = np.packbits(filter_of(wanted)).tobytes()
+    at = F.when(F.col("role") == 0, F.array("part", "other")).otherwise(F.array("other", "part"))
+    small = F.pmod(F.xxhash64("sign"), F.lit(number))
+    return tiled.withColumn(
+        "cell", F.when(F.col("large"), F.xxhash64("sign", at)).otherwise(small)
+    ).withColumn("tile", F.when(F.col("large"), at).otherwise(F.array(F.lit(0).cast("bigint")))).select(
+        "cell", "tile", "sign", "id", "role"
+    ).join(whole, "id")
+
+
+def linker(edits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Compares the indexed with the probing lines of each sign.
+
+    A pair counts at the first sign at which it meets. Out come the number of links of each line
+    (a = b), and links (0) that connect all that is linked.
+    """
+
+    def link(cell: pd.DataFrame) -> pd.DataFrame:
+        counts: dict[int, int] = {}
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        cell = cell.assign(tile=cell["tile"].map(tuple))
+        for (sign, _), rows in cell.groupby(["sign", "tile"]):
+            sides: list[list[tuple]] = [[], []]
+            for r in rows.itertuples():
+                sides[r.role].append((r.id, r.line, set(r.indexed), set(r.probed)))
+            for a, x, index_a, probe_a in sides[0]:
+                for b, y, index_b, probe_b in sides[1]:
+                    if a == b or not 0 <= len(y) - len(x) <= edits or not within(x, y, edits):
+                        continue
+                    if min((index_a & probe_b) | (probe_a & index_b)) < sign:
+                        continue
+                    # Lines of one length meet twice at a sign that both have in both roles.
+                    if sign in probe_a and sign in index_b and a > b:
+                        continue
+                    counts[a] = counts.get(a, 0) + 1
+                    counts[b] = counts.get(b, 0) + 1
+                    up[root(a)] = root(b)
+        rows = [(a, a, n) for a, n in counts.items()] + [(a, root(a), 0) for a in up if root(a) != a]
+        return pd.DataFrame(rows, columns=["a", "b", "links"]).astype("int64")
+
+    return link
+
+
+def linked(docs: DataFrame, text_col: str, repeated: DataFrame, edits: int) -> DataFrame:
+    """Rows (a, b, links): how many lines ``a`` links to, in parts (a = b), and links that connect."""
+    met = kept(members(signatures(docs, text_col, repeated, edits)), "met")
+    packed = np.packbits(filter_of(met.select("id"))).tobytes()
 
     def asked() -> Callable:
         maybe = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         lines = new_lines()
         return lambda text: [(n, line) for n, line in lines(text) if maybe[n % len(maybe)]]
 
-    texts = kept(
-        scan(docs, text_col, asked, "id bigint, line string").dropDuplicates(["id"]), "lines"
-    )
-    paired = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "line_a"}), "a").join(
-        texts.withColumnsRenamed({"id": "b", "line": "line_b"}), "b"
+    wanted = scan(docs, text_col, asked, "id bigint, line string").dropDuplicates(["id"])
+    return cells(met, wanted).groupBy("cell").applyInPandas(
+        linker(edits), "a bigint, b bigint, links bigint"
     )
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = [within(x, y, edits) for x, y in zip(batch["line_a"], batch["line_b"], strict=True)]
-            yield batch.loc[good, ["a", "b"]]
-
-    return paired.select("a", "b", "line_a", "line_b").mapInPandas(verify, "a bigint, b bigint")
-
 
 def line_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS
@@ -277,10 +364,8 @@ def line_classes(
         "firsts",
     )
     links = kept(linked(docs, text_col, lines.where("n > 1").select("id"), edits), "links")
-    counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(
-        F.count("*").alias("links")
-    )
-    roots = components(links).withColumnRenamed("component_id", "root")
+    counts = links.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    roots = components(links.select("a", "b")).withColumnRenamed("component_id", "root")
     of_class = join_groups(
         lines.join(roots, "id").select("id", "root", "first"),
         lines.join(roots, "id").groupBy("root").agg(F.min("first").alias("class_first")), ["root"],
