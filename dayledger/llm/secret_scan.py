@@ -5,8 +5,8 @@ a text at a pattern and extracting the pattern give, in turn, what lies between
 running lengths are the places, counted in code points.
 
 The models are counts of pairs of neighbouring characters in two kinds of labelled strings: the
-values that the fixed shapes find are random strings, other long words of the texts are ordinary
-identifiers. A long word is a secret if the random model explains it better by more than a margin
+values that the fixed shapes find are random strings, other long words that are built like names are
+ordinary identifiers. A long word is a secret if the random model explains it better by more than a margin
 for each pair and in total.
 """
 
@@ -29,6 +29,10 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 6
 #: Words that the models read: long runs of the characters of keys and identifiers.
 WORD = r"[A-Za-z0-9+/_=-]{16,}"
+#: Fixed value: words built like names, of parts in letters: snake_case, kebab-case, CamelCase.
+NAME = r"^[A-Z]?[a-z]+(?:[_-]?[A-Z]?[a-z]+)*$"
+#: Weight of a character's own share against the counts of its pairs.
+BACK_OFF = 8.0
 #: Strings of each kind that training reads.
 STRINGS = 20_000
 #: Mean and total log-likelihood ratio that a secret exceeds.
@@ -114,13 +118,19 @@ def counts(strings: DataFrame) -> list[int]:
     return found
 
 
-def smoothed(found: list[int], alphabet: int) -> list[float]:
-    """Log probabilities of a character after another one, by adding one to every count."""
+def smoothed(found: list[int]) -> list[float]:
+    """Log probabilities of a character after another one.
+
+    Counts of a pair are filled up by ``BACK_OFF`` of the second character's own share, so a
+    character that a kind of string hardly has stays unlikely after any other.
+    """
+    seconds = [sum(found[second::SIZE]) + 0.5 for second in range(SIZE)]
+    every = sum(seconds)
     logs = []
     for first in range(SIZE):
         row = found[first * SIZE : (first + 1) * SIZE]
-        total = sum(row) + alphabet
-        logs += [math.log((n + 1) / total) for n in row]
+        total = sum(row) + BACK_OFF
+        logs += [math.log((n + BACK_OFF * s / every) / total) for n, s in zip(row, seconds, strict=True)]
     return logs
 
 
@@ -128,17 +138,17 @@ def train(found: DataFrame) -> list[float]:
     """The log-likelihood ratio of every pair of characters, random against ordinary.
 
     Random strings are the labelled values and keys of the shapes, ordinary ones the long words that
-    overlap none of them. Both samples are bounded.
+    overlap none of them and are built like names. Both samples are bounded.
     """
     values = F.concat(
         F.transform("assign", lambda x: value_of(x["match"])),
         F.transform("access", lambda x: x["match"]), F.transform("hex", lambda x: x["match"]),
     )
     words = F.transform(
-        F.filter("words", lambda x: apart(x, "assign", "access", "hex")), lambda x: x["match"]
+        F.filter("words", lambda x: apart(x, "assign", "access", "hex") & x["match"].rlike(NAME)),
+        lambda x: x["match"],
     )
-    random = smoothed(counts(sampled(found, values)), 64)
-    ordinary = smoothed(counts(sampled(found, words)), 64)
+    random, ordinary = (smoothed(counts(sampled(found, s))) for s in (values, words))
     return [a - b for a, b in zip(random, ordinary, strict=True)]
 
 
