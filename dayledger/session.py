@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,19 +37,27 @@ def session(app: str = "dayledger", **settings: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it gets a temporary folder.
+    Only a session whose executors are threads of the driver may go without the setting.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    return named or local_folder(spark.sparkContext.master)
+
+
+@lru_cache(maxsize=1)
+def local_folder(master: str) -> str:
+    """A temporary folder for a process that is the whole cluster."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dayledger-"))
-    return spark.sparkContext.getCheckpointDir()
+    return tempfile.mkdtemp(prefix="dayledger-")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below a folder of this application's own.
+
+    That folder can be deleted as a whole when the application has ended.
+    """
+    application = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    return f"{application}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:

@@ -16,10 +16,6 @@ def spark():
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="6g",
-        # Tests run many small streams: the in-memory store starts faster.
-        spark__sql__streaming__stateStore__providerClass=(
-            "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
-        ),
     )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark

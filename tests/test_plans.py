@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from dayledger.operators import joins, ranks, volume
 from dayledger.plans.tables import QUERIES
-from dayledger.session import kept, shared_folder
+from dayledger.session import kept, local_folder, shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -144,7 +144,10 @@ def test_rows_with_a_hot_partner_are_split(hot):
 
 def test_shared_folder_is_the_one_named(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_folder(spark) == (named or spark.sparkContext.getCheckpointDir())
-    if named:
-        written = kept(spark.range(3)).inputFiles()
-        assert all(named in f for f in written)
+    assert shared_folder(spark) == (named or local_folder(spark.sparkContext.master))
+    written = kept(spark.range(3)).inputFiles()
+    assert all(f"/{spark.sparkContext.applicationId}/" in f for f in written)
+    with pytest.raises(ValueError):
+        local_folder("local-cluster[2,1,1024]")
+    with pytest.raises(ValueError):
+        local_folder("yarn")
