@@ -101,7 +101,7 @@ def faulty(spark, tmp_path_factory):
     v = made.record("20110105_notice.csv")
     expected[made.write_record(f"{root}/set=20", "20110105", v, file_name="20110105_other.csv")] = {"name_is_file"}
     expected[made.write_record(f"{root}/set=21", "20110106", v)] = {"name_date", "url_date"}
-    v = made.record("201101051400.pcap.gz", etag="1-425fef8cdcb40")
+    v = made.record("201101051400.pcap.gz", etag="1-4c0ffee123456")
     expected[made.write_record(f"{root}/set=22", "20110105", v)] = {"tag_size"}
     v = made.record("20111301_notice.csv")
     expected[made.write_record(f"{root}/set=23", "20111301", v)] = {"name_date", "url_date", "calendar_date"}
@@ -159,10 +159,10 @@ def test_url_parts(spark):
 
 
 def test_source_tags(spark):
-    df = spark.createDataFrame([("2d091815-425fef8cdcb40",), ("273216480",), (None,), ("zz-1",)], ["tag"])
+    df = spark.createDataFrame([("2d091815-4c0ffee123456",), ("273216480",), (None,), ("zz-1",)], ["tag"])
     rows = tags.decode_source_tag(df, "tag").withColumn("at", F.unix_micros("tag_modified")).collect()
     assert [r["tag_size"] for r in rows] == [755570709, None, None, None]
-    assert [r["at"] for r in rows] == [int("425fef8cdcb40", 16), None, None, None]
+    assert [r["at"] for r in rows] == [int("4c0ffee123456", 16), None, None, None]
 
 
 def test_publish_lag(spark, tree):
@@ -172,7 +172,7 @@ def test_publish_lag(spark, tree):
     )
     for row in tags.publish_lag(traces, "tag_modified", "captured_at").collect():
         captured = dt.datetime.strptime(row["path"][:8], "%Y%m%d") + dt.timedelta(hours=5)
-        published = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int("425fef8cdcb40", 16))
+        published = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int("4c0ffee123456", 16))
         assert row["lag_seconds"] == pytest.approx((published - captured).total_seconds())
 
 
