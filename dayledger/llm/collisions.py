@@ -40,6 +40,8 @@ WIDER = 1.15
 #: Vectors of a block and queries that search it at a time.
 BLOCK = 4096
 QUERIES = 4096
+#: Queries of a group whose windows are found together.
+AT_ONCE = 256
 SEED = 5
 
 
@@ -55,51 +57,69 @@ def least_count(projections: int, width: float = WIDTH, sure: float = SURE) -> i
 
 
 class Block:
-    """The vectors of a block, of one length, and their sorted projections."""
+    """The vectors of a block, of one length, their sorted projections and their places in them."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, longest: float, projections: int):
         self.ids, self.x, self.longest = ids, x, longest
         scaled = x / longest
         rest = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", scaled, scaled)))
         self.lines = lines(x.shape[1], projections)
-        projected = np.column_stack([scaled, rest]) @ self.lines
-        self.order = np.ascontiguousarray(projected.argsort(0).T)
-        self.values = np.ascontiguousarray(np.sort(projected, 0).T)
+        projected = (np.column_stack([scaled, rest]) @ self.lines).T
+        order = projected.argsort(1, kind="stable")
+        self.values = np.take_along_axis(projected, order, 1)
+        places = np.arange(len(x), dtype=np.int32)
+        self.places = np.empty((projections, len(x)), np.int32 if len(x) >= 1 << 15 else np.int16)
+        np.put_along_axis(self.places, order, places.astype(self.places.dtype)[None, :], 1)
         self.least = least_count(projections)
 
-    def search(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The nearest found, nearest first, ties to the smaller id; none that has the query's id."""
-        length = sqrt(float(q @ q))
-        at = (q / length) @ self.lines[:-1]
-        left = np.array([v.searchsorted(p) for v, p in zip(self.values, at, strict=True)])
-        right = left.copy()
-        counts = np.zeros(len(self.x), np.int64)
-        seen = self.ids == own
-        best: list[tuple[float, int]] = []
-        distance = FIRST
-        while True:
-            half = WIDTH * distance
-            ring = []
-            for j, (v, p) in enumerate(zip(self.values, at, strict=True)):
-                low, high = v.searchsorted(p - half), v.searchsorted(p + half, "right")
-                ring += [self.order[j, low : left[j]], self.order[j, right[j] : high]]
-                left[j], right[j] = low, high
-            counts += np.bincount(np.concatenate(ring), minlength=len(counts))
-            # No two vectors of length 1 are further apart than 2.
-            new = np.flatnonzero(((counts >= self.least) | (distance >= 2)) & ~seen)
-            seen[new] = True
-            scores = self.x[new] @ q
-            best = sorted(
-                best + [(-float(scores[i]), int(self.ids[new[i]])) for i in top(scores, self.ids[new], k)]
-            )[:k]
-            enough = self.longest * length * (1 - distance * distance / 2)
-            if distance >= 2 or (len(best) == k and -best[-1][0] >= enough):
-                return [(number, -score) for score, number in best]
-            distance = min(2.0, distance * WIDER)
+    def windows(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """First places in the windows around the projections ``at``, and their numbers of places."""
+        low = np.stack([v.searchsorted(p - half) for v, p in zip(self.values, at.T, strict=True)], 1)
+        high = np.stack([v.searchsorted(p + half, "right") for v, p in zip(self.values, at.T, strict=True)], 1)
+        kind = self.places.dtype
+        return low.astype(kind), (high - low).astype(kind.str.replace("i", "u"))
+
+    def search(self, own: np.ndarray, q: np.ndarray, k: int) -> list[list[tuple[int, float]]]:
+        """For each query the nearest found, nearest first, ties to the smaller id; none that has the
+        query's id."""
+        lengths = np.sqrt(np.einsum("ij,ij->i", q, q))
+        at = (q / lengths[:, None]) @ self.lines[:-1]
+        seen = self.ids[None, :] == own[:, None]
+        best: list[list[tuple[float, int]]] = [[] for _ in own]
+        offset = np.empty_like(self.places)
+        inside = np.empty(self.places.shape, bool)
+        active, distance = np.arange(len(own)), FIRST
+        while len(active):
+            low, wide = self.windows(at[active], WIDTH * distance)
+            left = []
+            for i, first, width in zip(active, low, wide, strict=True):
+                # How many windows hold the vector: its place from the window's first one on.
+                np.subtract(self.places, first[:, None], out=offset)
+                np.less(offset.view(width.dtype), width[:, None], out=inside)
+                counts = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint16)
+                # No two vectors of length 1 are further apart than 2.
+                new = np.flatnonzero(((counts >= self.least) | (distance >= 2)) & ~seen[i])
+                seen[i, new] = True
+                # A product with all rows is quicker than picking out a good part of them.
+                many = 8 * len(new) > len(self.x)
+                scores = (self.x @ q[i])[new] if many else self.x[new] @ q[i]
+                best[i] = sorted(
+                    best[i] + [(-float(scores[j]), int(self.ids[new[j]])) for j in top(scores, self.ids[new], k)]
+                )[:k]
+                enough = self.longest * lengths[i] * (1 - distance * distance / 2)
+                if distance < 2 and (len(best[i]) < k or -best[i][-1][0] < enough):
+                    left.append(i)
+            active, distance = np.array(left, np.int64), min(2.0, distance * WIDER)
+        return [[(number, -score) for score, number in found] for found in best]
 
 
 def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k] if len(scores) > k else np.arange(len(scores))
+    """Places of the k largest scores, ties to the smaller id."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    among = np.flatnonzero(scores >= least)
+    return among[np.lexsort((ids[among], -scores[among]))[:k]]
 
 
 def searcher(k: int, projections: int, longest: float) -> Callable:
@@ -111,9 +131,11 @@ def searcher(k: int, projections: int, longest: float) -> Callable:
                 continue
             own = own.sort_values("vec_id")
             block = Block(own["vec_id"].to_numpy(np.int64), stacked(own["vec"], int(dim)), longest, projections)
-            for number, vec in zip(mine["vec_id"], mine["vec"], strict=True):
-                found = block.search(int(number), np.asarray(vec, float), k)
-                rows += [(int(number), i, s) for i, s in found]
+            numbers, vectors = mine["vec_id"].to_numpy(np.int64), stacked(mine["vec"], int(dim))
+            for start in range(0, len(numbers), AT_ONCE):
+                some = numbers[start : start + AT_ONCE]
+                for number, found in zip(some, block.search(some, vectors[start : start + AT_ONCE], k), strict=True):
+                    rows += [(int(number), i, s) for i, s in found]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype(
             {"query_id": "int64", "vec_id": "int64", "score": "float64"}
         )
