@@ -15,6 +15,7 @@ and blank lines not at all.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,7 @@ def lines_of(text: str | None) -> Iterator[tuple[int, str]]:
             yield place, line
 
 
+@lru_cache(maxsize=20_000)
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
     """Start and size of ``edits + 1`` segments of about equal size, longer ones last."""
     count = edits + 1
@@ -61,31 +63,44 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return found
 
 
-def sign(part: str, length: int, segment: int, edits: int) -> int:
-    number = xxhash.xxh64_intdigest(part.encode("utf-8", "replace"), length * (edits + 1) + segment)
-    return number - (1 << 64) if number >> 63 else number
-
-
-def indexed(line: str, edits: int) -> list[int]:
-    n = len(line)
-    return [sign(line[s : s + z], n, i, edits) for i, (s, z) in enumerate(segments(n, edits))]
-
-
-def probes(line: str, edits: int) -> list[int]:
-    """The substrings that may be segment i of a line of the same length or up to ``edits`` less.
+@lru_cache(maxsize=20_000)
+def probed(n: int, edits: int) -> list[tuple[int, int, int]]:
+    """Start, size and seed of the substrings of a line of length ``n`` that may be a segment of a
+    line of the same length or up to ``edits`` less.
 
     Before the first segment that is unchanged, at most i edits can have moved it; after it, at most
     ``edits - i`` can, seen from the end.
     """
-    n, found = len(line), set()
+    found = []
     for length in range(max(1, n - edits), n + 1):
         for i, (start, size) in enumerate(segments(length, edits)):
             shift, after = n - length, edits - i
             low = max(0, start - i, start + shift - after)
             high = min(n - size, start + i, start + shift + after)
-            for at in range(low, high + 1):
-                found.add(sign(line[at : at + size], length, i, edits))
-    return list(found)
+            found += [(at, size, seed(length, i, edits)) for at in range(low, high + 1)]
+    return found
+
+
+def seed(length: int, segment: int, edits: int) -> int:
+    return length * (edits + 1) + segment
+
+
+def signs(line: str, places: list[tuple[int, int, int]]) -> list[int]:
+    """Hashes of parts of a line, each with its seed."""
+    sign = xxhash.xxh64_intdigest
+    if line.isascii():
+        data = line.encode()
+        return [sign(data[at : at + size], s) for at, size, s in places]
+    return [sign(line[at : at + size].encode("utf-8", "replace"), s) for at, size, s in places]
+
+
+def indexed(line: str, edits: int) -> list[int]:
+    n = len(line)
+    return signs(line, [(at, z, seed(n, i, edits)) for i, (at, z) in enumerate(segments(n, edits))])
+
+
+def probes(line: str, edits: int) -> list[int]:
+    return list(set(signs(line, probed(len(line), edits))))
 
 
 def shared(a: str, b: str, most: int) -> int:
@@ -198,48 +213,50 @@ def filter_of(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return np.unpackbits(found.astype("<i8").view(np.uint8), bitorder="little")
 
 
-def signatures(docs: DataFrame, text_col: str, repeated: DataFrame, edits: int) -> DataFrame:
-    """id, sign, role (0 indexed, 1 probe) of every distinct line, each once.
+def signatures(docs: DataFrame, text_col: str, repeated: DataFrame, edits: int, role: int) -> DataFrame:
+    """sign and id of every distinct line in a role: 0 indexed, 1 probing.
 
     Lines that surely occur once are signed where they are read; those that may be repeated are
     first brought together by id.
     """
     packed = np.packbits(filter_of(repeated)).tobytes()
+    made = probes if role else indexed
 
-    def signed(number: int, line: str) -> list[tuple[int, int, int]]:
-        return [(number, s, 0) for s in indexed(line, edits)] + [
-            (number, s, 1) for s in probes(line, edits)
-        ]
+    def maybe_repeated() -> np.ndarray:
+        return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
 
-    def split(once: bool) -> Callable:
-        def rows() -> Callable:
-            maybe = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-            lines = new_lines()
-            if once:
-                return lambda text: [
-                    row for n, line in lines(text) if not maybe[n % len(maybe)]
-                    for row in signed(n, line)
-                ]
-            return lambda text: [(n, line) for n, line in lines(text) if maybe[n % len(maybe)]]
+    def several() -> Callable:
+        maybe, lines = maybe_repeated(), new_lines()
+        return lambda text: [(n, line) for n, line in lines(text) if maybe[n % len(maybe)]]
+
+    def rows(numbers: list[int], lines: list[str]) -> pa.RecordBatch:
+        signed = [made(line, edits) for line in lines]
+        owner = np.repeat(np.array(numbers, np.int64), [len(x) for x in signed])
+        flat = np.fromiter((x for own in signed for x in own), np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owner)], ["sign", "id"])
+
+    def sign_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe, lines = maybe_repeated(), new_lines()
+        for batch in batches:
+            own = [x for t in batch.column(0) for x in lines(t.as_py()) if not maybe[x[0] % len(maybe)]]
+            yield rows([n for n, _ in own], [line for _, line in own])
 
-        return rows
+    def sign_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield rows(batch.column(0).to_pylist(), batch.column(1).to_pylist())
 
-    schema = "id bigint, sign bigint, role bigint"
-    single = scan(docs, text_col, split(True), schema)
-    several = scan(docs, text_col, split(False), "id bigint, line string").dropDuplicates(["id"])
-    others = scan(several, "line", lambda: lambda n, line: signed(n, line), schema, F.col("id"))
-    return single.union(others)
+    schema = "sign bigint, id bigint"
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    together = scan(docs, text_col, several, "id bigint, line string").dropDuplicates(["id"])
+    return texts.mapInArrow(sign_texts, schema).union(together.mapInArrow(sign_lines, schema))
 
 
-def members(signs: DataFrame) -> DataFrame:
-    """The rows of ``signs`` that meet a row of another line in the other role: sign, id, role.
+def members(own: DataFrame, probe: DataFrame) -> DataFrame:
+    """The rows that meet a row of another line in the other role: sign, id, role.
 
     Semi joins with a condition: what comes out is never more than what went in, and the adaptive
     skew join splits a sign that many lines have.
     """
-    own = signs.where("role = 0").select("sign", "id")
-    probe = signs.where("role = 1").select("sign", "id")
-
     def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
         other = right.select(F.col("sign").alias("__sign"), F.col("id").alias("__id"))
         met = (F.col("sign") == F.col("__sign")) & (F.col("id") != F.col("__id"))
@@ -323,7 +340,8 @@ def linker(edits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def linked(docs: DataFrame, text_col: str, repeated: DataFrame, edits: int) -> DataFrame:
     """Rows (a, b, links): how many lines ``a`` links to, in parts (a = b), and links that connect."""
-    met = kept(members(signatures(docs, text_col, repeated, edits)), "met")
+    own = kept(signatures(docs, text_col, repeated, edits, 0), "indexed")
+    met = kept(members(own, signatures(docs, text_col, repeated, edits, 1)), "met")
     packed = np.packbits(filter_of(met.select("id"))).tobytes()
 
     def asked() -> Callable:
