@@ -156,7 +156,9 @@ def train(
     telling = counted.withColumn(
         "evidence", evidence(F.col("texts"), F.col("toxic"), sum(drawn.values()), drawn[1])
     ).where(F.col("evidence") >= EVIDENCE).orderBy(F.col("evidence").desc(), "word").limit(WORDS)
-    listed = [bytes(r["word"]) for r in telling.collect()]
+    # The beginning of a term would carry its weight past the penalty.
+    beginnings = {t[:n] + b"-" for group in terms for t in group for n in STEMS}
+    listed = [w for w in (bytes(r["word"]) for r in telling.collect()) if w not in beginnings]
     listed += [t for group in terms for t in group if t not in set(listed)]
     place = {word: i for i, word in enumerate(listed)}
 
