@@ -14,7 +14,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.deduplicated(docs).withColumn(
+    return lines.deduplicated(docs, share=lines.SHARE).withColumn(
         "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)
     ).select(*docs.columns)
 

@@ -7,13 +7,20 @@ and probes the substrings that could be a segment of a line of each length that
 that meet are compared, sign by sign, by a banded bit-parallel edit distance. No pair leaves the task
 that compares it: out come the number of links of each line and links that connect what is linked.
 
+With a share, the threshold grows with the line. A line of fewer than ``LONG`` characters links within
+that share of the shorter line's characters; a longer one within ``EDITS`` characters or that share
+of the shorter line's words, inserted, deleted or replaced. So many word edits leave a run of words
+unchanged, whose length follows from the share (``RUNS``); of every run of that length both lines sign
+the same words, the least hash of its short grams, so lines within the threshold always meet.
+
 Equal lines are one from the start, so copies of a line cost nothing in the join. Lines are told
-apart by a 64-bit hash. Lines of fewer than ``SHORTEST`` characters are only compared for equality,
-and blank lines not at all.
+apart by a 64-bit hash. Without a share, lines of fewer than ``SHORTEST`` characters are only compared
+for equality; blank lines are not compared at all.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -21,6 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +37,13 @@ from dayledger.session import kept
 
 EDITS = 2
 SHORTEST = 20
+#: The part of a line that may differ, for a threshold that grows; its characters count below LONG.
+SHARE = 0.1
+LONG = 60
+#: Words of the grams that are signed, and grams of a run that choose one: by the words of the
+#: shorter line, from and below. At a tenth, 10 words keep a run of 5 and 40 or more one of 8.
+GRAM = 4
+RUNS = ((10, 40, 2), (40, 1 << 40, 5))
 #: Lines of a sign that are compared at a time, by either role; rows of a group of small signs.
 TILE = 256
 ROWS = 2048
@@ -36,6 +51,7 @@ ROWS = 2048
 REMEMBERED = 200_000
 #: Bits of the filter that keeps most lines out of a join; its size does not depend on the data.
 FILTER_BITS = 1 << 23
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def line_id(line: str) -> int:
@@ -63,26 +79,39 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return found
 
 
+def allowed(length: int, edits: int, share: float | None) -> int:
+    """Edits of characters that link, by the length of the shorter line."""
+    return edits if share is None or length >= LONG else int(length * share)
+
+
+def word_edits(words: int) -> int:
+    return int(words * SHARE)
+
+
 @lru_cache(maxsize=20_000)
-def probed(n: int, edits: int) -> list[tuple[int, int, int]]:
+def probed(n: int, edits: int, share: float | None = None) -> list[tuple[int, int, int]]:
     """Start, size and seed of the substrings of a line of length ``n`` that may be a segment of a
-    line of the same length or up to ``edits`` less.
+    line of the same length or of one that is shorter by no more than its edits.
 
     Before the first segment that is unchanged, at most i edits can have moved it; after it, at most
     ``edits - i`` can, seen from the end.
     """
     found = []
-    for length in range(max(1, n - edits), n + 1):
-        for i, (start, size) in enumerate(segments(length, edits)):
-            shift, after = n - length, edits - i
+    most = edits if share is None else max(edits, int(LONG * share))
+    for length in range(max(1, n - most), n + 1):
+        own = allowed(length, edits, share)
+        if not own and share is not None or n - length > own:
+            continue
+        for i, (start, size) in enumerate(segments(length, own)):
+            shift, after = n - length, own - i
             low = max(0, start - i, start + shift - after)
             high = min(n - size, start + i, start + shift + after)
-            found += [(at, size, seed(length, i, edits)) for at in range(low, high + 1)]
+            found += [(at, size, seed(length, i)) for at in range(low, high + 1)]
     return found
 
 
-def seed(length: int, segment: int, edits: int) -> int:
-    return length * (edits + 1) + segment
+def seed(length: int, segment: int) -> int:
+    return length * 1024 + segment
 
 
 def signs(line: str, places: list[tuple[int, int, int]]) -> list[int]:
@@ -94,13 +123,66 @@ def signs(line: str, places: list[tuple[int, int, int]]) -> list[int]:
     return [sign(line[at : at + size].encode("utf-8", "replace"), s) for at, size, s in places]
 
 
-def indexed(line: str, edits: int) -> list[int]:
+def indexed(line: str, edits: int, share: float | None = None) -> list[int]:
     n = len(line)
-    return signs(line, [(at, z, seed(n, i, edits)) for i, (at, z) in enumerate(segments(n, edits))])
+    own = segments(n, allowed(n, edits, share))
+    return signs(line, [(at, z, seed(n, i)) for i, (at, z) in enumerate(own)])
+
+
+def probes(line: str, edits: int, share: float | None = None) -> list[int]:
+    return list(set(signs(line, probed(len(line), edits, share))))
+
+
+def words_of(line: str) -> list[bytes]:
+    return line.encode("utf-8", "replace").split()
+
+
+def word_signs(line: str) -> list[int]:
+    """Of every run of words that may be all that is unchanged, the least hash of its grams.
+
+    A line is signed once for each row of ``RUNS`` in which it may be the shorter or the longer one.
+    """
+    words = words_of(line)
+    found: list[int] = []
+    if len(words) < RUNS[0][0]:
+        return found
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    for kind, (least, below, window) in enumerate(RUNS):
+        if not least <= len(words) < below + word_edits(below - 1):
+            continue
+        grams = np.full(len(words) - GRAM + 1, kind + 1, np.uint64)
+        for i in range(GRAM):
+            grams = (grams ^ hashes[i : i + len(grams)]) * MIX
+            grams ^= grams >> np.uint64(29)
+        found += np.unique(sliding_window_view(grams, window).min(1)).tolist()
+    return found
 
 
-def probes(line: str, edits: int) -> list[int]:
-    return list(set(signs(line, probed(len(line), edits))))
+def words_within(a: list[bytes], b: list[bytes], edits: int) -> bool:
+    """Whether the edit distance is ``edits`` or less, by the places reached on each diagonal.
+
+    ``reached[d]`` is the number of words of ``a`` read, and d more of ``b``, with the edits so far.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > edits:
+        return False
+    reached: dict[int, int] = {}
+    for e in range(edits + 1):
+        after = {}
+        for d in range(max(-e, -n), min(e, m) + 1):
+            at = 0 if e == 0 else max(
+                reached.get(d, -2) + 1, reached.get(d - 1, -1), reached.get(d + 1, -2) + 1
+            )
+            at = min(at, n, m - d)
+            if at < 0 or at + d < 0:
+                continue
+            while at < n and at + d < m and a[at] == b[at + d]:
+                at += 1
+            if at == n and at + d == m:
+                return True
+            after[d] = at
+        reached = after
+    return False
 
 
 def shared(a: str, b: str, most: int) -> int:
@@ -184,15 +266,16 @@ def scan(docs: DataFrame, text_col: str, rows: Callable, schema: str, *before: C
     return docs.select(*before, text).mapInArrow(of_batches, schema)
 
 
-def new_lines() -> Callable[[str], list[tuple[int, str]]]:
+def new_lines(share: float | None = None) -> Callable[[str], list[tuple[int, str]]]:
     """Ids and lines of a text that the task has not sent lately and that are compared loosely."""
+    shortest = SHORTEST if share is None else int(1 / share)
     sent: set[int] = set()
 
     def make(text: str) -> list[tuple[int, str]]:
         found = []
         for _, line in lines_of(text):
             number = line_id(line)
-            if len(line) >= SHORTEST and number not in sent:
+            if len(line) >= shortest and number not in sent:
                 if len(sent) >= REMEMBERED:
                     sent.clear()
                 sent.add(number)
@@ -213,30 +296,32 @@ def filter_of(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return np.unpackbits(found.astype("<i8").view(np.uint8), bitorder="little")
 
 
-def signatures(docs: DataFrame, text_col: str, repeated: DataFrame, edits: int, role: int) -> DataFrame:
-    """sign and id of every distinct line in a role: 0 indexed, 1 probing.
+def signatures(
+    docs: DataFrame, text_col: str, repeated: DataFrame, made: Callable[[str], list[int]],
+    share: float | None = None,
+) -> DataFrame:
+    """sign and id of every distinct line, as ``made`` signs it.
 
     Lines that surely occur once are signed where they are read; those that may be repeated are
     first brought together by id.
     """
     packed = np.packbits(filter_of(repeated)).tobytes()
-    made = probes if role else indexed
 
     def maybe_repeated() -> np.ndarray:
         return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
 
     def several() -> Callable:
-        maybe, lines = maybe_repeated(), new_lines()
+        maybe, lines = maybe_repeated(), new_lines(share)
         return lambda text: [(n, line) for n, line in lines(text) if maybe[n % len(maybe)]]
 
     def rows(numbers: list[int], lines: list[str]) -> pa.RecordBatch:
-        signed = [made(line, edits) for line in lines]
+        signed = [made(line) for line in lines]
         owner = np.repeat(np.array(numbers, np.int64), [len(x) for x in signed])
         flat = np.fromiter((x for own in signed for x in own), np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owner)], ["sign", "id"])
 
     def sign_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe, lines = maybe_repeated(), new_lines()
+        maybe, lines = maybe_repeated(), new_lines(share)
         for batch in batches:
             own = [x for t in batch.column(0) for x in lines(t.as_py()) if not maybe[x[0] % len(maybe)]]
             yield rows([n for n, _ in own], [line for _, line in own])
@@ -262,6 +347,8 @@ def members(own: DataFrame, probe: DataFrame) -> DataFrame:
         met = (F.col("sign") == F.col("__sign")) & (F.col("id") != F.col("__id"))
         return left.join(other, met, "left_semi")
 
+    if probe is own:
+        return meeting(own, own).withColumn("role", F.lit(0))
     probing = kept(meeting(probe, own), "probing")
     found = meeting(own, probing)
     return probing.withColumn("role", F.lit(1)).union(found.withColumn("role", F.lit(0)))
@@ -299,7 +386,7 @@ def cells(met: DataFrame, texts: DataFrame) -> DataFrame:
     ).join(whole, "id")
 
 
-def linker(edits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def linker(edits: int, share: float | None = None) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Compares the indexed with the probing lines of each sign.
 
     A pair counts at the first sign at which it meets. Out come the number of links of each line
@@ -322,7 +409,8 @@ def linker(edits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 sides[r.role].append((r.id, r.line, set(r.indexed), set(r.probed)))
             for a, x, index_a, probe_a in sides[0]:
                 for b, y, index_b, probe_b in sides[1]:
-                    if a == b or not 0 <= len(y) - len(x) <= edits or not within(x, y, edits):
+                    most = allowed(len(x), edits, share)
+                    if a == b or not 0 <= len(y) - len(x) <= most or not within(x, y, most):
                         continue
                     if min((index_a & probe_b) | (probe_a & index_b)) < sign:
                         continue
@@ -338,31 +426,122 @@ def linker(edits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return link
 
 
-def linked(docs: DataFrame, text_col: str, repeated: DataFrame, edits: int) -> DataFrame:
-    """Rows (a, b, links): how many lines ``a`` links to, in parts (a = b), and links that connect."""
-    own = kept(signatures(docs, text_col, repeated, edits, 0), "indexed")
-    met = kept(members(own, signatures(docs, text_col, repeated, edits, 1)), "met")
+def word_cells(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows to compare by words, by ``cell``: many signs of a few lines, or a tile of a large sign.
+
+    The lines of a sign are dealt into parts of ``TILE`` rows; a tile is two of them, or one.
+    """
+    sizes = met.groupBy("sign").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    number = -(-met.count() // ROWS) or 1
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    pair = F.array(F.least("part", "other"), F.greatest("part", "other"))
+    return join_groups(met, kept(sizes, "word-sizes"), ["sign"]).select(
+        "sign", "id", (F.col("parts") > 1).alias("large"), part.alias("part"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other"),
+    ).select(
+        "sign", "id", "part", pair.alias("tile"),
+        F.when(F.col("large"), F.xxhash64("sign", pair))
+        .otherwise(F.pmod(F.xxhash64("sign"), F.lit(number))).alias("cell"),
+    ).join(texts, "id")
+
+
+def word_linker(edits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """As ``linker``, for lines within a share of their words that their characters do not link."""
+
+    def link(cell: pd.DataFrame) -> pd.DataFrame:
+        counts: dict[int, int] = {}
+        up: dict[int, int] = {}
+        read: dict[int, tuple] = {}
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for number, line in zip(cell["id"], cell["line"], strict=True):
+            if number not in read:
+                words = words_of(line)
+                read[number] = (line, words, set(word_signs(line)), Counter(words))
+        cell = cell.assign(tile=cell["tile"].map(tuple))
+        for (sign, tile), rows in cell.groupby(["sign", "tile"]):
+            own = sorted(
+                (len(read[n][1]), n, p) for n, p in zip(rows["id"], rows["part"], strict=True)
+            )
+            sign = int(sign) % (1 << 64)
+            for i, (size, a, part) in enumerate(own):
+                most = word_edits(size)
+                x, words, signs_a, bag = read[a]
+                for longer, b, other in own[i + 1 :]:
+                    if longer - size > most:
+                        break
+                    if tile[0] != tile[1] and part == other:
+                        continue
+                    y, others, signs_b, other_bag = read[b]
+                    if min(signs_a & signs_b) < sign or (other_bag - bag).total() > most:
+                        continue
+                    if not words_within(words, others, most):
+                        continue
+                    less, more = sorted((x, y), key=len)
+                    if within(less, more, allowed(len(less), edits, SHARE)):
+                        continue
+                    counts[a] = counts.get(a, 0) + 1
+                    counts[b] = counts.get(b, 0) + 1
+                    up[root(a)] = root(b)
+        rows = [(a, a, n) for a, n in counts.items()] + [(a, root(a), 0) for a in up if root(a) != a]
+        return pd.DataFrame(rows, columns=["a", "b", "links"]).astype("int64")
+
+    return link
+
+
+def wanted(docs: DataFrame, text_col: str, met: DataFrame, share: float | None) -> DataFrame:
+    """id and line of the lines that met another one, and a few more."""
     packed = np.packbits(filter_of(met.select("id"))).tobytes()
 
     def asked() -> Callable:
         maybe = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        lines = new_lines()
+        lines = new_lines(share)
         return lambda text: [(n, line) for n, line in lines(text) if maybe[n % len(maybe)]]
 
-    wanted = scan(docs, text_col, asked, "id bigint, line string").dropDuplicates(["id"])
-    return cells(met, wanted).groupBy("cell").applyInPandas(
-        linker(edits), "a bigint, b bigint, links bigint"
+    return scan(docs, text_col, asked, "id bigint, line string").dropDuplicates(["id"])
+
+
+def linked(
+    docs: DataFrame, text_col: str, repeated: DataFrame, edits: int, share: float | None = None
+) -> DataFrame:
+    """Rows (a, b, links): how many lines ``a`` links to, in parts (a = b), and links that connect."""
+    schema = "a bigint, b bigint, links bigint"
+    own = kept(
+        signatures(docs, text_col, repeated, lambda x: indexed(x, edits, share), share), "indexed"
+    )
+    probe = signatures(docs, text_col, repeated, lambda x: probes(x, edits, share), share)
+    met = kept(members(own, probe), "met")
+    found = cells(met, wanted(docs, text_col, met, share)).groupBy("cell").applyInPandas(
+        linker(edits, share), schema
+    )
+    if share is None:
+        return found
+    own = kept(signatures(docs, text_col, repeated, word_signs, share), "word-signs")
+    met = kept(members(own, own).drop("role"), "word-met")
+    return found.union(
+        word_cells(met, wanted(docs, text_col, met, share)).groupBy("cell").applyInPandas(
+            word_linker(edits), schema
+        )
     )
 
 
 def line_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
+    share: float | None = None,
 ) -> DataFrame:
     """Every line that is not blank: row_key, place, id, first, links.
 
     ``first`` is the first place (doc_id, row_key, place) of the class of lines that links connect,
-    ``links`` the number of other lines linked directly.
+    ``links`` the number of other lines linked directly. ``share`` is none or ``SHARE``, which the
+    lengths of the runs are for.
     """
+    if share not in (None, SHARE):
+        raise ValueError(f"share must be None or {SHARE}")
+
     def rows() -> Callable:
         return lambda key, doc_id, text: [
             (key, doc_id, place, line_id(line)) for place, line in lines_of(text)
@@ -381,7 +560,7 @@ def line_classes(
         ),
         "firsts",
     )
-    links = kept(linked(docs, text_col, lines.where("n > 1").select("id"), edits), "links")
+    links = kept(linked(docs, text_col, lines.where("n > 1").select("id"), edits, share), "links")
     counts = links.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     roots = components(links.select("a", "b")).withColumnRenamed("component_id", "root")
     of_class = join_groups(
@@ -396,7 +575,8 @@ def line_classes(
 
 
 def deduplicated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
+    share: float | None = None,
 ) -> DataFrame:
     """The documents with all their columns, ``text`` without lines seen before, and line_info.
 
@@ -405,7 +585,7 @@ def deduplicated(
     Null texts are empty; blank lines stay; rows that repeat id and text are one row for this
     purpose, and all stay alike; an empty table gives an empty result.
     """
-    info = line_classes(docs, id_col, text_col, edits).select(
+    info = line_classes(docs, id_col, text_col, edits, share).select(
         "row_key",
         F.struct(
             "place",

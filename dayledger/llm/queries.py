@@ -48,7 +48,7 @@ def op4_secrets(spark, folder):
 
 @query
 def op5_lines(spark, folder):
-    documents = lines.deduplicated(table(spark, folder, "documents"))
+    documents = lines.deduplicated(table(spark, folder, "documents"), share=lines.SHARE)
     return documents.select(
         "doc_id", F.coalesce(F.size("line_info"), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size(F.filter("line_info", lambda x: x["stays"])), F.lit(0)).cast("bigint")

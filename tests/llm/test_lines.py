@@ -108,3 +108,64 @@ def test_full_filters_lose_nothing(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert lines.deduplicated(none_of(hard_docs(spark, random.Random(4)))).count() == 0
+
+
+def grows(a, b):
+    """Whether two lines link when the threshold grows: a tenth of the characters, or of the words."""
+    less, more = sorted((a, b), key=len)
+    edits = lines.EDITS if len(less) >= lines.LONG else len(less) // 10
+    if edits and lines.within(less, more, edits):
+        return True
+    x, y = sorted((a.split(), b.split()), key=len)
+    return len(y) - len(x) <= len(x) // 10 and edit_distance(x, y) <= len(x) // 10
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("ab"), max_size=14), st.lists(st.sampled_from("ab"), max_size=14), st.integers(0, 5))
+def test_word_distance_is_the_edit_distance(a, b, edits):
+    assert lines.words_within(a, b, edits) == (edit_distance(a, b) <= edits)
+
+
+def test_lines_within_a_tenth_of_their_words_share_a_sign():
+    rng = random.Random(6)
+    for _ in range(400):
+        a = sentence(rng, rng.randint(10, 130)).split()
+        b = list(a)
+        # Edits at even distances leave the shortest runs.
+        for e in range(1, len(a) // 10 + 1):
+            at = e * len(a) // (len(a) // 10 + 1)
+            b[at] = rng.choice(["", "zz", f"{a[at]} zz"])
+        x, y = (" ".join(w for w in words if w) for words in (a, b))
+        if edit_distance(x.split(), y.split()) <= min(len(x.split()), len(y.split())) // 10:
+            assert set(lines.word_signs(x)) & set(lines.word_signs(y))
+
+
+def test_one_word_changes_link_at_every_length(spark):
+    rng = random.Random(5)
+    made = []
+    for words in [2, 3, 4, 5, 7, 8, 9, *range(10, 130, 6)] * 2:
+        line = sentence(rng, words).split()
+        made.append(" ".join(line))
+        for _ in range(rng.randint(1, 3)):
+            near = list(line)
+            for _ in range(rng.randint(1, max(1, words // 10 + 1))):
+                near[rng.randrange(words)] = rng.choice(["", "zz", "another word", sentence(rng, 1)])
+            made.append(" ".join(w for w in near if w))
+    made += ["a b c d e", "Read more >", "Read more >>", "Read mare >", "x", ""]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["line_info"] for r in lines.deduplicated(docs, share=lines.SHARE).collect()}
+    groups, links = Groups(), dict.fromkeys(made, 0)
+    different = sorted(set(made) - {""})
+    for i, a in enumerate(different):
+        for b in different[:i]:
+            if grows(a, b):
+                groups.join(a, b)
+                links[a] += 1
+                links[b] += 1
+    first = {}
+    for i, line in enumerate(made):
+        first.setdefault(groups.root(line), i)
+    assert {i: (x[0]["class_doc"], x[0]["links"]) for i, x in found.items() if x} == {
+        i: (first[groups.root(line)], links[line]) for i, line in enumerate(made) if line
+    }
+    assert sum(links.values()) > 60
