@@ -10,9 +10,11 @@ is no template: a site may hold many copies of one text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 import xxhash
@@ -42,7 +44,7 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-#: Elements, roles and words of classes and ids that are no part of an article.
+#: Elements, roles, classes and ids that are no part of an article.
 NO_TEXT = set(
     "head script style noscript template nav footer aside form button select textarea iframe object "
     "svg canvas audio video dialog menu".split()
@@ -54,6 +56,12 @@ NO_CLASS = set(
     "navigation newsletter notice notices notification pagination popup promo related respond share "
     "sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand beside those in a class or id without changing what it says.
+NEUTRAL = set(
+    "area bar block body bottom box button buttons container content entry float footer global inner "
+    "item items left link links list main mobile outer page panel pane post posts right section site "
+    "slot strip text top unit wrap wrapper".split()
+)
 #: Elements that hold the paragraphs of an article.
 PROSE = set("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 NAMES = re.compile("[^a-z]+")
@@ -69,6 +77,20 @@ class Element:
     main: bool = False
     inside: bool = False
     prose: bool = False
+    #: Whether only a class or id says that it is no part of an article.
+    by_name: bool = False
+
+
+def named_out(names: str) -> bool:
+    """Whether a class or id, as a whole, names what is no part of an article.
+
+    In a compound, every word must be such a name or say nothing: post-comments, not has-sidebar.
+    """
+    for token in names.lower().split():
+        words = {w for w in NAMES.split(token) if w}
+        if words & NO_CLASS and words <= NO_CLASS | NEUTRAL:
+            return True
+    return False
 
 
 class Reader(HTMLParser):
@@ -93,7 +115,6 @@ class Reader(HTMLParser):
             return
         named = {k: v or "" for k, v in attrs}
         names = named.get("class", "") + " " + named.get("id", "")
-        words = set(NAMES.split(names.lower()))
         role = named.get("role", "").lower()
         inside = bool(self.open) and (self.open[-1][0].inside or self.open[-1][0].main)
         element = Element(tag, len(self.pieces), -1, inside=inside)
@@ -101,8 +122,9 @@ class Reader(HTMLParser):
         element.out = (
             tag in NO_TEXT or role in NO_ROLE or "hidden" in named
             or named.get("aria-hidden") == "true" or (tag == "header" and not inside)
-            or (tag not in ("html", "body", "article", "main") and bool(words & NO_CLASS))
         )
+        element.by_name = not element.out and not element.main and tag not in ("html", "body") and named_out(names)
+        element.out |= element.by_name
         element.prose = tag in PROSE
         self.elements.append(element)
         self.open.append((element, xxhash.xxh64(f"<{tag} {names}>".encode("utf-8", "replace"))))
@@ -146,6 +168,29 @@ class Reader(HTMLParser):
         self.close()
         while self.open:
             self.close_one()
+        if any(e.by_name for e in self.elements):
+            self.spare()
+
+    def spare(self) -> None:
+        """Keep what only its name puts out if it holds a marked article or most of the page's prose."""
+        gone, prose = bytearray(len(self.pieces)), bytearray(len(self.pieces))
+        for e in self.elements:
+            if e.out and not e.by_name:
+                gone[e.start : e.end] = b"\1" * (e.end - e.start)
+            if e.tag in PROSE:
+                prose[e.start : e.end] = b"\1" * (e.end - e.start)
+        upto = [0, *accumulate(
+            len(x.strip()) if x and p and not g else 0
+            for x, p, g in zip(self.pieces, prose, gone, strict=True)
+        )]
+        # Marked articles that begin, without those that are out.
+        articles = sorted(e.start for e in self.elements if e.main and not (
+            e.start < len(gone) and gone[e.start]
+        ))
+        for e in self.elements:
+            if e.by_name:
+                holds = bisect_left(articles, e.start) < bisect_left(articles, e.end)
+                e.out = not holds and 2 * (upto[e.end] - upto[e.start]) <= upto[-1]
 
 
 def read(html: str | None) -> Reader:

@@ -90,3 +90,17 @@ def test_odd_pages(spark):
     assert texts == sorted(want, key=str)
     assert templates.main_texts(none_of(df)).count() == 0
     assert templates.main_texts(df).select(F.max("n_chars")).first()[0] == 249_999
+
+
+def test_names_are_read_whole_and_spare_the_article():
+    text = "<p>The text of the page, which is long enough.</p>"
+    for name in ("page has-sidebar", "no-sidebar", "widget", "sidebar"):
+        html = f"<div class='{name}'><article>{text}</article></div><div class='ad'><p>buy</p></div>"
+        assert templates.main_text(html, set()) == "The text of the page, which is long enough."
+        html = f"<div class='{name}'>{text}</div><div class='ad'><p>buy</p></div>"
+        assert templates.main_text(html, set()) == "The text of the page, which is long enough."
+    html = (
+        f"<article>{text}<section id='related-work'><p>Others</p></section><h2 id='social-security'>Law</h2>"
+        "<div class='x related-posts'><p>more</p></div></article>"
+    )
+    assert templates.main_text(html, set()) == "The text of the page, which is long enough. Others Law"
