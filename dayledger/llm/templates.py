@@ -1,7 +1,7 @@
 """Main text of web pages, without what a site repeats.
 
 Every element of a page gets a hash of its subtree. Spark counts, for each host, on how many
-different pages a subtree occurs; those on many of them are the site's template and go. What the
+different texts a subtree occurs; those on many of them are the site's template and go. What the
 names of elements, classes and roles say is no part of an article goes too, also on hosts of a few
 pages. If a page marks its article, the text is that of the article, in which a repeated paragraph
 is no template: a site may hold many copies of one text.
@@ -24,9 +24,13 @@ from pyspark.sql import functions as F
 from dayledger.llm.common import join_groups
 from dayledger.session import kept
 
-#: A subtree is a template if it is on this part of a host's pages, and on so many at least.
+#: A subtree is a template if it is on this part of a host's different texts, and on so many at least.
+#: On hosts of more than 100 texts, this times the root of their number is enough.
 SHARE = 0.3
 PAGES = 5
+ROOTS = 3.0
+#: Elements whose text tells one article from another.
+BODY = set("p pre blockquote".split())
 
 #: Elements without an end, elements that stand in a line of text, elements whose
 #: start ends an open paragraph, and what an open element of the same kind is ended by.
@@ -207,14 +211,29 @@ def may_be_template(element: Element) -> bool:
     return not (element.inside and element.prose)
 
 
-def candidates(html: str | None) -> list[int]:
-    reader = read(html)
+def candidates(reader: Reader) -> list[int]:
     return sorted({
         e.number for e in reader.elements if may_be_template(e) and not e.out
         and any(p and not p.isspace() for p in reader.pieces[e.start : e.end] if p)
     })
 
 
+def body(reader: Reader, html: str | None) -> int:
+    """A hash of the paragraphs of a page, the same for copies whatever is around them; without any,
+    of the page."""
+    shown = bytearray(len(reader.pieces))
+    for e in reader.elements:
+        if e.tag in BODY:
+            shown[e.start : e.end] = b"\1" * (e.end - e.start)
+    for e in reader.elements:
+        if e.out:
+            shown[e.start : e.end] = bytes(e.end - e.start)
+    own = " ".join("".join(
+        " " if p is None else p if s else "" for p, s in zip(reader.pieces, shown, strict=True)
+    ).split())
+    return xxhash.xxh64_intdigest((own or html or "").encode("utf-8", "replace")) - (1 << 63)
+
+
 def main_text(html: str | None, templates: set[int]) -> str:
     reader = read(html)
     out = bytearray(len(reader.pieces))
@@ -235,27 +254,29 @@ def main_text(html: str | None, templates: set[int]) -> str:
 def site_templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
     """host and its template subtrees, from pages (host, html).
 
-    Equal pages of a host count once. A host's list is bounded by the size of a page: each of its
-    subtrees is on a given part of all pages.
+    Pages of a host with the same paragraphs count once, whatever is around them. A subtree is a
+    template on ``share`` of the host's texts or on ``ROOTS`` times the root of their number, if that
+    is less; so a host's list grows no faster than that root times the size of a page.
     """
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = [(body(r, h), candidates(r)) for h, r in ((h, read(h)) for h in batch["html"])]
             yield pd.DataFrame({
-                "host": batch["host"], "page": batch["page"],
-                "numbers": [candidates(h) for h in batch["html"]],
+                "host": batch["host"], "body": [b for b, _ in rows], "numbers": [n for _, n in rows],
             })
 
     read_pages = kept(
-        pages.where("host IS NOT NULL").select("host", F.xxhash64("html").alias("page"), "html")
-        .mapInPandas(found, "host string, page bigint, numbers array<bigint>"),
+        pages.where("host IS NOT NULL").select("host", "html")
+        .mapInPandas(found, "host string, body bigint, numbers array<bigint>"),
         "subtrees",
     )
-    different = read_pages.dropDuplicates(["host", "page"])
-    sizes = different.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = different.select("host", F.explode("numbers").alias("number")).groupBy(
+    sizes = read_pages.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    counted = read_pages.select("host", "body", F.explode("numbers").alias("number")).distinct().groupBy(
         "host", "number"
     ).agg(F.count("*").alias("n"))
-    often = F.greatest(F.lit(float(least)), share * F.col("pages"))
+    often = F.greatest(
+        F.lit(float(least)), F.least(share * F.col("texts"), ROOTS * F.sqrt(F.col("texts")))
+    )
     return join_groups(counted.where(F.col("n") >= least), sizes, ["host"]).where(
         F.col("n") >= often
     ).groupBy("host").agg(F.collect_list("number").alias("templates"))

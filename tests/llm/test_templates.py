@@ -104,3 +104,21 @@ def test_names_are_read_whole_and_spare_the_article():
         "<div class='x related-posts'><p>more</p></div></article>"
     )
     assert templates.main_text(html, set()) == "The text of the page, which is long enough. Others Law"
+
+
+def test_copies_in_other_surroundings_and_notices_of_a_large_host(spark):
+    rng = random.Random(7)
+    same = "<div id='c{i}'><p>One text that is told on many pages.</p></div>"
+    rows = [page(rng, i, same.format(i=i % 3)) for i in range(30)]
+    rows += [page(rng, 30 + i, f"<div><p>{sentence(rng, 15)}</p></div>") for i in range(20)]
+    notice = "<div class='x'><span>On a part of the pages.</span></div>"
+    rows += [
+        page(rng, 1000 + i, f"<div><p>{sentence(rng, 15)}</p></div>{notice if i % 5 == 0 else ''}", "b.example.com")
+        for i in range(600)
+    ]
+    found = {r["page_id"]: r["text"] for r in templates.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # Copies keep their text and are no template; the strip of all pages goes.
+    assert all(found[i] == "One text that is told on many pages." for i in range(30))
+    # A fifth of 600 pages is enough.
+    assert not any("On a part" in found[1000 + i] for i in range(600))
+    assert all(len(found[1000 + i].split()) == 15 for i in range(600))
