@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayledger.llm import (
-    caps, collisions, lines, mixing, packing, quality, secret_scan, simhash, templates, toxicity,
+    caps, collisions, lines, manifest, mixing, packing, quality, secret_scan, simhash, templates, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,8 @@ def op9_packing(spark, folder):
 @query
 def op10_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op13_manifest(spark, folder):
+    return manifest.manifest(table(spark, folder, "documents"))
