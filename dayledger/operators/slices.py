@@ -9,18 +9,30 @@ same ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayledger.session import kept
 
+#: Rows of a slice, where the number of slices is not given.
+SLICE_ROWS = 1_000_000
 
-def sliced(df: DataFrame, order: list[str], slices: int | None = None) -> DataFrame:
+
+def sliced(
+    df: DataFrame, order: list[str | Column], slices: int | None = None, least: int = 1,
+    rows: int = SLICE_ROWS,
+) -> DataFrame:
     """``df`` as a stored table with ``__slice``; later rows of ``order`` have no lower number.
 
-    ``slices`` is their number, by default that of shuffle partitions; size it as those, so that a
-    slice fits a task. Rows that are equal in ``order`` share a slice: end ``order`` in a unique
-    column.
+    Unless ``slices`` is given, their number follows from that of the rows, ``rows`` each and ``least``
+    slices at least: the table is stored and counted from its files first. Rows that are equal in ``order`` share a slice: end
+    ``order`` in a unique column.
     """
-    dealt = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
+    if slices is None:
+        df = kept(df.withColumn("__slice", F.lit(0)), "rows")
+        slices = max(least, -(-df.count() // rows))
+        if slices <= 1:
+            return df
+        df = df.drop("__slice")
+    dealt = df.repartitionByRange(slices, *order)
     return kept(dealt.withColumn("__slice", F.spark_partition_id()), "slices")

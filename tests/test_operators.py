@@ -226,6 +226,15 @@ def test_as_of(skewed, frame):
     assert rows_of(got, "id") == sorted(expected, key=repr)
 
 
+def test_as_of_with_nulls(spark):
+    df = spark.createDataFrame(
+        [("a", 1, "x", 1), ("a", 2, None, 2), ("a", 2, "y", None), ("a", 9, "z", 4), (None, 1, "q", 5), ("b", None, "n", 6)],
+        "key STRING, ts INT, tie STRING, v INT",
+    )
+    got = ranks.as_of(df, ["key"], "ts", F.lit(5), "tie")
+    assert rows_of(got, *df.columns) == [("a", 2, "y", None), (None, 1, "q", 5)]
+
+
 def test_extremes(skewed, frame):
     got = {r["key"]: tuple(r)[1:] for r in volume.extremes(frame, ["key"], "size", "id").collect()}
     for key, rows in grouped(skewed).items():
@@ -481,18 +490,55 @@ def test_damaged_labels_match_nothing(spark):
         joins.match_labels(flows, labels, ["k"], {str(i): "p" for i in range(9)})
 
 
-@pytest.mark.parametrize("k", [3, 1500])
-def test_topk_of_any_size(spark, k):
+@pytest.mark.parametrize("slices_", SLICED)
+@pytest.mark.parametrize("k", [3, 150, 1500, 5000])
+def test_topk_of_any_size(spark, k, slices_):
     df = spark.range(0, 4000, 1, 4).select(F.col("id"), (F.col("id") % 2).alias("g"), (F.col("id") * 7 % 1000).alias("v"))
     want = {}
     for r in df.collect():
         want.setdefault(r["g"], []).append((-r["v"], r["id"]))
-    got = ranks.topk(df, ["g"], "v", k, tie="id")
+    got = ranks.topk(df, ["g"], "v", k, tie="id", slices=slices_)
     assert rows_of(got, "g", "id", "rank") == sorted(
         ((g, i, n) for g, own in want.items() for n, (_, i) in enumerate(sorted(own)[:k], 1)), key=repr
     )
 
 
+@pytest.mark.parametrize("tie", ["id", None])
+@pytest.mark.parametrize("k", [2, 5, 7, 20])
+def test_rank_selection_is_the_window(spark, monkeypatch, k, tie):
+    """Null groups and values, a hot value across the k-th row, more k than rows: as one window gives them."""
+    df = spark.createDataFrame(
+        [(i, None if i % 5 == 0 else i % 3, None if i % 4 == 0 else (9 if i < 30 else i % 6)) for i in range(60)],
+        "id INT, g INT, v INT",
+    )
+    for by in (["g"], []):
+        want = rows_of(ranks.topk(df, by, "v", k, tie), "g", "id", "rank")
+        with monkeypatch.context() as m:
+            m.setattr(ranks, "PRUNED", 0)
+            for slices_ in (None, 1, 7):
+                got = ranks.topk(df, by, "v", k, tie, slices_)
+                assert rows_of(got, "g", "id", "rank") == want
+                assert got.schema == ranks.topk(df, by, "v", 101, tie).schema
+
+
+def test_a_hot_value_beyond_a_million_rows(spark):
+    """k of a million on one hot value: tasks order slices, never the group."""
+    df = spark.range(0, 1_300_000, 1, 8).select("id", F.lit("g").alias("g"), F.when(F.col("id") % 100 == 0, 2).otherwise(1).alias("v"))
+    got = ranks.topk(df, ["g"], "v", 1_000_000, tie="id", slices=13)
+    last = got.agg(F.count("*"), F.max("rank"), F.sum("id"), F.max(F.when(F.col("v") == 1, F.col("id")))).first()
+    hot = [i for i in range(1_300_000) if i % 100]
+    assert tuple(last) == (1_000_000, 1_000_000, sum(range(0, 1_300_000, 100)) + sum(hot[:987_000]), hot[986_999])
+    sizes = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 650_000  # several slices may share a task, never half of them
+
+
+def test_slices_grow_with_the_rows(spark):
+    for n, want in ((10, 1), (100, 1), (1000, 10), (10_000, 100)):
+        cut = slices.sliced(spark.range(n), ["id"], rows=100)
+        assert cut.select("__slice").distinct().count() == want
+    assert slices.sliced(spark.range(100), ["id"], least=5, rows=100).select("__slice").distinct().count() == 5
+
+
 def test_extremes_with_nulls(spark):
     df = spark.createDataFrame(
         [("a", 3, "q"), ("a", 3, "p"), ("a", 1, "z"), ("a", None, "n"), ("b", None, "m")], "g STRING, v INT, k STRING"

@@ -47,7 +47,7 @@ def test_one_shuffle_is_enough(plans):
 
 
 def test_topk_prunes_before_the_shuffle(plans):
-    for name in ("topk_docs", "as_of_latest", "topk_with_ties"):
+    for name in ("topk_docs", "topk_with_ties"):
         before_shuffle = plans[name].split("Exchange hashpartitioning")[-1]
         assert "WindowGroupLimit" in before_shuffle, name
     assert "TakeOrderedAndProject" in plans["largest_docs"]
@@ -65,11 +65,18 @@ def test_sliced_operators_have_no_single_task(spark, plans):
     assert plans["byte_bins"].count("SinglePartition") == 1
 
 
-def test_large_k_is_ranked_in_parts_first(spark):
+def test_the_latest_record_takes_one_shuffle(plans):
+    assert plans["as_of_latest"].count("Exchange") == 1
+    assert "Window" not in plans["as_of_latest"]
+
+
+def test_large_k_is_ranked_in_slices(spark):
     df = spark.range(10).select("id", (F.col("id") % 2).alias("g"))
-    plan = plan_of(ranks.topk(df, ["g"], "id", 5000, tie="id"))
-    keys = [p.split(")")[0] for p in plan.split("Exchange hashpartitioning(")[1:]]
-    assert len(keys) == 2 and "__part#" in keys[1] and "__part#" not in keys[0]
+    plan = plan_of(ranks.topk(df, ["g"], "id", 5000, tie="id", slices=3))
+    windows = [line for line in plan.split("\n") if "Window [" in line and "windowspecdefinition" in line]
+    # Whole groups meet only as one row per slice.
+    assert len(windows) == 2
+    assert sum("__slice" in w.split("windowspecdefinition(")[1].split("ASC")[0].split("DESC")[0] for w in windows) == 2
 
 
 @pytest.fixture
