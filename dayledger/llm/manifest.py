@@ -183,7 +183,8 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     Slices of the order are numbered on their own, so that a source of any size is in many tasks.
     """
     spread = rows.withColumn("__row", F.monotonically_increasing_id())
-    cut = sliced(spread, ["tree", *order, "__row"])
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = sliced(spread, ["tree", *order, "__row"], least=tasks)
     counts = cut.groupBy("tree", "__slice").agg(F.count("*").alias("__rows"))
     tree = Window.partitionBy("tree")
     starts = counts.select(

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayledger.llm import (
-    caps, collisions, lines, manifest, mixing, packing, quality, secret_scan, simhash, templates, toxicity,
+    caps, collisions, lines, manifest, mixing, packing, quality, secret_scan, simhash, templates, top_scores,
+    toxicity, whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +86,31 @@ def op10_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op11_scores(spark, folder):
+    return top_scores.best(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+SQL["op11_scores"] = """
+WITH own AS (
+    SELECT vec_id, list_transform(embedding, v -> floor(256 * v::DOUBLE)) AS x
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, v -> v IS NULL OR NOT isfinite(v))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+    FROM own q JOIN own c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score FROM scored
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 5
+"""
+
+
+@query
+def op12_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 @query
 def op13_manifest(spark, folder):
     return manifest.manifest(table(spark, folder, "documents"))

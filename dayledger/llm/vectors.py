@@ -18,6 +18,20 @@ def comparable(vec_id: Column, vec: Column) -> Column:
     return vec_id.isNotNull() & F.coalesce(finite & some, F.lit(False))
 
 
+def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
+    """vec_id and x, the whole numbers floor(scale * component); components as doubles.
+
+    Rows whose vector is null or holds null or non-finite components are left out. What goes beyond
+    64 bits becomes the nearest 64-bit number.
+    """
+    vec = F.col(vector_col).cast("array<double>")
+    finite = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return df.where(F.coalesce(finite, F.lit(False))).select(
+        F.col(id_col).cast("bigint").alias("vec_id"),
+        F.transform(vec, lambda v: F.floor(v * F.lit(float(scale)))).alias("x"),
+    )
+
+
 def with_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, vec (array of double) and whether it can be compared."""
     return df.select(
@@ -37,6 +51,12 @@ def stacked(vectors: pd.Series, dim: int) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in vectors])
 
 
+def stacked_whole(vectors: pd.Series, dim: int) -> np.ndarray:
+    if not len(vectors):
+        return np.zeros((0, dim), np.int64)
+    return np.stack([np.asarray(v, np.int64) for v in vectors]).reshape(len(vectors), dim)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; the largest component first, so that no square overflows."""
     x = x / np.abs(x).max(1, keepdims=True)
