@@ -1,9 +1,11 @@
+import json
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
-from hypothesis import given, settings
+import pyarrow as pa
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -12,10 +14,15 @@ from dayledger.llm import packing
 from .helpers import hard_docs, none_of, sentence
 
 
+TOKENIZER = Tokenizer.from_file(packing.default_tokenizer())
+
+
 def plain_ids(text):
-    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def ids_of(encode, *texts):
+    return [x.tolist() for x in encode(pa.array([t.encode() for t in texts], pa.binary()))]
 
 
 def check(rows, texts, length):
@@ -65,6 +72,41 @@ def test_little_padding(spark):
     assert 1 - tokens / (4096 * sequences) < 0.02
 
 
+def test_special_tokens_are_those_of_the_tokenizer():
+    encode = packing.encoder(packing.default_tokenizer())
+    texts = ["hello <|endoftext|> x", "a<|startoftext|>b", "<|endoftex t|>", "plain", "", "<|ENDOFTEXT|>"]
+    assert ids_of(encode, *texts) == [plain_ids(t)[:-1] for t in texts]
+    assert 49407 in ids_of(encode, texts[0])[0]
+    ordinary = packing.encoder(packing.default_tokenizer(), plain=True)
+    assert 49407 not in ids_of(ordinary, texts[0])[0]
+
+
+def test_any_tokenizer_file(tmp_path):
+    """A file that prepares texts otherwise is given whole texts."""
+    made = json.loads(TOKENIZER.to_str())
+    made["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made))
+    encode, texts = packing.Encoder(str(path)), ["Two Words", "two words", " x\ty "]
+    assert not encode.by_word
+    other = Tokenizer.from_file(str(path))
+    assert ids_of(encode, *texts) == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_remembered_words_and_bounded_batches(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    monkeypatch.setattr(packing, "GATHERED", 7)
+    encode, rng = packing.Encoder(packing.default_tokenizer()), random.Random(8)
+    for _ in range(12):
+        texts = [sentence(rng, rng.randint(0, 30), "ab") for _ in range(4)] + ["x" * 100 + " " + "y" * 60]
+        assert ids_of(encode, *texts) == [plain_ids(t)[:-1] for t in texts]
+        assert len(encode.known) <= 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([b"x" * n for n in (1, 99, 5, 5, 0, 7)])], ["a", "b"])
+    parts = list(packing.bounded(batch, 10))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(6)) and len(parts) > 1
+    assert list(packing.bounded(batch.slice(0, 0), 10)) == []
+
+
 def test_empty_table(spark):
     assert packing.pack(none_of(hard_docs(spark, random.Random(4)))).count() == 0
 
@@ -99,8 +141,8 @@ def test_prices_find_the_best_pattern():
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60) | st.text("abcXYZ '.!sdlm'veéÉßİé 12\t\n<|endoftext|>", max_size=60))
+@example("a\x1cb\x85c\xa0d\u3000e\x0bf\x00g")
 def test_ids_are_those_of_the_tokenizer(text):
     text = text.encode("utf-8", "ignore").decode()
     encode = packing.encoder(packing.default_tokenizer())
-    ids = np.frombuffer(encode(text.encode()), "<u4").tolist()
-    assert ids == encode.tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids_of(encode, text, "") == [plain_ids(text)[:-1], []]
