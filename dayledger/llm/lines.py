@@ -1,72 +1,86 @@
 """Line deduplication by a segment-partition edit join.
 
-Two lines are linked if ``EDITS`` or fewer insertions, deletions and replacements of characters make
-one of the other. Cut into ``EDITS + 1`` segments, the shorter line then has one that the other one
-holds unchanged, near the same place. So every line is indexed under its segments, with its length,
-and probes the substrings that could be a segment of a line of each length that is in reach; lines
-that meet are compared, sign by sign, by a banded bit-parallel edit distance. No pair leaves the task
-that compares it: out come the number of links of each line and links that connect what is linked.
-
-With a share, the threshold grows with the line. A line of fewer than ``LONG`` characters links within
-that share of the shorter line's characters; a longer one within ``EDITS`` characters or that share
-of the shorter line's words, inserted, deleted or replaced. So many word edits leave a run of words
-unchanged, whose length follows from the share (``RUNS``); of every run of that length both lines sign
-the same words, the least hash of its short grams, so lines within the threshold always meet.
-
-Equal lines are one from the start, so copies of a line cost nothing in the join. Lines are told
-apart by a 64-bit hash. Without a share, lines of fewer than ``SHORTEST`` characters are only compared
-for equality; blank lines are not compared at all.
+A line is read as a row of letters: its words, or its characters if it has so few words that none may
+differ. Two lines link if ``allowed`` insertions, deletions and replacements of letters make one of the
+other: a share of the square root of the shorter line's number of letters, so the threshold grows with
+the line and the work stays in proportion to it. Cut into one segment more than that, the shorter line
+has a segment that the longer one holds unchanged near the same place. So a line signs every run of its
+letters that may be a segment of a line of a length in reach, lines that share a sign are brought
+together, and a banded bit-parallel edit distance verifies them.
+
+One shuffle by sign drops what no other line shares. Of signs that the same lines share the least stays;
+the rest is dealt into cells, to which every text travels once; lines of a hot sign meet in tiles. No
+pair leaves the task that compares it: out come the number of links of each line and links that connect
+what is linked. Equal lines are one from the start, so copies of a line cost nothing in the join. Lines
+are told apart by 128-bit hashes. Blank lines are not compared.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
+from itertools import groupby
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from dayledger.llm.common import components, join_groups
+from dayledger.llm.common import as_bytes, components, join_groups
+from dayledger.llm.packing import bounded
 from dayledger.session import kept
 
-EDITS = 2
-SHORTEST = 20
-#: The part of a line that may differ, for a threshold that grows; its characters count below LONG.
-SHARE = 0.1
-LONG = 60
-#: Words of the grams that are signed, and grams of a run that choose one: by the words of the
-#: shorter line, from and below. At a tenth, 10 words keep a run of 5 and 40 or more one of 8.
-GRAM = 4
-RUNS = ((10, 40, 2), (40, 1 << 40, 5))
-#: Lines of a sign that are compared at a time, by either role; rows of a group of small signs.
-TILE = 256
-ROWS = 2048
-#: Lines that a task remembers having sent.
+#: Edits that link, as a share of the square root of a line's letters: 1 from 9 letters on, 2 from 36,
+#: 3 from 81, 10 from 900.
+SHARE = 1 / 3
+#: Lines of a sign that are compared at a time; rows of a cell of small signs.
+TILE = 1024
+ROWS = 4096
+#: Lines up to which a sign's pairs are looked at one by one.
+FEW = 16
+#: Lines that a task remembers having signed or sent; bytes of texts that it reads at a time.
 REMEMBERED = 200_000
-#: Bits of the filter that keeps most lines out of a join; its size does not depend on the data.
-FILTER_BITS = 1 << 23
-MIX = np.uint64(0x9E3779B97F4A7C15)
+BYTES = 2 << 20
+#: Bits a line of the map that keeps most lines out of a join, and the most that it has in all. A full
+#: map loses nothing: more lines are sent.
+BITS, MOST_BITS = 16, 1 << 26
+#: Bits that words and characters are counted in, for a bound on the distance.
+MARKS = 256
 
+PLACES = "row_key binary, doc_id bigint, place bigint, id binary, signs array<bigint>"
+LINKS = "a binary, b binary, links bigint"
 
-def line_id(line: str) -> int:
-    number = xxhash.xxh64_intdigest(line.encode("utf-8", "replace"))
-    return number - (1 << 64) if number >> 63 else number
 
+def line_id(line: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(line)
 
-def lines_of(text: str | None) -> Iterator[tuple[int, str]]:
+
+def lines_of(text: bytes) -> Iterator[tuple[int, bytes]]:
     """Places and lines, without the blank ones."""
-    for place, line in enumerate((text or "").split("\n")):
-        if line and not line.isspace():
+    for place, line in enumerate(text.split(b"\n")):
+        if line.strip() and (line.isascii() or not letters_of(line).isspace()):
             yield place, line
 
 
-@lru_cache(maxsize=20_000)
+def letters_of(line: bytes) -> str:
+    return line.decode("utf-8", "surrogateescape")
+
+
+def allowed(n: int, share: float = SHARE) -> int:
+    """Edits that link a line of ``n`` letters to one of as many or more."""
+    return int(share * sqrt(n) + 1e-9)
+
+
+def least_words(share: float = SHARE) -> int:
+    """Words from which on a line is compared by words: the fewest of which one may differ."""
+    return ceil((1 / share) ** 2 - 1e-9)
+
+
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
     """Start and size of ``edits + 1`` segments of about equal size, longer ones last."""
     count = edits + 1
@@ -79,113 +93,48 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return found
 
 
-def allowed(length: int, edits: int, share: float | None) -> int:
-    """Edits of characters that link, by the length of the shorter line."""
-    return edits if share is None or length >= LONG else int(length * share)
-
-
-def word_edits(words: int) -> int:
-    return int(words * SHARE)
-
-
-@lru_cache(maxsize=20_000)
-def probed(n: int, edits: int, share: float | None = None) -> list[tuple[int, int, int]]:
-    """Start, size and seed of the substrings of a line of length ``n`` that may be a segment of a
-    line of the same length or of one that is shorter by no more than its edits.
+@lru_cache(maxsize=4096)
+def probed(n: int, share: float = SHARE) -> list[tuple[int, int]]:
+    """Start and size of the runs of ``n`` letters that may be a segment of a line of the same length
+    or of one that is shorter by no more than its edits; the line's own segments are among them.
 
     Before the first segment that is unchanged, at most i edits can have moved it; after it, at most
     ``edits - i`` can, seen from the end.
     """
-    found = []
-    most = edits if share is None else max(edits, int(LONG * share))
-    for length in range(max(1, n - most), n + 1):
-        own = allowed(length, edits, share)
-        if not own and share is not None or n - length > own:
+    found = set()
+    for length in range(max(1, n - allowed(n, share)), n + 1):
+        edits = allowed(length, share)
+        if not edits or n - length > edits:
             continue
-        for i, (start, size) in enumerate(segments(length, own)):
-            shift, after = n - length, own - i
+        shift = n - length
+        for i, (start, size) in enumerate(segments(length, edits)):
+            after = edits - i
             low = max(0, start - i, start + shift - after)
             high = min(n - size, start + i, start + shift + after)
-            found += [(at, size, seed(length, i)) for at in range(low, high + 1)]
-    return found
-
-
-def seed(length: int, segment: int) -> int:
-    return length * 1024 + segment
-
-
-def signs(line: str, places: list[tuple[int, int, int]]) -> list[int]:
-    """Hashes of parts of a line, each with its seed."""
-    sign = xxhash.xxh64_intdigest
-    if line.isascii():
-        data = line.encode()
-        return [sign(data[at : at + size], s) for at, size, s in places]
-    return [sign(line[at : at + size].encode("utf-8", "replace"), s) for at, size, s in places]
-
-
-def indexed(line: str, edits: int, share: float | None = None) -> list[int]:
-    n = len(line)
-    own = segments(n, allowed(n, edits, share))
-    return signs(line, [(at, z, seed(n, i)) for i, (at, z) in enumerate(own)])
-
-
-def probes(line: str, edits: int, share: float | None = None) -> list[int]:
-    return list(set(signs(line, probed(len(line), edits, share))))
-
-
-def words_of(line: str) -> list[bytes]:
-    return line.encode("utf-8", "replace").split()
-
-
-def word_signs(line: str) -> list[int]:
-    """Of every run of words that may be all that is unchanged, the least hash of its grams.
-
-    A line is signed once for each row of ``RUNS`` in which it may be the shorter or the longer one.
-    """
-    words = words_of(line)
-    found: list[int] = []
-    if len(words) < RUNS[0][0]:
-        return found
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    for kind, (least, below, window) in enumerate(RUNS):
-        if not least <= len(words) < below + word_edits(below - 1):
-            continue
-        grams = np.full(len(words) - GRAM + 1, kind + 1, np.uint64)
-        for i in range(GRAM):
-            grams = (grams ^ hashes[i : i + len(grams)]) * MIX
-            grams ^= grams >> np.uint64(29)
-        found += np.unique(sliding_window_view(grams, window).min(1)).tolist()
-    return found
-
-
-def words_within(a: list[bytes], b: list[bytes], edits: int) -> bool:
-    """Whether the edit distance is ``edits`` or less, by the places reached on each diagonal.
-
-    ``reached[d]`` is the number of words of ``a`` read, and d more of ``b``, with the edits so far.
-    """
-    n, m = len(a), len(b)
-    if abs(n - m) > edits:
-        return False
-    reached: dict[int, int] = {}
-    for e in range(edits + 1):
-        after = {}
-        for d in range(max(-e, -n), min(e, m) + 1):
-            at = 0 if e == 0 else max(
-                reached.get(d, -2) + 1, reached.get(d - 1, -1), reached.get(d + 1, -2) + 1
-            )
-            at = min(at, n, m - d)
-            if at < 0 or at + d < 0:
-                continue
-            while at < n and at + d < m and a[at] == b[at + d]:
-                at += 1
-            if at == n and at + d == m:
-                return True
-            after[d] = at
-        reached = after
-    return False
-
-
-def shared(a: str, b: str, most: int) -> int:
+            found.update((at, size) for at in range(low, high + 1))
+    return sorted(found)
+
+
+def signs_of(line: bytes, share: float = SHARE) -> list[int]:
+    """Hashes of the runs by which a line may meet another one, each once."""
+    sign, found = xxhash.xxh3_64_intdigest, []
+    words = line.split()
+    if allowed(len(words), share):
+        data, at = b" ".join(words), [0]
+        for word in words:
+            at.append(at[-1] + len(word) + 1)
+        found = [sign(data[at[i] : at[i + size] - 1], 1) for i, size in probed(len(words), share)]
+    # As many words more than its partner can a line have that is compared by characters.
+    if len(words) < least_words(share) + allowed(len(line), share):
+        letters = line if line.isascii() else letters_of(line)
+        runs = (letters[i : i + size] for i, size in probed(len(letters), share))
+        if letters is not line:
+            runs = (run.encode("utf-8", "surrogateescape") for run in runs)
+        found += [sign(run, 2) for run in runs]
+    return np.unique(np.array(found, np.uint64).view(np.int64)).tolist()
+
+
+def shared(a, b, most: int) -> int:
     """Length of the common beginning, ``most`` at most, by halving."""
     low, high = 0, most
     while low < high:
@@ -197,12 +146,12 @@ def shared(a: str, b: str, most: int) -> int:
     return low
 
 
-def within(a: str, b: str, edits: int) -> bool:
-    """Whether the edit distance is ``edits`` or less.
+def within(a, b, edits: int) -> bool:
+    """Whether the edit distance of two sequences is ``edits`` or less.
 
-    After equal ends are cut off, one column of the band around the diagonal is kept as bits of an
-    integer: bit k of level e is set if ``k - edits`` more characters of ``a`` than of ``b`` were
-    read with e edits or fewer.
+    After equal ends are cut off, the band around the diagonal is kept as bits of an integer: bit k of
+    level e is set if ``k - edits`` more letters of ``a`` than of ``b`` were read with e edits or
+    fewer. The places of a letter are one mask, which moves down with the band when it is used.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -216,23 +165,25 @@ def within(a: str, b: str, edits: int) -> bool:
         return len(b) <= edits
     width = 2 * edits + 1
     whole = (1 << width) - 1
-    middle = 1 << edits
-    # Level e, before any character of b is read: up to e characters of a were read.
-    levels = [sum(middle << k for k in range(e + 1)) & whole for e in range(edits + 1)]
-    for at, letter in enumerate(b):
-        # Bit k stands for a[at + k - edits]; reading one of b moves a place down the band.
-        equal = 0
-        for k in range(width):
-            place = at + k - edits
-            if 0 <= place < len(a) and a[place] == letter:
-                equal |= 1 << k
-        after: list[int] = []
-        for e, level in enumerate(levels):
+    # Level e, before any letter of b is read: up to e letters of a were read.
+    levels = [((1 << e + 1) - 1) << edits & whole for e in range(edits + 1)]
+    # The mask of a letter and the step at which it was right: bit k stands for a[step + k - edits].
+    masks: dict = {}
+    for place in range(min(edits, len(a))):
+        mask, _ = masks.get(a[place], (0, 0))
+        masks[a[place]] = (mask | 1 << place + edits, 0)
+    for step, letter in enumerate(b):
+        entering = step + edits
+        if entering < len(a):
+            mask, since = masks.get(a[entering], (0, step))
+            masks[a[entering]] = (mask >> step - since | 1 << 2 * edits, step)
+        mask, since = masks.get(letter, (0, step))
+        equal = mask >> step - since
+        before, after = levels, []
+        for e, level in enumerate(before):
             reached = level & equal
             if e:
-                reached |= levels[e - 1] >> 1
-                reached |= levels[e - 1]
-                reached |= after[e - 1] << 1
+                reached |= before[e - 1] >> 1 | before[e - 1] | after[-1] << 1
             after.append(reached & whole)
         levels = after
         if not levels[-1]:
@@ -240,366 +191,312 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(levels[edits] >> (len(a) - len(b) + edits) & 1)
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-
-
-def scan(docs: DataFrame, text_col: str, rows: Callable, schema: str, *before: Column) -> DataFrame:
-    """Rows that ``rows`` makes of each text (and of the columns before it), in Arrow batches."""
-    names = [part.split()[0] for part in schema.split(", ")]
-    kinds = [pa.binary() if part.endswith("binary") else pa.string() if part.endswith("string")
-             else pa.int64() for part in schema.split(", ")]
-
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = rows()
-        for batch in batches:
-            made = [
-                row for values in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                for row in make(*values)
-            ]
-            columns = list(zip(*made, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names
-            )
-
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("__text")
-    return docs.select(*before, text).mapInArrow(of_batches, schema)
-
-
-def new_lines(share: float | None = None) -> Callable[[str], list[tuple[int, str]]]:
-    """Ids and lines of a text that the task has not sent lately and that are compared loosely."""
-    shortest = SHORTEST if share is None else int(1 / share)
-    sent: set[int] = set()
-
-    def make(text: str) -> list[tuple[int, str]]:
-        found = []
-        for _, line in lines_of(text):
-            number = line_id(line)
-            if len(line) >= shortest and number not in sent:
-                if len(sent) >= REMEMBERED:
-                    sent.clear()
-                sent.add(number)
-                found.append((number, line))
-        return found
-
-    return make
-
-
-def filter_of(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit map in which the bit of every id is set: ``bits`` long, whatever the number of ids."""
-    spot = F.pmod(F.col("id"), F.lit(bits))
-    words = ids.groupBy(F.floor(spot / 64).cast("int").alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (spot % 64).cast("int"))).alias("mask")
-    ).toPandas()
-    found = np.zeros(bits // 64, np.int64)
-    found[words["word"]] = words["mask"]
-    return np.unpackbits(found.astype("<i8").view(np.uint8), bitorder="little")
-
-
-def signatures(
-    docs: DataFrame, text_col: str, repeated: DataFrame, made: Callable[[str], list[int]],
-    share: float | None = None,
-) -> DataFrame:
-    """sign and id of every distinct line, as ``made`` signs it.
+def marks(letters: Iterable) -> int:
+    """Whether each of ``MARKS`` classes of letters occurs an odd number of times, as bits.
 
-    Lines that surely occur once are signed where they are read; those that may be repeated are
-    first brought together by id.
+    An edit changes two of them at most.
     """
-    packed = np.packbits(filter_of(repeated)).tobytes()
-
-    def maybe_repeated() -> np.ndarray:
-        return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-
-    def several() -> Callable:
-        maybe, lines = maybe_repeated(), new_lines(share)
-        return lambda text: [(n, line) for n, line in lines(text) if maybe[n % len(maybe)]]
-
-    def rows(numbers: list[int], lines: list[str]) -> pa.RecordBatch:
-        signed = [made(line) for line in lines]
-        owner = np.repeat(np.array(numbers, np.int64), [len(x) for x in signed])
-        flat = np.fromiter((x for own in signed for x in own), np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owner)], ["sign", "id"])
-
-    def sign_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe, lines = maybe_repeated(), new_lines(share)
-        for batch in batches:
-            own = [x for t in batch.column(0) for x in lines(t.as_py()) if not maybe[x[0] % len(maybe)]]
-            yield rows([n for n, _ in own], [line for _, line in own])
-
-    def sign_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield rows(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-
-    schema = "sign bigint, id bigint"
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    together = scan(docs, text_col, several, "id bigint, line string").dropDuplicates(["id"])
-    return texts.mapInArrow(sign_texts, schema).union(together.mapInArrow(sign_lines, schema))
-
-
-def members(own: DataFrame, probe: DataFrame) -> DataFrame:
-    """The rows that meet a row of another line in the other role: sign, id, role.
-
-    Semi joins with a condition: what comes out is never more than what went in, and the adaptive
-    skew join splits a sign that many lines have.
-    """
-    def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
-        other = right.select(F.col("sign").alias("__sign"), F.col("id").alias("__id"))
-        met = (F.col("sign") == F.col("__sign")) & (F.col("id") != F.col("__id"))
-        return left.join(other, met, "left_semi")
+    odd = 0
+    for letter in letters:
+        odd ^= 1 << (hash(letter) % MARKS)
+    return odd
+
+
+class Line:
+    """A line as it is compared."""
+
+    def __init__(self, line: bytes, share: float):
+        self.line, self.share = line, share
+        self.words = line.split()
+        self.letters = letters_of(line)
+        self.word_marks, self.letter_marks = marks(self.words), marks(self.letters)
+
+    @cached_property
+    def signs(self) -> set[int]:
+        return set(signs_of(self.line, self.share))
+
+    def may_link(self, other: Line) -> bool:
+        """Not ruled out by lengths and marks."""
+        n, m = len(self.words), len(other.words)
+        edits = allowed(min(n, m), self.share)
+        if edits:
+            return abs(n - m) <= edits and (self.word_marks ^ other.word_marks).bit_count() <= 2 * edits
+        n, m = len(self.letters), len(other.letters)
+        edits = allowed(min(n, m), self.share)
+        return abs(n - m) <= edits and (self.letter_marks ^ other.letter_marks).bit_count() <= 2 * edits
+
+    def links(self, other: Line) -> bool:
+        """Whether their edit distance is within the threshold."""
+        edits = allowed(min(len(self.words), len(other.words)), self.share)
+        if edits:
+            return within(self.words, other.words, edits)
+        edits = allowed(min(len(self.letters), len(other.letters)), self.share)
+        return edits > 0 and within(self.letters, other.letters, edits)
+
+
+def table_of(lines: list[Line]) -> tuple[np.ndarray, ...]:
+    """Numbers of words and letters, and the marks as 64-bit numbers."""
+    def split(odd: int) -> list[int]:
+        return [odd >> i & (1 << 64) - 1 for i in range(0, MARKS, 64)]
+
+    return (
+        np.array([len(x.words) for x in lines], np.int64), np.array([len(x.letters) for x in lines], np.int64),
+        np.array([split(x.word_marks) for x in lines], np.uint64).reshape(-1, MARKS // 64),
+        np.array([split(x.letter_marks) for x in lines], np.uint64).reshape(-1, MARKS // 64),
+    )
 
-    if probe is own:
-        return meeting(own, own).withColumn("role", F.lit(0))
-    probing = kept(meeting(probe, own), "probing")
-    found = meeting(own, probing)
-    return probing.withColumn("role", F.lit(1)).union(found.withColumn("role", F.lit(0)))
 
+def pairs_of(lines: list[Line], share: float) -> Iterator[tuple[int, int]]:
+    """Pairs of lines that their lengths and marks do not rule out, the smaller place first."""
+    if len(lines) <= FEW:
+        for i, x in enumerate(lines):
+            for j in range(i + 1, len(lines)):
+                if x.may_link(lines[j]):
+                    yield i, j
+        return
 
-def cells(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows to compare, by ``cell``: many signs of a few lines, or one tile of a large sign.
+    def near(n: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edits = np.floor(share * np.sqrt(np.minimum(n[:, None], n[None, :])) + 1e-9).astype(np.int64)
+        differ = sum(np.bitwise_count(odd[:, None, i] ^ odd[None, :, i]).astype(np.int64) for i in range(odd.shape[1]))
+        return edits, (np.abs(n[:, None] - n[None, :]) <= edits) & (differ <= 2 * edits)
 
-    Indexed and probing lines of a sign are dealt into parts of ``TILE`` rows; a tile is a part of
-    either. Every row has its line and all the signs that it shares, by role.
-    """
-    lists = met.groupBy("id").agg(*[
-        F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("sign")))).alias(name)
-        for role, name in enumerate(("indexed", "probed"))
-    ])
-    whole = kept(lists.join(texts, "id"), "whole")
-    sizes = met.groupBy("sign").agg(*[
-        F.ceil(F.count_if(F.col("role") == role) / TILE).alias(f"parts_{role}") for role in (0, 1)
-    ])
-    number = -(-met.count() // ROWS) or 1
-    dealt = join_groups(met, kept(sizes, "sizes"), ["sign"])
-    mine = F.when(F.col("role") == 0, F.col("parts_0")).otherwise(F.col("parts_1"))
-    others = F.when(F.col("role") == 0, F.col("parts_1")).otherwise(F.col("parts_0"))
-    tiled = dealt.select(
-        "sign", "id", "role", (F.greatest("parts_0", "parts_1") > 1).alias("large"),
-        F.pmod(F.xxhash64("id"), mine).alias("part"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)).alias("other"),
-    )
-    at = F.when(F.col("role") == 0, F.array("part", "other")).otherwise(F.array("other", "part"))
-    small = F.pmod(F.xxhash64("sign"), F.lit(number))
-    return tiled.withColumn(
-        "cell", F.when(F.col("large"), F.xxhash64("sign", at)).otherwise(small)
-    ).withColumn("tile", F.when(F.col("large"), at).otherwise(F.array(F.lit(0).cast("bigint")))).select(
-        "cell", "tile", "sign", "id", "role"
-    ).join(whole, "id")
+    words, letters, word_marks, letter_marks = table_of(lines)
+    edits, by_words = near(words, word_marks)
+    _, by_letters = near(letters, letter_marks)
+    yield from map(tuple, np.argwhere(np.triu(np.where(edits > 0, by_words, by_letters), 1)).tolist())
 
 
-def linker(edits: int, share: float | None = None) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Compares the indexed with the probing lines of each sign.
+def linker(share: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Compares the lines of each sign of a cell.
 
-    A pair counts at the first sign at which it meets. Out come the number of links of each line
-    (a = b), and links (0) that connect all that is linked.
+    A pair counts at the first sign that it shares. Out come the number of links of each line (a = b),
+    and links (0) that connect all that is linked.
     """
 
-    def link(cell: pd.DataFrame) -> pd.DataFrame:
-        counts: dict[int, int] = {}
-        up: dict[int, int] = {}
+    def link(met: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        counts: dict[bytes, int] = {}
+        up: dict[bytes, bytes] = {}
 
-        def root(x: int) -> int:
+        def root(x: bytes) -> bytes:
             while up.setdefault(x, x) != x:
                 up[x] = x = up[up[x]]
             return x
 
-        cell = cell.assign(tile=cell["tile"].map(tuple))
-        for (sign, _), rows in cell.groupby(["sign", "tile"]):
-            sides: list[list[tuple]] = [[], []]
-            for r in rows.itertuples():
-                sides[r.role].append((r.id, r.line, set(r.indexed), set(r.probed)))
-            for a, x, index_a, probe_a in sides[0]:
-                for b, y, index_b, probe_b in sides[1]:
-                    most = allowed(len(x), edits, share)
-                    if a == b or not 0 <= len(y) - len(x) <= most or not within(x, y, most):
-                        continue
-                    if min((index_a & probe_b) | (probe_a & index_b)) < sign:
-                        continue
-                    # Lines of one length meet twice at a sign that both have in both roles.
-                    if sign in probe_a and sign in index_b and a > b:
-                        continue
-                    counts[a] = counts.get(a, 0) + 1
-                    counts[b] = counts.get(b, 0) + 1
-                    up[root(a)] = root(b)
-        rows = [(a, a, n) for a, n in counts.items()] + [(a, root(a), 0) for a in up if root(a) != a]
-        return pd.DataFrame(rows, columns=["a", "b", "links"]).astype("int64")
+        read = {number: Line(line, share) for number, line in zip(texts["id"], texts["line"], strict=True)}
+        met = met.sort_values(["sign", "low", "high"], kind="stable")
+        rows = zip(*(met[c].tolist() for c in ("sign", "low", "high", "id", "part")), strict=True)
+        for (sign, low, high), group in groupby(rows, lambda r: r[:3]):
+            numbers, parts = zip(*(r[3:] for r in group), strict=True)
+            own = [read[n] for n in numbers]
+            for i, j in pairs_of(own, share):
+                if low != high and parts[i] == parts[j]:
+                    continue
+                x, y, a, b = own[i], own[j], numbers[i], numbers[j]
+                if min(x.signs & y.signs) != sign or not x.links(y):
+                    continue
+                counts[a] = counts.get(a, 0) + 1
+                counts[b] = counts.get(b, 0) + 1
+                up[root(a)] = root(b)
+        found = [(a, a, n) for a, n in counts.items()] + [(a, root(a), 0) for a in up if root(a) != a]
+        return pd.DataFrame(found, columns=["a", "b", "links"]).astype({"links": "int64"})
 
     return link
 
 
-def word_cells(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows to compare by words, by ``cell``: many signs of a few lines, or a tile of a large sign.
-
-    The lines of a sign are dealt into parts of ``TILE`` rows; a tile is two of them, or one.
-    """
-    sizes = met.groupBy("sign").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    number = -(-met.count() // ROWS) or 1
-    part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    pair = F.array(F.least("part", "other"), F.greatest("part", "other"))
-    return join_groups(met, kept(sizes, "word-sizes"), ["sign"]).select(
-        "sign", "id", (F.col("parts") > 1).alias("large"), part.alias("part"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other"),
-    ).select(
-        "sign", "id", "part", pair.alias("tile"),
-        F.when(F.col("large"), F.xxhash64("sign", pair))
-        .otherwise(F.pmod(F.xxhash64("sign"), F.lit(number))).alias("cell"),
-    ).join(texts, "id")
-
-
-def word_linker(edits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """As ``linker``, for lines within a share of their words that their characters do not link."""
-
-    def link(cell: pd.DataFrame) -> pd.DataFrame:
-        counts: dict[int, int] = {}
-        up: dict[int, int] = {}
-        read: dict[int, tuple] = {}
-
-        def root(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = x = up[up[x]]
-            return x
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits for the rows that hold an id and a text."""
+    number = F.coalesce(F.col(id_col).cast("string"), F.lit("-")).cast("binary")
+    return F.unhex(F.md5(F.concat(number, F.lit(b":"), as_bytes(F.col(text_col)))))
 
-        for number, line in zip(cell["id"], cell["line"], strict=True):
-            if number not in read:
-                words = words_of(line)
-                read[number] = (line, words, set(word_signs(line)), Counter(words))
-        cell = cell.assign(tile=cell["tile"].map(tuple))
-        for (sign, tile), rows in cell.groupby(["sign", "tile"]):
-            own = sorted(
-                (len(read[n][1]), n, p) for n, p in zip(rows["id"], rows["part"], strict=True)
-            )
-            sign = int(sign) % (1 << 64)
-            for i, (size, a, part) in enumerate(own):
-                most = word_edits(size)
-                x, words, signs_a, bag = read[a]
-                for longer, b, other in own[i + 1 :]:
-                    if longer - size > most:
-                        break
-                    if tile[0] != tile[1] and part == other:
-                        continue
-                    y, others, signs_b, other_bag = read[b]
-                    if min(signs_a & signs_b) < sign or (other_bag - bag).total() > most:
-                        continue
-                    if not words_within(words, others, most):
-                        continue
-                    less, more = sorted((x, y), key=len)
-                    if within(less, more, allowed(len(less), edits, SHARE)):
-                        continue
-                    counts[a] = counts.get(a, 0) + 1
-                    counts[b] = counts.get(b, 0) + 1
-                    up[root(a)] = root(b)
-        rows = [(a, a, n) for a, n in counts.items()] + [(a, root(a), 0) for a in up if root(a) != a]
-        return pd.DataFrame(rows, columns=["a", "b", "links"]).astype("int64")
 
-    return link
+def arrow(columns: dict[str, Iterable], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) for c, k in kinds.items()], list(kinds))
 
 
-def wanted(docs: DataFrame, text_col: str, met: DataFrame, share: float | None) -> DataFrame:
-    """id and line of the lines that met another one, and a few more."""
-    packed = np.packbits(filter_of(met.select("id"))).tobytes()
+def places_of(docs: DataFrame, id_col: str, text_col: str, share: float) -> DataFrame:
+    """Every line that is not blank, with its signs where the task has not signed it lately."""
+    kinds = {
+        "row_key": pa.binary(), "doc_id": pa.int64(), "place": pa.int64(), "id": pa.binary(),
+        "signs": pa.list_(pa.int64()),
+    }
 
-    def asked() -> Callable:
-        maybe = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        lines = new_lines(share)
-        return lambda text: [(n, line) for n, line in lines(text) if maybe[n % len(maybe)]]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed: set[bytes] = set()
+        for batch in batches:
+            for part in bounded(batch, BYTES):
+                made: dict[str, list] = {c: [] for c in kinds}
+                for doc_id, text, key in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    for place, line in lines_of(text):
+                        number, signs = line_id(line), []
+                        if number not in signed:
+                            if len(signed) >= REMEMBERED:
+                                signed.clear()
+                            signed.add(number)
+                            signs = signs_of(line, share)
+                        for c, value in zip(kinds, (key, doc_id, place, number, signs), strict=True):
+                            made[c].append(value)
+                yield arrow(made, kinds)
+
+    return docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), as_bytes(F.col(text_col)).alias("text"),
+        row_key(id_col, text_col).alias("row_key"),
+    ).mapInArrow(read, PLACES)
+
+
+def spot(number: bytes, bits: int) -> int:
+    return int.from_bytes(number[:7], "big") % bits
+
+
+def map_of(ids: DataFrame) -> tuple[bytes, int]:
+    """A bit map in which the bit of every id is set, sized by their number up to ``MOST_BITS``."""
+    bits = 1 << 10
+    count = ids.count()
+    while bits < min(BITS * count, MOST_BITS):
+        bits *= 2
+    at = F.pmod(F.conv(F.substring(F.hex("id"), 1, 14), 16, 10).cast("bigint"), F.lit(bits))
+    words = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int"))).alias("mask")
+    ).toPandas()
+    found = np.zeros(bits // 64, np.int64)
+    found[words["word"]] = words["mask"]
+    return found.astype("<i8").tobytes(), bits
 
-    return scan(docs, text_col, asked, "id bigint, line string").dropDuplicates(["id"])
 
+def texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
+    """id and line of ``ids``, and of a few more."""
+    packed, bits = map_of(ids)
+    kinds = {"id": pa.binary(), "line": pa.binary()}
 
-def linked(
-    docs: DataFrame, text_col: str, repeated: DataFrame, edits: int, share: float | None = None
-) -> DataFrame:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
+        for batch in batches:
+            for part in bounded(batch, BYTES):
+                made: dict[str, list] = {c: [] for c in kinds}
+                for text in part.column(1).to_pylist():
+                    for _, line in lines_of(text):
+                        number = line_id(line)
+                        at = spot(number, bits)
+                        if not packed[at >> 3] >> (at & 7) & 1 or number in sent:
+                            continue
+                        if len(sent) >= REMEMBERED:
+                            sent.clear()
+                        sent.add(number)
+                        made["id"].append(number)
+                        made["line"].append(line)
+                yield arrow(made, kinds)
+
+    own = docs.select(F.lit(0).alias("nothing"), as_bytes(F.col(text_col)).alias("text"))
+    return own.mapInArrow(read, "id binary, line binary").dropDuplicates(["id"])
+
+
+def meeting(places: DataFrame) -> DataFrame:
+    """The lines of every sign that several share: sign, id, n (of that sign), first (the least id).
+
+    Signs are dealt once. Of signs with the same lines the least is kept; the first sign that a pair
+    shares is always among those.
+    """
+    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signs = places.where(F.size("signs") > 0).select(F.explode("signs").alias("sign"), "id")
+    sign = Window.partitionBy("sign")
+    same = ["n", "first", "last", "mix_0", "mix_1"]
+    met = signs.repartition(tasks, "sign").distinct().select(
+        "sign", "id", F.count("*").over(sign).alias("n"), F.min("id").over(sign).alias("first"),
+        F.max("id").over(sign).alias("last"), F.bit_xor(F.xxhash64("id")).over(sign).alias("mix_0"),
+        F.bit_xor(F.xxhash64(F.lit(1), "id")).over(sign).alias("mix_1"),
+    ).where("n > 1")
+    met = kept(met, "met")
+    least = met.groupBy(*same).agg(F.min("sign").alias("sign")).select("sign")
+    return kept(met.join(least, "sign", "left_semi").select("sign", "id", "n", "first"), "members")
+
+
+def links_of(docs: DataFrame, text_col: str, places: DataFrame, share: float) -> DataFrame:
     """Rows (a, b, links): how many lines ``a`` links to, in parts (a = b), and links that connect."""
-    schema = "a bigint, b bigint, links bigint"
-    own = kept(
-        signatures(docs, text_col, repeated, lambda x: indexed(x, edits, share), share), "indexed"
-    )
-    probe = signatures(docs, text_col, repeated, lambda x: probes(x, edits, share), share)
-    met = kept(members(own, probe), "met")
-    found = cells(met, wanted(docs, text_col, met, share)).groupBy("cell").applyInPandas(
-        linker(edits, share), schema
+    met = meeting(places)
+    texts = texts_of(docs, text_col, met.select("id").distinct())
+    cells = max(1, -(-met.count() // ROWS))
+    parts = F.ceil(F.col("n") / TILE)
+    dealt = met.select(
+        "sign", "id", "n", "first", F.pmod(F.xxhash64("id"), parts).alias("part"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"),
+    ).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    # Signs of a group of lines have its least line in common and meet in one cell.
+    cell = F.when(F.col("n") > TILE, F.xxhash64("sign", "low", "high")).otherwise(
+        F.pmod(F.xxhash64("first"), F.lit(cells))
     )
-    if share is None:
-        return found
-    own = kept(signatures(docs, text_col, repeated, word_signs, share), "word-signs")
-    met = kept(members(own, own).drop("role"), "word-met")
-    return found.union(
-        word_cells(met, wanted(docs, text_col, met, share)).groupBy("cell").applyInPandas(
-            word_linker(edits), schema
-        )
+    rows = kept(dealt.select(cell.alias("cell"), "sign", "low", "high", "id", "part"), "cells")
+    # Columns of their own, so that the two sides can be grouped together.
+    wanted = rows.select("cell", "id").distinct().join(texts, "id").select(
+        *[F.col(c).alias(c) for c in ("cell", "id", "line")]
     )
+    return rows.groupBy("cell").cogroup(wanted.groupBy("cell")).applyInPandas(linker(share), LINKS)
 
 
-def line_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
-    share: float | None = None,
-) -> DataFrame:
+def line_classes(places: DataFrame, links: DataFrame) -> DataFrame:
     """Every line that is not blank: row_key, place, id, first, links.
 
     ``first`` is the first place (doc_id, row_key, place) of the class of lines that links connect,
-    ``links`` the number of other lines linked directly. ``share`` is none or ``SHARE``, which the
-    lengths of the runs are for.
+    ``links`` the number of other lines linked directly.
     """
-    if share not in (None, SHARE):
-        raise ValueError(f"share must be None or {SHARE}")
-
-    def rows() -> Callable:
-        return lambda key, doc_id, text: [
-            (key, doc_id, place, line_id(line)) for place, line in lines_of(text)
-        ]
-
-    found = kept(
-        scan(
-            docs, text_col, rows, "row_key bigint, doc_id bigint, place bigint, id bigint",
-            row_key(id_col, text_col).alias("row_key"), F.col(id_col).cast("bigint").alias("doc_id"),
-        ),
-        "places",
-    )
-    lines = kept(
-        found.groupBy("id").agg(
-            F.min(F.struct("doc_id", "row_key", "place")).alias("first"), F.count("*").alias("n")
-        ),
-        "firsts",
-    )
-    links = kept(linked(docs, text_col, lines.where("n > 1").select("id"), edits, share), "links")
+    lines = kept(places.groupBy("id").agg(F.min(F.struct("doc_id", "row_key", "place")).alias("first")), "firsts")
     counts = links.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    roots = components(links.select("a", "b")).withColumnRenamed("component_id", "root")
+    roots = kept(components(links.select("a", "b")).withColumnRenamed("component_id", "root"), "roots")
+    rooted = lines.join(roots, "id")
     of_class = join_groups(
-        lines.join(roots, "id").select("id", "root", "first"),
-        lines.join(roots, "id").groupBy("root").agg(F.min("first").alias("class_first")), ["root"],
+        rooted.select("id", "root"), rooted.groupBy("root").agg(F.min("first").alias("class_first")), ["root"]
     ).join(counts, "id").select("id", "class_first", "links")
-    classes = lines.select("id", "first").join(of_class, "id", "left").select(
-        "id", F.coalesce("class_first", "first").alias("first"),
-        F.coalesce("links", F.lit(0)).alias("links"),
+    classes = lines.join(of_class, "id", "left").select(
+        "id", F.coalesce("class_first", "first").alias("first"), F.coalesce("links", F.lit(0)).alias("links")
     )
-    return join_groups(found.select("row_key", "place", "id"), classes, ["id"])
+    return join_groups(places.select("row_key", "place", "id"), classes, ["id"])
+
+
+def free_name(columns: list[str], name: str) -> str:
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def deduplicated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
-    share: float | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE
 ) -> DataFrame:
     """The documents with all their columns, ``text`` without lines seen before, and line_info.
 
     Of each class of lines the first one stays, in the order of doc_id (null first) and place.
-    ``line_info`` lists the lines that are not blank: place, stays, class_doc, class_place, links.
-    Null texts are empty; blank lines stay; rows that repeat id and text are one row for this
-    purpose, and all stay alike; an empty table gives an empty result.
+    ``line_info`` (with underlines behind it, if the table has such a column) lists the lines that are
+    not blank: place, stays, class_doc, class_place, links. Null texts are empty; blank lines stay;
+    rows that repeat id and text are one row for this purpose, and all stay alike; an empty table gives
+    an empty result.
     """
-    info = line_classes(docs, id_col, text_col, edits, share).select(
+    places = kept(places_of(docs, id_col, text_col, share), "places")
+    links = kept(links_of(docs, text_col, places, share), "links")
+    stays = (F.col("first.row_key") == F.col("row_key")) & (F.col("first.place") == F.col("place"))
+    info = line_classes(places, links).select(
         "row_key",
         F.struct(
-            "place",
-            ((F.col("first.row_key") == F.col("row_key")) & (F.col("first.place") == F.col("place")))
-            .alias("stays"),
-            F.col("first.doc_id").alias("class_doc"), F.col("first.place").alias("class_place"),
-            "links",
+            "place", stays.alias("stays"), F.col("first.doc_id").alias("class_doc"),
+            F.col("first.place").alias("class_place"), "links",
         ).alias("line"),
     ).groupBy(F.col("row_key").alias("__key")).agg(F.collect_set("line").alias("__lines"))
     gone = F.transform(F.filter("__lines", lambda x: ~x["stays"]), lambda x: x["place"])
-    own = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    left = F.array_join(F.filter(own, lambda _, i: ~F.array_contains("__gone", i.cast("bigint"))), "\n")
-    joined = docs.join(info, row_key(id_col, text_col) == F.col("__key"), "left")
-    nothing = F.expr("CAST(array() AS array<bigint>)")
-    return joined.withColumn("__gone", F.coalesce(gone, nothing)).withColumn(
-        text_col, F.when(F.size("__gone") == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(left)
-    ).select(*docs.columns, F.sort_array("__lines").alias("line_info"))
+    told = info.select("__key", F.sort_array("__lines").alias("__lines"), gone.alias("__gone"))
+    name = free_name(docs.columns, "line_info")
+    joined = docs.join(told, row_key(id_col, text_col) == F.col("__key"), "left").select(
+        *[as_bytes(F.col(c)).alias(c) if c == text_col else c for c in docs.columns],
+        F.col("__lines").alias(name), "__gone",
+    )
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, gone = batch.schema.get_field_index(text_col), batch.column(batch.num_columns - 1)
+            some = pc.fill_null(pc.greater(pc.list_value_length(gone), 0), False)
+            left = []
+            for text, out in zip(batch.column(at).filter(some), gone.filter(some), strict=True):
+                places = set(out.as_py())
+                left.append(b"\n".join(x for i, x in enumerate(text.as_py().split(b"\n")) if i not in places))
+            columns = batch.columns[:-1]
+            columns[at] = pc.replace_with_mask(columns[at], some, pa.array(left, columns[at].type))
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    whole = joined.mapInArrow(shortened, joined.drop("__gone").schema)
+    return whole.select(*[F.col(c).cast("string").alias(c) if c == text_col else c for c in whole.columns])

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -10,41 +11,58 @@ from .helpers import Groups, edit_distance, hard_docs, none_of, sentence
 short = st.text("ab", max_size=12)
 
 
-@settings(max_examples=600, deadline=None)
-@given(short, short, st.integers(1, 3))
+@settings(max_examples=800, deadline=None)
+@given(short, short, st.integers(0, 4))
 def test_banded_distance_is_the_edit_distance(a, b, edits):
     assert lines.within(a, b, edits) == (edit_distance(a, b) <= edits)
-
-
-@settings(max_examples=600, deadline=None)
-@given(st.text("abc", min_size=4, max_size=14), st.integers(1, 3), st.data())
-def test_close_lines_meet_at_a_segment(a, edits, data):
-    b = list(a)
-    for _ in range(data.draw(st.integers(0, edits))):
-        at, kind = data.draw(st.integers(0, len(b))), data.draw(st.integers(0, 2))
-        if kind == 0:
-            b.insert(at, data.draw(st.sampled_from("abc")))
-        elif at < len(b):
-            b[at : at + 1] = [] if kind == 1 else [data.draw(st.sampled_from("abc"))]
-    less, more = sorted([a, "".join(b)], key=len)
-    if len(less) > edits:
-        assert set(lines.indexed(less, edits)) & set(lines.probes(more, edits))
-
-
-def plain(rows, edits=lines.EDITS):
+    assert lines.within(list(a), list(b), edits) == lines.within(a, b, edits)
+
+
+def links(a, b, share=lines.SHARE):
+    """Whether two different lines link, by the plain distance of words or letters."""
+    x, y = a.split(), b.split()
+    if int(share * min(len(x), len(y)) ** 0.5 + 1e-9) == 0:
+        x, y = a, b
+    edits = int(share * min(len(x), len(y)) ** 0.5 + 1e-9)
+    return abs(len(x) - len(y)) <= edits and edit_distance(x, y) <= edits
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.data())
+def test_close_lines_share_a_sign(data):
+    rng = random.Random(data.draw(st.integers(0, 10**9)))
+    share = data.draw(st.sampled_from([1 / 3, 0.5, 0.2]))
+    a = sentence(rng, rng.choice([1, 2, 5, 8, 9, 10, 11, 25, 35, 36, 37, 82]), rng.choice(["ab", "abcdefgh", "aé漢"]))
+    if rng.random() < 0.2:
+        a = a.replace(" ", "")
+    b = list(a) if rng.random() < 0.5 else a.split()
+    sep = "" if len(b) == len(a) else " "
+    for _ in range(rng.randint(0, 4)):
+        at, kind = rng.randrange(len(b) + 1), rng.randrange(3)
+        b[at : at + (kind > 0)] = [] if kind == 2 else [rng.choice(["x", "é", " ", "zz"])]
+    b = sep.join(b)
+    if a != b and a.strip() and b.strip() and links(a, b, share):
+        assert set(lines.signs_of(a.encode(), share)) & set(lines.signs_of(b.encode(), share))
+        x, y = (lines.Line(t.encode(), share) for t in (a, b))
+        assert x.may_link(y) and y.links(x)
+        assert list(lines.pairs_of([x, y] * 10, share))[:1] == [(0, 1)]
+
+
+def plain(rows, share=lines.SHARE):
     """(doc_id, text, line_info) by comparing all lines with all."""
     first, texts = {}, {}
     for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0)):
-        for place, line in lines.lines_of(r["text"]):
-            first.setdefault(line, (r["doc_id"], place, r["text"]))
-    groups, links = Groups(), dict.fromkeys(first, 0)
+        for place, line in enumerate((r["text"] or "").split("\n")):
+            if line and not line.isspace():
+                first.setdefault(line, (r["doc_id"], place, r["text"]))
+    groups, counts = Groups(), dict.fromkeys(first, 0)
     names = sorted(first)
     for i, a in enumerate(names):
         for b in names[:i]:
-            if min(len(a), len(b)) >= lines.SHORTEST and edit_distance(a, b) <= edits:
+            if links(a, b, share):
                 groups.join(a, b)
-                links[a] += 1
-                links[b] += 1
+                counts[a] += 1
+                counts[b] += 1
     best = {}
     for line, at in first.items():
         root = groups.root(line)
@@ -54,10 +72,12 @@ def plain(rows, edits=lines.EDITS):
     found = []
     for r in rows:
         info, gone = [], set()
-        for place, line in lines.lines_of(r["text"]):
+        for place, line in enumerate((r["text"] or "").split("\n")):
+            if not line or line.isspace():
+                continue
             doc, at, text = best[groups.root(line)][1]
             stays = (doc, at, text or "") == (r["doc_id"], place, r["text"] or "")
-            info.append((place, stays, doc, at, links[line]))
+            info.append((place, stays, doc, at, counts[line]))
             if not stays:
                 gone.add(place)
         left = [x for p, x in enumerate((r["text"] or "").split("\n")) if p not in gone]
@@ -100,8 +120,11 @@ def test_hard_documents(spark):
     assert told(out) == plain(docs.collect())
 
 
-def test_full_filters_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(lines, "filter_of", lambda ids: lines.np.ones(64, "uint8"))
+@pytest.mark.parametrize("full", [False, True])
+def test_the_map_loses_nothing(spark, monkeypatch, full):
+    """Neither full nor with one bit for many lines; remembered lines are few."""
+    monkeypatch.setattr(lines, "MOST_BITS", 1 << 10 if full else 1 << 26)
+    monkeypatch.setattr(lines, "map_of", (lambda ids: (b"\xff" * 128, 1024)) if full else lines.map_of)
     docs = spark.createDataFrame(near_lines(random.Random(3)), "doc_id bigint, text string")
     assert told(lines.deduplicated(docs)) == plain(docs.collect())
 
@@ -110,62 +133,63 @@ def test_empty_table(spark):
     assert lines.deduplicated(none_of(hard_docs(spark, random.Random(4)))).count() == 0
 
 
-def grows(a, b):
-    """Whether two lines link when the threshold grows: a tenth of the characters, or of the words."""
-    less, more = sorted((a, b), key=len)
-    edits = lines.EDITS if len(less) >= lines.LONG else len(less) // 10
-    if edits and lines.within(less, more, edits):
-        return True
-    x, y = sorted((a.split(), b.split()), key=len)
-    return len(y) - len(x) <= len(x) // 10 and edit_distance(x, y) <= len(x) // 10
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from("ab"), max_size=14), st.lists(st.sampled_from("ab"), max_size=14), st.integers(0, 5))
-def test_word_distance_is_the_edit_distance(a, b, edits):
-    assert lines.words_within(a, b, edits) == (edit_distance(a, b) <= edits)
+def test_tables_with_such_a_column(spark):
+    docs = hard_docs(spark, random.Random(2)).withColumnsRenamed({"size": "Line_Info"})
+    out = lines.deduplicated(docs)
+    assert out.columns == [*docs.columns, "line_info_"]
+    assert out.select(*docs.columns).dtypes == docs.dtypes and out.count() == docs.count()
 
 
-def test_lines_within_a_tenth_of_their_words_share_a_sign():
-    rng = random.Random(6)
-    for _ in range(400):
-        a = sentence(rng, rng.randint(10, 130)).split()
-        b = list(a)
-        # Edits at even distances leave the shortest runs.
-        for e in range(1, len(a) // 10 + 1):
-            at = e * len(a) // (len(a) // 10 + 1)
-            b[at] = rng.choice(["", "zz", f"{a[at]} zz"])
-        x, y = (" ".join(w for w in words if w) for words in (a, b))
-        if edit_distance(x.split(), y.split()) <= min(len(x.split()), len(y.split())) // 10:
-            assert set(lines.word_signs(x)) & set(lines.word_signs(y))
-
-
-def test_one_word_changes_link_at_every_length(spark):
+@pytest.mark.parametrize("share", [lines.SHARE, 0.5])
+def test_both_sides_of_every_border(spark, share):
+    """Lines of as many words and letters as where the threshold or the unit changes, with edits up to
+    one more than links."""
     rng = random.Random(5)
     made = []
-    for words in [2, 3, 4, 5, 7, 8, 9, *range(10, 130, 6)] * 2:
+    for words in [1, 2, 3, 4, 5, 7, *range(8, 13), 15, 16, 17, 35, 36, 37, 38, 63, 64, 80, 81, 82, 143, 144, 145]:
         line = sentence(rng, words).split()
         made.append(" ".join(line))
-        for _ in range(rng.randint(1, 3)):
+        for n in range(1, int(share * words**0.5) + 3):
             near = list(line)
-            for _ in range(rng.randint(1, max(1, words // 10 + 1))):
+            for _ in range(n):
                 near[rng.randrange(words)] = rng.choice(["", "zz", "another word", sentence(rng, 1)])
             made.append(" ".join(w for w in near if w))
-    made += ["a b c d e", "Read more >", "Read more >>", "Read mare >", "x", ""]
+    for letters in (3, 4, 8, 9, 10, 15, 16, 17, 35, 36, 37, 59, 60, 61, 81, 82):
+        line = sentence(rng, letters).replace(" ", "")[:letters]
+        made.append(line)
+        for n in (1, 2, 3, 4):
+            near = list(line)
+            for _ in range(n):
+                near[rng.randrange(letters)] = rng.choice(["", "z", "zz", "é", " "])
+            made.append("".join(near))
+    made += ["a b c d e", "Read more >", "Read more >>", "Read mare >", "x", "", "漢字" * 12, "漢字" * 12 + "漢"]
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
-    found = {r["doc_id"]: r["line_info"] for r in lines.deduplicated(docs, share=lines.SHARE).collect()}
-    groups, links = Groups(), dict.fromkeys(made, 0)
-    different = sorted(set(made) - {""})
-    for i, a in enumerate(different):
-        for b in different[:i]:
-            if grows(a, b):
-                groups.join(a, b)
-                links[a] += 1
-                links[b] += 1
-    first = {}
-    for i, line in enumerate(made):
-        first.setdefault(groups.root(line), i)
-    assert {i: (x[0]["class_doc"], x[0]["links"]) for i, x in found.items() if x} == {
-        i: (first[groups.root(line)], links[line]) for i, line in enumerate(made) if line
-    }
-    assert sum(links.values()) > 60
+    want = plain(docs.collect(), share)
+    assert told(lines.deduplicated(docs, share=share)) == want
+    assert sum(x[4] for _, _, info in want for x in info) > 60
+
+
+def test_a_hot_sign_meets_in_tiles(spark, monkeypatch):
+    """More lines of a sign than a tile holds, in cells of a few rows."""
+    monkeypatch.setattr(lines, "TILE", 8)
+    monkeypatch.setattr(lines, "ROWS", 16)
+    rng = random.Random(6)
+    start = sentence(rng, 8)
+    rows = [(i, f"{start} item {rng.choice('abcdefghijkl')} {rng.choice('abcdefghijkl')} end") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert told(lines.deduplicated(docs)) == plain(docs.collect())
+
+
+def test_two_near_copies_of_a_long_line(spark):
+    rng = random.Random(7)
+    words = sentence(rng, 190_000).split()
+    near = list(words)
+    for at in range(1000, 190_000, 9000):
+        near[at] = "other"
+    runs = sentence(rng, 50_000).replace(" ", "")
+    rows = [(1, " ".join(words)), (2, " ".join(near) + "\n" + runs), (3, runs[:-5] + "x"), (4, " ".join(words[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len(rows[0][1]) > 1_000_000
+    found = {r["doc_id"]: (r["text"], [x["links"] for x in r["line_info"]]) for r in lines.deduplicated(docs).collect()}
+    assert found[1] == (rows[0][1], [1]) and found[2] == (runs, [1, 1])
+    assert found[3] == ("", [1]) and found[4] == (rows[3][1], [0])
