@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayledger.operators.keys import join_groups
+from dayledger.session import kept
 
 #: Label fields that may be wildcards, and the mark of a label row that could not be read whole.
 MOST_FIELDS = 8
@@ -133,6 +134,68 @@ def snapshot_diff(
     )
 
 
+def part_digests(df: DataFrame, parts: list[str], columns: list[str]) -> DataFrame:
+    """A digest of the rows of each part: their number and two sums of their hashes.
+
+    The sums do not depend on order, tell repeated rows apart from none, and add up: the digest of a
+    year is the sum of those of its days (``rolled_up``).
+    """
+    own = [F.col(c) for c in dict.fromkeys([*parts, *columns])]
+    hashed = [F.xxhash64(*own), F.xxhash64(F.lit(1), *own)]
+    return df.groupBy(*parts).agg(
+        F.count("*").alias("n_rows"),
+        *[F.sum(h.cast("decimal(19,0)")).alias(f"digest_{i}") for i, h in enumerate(hashed)],
+    )
+
+
+def rolled_up(digests: DataFrame, parts: list[str]) -> DataFrame:
+    """The digests of coarser parts."""
+    sums = [c for c in ("n_rows", "digest_0", "digest_1")]
+    return digests.groupBy(*parts).agg(
+        *[F.sum(c).cast(digests.schema[c].dataType).alias(c) for c in sums]
+    )
+
+
+def differing_parts(old: DataFrame, new: DataFrame, parts: list[str]) -> DataFrame:
+    """The parts whose digests are not the same on both sides.
+
+    ``parts`` goes from coarse to fine: the digests of the coarse parts are compared first, and only
+    below those that differ the finer ones.
+    """
+    found = None
+    for depth in range(1, len(parts) + 1):
+        level = parts[:depth]
+        sides = []
+        for side, digests in enumerate((old, new)):
+            if found is not None:
+                digests = join_groups(digests, found, parts[: depth - 1], "left_semi")
+            sides.append(rolled_up(digests, level).withColumn("__side", F.lit(side)))
+        values = F.struct("n_rows", "digest_0", "digest_1")
+        both = sides[0].unionByName(sides[1]).groupBy(*level).agg(
+            F.count("*").alias("__n"), F.min(values).alias("__low"), F.max(values).alias("__high")
+        )
+        found = both.where((F.col("__n") < 2) | (F.col("__low") != F.col("__high"))).select(*level)
+    return found
+
+
+def snapshot_changes(
+    old: DataFrame, new: DataFrame, key: list[str], compare: list[str], parts: list[str],
+    digests: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """The rows of ``snapshot_diff`` that are not unchanged.
+
+    Parts (years, months, days) whose digests agree are not compared by key. With stored ``digests``
+    of both sides (``part_digests`` of key and compared columns) their rows are not even read, where
+    the tables are partitioned by ``parts``: the differing parts are written first, and their join
+    prunes the scan.
+    """
+    columns = [*key, *compare]
+    left, right = digests or [part_digests(df, parts, columns) for df in (old, new)]
+    differing = kept(differing_parts(left, right, parts), "differing")
+    some = [join_groups(df, differing, parts, "left_semi") for df in (old, new)]
+    return snapshot_diff(*some, key, compare).where("status <> 'unchanged'")
+
+
 def moved_content(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """Added keys whose content was under another key that is gone.
 

@@ -15,16 +15,23 @@ def volume(
     mode: str = "groupby",
     sets: list[list[str]] | None = None,
 ) -> DataFrame:
-    """``files`` and ``bytes`` by ``dims``; with subtotals and their ``level`` in the other modes."""
-    measures = [F.count("*").alias("files"), F.sum(size).alias("bytes")]
+    """``files`` and ``bytes`` by ``dims``; with subtotals and their ``level`` in the other modes.
+
+    Subtotals are totals of the groups by all ``dims``: rows are grouped once, and only the groups are
+    repeated for each grouping set.
+    """
+    base = df.groupBy(*dims).agg(F.count("*").alias("files"), F.sum(size).alias("bytes"))
     if mode == "groupby":
-        return df.groupBy(*dims).agg(*measures)
+        return base
     grouped = {
-        "rollup": lambda: df.rollup(*dims),
-        "cube": lambda: df.cube(*dims),
-        "sets": lambda: df.groupingSets([[F.col(c) for c in s] for s in sets or []], *dims),
+        "rollup": lambda: base.rollup(*dims),
+        "cube": lambda: base.cube(*dims),
+        "sets": lambda: base.groupingSets([[F.col(c) for c in s] for s in sets or []], *dims),
     }[mode]()
-    return grouped.agg(*measures, F.grouping_id().alias("level"))
+    # An empty table has a grand total of no files.
+    files = F.coalesce(F.sum("files"), F.lit(0)).cast("bigint").alias("files")
+    total = F.sum("bytes").cast(base.schema["bytes"].dataType).alias("bytes")
+    return grouped.agg(files, total, F.grouping_id().alias("level"))
 
 
 def duplicate_groups(df: DataFrame, content: list[str], key: str) -> DataFrame:

@@ -191,6 +191,11 @@ FROM orders""",
 SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_orderdate AS DATE) AS capture_date,
        o_orderpriority AS kind, o_orderkey AS file_path
 FROM orders WHERE o_orderdate >= DATE '1995-03-01' AND o_orderdate < DATE '1997-03-01'""",
+    "catalogue_increments": """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+       o_orderkey AS file_path, CASE WHEN year(o_orderdate) >= 1995 THEN 2 ELSE 1 END AS published,
+       CASE WHEN year(o_orderdate) >= 1995 THEN o_totalprice + 1 ELSE o_totalprice END AS total
+FROM orders""",
     "labels_csv": """
 SELECT CAST(l_orderkey AS INTEGER) AS "anomalyID", concat('10.0.0.', l_suppkey) AS "srcIP",
        l_linenumber AS "srcPort",
@@ -271,6 +276,25 @@ SELECT custkey, month,
             ELSE 'changed' END AS status,
        old_state, new_state
 FROM months""",
+    "snapshot_changes": """
+WITH derived AS (
+  SELECT l_orderkey, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) ELSE 'P' END
+         AS state
+  FROM lineitem GROUP BY l_orderkey
+), sides AS (
+  SELECT o_custkey, o_orderdate, o_orderstatus AS state, TRUE AS on_record FROM orders
+  UNION ALL SELECT o_custkey, o_orderdate, state, FALSE FROM derived JOIN orders ON o_orderkey = l_orderkey
+), months AS (
+  SELECT o_custkey AS custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+         count(*) FILTER (on_record) AS n_old, count(*) FILTER (NOT on_record) AS n_new,
+         min(state) FILTER (on_record) AS old_state, min(state) FILTER (NOT on_record) AS new_state
+  FROM sides GROUP BY 1, 2)
+SELECT * FROM (SELECT custkey, month,
+       CASE WHEN n_old > 1 OR n_new > 1 THEN 'duplicate' WHEN n_old = 0 THEN 'added'
+            WHEN n_new = 0 THEN 'removed' WHEN old_state IS NOT DISTINCT FROM new_state THEN 'unchanged'
+            ELSE 'changed' END AS status,
+       old_state, new_state
+FROM months) WHERE status <> 'unchanged'""",
     "moved_content": """
 WITH moved AS (
   SELECT concat(source, '/', d.doc_id) AS home, concat('labelled/', d.doc_id) AS path,
@@ -358,6 +382,13 @@ SELECT signature, count(*) AS n_keys FROM sets GROUP BY 1""",
 SELECT count(DISTINCT user_id) AS user_id, count(DISTINCT event_type) AS event_type,
        count(DISTINCT CAST(ts AS DATE)) AS day
 FROM events""",
+    "sketched_cardinality": """
+SELECT 'user_id' AS field, count(DISTINCT user_id) AS n_distinct, TRUE AS within_bound FROM events
+UNION ALL SELECT 'event_type', count(DISTINCT event_type), TRUE FROM events
+UNION ALL SELECT 'event_id', count(DISTINCT event_id), TRUE FROM events""",
+    "sketched_quantiles": """
+SELECT l_returnflag, count(*) AS n_rows, TRUE AS q1, TRUE AS median, TRUE AS q3, TRUE AS p99
+FROM lineitem GROUP BY l_returnflag""",
     "extremes": """
 SELECT source, arg_min(n_chars, (n_chars, doc_id)) AS min_value,
        arg_min(doc_id, (n_chars, doc_id)) AS min_key, max(n_chars) AS max_value,
@@ -437,6 +468,10 @@ WHERE abs(n_chars - median) > 3.5::DOUBLE * 1.4826::DOUBLE * mad""",
     "byte_bins": """
 SELECT doc_id, n_chars, CAST((running - n_chars) // 100000 AS BIGINT) AS bin
 FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS running FROM documents)""",
+    "byte_bin_totals": """
+SELECT CAST((running - n_chars) // 100000 AS BIGINT) AS bin, count(*) AS files,
+       CAST(sum(n_chars) AS BIGINT) AS bytes
+FROM (SELECT n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS running FROM documents) GROUP BY 1""",
     "day_report": """
 WITH calendar AS (
   SELECT CAST(d AS DATE) AS day
@@ -464,6 +499,11 @@ SELECT l_suppkey, l_orderkey, l_quantity, CAST(place AS INTEGER) AS rank FROM (
          rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC) AS place
   FROM lineitem)
 WHERE place <= 5""",
+    "topk_orders": """
+SELECT * FROM (
+  SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(row_number() OVER (
+    PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank
+  FROM orders) WHERE rank <= 500""",
     "as_of_latest": """
 SELECT event_id, user_id, ts, event_type FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place
@@ -504,4 +544,8 @@ WITH {EVENT_DAYS}
 SELECT user_id, day, array_to_string(list_sort(list(DISTINCT event_type)), '+') AS seen,
        count(DISTINCT event_type) = 5 AS complete
 FROM event_days GROUP BY 1, 2""",
+    "stream_alarms": f"""
+WITH {EVENT_DAYS}
+SELECT user_id, day, array_to_string(list_sort(list(DISTINCT event_type)), '+') AS seen
+FROM event_days GROUP BY 1, 2 HAVING count(DISTINCT event_type) < 5""",
 }

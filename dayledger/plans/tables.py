@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayledger.functions import checks, names, records, tags
-from dayledger.operators import coverage, joins, quantiles, ranks, series, volume
+from dayledger.operators import coverage, joins, quantiles, ranks, series, sketches, volume
 from dayledger.plans import catalogue
 from dayledger.session import fresh_path, kept
 from dayledger.sources import labels, payloads, pointers
@@ -120,13 +120,18 @@ def order_files(spark: SparkSession, folder: str) -> str:
 
 
 def order_days(spark: SparkSession, folder: str) -> str:
-    """One file per month of orders with the texts of its records, in order."""
-    texts = order_texts(order_records(spark, folder))
-    days = texts.groupBy("year", "month", "day").agg(
-        F.array_join(F.sort_array(F.collect_list("value")), "").alias("value")
-    )
+    """One file per month of orders with the texts of its records, in order.
+
+    A task writes the sorted texts of a file one by one; they never meet in a cell.
+    """
+    day = ["year", "month", "day"]
+    texts = order_texts(order_records(spark, folder)).select(
+        "year", F.lpad("month", 2, "0").alias("month"), F.lpad("day", 2, "0").alias("day"), "value"
+    ).repartition(*day).sortWithinPartitions(*day, "value")
     root = fresh_path(spark, "days")
-    pointers.write_texts(days, root)
+    # The writer ends each text with a line break of its own.
+    whole = texts.withColumn("value", F.substr("value", F.lit(1), F.length("value") - 1))
+    whole.write.partitionBy(*day).text(root)
     return root
 
 
@@ -326,6 +331,21 @@ def orders_catalogue_range(spark, folder):
     )
 
 
+@query
+def catalogue_increments(spark, folder):
+    """Orders delivered in three parts that overlap, the second one with raised totals."""
+    day = F.to_date(F.trunc("o_orderdate", "month"))
+    filed = table(spark, folder, "orders").select(
+        F.year(day).alias("year"), F.month(day).alias("month"), F.col("o_orderkey").alias("file_path"),
+        F.lit(1).alias("published"), F.col("o_totalprice").alias("total"),
+    )
+    later = filed.where("year >= 1995").withColumns({"published": F.lit(2), "total": F.col("total") + 1})
+    path = fresh_path(spark, "increments")
+    for part in (filed.where("year <= 1996"), later, filed.where("year >= 1994")):
+        copy = pointers.merge_days(part, path, ["file_path"], "published", "total", ("year", "month"))
+    return copy
+
+
 @query
 def labels_csv(spark, folder):
     """Line items written as a label table and read back; an unset field is empty in the file."""
@@ -471,12 +491,8 @@ def companion_days(spark, folder):
     )
 
 
-@query
-def snapshot_diff(spark, folder):
-    """Order states on record against those that follow from the line items, by customer and month.
-
-    A customer may have several orders in a month.
-    """
+def order_states(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Order states on record, and those that follow from the line items, by customer and month."""
     on_record = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"),
         F.to_date(F.trunc("o_orderdate", "month")).alias("month"), F.col("o_orderstatus").alias("state"),
@@ -488,7 +504,25 @@ def snapshot_diff(spark, folder):
         .agg(F.when(finished, "F").when(opened, "O").otherwise("P").alias("state"))
         .join(on_record.drop("state"), "orderkey")
     )
-    return joins.snapshot_diff(on_record, derived, ["custkey", "month"], ["state"])
+    return on_record, derived
+
+
+@query
+def snapshot_diff(spark, folder):
+    """Order states of both kinds. A customer may have several orders in a month."""
+    return joins.snapshot_diff(*order_states(spark, folder), ["custkey", "month"], ["state"])
+
+
+@query
+def snapshot_changes(spark, folder):
+    """The same without what is unchanged: customers of a year and month with equal digests are not compared."""
+    on_record, derived = (
+        side.withColumns({"year": F.year("month"), "customers": F.col("custkey") % 16})
+        for side in order_states(spark, folder)
+    )
+    return joins.snapshot_changes(
+        on_record, derived, ["custkey", "month"], ["state"], ["year", "month", "customers"]
+    )
 
 
 @query
@@ -618,6 +652,43 @@ def cardinality(spark, folder):
     return volume.cardinality(event_days(spark, folder), ["user_id", "event_type", "day"])
 
 
+@query
+def sketched_cardinality(spark, folder):
+    """Distinct values from the events' daily sketches beside the exact numbers."""
+    columns = ["user_id", "event_type", "event_id"]
+    events = event_days(spark, folder)
+    daily = kept(sketches.daily_sketches(events, ["day"], columns), "sketches")
+    about = sketches.merged_cardinality(daily, [], columns)
+    exact = volume.cardinality(events, columns)
+    named = [F.struct(F.lit(c).alias("field"), F.col(c).cast("bigint").alias("n")) for c in columns]
+    told = about.select(F.inline(F.array(*named))).withColumnRenamed("n", "about")
+    near = F.abs(F.col("about") - F.col("n")) <= sketches.DISTINCT_ERROR * F.col("n")
+    return exact.select(F.inline(F.array(*named))).join(told, "field").select(
+        "field", F.col("n").alias("n_distinct"), near.alias("within_bound")
+    )
+
+
+@query
+def sketched_quantiles(spark, folder):
+    """Quantiles of line item quantities from monthly sketches, judged by their ranks."""
+    fractions = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
+    items = table(spark, folder, "lineitem").select(
+        "l_returnflag", F.trunc("l_shipdate", "month").alias("month"),
+        (F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+    )
+    monthly = kept(sketches.daily_sketches(items, ["l_returnflag", "month"], values=["cents"]), "sketches")
+    told = sketches.merged_quantiles(monthly, ["l_returnflag"], "cents", fractions)
+    return items.join(told, "l_returnflag").groupBy("l_returnflag").agg(
+        F.count("*").alias("n_rows"),
+        *[
+            ((F.count_if(F.col("cents") < F.col(name)) <= (p + sketches.RANK_ERROR) * F.count("*"))
+             & (F.count_if(F.col("cents") <= F.col(name)) >= (p - sketches.RANK_ERROR) * F.count("*")))
+            .alias(name)
+            for name, p in fractions.items()
+        ],
+    )
+
+
 @query
 def extremes(spark, folder):
     docs = table(spark, folder, "documents").select("source", "n_chars", "doc_id")
@@ -709,6 +780,12 @@ def byte_bins(spark, folder):
     return series.byte_bins(docs, ["doc_id"], "n_chars", 100_000)
 
 
+@query
+def byte_bin_totals(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "n_chars")
+    return series.bin_totals(series.byte_bins(docs, ["doc_id"], "n_chars", 100_000), "n_chars")
+
+
 @query
 def day_report(spark, folder):
     """Days of two years: orders, their value in cents and the priorities without an order."""
@@ -738,6 +815,13 @@ def topk_with_ties(spark, folder):
     return ranks.topk(items, ["l_suppkey"], "l_quantity", 5)
 
 
+@query
+def topk_orders(spark, folder):
+    """More rows a group than map tasks prune: selected by rank."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return ranks.topk(orders, ["o_orderstatus"], "o_totalprice", 500, tie="o_orderkey")
+
+
 @query
 def as_of_latest(spark, folder):
     until = F.lit("2024-01-15").cast("timestamp_ntz")
@@ -829,3 +913,12 @@ def stream_sets(spark, folder):
         event_stream(spark, folder), ["user_id"], "event_type", EVENT_TYPES, "ts"
     )
     return streams.updated_result(sets, ["user_id", "day"])
+
+
+@query
+def stream_alarms(spark, folder):
+    """Days of a user that lack an event type when the watermark has passed them."""
+    told = streams.append_to_table(streams.day_alarms(
+        closed_stream(spark, folder), ["user_id"], "event_type", EVENT_TYPES, "ts"
+    ))
+    return told.where("NOT complete").drop("complete")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from dayledger.functions.names import blank_to_null, classify_kind, strict_date
 from dayledger.functions.records import parse_pointer, render_pointer, split_records
 from dayledger.functions.tags import decode_source_tag
+from dayledger.operators.keys import join_groups
+from dayledger.session import kept
 
 # The payload names of each kind.
 NAME_GLOBS = {
@@ -207,6 +209,34 @@ def write_catalogue(df: DataFrame, path: str, mode: str = "errorifexists") -> No
     )
 
 
+def merge_days(
+    df: DataFrame, path: str, key: list[str], ts: str, tie: str, parts: tuple[str, ...] = ("year", "month", "day")
+) -> DataFrame:
+    """Add newly delivered records to a columnar copy by day; returns the copy.
+
+    Only the days of ``df`` are read and written again; each key keeps the record that was published
+    last, the higher ``tie`` among equals, so records delivered again leave the copy as it was. One
+    writer at a time.
+    """
+    spark = df.sparkSession
+    arrived = kept(df, "arrived")
+    days = kept(arrived.select(*parts).distinct(), "days")
+    try:
+        known = spark.read.schema(df.schema).parquet(path)
+        arrived = join_groups(known.select(*df.columns), days, list(parts), "left_semi").union(arrived)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    latest = F.max_by(F.struct(*df.columns), F.struct(ts, tie)).alias("__row")
+    # Stored before it replaces what it was read from.
+    merged = kept(arrived.groupBy(*parts, *[k for k in key if k not in parts]).agg(latest).select("__row.*"), "merged")
+    (
+        merged.repartitionByRange(*parts, *key).sortWithinPartitions(*parts, *key)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    )
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def write_pointers(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Record texts by day; a file holds the records one task has for that day.
 

@@ -6,9 +6,11 @@ Every operator is a DataFrame to DataFrame function that also runs on a batch Da
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from dayledger.sources.pointers import (
     parsed,
     with_path_columns,
 )
+from dayledger.streaming.results import ResultTable
 
 
 def stream_pointers(
@@ -141,6 +144,57 @@ def day_completeness(
     return seen.withColumns({"seen": named, "complete": complete}).drop(*flags)
 
 
+def day_alarms(
+    df: DataFrame, keys: list[str], kind: str, kinds: list[str], ts: str, delay: str = "1 day"
+) -> DataFrame:
+    """One row per key and day: ``complete`` as soon as all kinds were seen, or not complete once the
+    watermark has passed the day's end.
+
+    A day's state is one bit per kind and ends with a timer on event time, so a day that stays
+    incomplete is told once, by the batch that moves the watermark past it, even if nothing of that
+    key arrives any more. Days of a key may be null as keys may; rows without a time take no part. A
+    batch DataFrame gives all days that it holds.
+    """
+    ordered = sorted(kinds)
+    if not df.isStreaming:
+        return day_completeness(df.where(F.col(ts).isNotNull()), keys, kind, ordered, ts)
+    whole = (1 << len(ordered)) - 1
+    bit = F.lit(0).cast("bigint")
+    for i, name in enumerate(ordered):
+        bit = F.when(F.col(kind) == name, F.lit(1 << i).cast("bigint")).otherwise(bit)
+    day = F.to_date(ts)
+    ends = F.unix_millis(F.date_add(day, 1).cast("timestamp"))
+    rows = df.withWatermark(ts, delay).where(F.col(ts).isNotNull()).select(*keys, ts, day.alias("day"), ends.alias("__ends"), bit.alias("__bit"))
+    fields = [df.schema[k] for k in keys]
+    schema = T.StructType([
+        *fields, T.StructField("day", T.DateType()), T.StructField("seen", T.StringType()),
+        T.StructField("complete", T.BooleanType()),
+    ])
+
+    def told(key: tuple, mask: int) -> pd.DataFrame:
+        seen = "+".join(name for i, name in enumerate(ordered) if mask >> i & 1)
+        return pd.DataFrame([(*key[:-1], seen, mask == whole)], columns=schema.fieldNames())
+
+    def of_day(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            if before != whole:
+                yield told(key, before)
+            return
+        mask = before
+        for frame in frames:
+            mask |= int(np.bitwise_or.reduce(frame["__bit"].to_numpy(np.int64)))
+        state.update((mask,))
+        state.setTimeoutTimestamp(int(key[-1]))
+        if mask == whole != before:
+            yield told(key, mask)
+
+    return rows.groupBy(*keys, "day", "__ends").applyInPandasWithState(
+        of_day, schema, "mask BIGINT", "append", "EventTimeTimeout"
+    )
+
+
 def append_to_table(stream: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process what has arrived, append finished rows to a parquet table and return the table."""
     spark = stream.sparkSession
@@ -202,12 +256,20 @@ def updated_result(
 ) -> DataFrame:
     """Process what has arrived and return the last state of every key.
 
-    Batches write only the keys that changed; state that the watermark has passed is gone from the
-    stream and stays in the result.
+    Batches write only the keys that changed, to a ``ResultTable``; state that the watermark has
+    passed is gone from the stream and stays in the result. A folder that a stream with another
+    checkpoint writes is refused.
     """
-    written = batches_written(stream, "update", out, checkpoint)
-    if written is None:
-        return stream.sparkSession.createDataFrame([], stream.schema)
-    others = [c for c in stream.columns if c not in keys]
-    last = written.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("__last"))
-    return last.select(*keys, "__last.*").select(*stream.columns)
+    spark = stream.sparkSession
+    checkpoint = checkpoint or fresh_path(spark, "stream-state")
+    result = ResultTable(spark, out or fresh_path(spark, "stream-out"), stream.schema, keys)
+    result.claim(checkpoint)
+    (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(result.write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return result.read()

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dayledger.operators import coverage, joins, quantiles, ranks, series, slices, volume
+from dayledger.operators import coverage, joins, quantiles, ranks, series, sketches, slices, volume
+from dayledger.session import kept
 
 SLICED = [None, 1, 15]
 
@@ -226,6 +227,98 @@ def test_as_of(skewed, frame):
     assert rows_of(got, "id") == sorted(expected, key=repr)
 
 
+def snapshots(spark, tmp_path):
+    """Two snapshots by year and month: one month changed, one row moved, a year and repeated rows equal."""
+    rows = [(2000 + i % 4, 1 + i % 3, i, f"v{i}") for i in range(120)] + [(2001, 2, 7, "twice")] * 2
+    other = [(y, m, k, "new" if (y, m) == (2002, 3) and k % 2 else v) for y, m, k, v in rows]
+    other = [(2003, 1, k, v) if k == 0 else (y, m, k, v) for y, m, k, v in other if k != 14]
+    other += [(2003, 2, 900, None), (None, 1, 901, "x")]
+    sides = []
+    for name, own in (("old", rows), ("new", other)):
+        df = spark.createDataFrame(own, "year INT, month INT, k INT, v STRING")
+        df.write.partitionBy("year", "month").parquet(str(tmp_path / name))
+        sides.append(spark.read.parquet(str(tmp_path / name)))
+    return sides
+
+
+def test_snapshot_changes(spark, tmp_path):
+    old, new = snapshots(spark, tmp_path)
+    want = joins.snapshot_diff(old, new, ["k"], ["v"]).where("status <> 'unchanged'")
+    parts = ["year", "month"]
+    digests = tuple(kept(joins.part_digests(df, parts, ["k", "v"])) for df in (old, new))
+    for own in (None, digests):
+        got = joins.snapshot_changes(old, new, ["k"], ["v"], parts, own)
+        # Of keys that occur in one part alone; the repeated row lies in a part that is equal.
+        assert rows_of(got.where("k <> 7"), *got.columns) == rows_of(want.where("k <> 7"), *got.columns)
+    found = joins.differing_parts(*digests, parts)
+    assert rows_of(found, *parts) == sorted(changed_parts(old, new), key=repr)
+    assert joins.snapshot_changes(old, old, ["k"], ["v"], parts).count() == 0
+
+
+def changed_parts(old, new):
+    sides = [{}, {}]
+    for side, df in zip(sides, (old, new)):
+        for r in df.collect():
+            side.setdefault((r["year"], r["month"]), []).append((r["k"], r["v"]))
+    return [p for p in {*sides[0], *sides[1]}
+            if sorted(sides[0].get(p, []), key=repr) != sorted(sides[1].get(p, []), key=repr)]
+
+
+def test_repeated_rows_change_a_digest(spark):
+    def digests(rows):
+        return joins.part_digests(spark.createDataFrame(rows, "p INT, k INT"), ["p"], ["k"])
+
+    one, two, four = (digests([(1, 5)] * n + [(2, 3)]) for n in (1, 2, 4))
+    assert rows_of(joins.differing_parts(two, four, ["p"]), "p") == [(1,)]
+    assert rows_of(joins.differing_parts(one, digests([(1, 6), (2, 3)]), ["p"]), "p") == [(1,)]
+    assert joins.differing_parts(two, digests([(2, 3), (1, 5), (1, 5)]), ["p"]).count() == 0
+
+
+def test_equal_parts_are_not_scanned(spark, tmp_path):
+    old, new = snapshots(spark, tmp_path)
+    parts = ["year", "month"]
+    digests = tuple(kept(joins.part_digests(df, parts, ["k", "v"])) for df in (old, new))
+    got = joins.snapshot_changes(old, new, ["k"], ["v"], parts, digests)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("dynamicpruning") >= 2
+
+
+def test_subtotals_are_totals_of_groups(spark):
+    df = spark.createDataFrame(
+        [(a, b, n) for a in ("x", "y", None) for b in (1, 2, None) for n in (1, 5, None)], "a STRING, b INT, n INT"
+    )
+    for mode, sets in (("rollup", None), ("cube", None), ("sets", [["a"], ["b"], []])):
+        got = volume.volume(df, ["a", "b"], "n", mode, sets)
+        grouped = {"rollup": df.rollup, "cube": df.cube}.get(mode, lambda *d: df.groupingSets(
+            [[F.col(c) for c in own] for own in sets], *d))("a", "b")
+        want = grouped.agg(F.count("*").alias("files"), F.sum("n").alias("bytes"), F.grouping_id().alias("level"))
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
+        empty = volume.volume(df.where("false"), ["a", "b"], "n", mode, sets)
+        assert rows_of(empty, *want.columns) == rows_of(
+            df.where("false").groupBy().agg(F.lit(None).alias("a"), F.lit(None).alias("b"), F.count("*").alias("files"),
+                                            F.sum("n").alias("bytes"), F.lit(3).alias("level")), *want.columns)
+
+
+def test_sketches_merge(spark):
+    df = spark.range(0, 60_000, 1, 6).select(
+        (F.col("id") % 30).alias("day"), (F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 20_011).alias("v"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 5000).alias("u"),
+    )
+    daily = kept(sketches.daily_sketches(df, ["day", "g"], ["u", "v"], ["v"]))
+    assert daily.count() == 30 and daily.agg(F.sum("n_rows")).first()[0] == 60_000
+    about = sketches.merged_cardinality(daily, [], ["u", "v"]).first()
+    exact = df.agg(F.count_distinct("u").alias("u"), F.count_distinct("v").alias("v")).first()
+    for c in ("u", "v"):
+        assert abs(about[c] - exact[c]) <= sketches.DISTINCT_ERROR * exact[c]
+    for r in sketches.merged_quantiles(daily.where("day < 10"), ["g"], "v", {"q1": 0.25, "p99": 0.99}).collect():
+        own = [x["v"] for x in df.where(f"day < 10 AND g = {r['g']}").select("v").collect()]
+        for name, p in (("q1", 0.25), ("p99", 0.99)):
+            below, upto = (sum(t(v, r[name]) for v in own) / len(own) for t in (lambda a, b: a < b, lambda a, b: a <= b))
+            assert below <= p + sketches.RANK_ERROR and upto >= p - sketches.RANK_ERROR
+
+
 def test_as_of_with_nulls(spark):
     df = spark.createDataFrame(
         [("a", 1, "x", 1), ("a", 2, None, 2), ("a", 2, "y", None), ("a", 9, "z", 4), (None, 1, "q", 5), ("b", None, "n", 6)],

@@ -28,7 +28,7 @@ def test_no_query_pairs_all_rows(plans):
 
 def test_python_only_reads_files(plans):
     with_python = {n for n, p in plans.items() if "InPandas" in p or "EvalPython" in p or "MapInArrow" in p}
-    assert with_python == {"payload_digests"}  # listed files are stored
+    assert with_python == {"payload_digests", "payload_inventory"}
 
 
 def test_scans_read_only_what_they_need(plans):
@@ -41,11 +41,17 @@ def test_scans_read_only_what_they_need(plans):
 
 
 def test_one_shuffle_is_enough(plans):
-    for name in ("kind_matrix", "missing_cells", "user_days_in_all", "companion_days", "volume_cube",
+    for name in ("kind_matrix", "missing_cells", "user_days_in_all", "companion_days",
                  "reconcile_quality", "duplicate_groups"):
         assert plans[name].count("Exchange") == 1, name
 
 
+def test_subtotals_expand_groups_and_not_rows(plans):
+    for name in ("volume_rollup", "volume_cube", "volume_grouping_sets"):
+        below = plans[name].split("Expand [")[1]
+        assert plans[name].count("Expand [") == 1 and "HashAggregate" in below.split("Exchange")[0], name
+
+
 def test_topk_prunes_before_the_shuffle(plans):
     for name in ("topk_docs", "topk_with_ties"):
         before_shuffle = plans[name].split("Exchange hashpartitioning")[-1]

@@ -2,7 +2,9 @@
 
 import hashlib
 import os
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,33 @@ def test_catalogue_copy(spark, tree, tmp_path):
     assert by_day.count() == len([n for n in written if n.startswith("2011")])
 
 
+def test_increments_by_day(spark, tmp_path):
+    """Days are replaced, records delivered again change nothing, other days' files stay as they are."""
+    out = str(tmp_path / "copy")
+    schema = "year INT, month INT, day INT, file_path STRING, published INT, size INT, tie STRING"
+
+    def deliver(*rows):
+        df = spark.createDataFrame(rows, schema)
+        return sorted(map(tuple, pointers.merge_days(df, out, ["file_path"], "published", "tie").collect()))
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns
+                for d, _, names in os.walk(out) for f in names if f.endswith(".parquet")}
+
+    first = [(2011, 1, 5, "a", 1, 10, "x"), (2011, 1, 5, "b", 1, 20, "x"), (2012, 3, 1, "c", 1, 30, "x")]
+    assert deliver(*first) == sorted(first)
+    before = files()
+    again = [(2011, 1, 5, "a", 1, 10, "x"), (2011, 1, 5, "b", 1, 20, "x")]
+    assert deliver(*again) == sorted(first)
+    untouched = {f: t for f, t in before.items() if "year=2012" in f}
+    assert untouched and untouched.items() <= files().items()
+    # A later record replaces its key, an older one does not, equal ones go by the tie; a new day joins.
+    news = [(2011, 1, 5, "a", 2, 11, "w"), (2011, 1, 5, "b", 0, 99, "z"), (2011, 1, 5, "b", 1, 21, "y"), (2013, 1, 1, "d", 1, 1, "x")]
+    want = [news[0], news[2], first[2], news[3]]
+    assert deliver(*news) == sorted(want)
+    assert untouched.items() <= files().items()
+
+
 def test_record_texts_by_day(spark, tree, tmp_path):
     root, written = tree
     out = str(tmp_path / "texts")
@@ -202,6 +231,78 @@ def test_inventory_of_odd_names_and_hidden_folders(spark, tmp_path):
         assert digests["a b/c%20d/e+f.csv"]["md5"] == hashlib.md5(b"abc").hexdigest()
 
 
+def test_a_flat_folder_is_many_rows(spark, tmp_path, monkeypatch):
+    """20,000 files in one folder: pages of rows, lengths looked up in at least eight tasks."""
+    folder = tmp_path / "flat"
+    folder.mkdir()
+    for i in range(20_000):
+        (folder / f"{i}.csv").touch()
+    (folder / "7.csv").write_bytes(b"seven")
+    files = payloads.scan_payloads(spark, str(folder))
+    tasks = files.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in tasks) == 20_000 and len(tasks) >= 8
+    assert max(r["n"] for r in tasks) < 5000
+    assert files.agg(F.sum("length")).first()[0] == 5
+    pages = [len(p) for p in payloads.lister(False)(iter([pd.DataFrame({"path": [str(folder)]})]))]
+    assert max(pages) == payloads.PAGE and sum(pages) == 20_000
+
+
+def test_deep_and_wide_folders(spark, tmp_path, monkeypatch):
+    """Many folders are walked whole, few are listed level by level; both find the same files."""
+    names = {f"y{i % 9}/m{i % 5}/d{i}/{i}.csv" for i in range(90)} | {"a.csv", "y1/b.csv", "y1/m1/c.csv"}
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "y1/empty").mkdir()
+    for wide in (1, 5, 20, 1000):
+        monkeypatch.setattr(payloads, "WIDE", wide)
+        rows = short(payloads.scan_payloads(spark, str(tmp_path)), str(tmp_path))
+        assert {n: r["length"] for n, r in rows.items()} == {n: len(n) for n in names}
+    assert payloads.scan_payloads(spark, str(tmp_path / "none")).count() == 0
+
+
+def loads(spark, lengths, tasks):
+    files = spark.createDataFrame([(f"/f{i}", n) for i, n in enumerate(lengths)], "path STRING, length BIGINT")
+    dealt = payloads.dealt_by_length(files, tasks)
+    got = dealt.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.sum("length").alias("bytes"), F.count("*").alias("n")
+    ).collect()
+    assert sum(r["n"] for r in got) == len(lengths)
+    return [r["bytes"] or 0 for r in got]
+
+
+def test_files_are_dealt_by_their_length(spark):
+    rng = random.Random(5)
+    outliers = [15_062_156_019, 14_000_000_000, 9_000_000_000, 4_000_000_000]
+    for lengths in (
+        outliers + [int(rng.lognormvariate(17, 2)) for _ in range(3000)],
+        outliers + [93] * 5000, [5] * 1000, [0] * 50 + [1], [int(2 ** (i / 9)) for i in range(300)],
+    ):
+        for tasks in (1, 7, 40):
+            most = max(loads(spark, lengths, tasks))
+            assert most <= 1.2 * max(sum(lengths) / tasks, max(lengths)) + 1
+
+
+def test_unknown_lengths_and_no_files(spark):
+    assert loads(spark, [None, 4, None], 2)
+    none = spark.createDataFrame([], "path STRING, length BIGINT")
+    assert payloads.digest_files(none, 3).count() == 0
+
+
+def test_a_file_above_two_gibibytes(spark, tmp_path):
+    path, size = tmp_path / "sparse.gz", 2**31 + 5
+    with open(path, "wb") as f:
+        f.truncate(size)
+    (tmp_path / "small.gz").write_bytes(b"small")
+    rows = short(payloads.payload_digests(spark, str(tmp_path)), str(tmp_path))
+    want = hashlib.md5()
+    for _ in range(2**11):
+        want.update(bytes(2**20))
+    want.update(bytes(5))
+    assert (rows["sparse.gz"]["length"], rows["sparse.gz"]["md5"]) == (size, want.hexdigest())
+    assert rows["small.gz"]["md5"] == hashlib.md5(b"small").hexdigest()
+
+
 def test_block_reads_cover_long_files(tmp_path, monkeypatch):
     content = os.urandom(1_000_003)
     path = tmp_path / "long"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dayledger.functions.checks import record_rules, violations
 from dayledger.sources.pointers import catalogue
-from dayledger.streaming import streams
+from dayledger.streaming import results, streams
 from tests import records as made
 
 SCHEMA = "id BIGINT, ts TIMESTAMP, key STRING, kind STRING, published TIMESTAMP"
@@ -153,6 +153,91 @@ def test_updates_give_the_last_state_and_state_ends(arriving, batch):
     same(streams.updated_result(complete(arriving), ["key", "day"]), complete(batch))
 
 
+def test_alarms(spark, arriving, rows):
+    """A complete day is told by the batch that completes it, an incomplete one once, when it is over."""
+    told = [tuple(r) for r in streams.append_to_table(
+        streams.day_alarms(arriving, ["key"], "kind", ["z", "x", "y"], "ts", "1 hour")
+    ).collect()]
+    days = {}
+    for r in rows:
+        days.setdefault((r[2], r[1].date()), set()).add(r[3])
+    last = max(r[1] for r in rows) - dt.timedelta(hours=1)
+    want = []
+    for (key, day), seen in days.items():
+        over = dt.datetime.combine(day, dt.time()) + dt.timedelta(days=1) < last
+        if len(seen) == 3 or over:
+            want.append((key, day, "+".join(sorted(seen)), len(seen) == 3))
+    assert sorted(told) == sorted(want)
+    assert {t[3] for t in told} == {True, False}
+
+
+def test_alarms_with_nulls_and_in_a_batch(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1, 5)
+    rows = [(1, day, None, "x", None), (2, day, "a", None, None), (3, None, "a", "x", None), (4, day, "a", "q", None),
+            (5, day + dt.timedelta(days=9), "a", "x", None), (6, day, None, "y", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = streams.day_alarms(df, ["key"], "kind", ["x", "y"], "ts")
+    assert sorted(map(tuple, got.select("key", "day", "seen", "complete").collect()), key=repr) == sorted([
+        (None, day.date(), "x+y", True), ("a", day.date(), "", False), ("a", dt.date(2024, 1, 10), "x", False),
+    ], key=repr)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    told = streams.append_to_table(streams.day_alarms(stream, ["key"], "kind", ["x", "y"], "ts"))
+    assert sorted(map(tuple, told.collect()), key=repr) == sorted([
+        (None, day.date(), "x+y", True), ("a", day.date(), "", False),
+    ], key=repr)
+
+
+def table_of(spark, out, keys=("k",)):
+    schema = spark.range(0).selectExpr("CAST(id AS INT) AS k", "'' AS v").schema
+    return results.ResultTable(spark, str(out), schema, list(keys))
+
+
+def changed(spark, rows):
+    return spark.createDataFrame(rows, "k INT, v STRING").coalesce(1)
+
+
+def test_a_result_after_many_batches(spark, tmp_path, monkeypatch):
+    """Reading touches one base and the later batches, whatever the number of batches."""
+    monkeypatch.setattr(results, "COMPACT", 5)
+    rng, result, want = random.Random(3), table_of(spark, tmp_path / "r"), {}
+    assert result.read().count() == 0
+    for number in range(32):
+        rows = [(rng.randrange(12), f"{number}") for _ in range(3)]
+        rows = list(dict(rows).items())
+        want.update(rows)
+        result.write(changed(spark, rows), number)
+        if number in (3, 4, 17, 31):
+            assert dict(map(tuple, result.read().collect())) == want
+    folders = {f.split("/")[-2] for f in result.read().inputFiles()}
+    assert folders == {"base=29", "batch=30", "batch=31"}
+    assert result.versions() == [24, 29] and min(result.batches()) > 24
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(results, "COMPACT", 2)
+    result = table_of(spark, tmp_path / "r")
+    result.write(changed(spark, [(1, "a"), (2, "a")]), 0)
+    result.write(changed(spark, [(1, "half")]), 1)
+    assert result.versions() == [1]
+    # The batch comes again after its base was committed, then a batch that failed on its way.
+    result.write(changed(spark, [(1, "half")]), 1)
+    result.write(changed(spark, [(2, "b"), (None, "n")]), 2)
+    result.write(changed(spark, [(2, "b"), (None, "n")]), 2)
+    os.makedirs(tmp_path / "r" / "batch=3")
+    assert sorted(map(tuple, result.read().collect()), key=repr) == [(1, "half"), (2, "b"), (None, "n")]
+
+
+def test_another_stream_is_refused(spark, rows, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).parquet(folder).groupBy("key").count()
+    first = sorted(map(tuple, streams.updated_result(stream, ["key"], out, state).collect()))
+    assert sorted(map(tuple, streams.updated_result(stream, ["key"], out, state).collect())) == first != []
+    with pytest.raises(ValueError, match="another stream"):
+        streams.updated_result(stream, ["key"], out, str(tmp_path / "other"))
+
+
 def test_pointer_stream(spark, tmp_path):
     root, late = str(tmp_path / "v1.1"), str(tmp_path / "late")
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
