@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from itertools import accumulate
@@ -55,17 +55,21 @@ NO_TEXT = set(
 )
 NO_ROLE = set("navigation banner contentinfo complementary search dialog alertdialog alert form".split())
 NO_CLASS = set(
-    "ad ads advert adverts advertisement advertising adsbygoogle banner breadcrumb breadcrumbs comment "
-    "comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar "
-    "navigation newsletter notice notices notification pagination popup promo related respond share "
+    "ad ads advert adverts advertisement advertising adsbygoogle banner breadcrumb breadcrumbs "
+    "consent cookie cookies footer gdpr header login masthead menu modal nav navbar "
+    "navigation newsletter notice notices notification pagination popup promo related share "
     "sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-#: Words that may stand beside those in a class or id without changing what it says.
+#: Words that may follow those in a class or id without changing what it says, words
+#: before them that tell of a state of what is named, and names of what readers write.
 NEUTRAL = set(
-    "area bar block body bottom box button buttons container content entry float footer global inner "
-    "item items left link links list main mobile outer page panel pane post posts right section site "
-    "slot strip text top unit wrap wrapper".split()
+    "area article articles bar block body bottom box button buttons column container content desktop entry "
+    "feed float form global icon icons inner item items label left link links list main mobile news outer "
+    "page panel pane post posts right row section site slot stories story strip text title tool tools top "
+    "unit wrap wrapper".split()
 )
+STATES = set("has is no not with without".split())
+READERS = set("comment comments commentlist disqus replies reply respond".split())
 #: Elements that hold the paragraphs of an article.
 PROSE = set("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 NAMES = re.compile("[^a-z]+")
@@ -81,20 +85,31 @@ class Element:
     main: bool = False
     inside: bool = False
     prose: bool = False
-    #: Whether only a class or id says that it is no part of an article.
+    #: Whether only a class or id says that it is no part of an article, and that readers wrote it.
     by_name: bool = False
+    readers: bool = False
 
 
-def named_out(names: str) -> bool:
-    """Whether a class or id, as a whole, names what is no part of an article.
+def named_out(names: str, inside: bool = False) -> str:
+    """The word by which a class or id names what is no part of an article, or nothing.
 
-    In a compound, every word must be such a name or say nothing: post-comments, not has-sidebar.
+    The last word decides that does not just say where or how: user-comments, google-ads-top and
+    related-articles, but not related-work. Not what has or lacks something (has-sidebar), nor the
+    header of an article or of what is in it.
     """
     for token in names.lower().split():
-        words = {w for w in NAMES.split(token) if w}
-        if words & NO_CLASS and words <= NO_CLASS | NEUTRAL:
-            return True
-    return False
+        words = [w for w in NAMES.split(token) if len(w) > 1]
+        if not words or words[0] in STATES:
+            continue
+        owner = set(words[:-1])
+        while len(words) > 1 and words[-1] in NEUTRAL:
+            words.pop()
+        head = words[-1]
+        if head == "header" and (inside or owner & {"article", "entry", "post", "story"}):
+            continue
+        if head in NO_CLASS or head in READERS:
+            return head
+    return ""
 
 
 class Reader(HTMLParser):
@@ -122,12 +137,15 @@ class Reader(HTMLParser):
         role = named.get("role", "").lower()
         inside = bool(self.open) and (self.open[-1][0].inside or self.open[-1][0].main)
         element = Element(tag, len(self.pieces), -1, inside=inside)
-        element.main = tag in ("article", "main") or role == "main"
+        name = named_out(names, inside)
+        # Comments of readers are often marked as articles, too.
+        element.main = (tag in ("article", "main") or role == "main") and name not in READERS
         element.out = (
             tag in NO_TEXT or role in NO_ROLE or "hidden" in named
             or named.get("aria-hidden") == "true" or (tag == "header" and not inside)
         )
-        element.by_name = not element.out and not element.main and tag not in ("html", "body") and named_out(names)
+        element.by_name = bool(name) and not element.out and not element.main and tag not in ("html", "body")
+        element.readers = element.by_name and name in READERS
         element.out |= element.by_name
         element.prose = tag in PROSE
         self.elements.append(element)
@@ -175,26 +193,46 @@ class Reader(HTMLParser):
         if any(e.by_name for e in self.elements):
             self.spare()
 
-    def spare(self) -> None:
-        """Keep what only its name puts out if it holds a marked article or most of the page's prose."""
-        gone, prose = bytearray(len(self.pieces)), bytearray(len(self.pieces))
+    def covered(self, which: Callable[[Element], bool]) -> bytearray:
+        """Which pieces are in an element that ``which`` picks."""
+        found = bytearray(len(self.pieces))
         for e in self.elements:
-            if e.out and not e.by_name:
-                gone[e.start : e.end] = b"\1" * (e.end - e.start)
-            if e.tag in PROSE:
-                prose[e.start : e.end] = b"\1" * (e.end - e.start)
+            if which(e):
+                found[e.start : e.end] = b"\1" * (e.end - e.start)
+        return found
+
+    def spare(self) -> None:
+        """Keep what only its name puts out if the page's article is in it, or most of the prose.
+
+        If a marked article lies in nothing that is named so, that is the page's article, and nothing
+        around other articles is kept. Else it is the marked article with the most prose. Prose keeps
+        nothing that is named for readers' comments or holds articles within the article.
+        """
+        gone, named = self.covered(lambda e: e.out and not e.by_name), self.covered(lambda e: e.by_name)
+        prose = self.covered(lambda e: e.tag in PROSE)
         upto = [0, *accumulate(
             len(x.strip()) if x and p and not g else 0
             for x, p, g in zip(self.pieces, prose, gone, strict=True)
         )]
-        # Marked articles that begin, without those that are out.
-        articles = sorted(e.start for e in self.elements if e.main and not (
-            e.start < len(gone) and gone[e.start]
-        ))
+
+        def size(e: Element) -> int:
+            return upto[e.end] - upto[e.start]
+
+        marked = [e for e in self.elements if e.main and not e.inside and e.start < len(gone) and not gone[e.start]]
+        free = [e for e in marked if not named[e.start]]
+        article = max(marked, key=size, default=None) if not free else None
+        nested = sorted(e.start for e in self.elements if e.inside and e.tag == "article")
+        whole = sum(map(size, free)) if free else upto[-1]
         for e in self.elements:
-            if e.by_name:
-                holds = bisect_left(articles, e.start) < bisect_left(articles, e.end)
-                e.out = not holds and 2 * (upto[e.end] - upto[e.start]) <= upto[-1]
+            if not e.by_name:
+                continue
+            if article is not None:
+                e.out = not e.start <= article.start < e.end
+            elif free and not e.inside:
+                e.out = True
+            else:
+                holds = bisect_left(nested, e.start) < bisect_left(nested, e.end)
+                e.out = e.readers or holds or 2 * size(e) <= whole
 
 
 def read(html: str | None) -> Reader:
@@ -212,9 +250,10 @@ def may_be_template(element: Element) -> bool:
 
 
 def candidates(reader: Reader) -> list[int]:
+    shown = [0, *accumulate(bool(p) and not p.isspace() for p in reader.pieces)]
     return sorted({
-        e.number for e in reader.elements if may_be_template(e) and not e.out
-        and any(p and not p.isspace() for p in reader.pieces[e.start : e.end] if p)
+        e.number for e in reader.elements
+        if may_be_template(e) and not e.out and shown[e.end] > shown[e.start]
     })
 
 

@@ -1,4 +1,6 @@
 import random
+import time
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
@@ -122,3 +124,72 @@ def test_copies_in_other_surroundings_and_notices_of_a_large_host(spark):
     # A fifth of 600 pages is enough.
     assert not any("On a part" in found[1000 + i] for i in range(600))
     assert all(len(found[1000 + i].split()) == 15 for i in range(600))
+
+
+TEXT = "<p>The text of the page, which is long enough.</p>"
+WANT = "The text of the page, which is long enough."
+
+
+def test_comments_of_readers_go():
+    """Also marked as articles, within the page's article or after it, and longer than it."""
+    said = "".join(f"<article class='comment-body'><p>Reader {i} says a lot about it, again and again.</p></article>" for i in range(9))
+    for comments in (
+        f"<div id='comments' class='comments-area'><h2>Nine comments</h2>{said}</div>",
+        f"<section class='user-comments'>{said}</section>", f"<ol class='commentlist'><li>{said}</ol>", said,
+        "<div class='reader-comments'>" + "<div><p>Says a lot about it, again and again and again.</p></div>" * 9 + "</div>",
+    ):
+        assert templates.main_text(f"<article><h1>T</h1>{TEXT}{comments}</article>", set()) == f"T {WANT}"
+        assert templates.main_text(f"<article><h1>T</h1>{TEXT}</article>{comments}", set()) == f"T {WANT}"
+        assert templates.main_text(f"<div id='content'><main>{TEXT}{comments}</main></div>", set()) == WANT
+
+
+def test_compound_names():
+    for name in ("ad-300x250", "google-ads-top", "article-share-tools", "related-articles", "site-header",
+                 "cookie-consent-banner", "newsletter-signup", "nav-menu-left", "sponsored-posts", "popup_box"):
+        assert templates.named_out(name), name
+        assert templates.main_text(f"<article>{TEXT}<div class='{name}'><p>else</p></div></article>", set()) == (
+            WANT if name != "site-header" else f"{WANT} else"
+        )
+    for name in ("has-sidebar", "no-ads", "related-work", "social-security", "entry-header", "commentary", "header-image-caption"):
+        assert not templates.named_out(name), name
+    html = f"<article><div class='article-header'><h1>T</h1></div><div class='content-widget'>{TEXT}</div></article>"
+    assert templates.main_text(html, set()) == f"T {WANT}"
+
+
+def subtree(element) -> str:
+    """A plain picture of an element: its tag, names, text and children."""
+    names = element.get("class", "") + " " + element.get("id", "")
+    own = "".join((element.text or "").split())
+    return f"<{element.tag} {names}>{own}" + "".join(subtree(c) + "".join((c.tail or "").split()) for c in element) + "</>"
+
+
+def test_templates_against_a_plain_count(spark):
+    """Subtrees of well-formed pages without articles, counted one by one over different texts."""
+    rng = random.Random(9)
+    parts = [f"<div class='x{i}'><span>{sentence(rng, 3)}</span></div>" for i in range(12)]
+    pages, seen, bodies = [], {}, set()
+    for i in range(40):
+        own = rng.choice([sentence(rng, 9), "one of two texts", "the other text"])
+        shown = [p for p in parts if rng.random() < 0.35]
+        html = f"<html><body>{''.join(shown)}<div><p>{own}</p></div></body></html>"
+        pages.append((i, "https://a.example.com/", html, "x", "y", 1))
+        bodies.add(own)
+        for e in ElementTree.fromstring(html).iter():
+            if e.tag == "div":
+                seen.setdefault(subtree(e), set()).add(own)
+    need = max(5, min(0.3 * len(bodies), 3 * len(bodies) ** 0.5))
+    often = [p for p in parts if len(seen.get(subtree(ElementTree.fromstring(p)), ())) >= need]
+    assert 0 < len(often) < len(parts)
+    found = {r["page_id"]: r["text"] for r in templates.main_texts(spark.createDataFrame(pages, SCHEMA)).collect()}
+    for i, _, html, *_ in pages:
+        for part in often:
+            html = html.replace(part, "")
+        tree = ElementTree.fromstring(html)
+        assert found[i] == " ".join(" ".join("".join(d.itertext()) for d in tree.iter("div")).split())
+
+
+def test_a_deep_page_takes_no_long(spark):
+    html = "<div><p>word " * 60_000
+    began = time.process_time()
+    assert templates.main_text(html, set(templates.candidates(templates.read(html))[:1]))
+    assert time.process_time() - began < 20
