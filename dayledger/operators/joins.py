@@ -13,6 +13,8 @@ from dayledger.session import kept
 #: Label fields that may be wildcards, and the mark of a label row that could not be read whole.
 MOST_FIELDS = 8
 DAMAGED = "damaged"
+#: Values of a part that a scan is filtered by.
+LISTED = 1000
 
 
 def verify_payloads(
@@ -185,14 +187,21 @@ def snapshot_changes(
     """The rows of ``snapshot_diff`` that are not unchanged.
 
     Parts (years, months, days) whose digests agree are not compared by key. With stored ``digests``
-    of both sides (``part_digests`` of key and compared columns) their rows are not even read, where
-    the tables are partitioned by ``parts``: the differing parts are written first, and their join
-    prunes the scan.
+    of both sides (``part_digests`` of key and compared columns) their files are not even read, where
+    the tables are partitioned by ``parts``: a column with at most ``LISTED`` values among the
+    differing parts is filtered by them in the scan, before the join to the parts.
     """
     columns = [*key, *compare]
     left, right = digests or [part_digests(df, parts, columns) for df in (old, new)]
     differing = kept(differing_parts(left, right, parts), "differing")
-    some = [join_groups(df, differing, parts, "left_semi") for df in (old, new)]
+    sides = [old, new]
+    for part in parts:
+        values = [r[0] for r in differing.select(part).distinct().limit(LISTED + 1).collect()]
+        if len(values) <= LISTED:
+            own = F.col(part).isin([v for v in values if v is not None])
+            own = own | F.col(part).isNull() if None in values else own
+            sides = [df.where(own) for df in sides]
+    some = [join_groups(df, differing, parts, "left_semi") for df in sides]
     return snapshot_diff(*some, key, compare).where("status <> 'unchanged'")
 
 

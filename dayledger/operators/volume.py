@@ -28,8 +28,7 @@ def volume(
         "cube": lambda: base.cube(*dims),
         "sets": lambda: base.groupingSets([[F.col(c) for c in s] for s in sets or []], *dims),
     }[mode]()
-    # An empty table has a grand total of no files.
-    files = F.coalesce(F.sum("files"), F.lit(0)).cast("bigint").alias("files")
+    files = F.sum("files").alias("files")
     total = F.sum("bytes").cast(base.schema["bytes"].dataType).alias("bytes")
     return grouped.agg(files, total, F.grouping_id().alias("level"))
 

@@ -282,19 +282,32 @@ WITH derived AS (
          AS state
   FROM lineitem GROUP BY l_orderkey
 ), sides AS (
-  SELECT o_custkey, o_orderdate, o_orderstatus AS state, TRUE AS on_record FROM orders
-  UNION ALL SELECT o_custkey, o_orderdate, state, FALSE FROM derived JOIN orders ON o_orderkey = l_orderkey
-), months AS (
   SELECT o_custkey AS custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+         o_orderstatus AS state, TRUE AS on_record FROM orders
+  UNION ALL
+  SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE), state, FALSE
+  FROM derived JOIN orders ON o_orderkey = l_orderkey
+), differing AS (
+  SELECT DISTINCT month, custkey % 16 AS customers FROM (
+    (SELECT custkey, month, state FROM sides WHERE on_record
+     EXCEPT ALL SELECT custkey, month, state FROM sides WHERE NOT on_record)
+    UNION ALL
+    (SELECT custkey, month, state FROM sides WHERE NOT on_record
+     EXCEPT ALL SELECT custkey, month, state FROM sides WHERE on_record))
+), months AS (
+  SELECT custkey, month,
          count(*) FILTER (on_record) AS n_old, count(*) FILTER (NOT on_record) AS n_new,
          min(state) FILTER (on_record) AS old_state, min(state) FILTER (NOT on_record) AS new_state
   FROM sides GROUP BY 1, 2)
-SELECT * FROM (SELECT custkey, month,
-       CASE WHEN n_old > 1 OR n_new > 1 THEN 'duplicate' WHEN n_old = 0 THEN 'added'
-            WHEN n_new = 0 THEN 'removed' WHEN old_state IS NOT DISTINCT FROM new_state THEN 'unchanged'
-            ELSE 'changed' END AS status,
-       old_state, new_state
-FROM months) WHERE status <> 'unchanged'""",
+SELECT * FROM (
+  SELECT custkey, month,
+         CASE WHEN n_old > 1 OR n_new > 1 THEN 'duplicate' WHEN n_old = 0 THEN 'added'
+              WHEN n_new = 0 THEN 'removed' WHEN old_state IS NOT DISTINCT FROM new_state THEN 'unchanged'
+              ELSE 'changed' END AS status,
+         old_state, new_state
+  FROM months
+  WHERE (month, custkey % 16) IN (SELECT (month, customers) FROM differing))
+WHERE status <> 'unchanged'""",
     "moved_content": """
 WITH moved AS (
   SELECT concat(source, '/', d.doc_id) AS home, concat('labelled/', d.doc_id) AS path,

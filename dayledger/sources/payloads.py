@@ -163,9 +163,10 @@ def scan_payloads(spark: SparkSession, root: str, name_glob: str = "*") -> DataF
 
 
 def file_md5(uri: str) -> str:
+    """The digest of a file's bytes as they are, compressed or not."""
     filesystem, _, path = file_system(uri)
     digest = hashlib.md5()
-    with filesystem.open_input_stream(path) as stream:
+    with filesystem.open_input_stream(path, compression=None) as stream:
         while block := stream.read(BLOCK):
             digest.update(block)
     return digest.hexdigest()

@@ -280,25 +280,24 @@ def test_equal_parts_are_not_scanned(spark, tmp_path):
     digests = tuple(kept(joins.part_digests(df, parts, ["k", "v"])) for df in (old, new))
     got = joins.snapshot_changes(old, new, ["k"], ["v"], parts, digests)
     got.collect()
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("dynamicpruning") >= 2
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    scans = [p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:]]
+    filtered = [p for p in scans if "year" in p and "month" in p]
+    assert len(filtered) == 2 and all("2001" not in p for p in filtered)
 
 
 def test_subtotals_are_totals_of_groups(spark):
     df = spark.createDataFrame(
         [(a, b, n) for a in ("x", "y", None) for b in (1, 2, None) for n in (1, 5, None)], "a STRING, b INT, n INT"
     )
-    for mode, sets in (("rollup", None), ("cube", None), ("sets", [["a"], ["b"], []])):
-        got = volume.volume(df, ["a", "b"], "n", mode, sets)
-        grouped = {"rollup": df.rollup, "cube": df.cube}.get(mode, lambda *d: df.groupingSets(
-            [[F.col(c) for c in own] for own in sets], *d))("a", "b")
-        want = grouped.agg(F.count("*").alias("files"), F.sum("n").alias("bytes"), F.grouping_id().alias("level"))
-        assert got.schema.simpleString() == want.schema.simpleString()
-        assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
-        empty = volume.volume(df.where("false"), ["a", "b"], "n", mode, sets)
-        assert rows_of(empty, *want.columns) == rows_of(
-            df.where("false").groupBy().agg(F.lit(None).alias("a"), F.lit(None).alias("b"), F.count("*").alias("files"),
-                                            F.sum("n").alias("bytes"), F.lit(3).alias("level")), *want.columns)
+    for rows in (df, df.where("false")):
+        for mode, sets in (("rollup", None), ("cube", None), ("sets", [["a"], ["b"], []])):
+            got = volume.volume(rows, ["a", "b"], "n", mode, sets)
+            grouped = {"rollup": rows.rollup, "cube": rows.cube}.get(mode, lambda *d: rows.groupingSets(
+                [[F.col(c) for c in own] for own in sets], *d))("a", "b")
+            want = grouped.agg(F.count("*").alias("files"), F.sum("n").alias("bytes"), F.grouping_id().alias("level"))
+            assert dict(got.dtypes) == dict(want.dtypes)
+            assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
 
 
 def test_sketches_merge(spark):

@@ -1,5 +1,6 @@
 """Sources and sinks."""
 
+import gzip
 import hashlib
 import os
 import random
@@ -303,6 +304,15 @@ def test_a_file_above_two_gibibytes(spark, tmp_path):
     assert rows["small.gz"]["md5"] == hashlib.md5(b"small").hexdigest()
 
 
+def test_compressed_files_are_digested_as_they_are(spark, tmp_path):
+    for name in ("a.gz", "a.bz2", "a.zst"):
+        (tmp_path / name).write_bytes(gzip.compress(b"content") if name == "a.gz" else b"no such stream")
+    rows = short(payloads.payload_digests(spark, str(tmp_path)), str(tmp_path))
+    for name in rows:
+        assert rows[name]["md5"] == hashlib.md5((tmp_path / name).read_bytes()).hexdigest()
+    assert len(rows) == 3
+
+
 def test_block_reads_cover_long_files(tmp_path, monkeypatch):
     content = os.urandom(1_000_003)
     path = tmp_path / "long"
