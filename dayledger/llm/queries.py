@@ -93,9 +93,9 @@ def op11_scores(spark, folder):
 
 SQL["op11_scores"] = """
 WITH own AS (
-    SELECT vec_id, list_transform(embedding, v -> floor(256 * v::DOUBLE)) AS x
+    SELECT vec_id, [floor(256 * CAST(v AS DOUBLE)) FOR v IN embedding] AS x
     FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, v -> v IS NULL OR NOT isfinite(v))) = 0
+    WHERE embedding IS NOT NULL AND len([v FOR v IN embedding IF v IS NULL OR NOT isfinite(v)]) = 0
 ), scored AS (
     SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
     FROM own q JOIN own c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
