@@ -17,9 +17,10 @@ are told apart by 128-bit hashes. Blank lines are not compared.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, lru_cache
-from itertools import groupby
+from itertools import accumulate, groupby
 from math import ceil, sqrt
 
 import numpy as np
@@ -52,6 +53,8 @@ BITS, MOST_BITS = 16, 1 << 26
 #: Bits that words and characters are counted in, for a bound on the distance.
 MARKS = 256
 
+SHOWN = re.compile(rb"[!-~]")
+
 PLACES = "row_key binary, doc_id bigint, place bigint, id binary, signs array<bigint>"
 LINKS = "a binary, b binary, links bigint"
 
@@ -62,8 +65,9 @@ def line_id(line: bytes) -> bytes:
 
 def lines_of(text: bytes) -> Iterator[tuple[int, bytes]]:
     """Places and lines, without the blank ones."""
+    shown = SHOWN.search
     for place, line in enumerate(text.split(b"\n")):
-        if line.strip() and (line.isascii() or not letters_of(line).isspace()):
+        if shown(line) or line and not letters_of(line).isspace():
             yield place, line
 
 
@@ -116,22 +120,22 @@ def probed(n: int, share: float = SHARE) -> list[tuple[int, int]]:
 
 
 def signs_of(line: bytes, share: float = SHARE) -> list[int]:
-    """Hashes of the runs by which a line may meet another one, each once."""
+    """Hashes of the runs by which a line may meet another one, from 0 on."""
     sign, found = xxhash.xxh3_64_intdigest, []
     words = line.split()
-    if allowed(len(words), share):
-        data, at = b" ".join(words), [0]
-        for word in words:
-            at.append(at[-1] + len(word) + 1)
-        found = [sign(data[at[i] : at[i + size] - 1], 1) for i, size in probed(len(words), share)]
+    runs = probed(len(words), share)
+    if runs:
+        # A word starts behind all before it and as many spaces.
+        data, at = b" ".join(words), [0, *accumulate(map(len, words))]
+        found = [sign(data[at[i] + i : at[i + size] + i + size - 1], 1) for i, size in runs]
     # As many words more than its partner can a line have that is compared by characters.
     if len(words) < least_words(share) + allowed(len(line), share):
         letters = line if line.isascii() else letters_of(line)
-        runs = (letters[i : i + size] for i, size in probed(len(letters), share))
+        parts = [letters[i : i + size] for i, size in probed(len(letters), share)]
         if letters is not line:
-            runs = (run.encode("utf-8", "surrogateescape") for run in runs)
-        found += [sign(run, 2) for run in runs]
-    return np.unique(np.array(found, np.uint64).view(np.int64)).tolist()
+            parts = [part.encode("utf-8", "surrogateescape") for part in parts]
+        found += [sign(part, 2) for part in parts]
+    return found
 
 
 def shared(a, b, most: int) -> int:
@@ -213,7 +217,8 @@ class Line:
 
     @cached_property
     def signs(self) -> set[int]:
-        return set(signs_of(self.line, self.share))
+        """As Spark holds them, from -2^63 on."""
+        return {x - (x >> 63 << 64) for x in signs_of(self.line, self.share)}
 
     def may_link(self, other: Line) -> bool:
         """Not ruled out by lengths and marks."""
@@ -315,27 +320,33 @@ def arrow(columns: dict[str, Iterable], kinds: dict[str, pa.DataType]) -> pa.Rec
 
 def places_of(docs: DataFrame, id_col: str, text_col: str, share: float) -> DataFrame:
     """Every line that is not blank, with its signs where the task has not signed it lately."""
-    kinds = {
-        "row_key": pa.binary(), "doc_id": pa.int64(), "place": pa.int64(), "id": pa.binary(),
-        "signs": pa.list_(pa.int64()),
-    }
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed: set[bytes] = set()
         for batch in batches:
             for part in bounded(batch, BYTES):
-                made: dict[str, list] = {c: [] for c in kinds}
-                for doc_id, text, key in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                lines, places, numbers, signs, ends = [], [], [], [], [0]
+                for text in part.column(1).to_pylist():
+                    before = len(places)
                     for place, line in lines_of(text):
-                        number, signs = line_id(line), []
+                        number = line_id(line)
                         if number not in signed:
                             if len(signed) >= REMEMBERED:
                                 signed.clear()
                             signed.add(number)
-                            signs = signs_of(line, share)
-                        for c, value in zip(kinds, (key, doc_id, place, number, signs), strict=True):
-                            made[c].append(value)
-                yield arrow(made, kinds)
+                            signs += signs_of(line, share)
+                        places.append(place)
+                        numbers.append(number)
+                        ends.append(len(signs))
+                    lines.append(len(places) - before)
+                owner = pa.array(np.repeat(np.arange(len(lines)), lines))
+                flat = pa.array(np.array(signs, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(2).take(owner), part.column(0).take(owner), pa.array(places, pa.int64()),
+                        pa.array(numbers, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
+                    ],
+                    [c.split()[0] for c in PLACES.split(", ")],
+                )
 
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), as_bytes(F.col(text_col)).alias("text"),
@@ -399,11 +410,13 @@ def meeting(places: DataFrame) -> DataFrame:
     signs = places.where(F.size("signs") > 0).select(F.explode("signs").alias("sign"), "id")
     sign = Window.partitionBy("sign")
     same = ["n", "first", "last", "mix_0", "mix_1"]
-    met = signs.repartition(tasks, "sign").distinct().select(
-        "sign", "id", F.count("*").over(sign).alias("n"), F.min("id").over(sign).alias("first"),
-        F.max("id").over(sign).alias("last"), F.bit_xor(F.xxhash64("id")).over(sign).alias("mix_0"),
-        F.bit_xor(F.xxhash64(F.lit(1), "id")).over(sign).alias("mix_1"),
-    ).where("n > 1")
+    # Nearly all signs have one line, which may be told by several tasks: they go before anything else.
+    met = signs.repartition(tasks, "sign").withColumns({
+        "first": F.min("id").over(sign), "last": F.max("id").over(sign),
+    }).where("first <> last").distinct().withColumns({
+        "n": F.count("*").over(sign), "mix_0": F.bit_xor(F.xxhash64("id")).over(sign),
+        "mix_1": F.bit_xor(F.xxhash64(F.lit(1), "id")).over(sign),
+    })
     met = kept(met, "met")
     least = met.groupBy(*same).agg(F.min("sign").alias("sign")).select("sign")
     return kept(met.join(least, "sign", "left_semi").select("sign", "id", "n", "first"), "members")
@@ -419,10 +432,11 @@ def links_of(docs: DataFrame, text_col: str, places: DataFrame, share: float) ->
         "sign", "id", "n", "first", F.pmod(F.xxhash64("id"), parts).alias("part"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"),
     ).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    # Signs of a group of lines have its least line in common and meet in one cell.
-    cell = F.when(F.col("n") > TILE, F.xxhash64("sign", "low", "high")).otherwise(
-        F.pmod(F.xxhash64("first"), F.lit(cells))
-    )
+    # Signs of a group of lines have its least line in common and meet in one cell, unless they are many.
+    sizes = met.where(F.col("n") <= TILE).groupBy("first").agg((F.count("*") > ROWS).alias("many"))
+    dealt = dealt.join(kept(sizes, "sizes"), "first", "left")
+    common = F.when(F.col("many"), F.xxhash64("first", "sign")).otherwise(F.xxhash64("first"))
+    cell = F.when(F.col("n") > TILE, F.xxhash64("sign", "low", "high")).otherwise(F.pmod(common, F.lit(cells)))
     rows = kept(dealt.select(cell.alias("cell"), "sign", "low", "high", "id", "part"), "cells")
     # Columns of their own, so that the two sides can be grouped together.
     wanted = rows.select("cell", "id").distinct().join(texts, "id").select(
