@@ -2,7 +2,8 @@
 
 Features are the words and beginnings of words that tell toxic texts from others. The fit minimises the logistic loss plus
 a penalty on the change of the score when a term for a group of people in a labelled text is swapped
-for another term of its kind, so that the mention of a group alone does not raise the score.
+for another term of its kind or for a word that is no feature, so that the mention of a group alone
+does not raise the score, whichever group it is.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from dayledger.session import kept
 #: classes apart (log-likelihood ratio).
 TEXTS = 10_000
 WORDS = 1000
-EVIDENCE = 25.0
-RIDGE = 1e-6
+EVIDENCE = 12.0
+RIDGE = 1e-4
 #: Weight of the counterfactual penalty.
-SAME = 1.0
+SAME = 20.0
 #: Bytes of a word's beginning that count as features, so that its endings need not all be learnt.
 STEMS = (4, 5, 6)
 STEPS = 600
@@ -71,13 +72,13 @@ class Model:
 
 
 def swaps(rows: list[list[int]], kinds: list[list[int]]) -> np.ndarray:
-    """Pairs of features (from, to), one for each swap of a term in a labelled text."""
+    """Pairs of features (from, to), one for each swap of a term in a labelled text; -1 is no feature."""
     found = []
     for row in rows:
         present = set(row)
         for kind in kinds:
             for term in present.intersection(kind):
-                found += [(term, other) for other in kind if other not in present]
+                found += [(term, other) for other in [*kind, -1] if other not in present]
     return np.array(found, np.int64).reshape(-1, 2)
 
 
@@ -100,9 +101,10 @@ def fit(
         slope = np.append(np.bincount(flat, off[owner], features), off.sum())
         slope[:-1] += RIDGE * beta[:-1]
         if len(pairs):
-            change = same * (beta[pairs[:, 0]] - beta[pairs[:, 1]]) / len(rows)
+            level = np.append(beta[:-1], 0.0)
+            change = same * (level[pairs[:, 0]] - level[pairs[:, 1]]) / len(rows)
             slope[:-1] += np.bincount(pairs[:, 0], change, features)
-            slope[:-1] -= np.bincount(pairs[:, 1], change, features)
+            slope[:-1] -= np.bincount(pairs[:, 1] % (features + 1), change, features + 1)[:-1]
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         beta -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)

@@ -125,6 +125,26 @@ def test_neutral_mentions_raise_the_score_less(spark):
     assert fair.score("you blarg zonk") > 0.3
 
 
+def test_neutral_mentions_are_not_toxic_as_shipped(spark):
+    """At the shipped setting, on a sample that is biased against a group."""
+    docs, labels = counterfactual_rows(random.Random(4), 1200)
+    model = toxicity.train(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(labels, "doc_id bigint, toxic int"),
+    )
+    own = [(i, f"a {t} lives next door") for i, t in enumerate(t for g in toxicity.GROUPS for t in g)]
+    own += [(1000, "you zonk"), (1001, "a christian zonk"), (1002, "the muslim is no blarg, you blarg")]
+    told = {r["doc_id"]: r["predicted"] for r in toxicity.rated(
+        spark.createDataFrame(own, "doc_id bigint, text string"), model
+    ).collect()}
+    assert told == {i: int(i >= 1000) for i, _ in own}
+    loose = toxicity.train(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(labels, "doc_id bigint, toxic int"), same=0.0,
+    )
+    assert loose.score("a muslim lives next door") >= 0.3
+
+
 def test_words_of_a_text():
     found = toxicity.words_of("É “Idiots”, WORLD!! x_y 漢字")
     assert {"é".encode(), b"idiots", b"idio-", b"world", b"worl-", b"x", b"y"} <= found
