@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dayledger.llm.common import WORD, join_groups
+from dayledger.llm.common import WORD, join_groups, ranked
 from dayledger.session import kept
 
 #: Weights of the sources in the order of their names, repeating; what all of them share, as a part
@@ -121,8 +121,8 @@ def mover(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
     def move(rows: pd.DataFrame) -> pd.DataFrame:
         # Large ones first, so that what is left in the end is small.
-        rows = rows.sort_values(["total", "key"], ascending=[False, True])
-        size = rows["total"].to_numpy(float)
+        rows = rows.sort_values(["size", "key"], ascending=[False, True])
+        size = rows["size"].to_numpy(float)
         seed = int(rows["key"].to_numpy(np.int64).view(np.uint64).sum() & np.uint64(2**63 - 1))
         draws = np.random.default_rng(seed).random(len(rows))
         before = rows["chance"].to_numpy(float)
@@ -140,7 +140,7 @@ def mover(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def balanced(units: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Settle ``chance`` of every unit (source, key, total, chance, ...) to 0 or 1.
+    """Settle ``chance`` of every unit (source, key, size, chance, ...) to 0 or 1.
 
     Rounds are written to the shared folder; each leaves a few units per chunk, and the last one has
     one chunk per source.
@@ -189,11 +189,15 @@ def mix_units(
     weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Per unit: doc_id, source, content, size, rows, source_size, target, copies."""
+    """Per unit: doc_id, source, content, size, rows, source_size, target, copies.
+
+    ``copies`` is how often the unit's rows are taken in all: as often as the rate says, and the part
+    of one that is left decides by the sample.
+    """
     units = kept(units_of(docs, id_col, text_col, source_col), "units")
     aims = kept(targets(units, weights, share, cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rated = join_groups(units, aims, ["source"]).withColumn("rate", rate).withColumns({
+    rated = join_groups(units, aims, ["source"]).withColumn("rate", rate * F.col("rows")).withColumns({
         "sure": F.floor("rate"), "chance": F.col("rate") - F.floor("rate")
     }).drop("rate")
     return balanced(rated, chunk).withColumn(
@@ -201,38 +205,62 @@ def mix_units(
     ).drop("sure", "chance", "key", "total")
 
 
+def of_row(row: Column) -> Column:
+    """How often the row of that number, from 0, of a unit is taken: the first ones once more."""
+    whole = F.call_function("div", F.col("copies"), F.col("rows"))
+    return whole + F.when(row < F.col("copies") % F.col("rows"), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, source.
 
     ``size`` is the number of words, ``taken`` the words that the mix takes, repeats counted.
     Null and empty texts have size 0 and are taken or not without effect on words; a null source is
-    a source of its own; rows that repeat id, source and text are decided together; other columns
-    are not read. An empty table gives an empty result. The outcome depends on ids and texts alone,
+    a source of its own; rows that repeat id, source and text share what the source's rate gives them,
+    none once more than another by more than one; other columns are not read. An empty table gives an empty result. The outcome depends on ids and texts alone,
     not on the order or partitions of the rows.
     """
     units = mix_units(docs, **settings)
-    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))).alias("row")
-    return units.select("*", each).select(
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)).alias("row")
+    return units.select("*", each).withColumn("copies", of_row(F.col("row"))).select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * F.col("copies")).alias("taken"), "copies", "source",
     )
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
+
+    Rows that repeat id, source and text are numbered in bounded parts to tell which of them are taken
+    once more; which ones are does not matter to the mix.
+    """
     chosen = mix_units(docs, **settings).where("copies > 0").select(
         F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
-        F.col("content").alias("__content"), "copies",
+        F.col("content").alias("__content"), "copies", "rows",
     )
     id_col, text_col, source_col = (
         settings.get(k, d) for k, d in
         (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))
     )
-    content = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    own = docs.select(
+        F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("bigint").alias("__number"),
+        F.col(source_col).cast("string").alias("__from"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"),
+    )
     same = (
-        docs[id_col].cast("bigint").eqNullSafe(chosen["__id"])
-        & docs[source_col].cast("string").eqNullSafe(chosen["__source"])
-        & (content == chosen["__content"])
+        F.col("__number").eqNullSafe(F.col("__id")) & F.col("__from").eqNullSafe(F.col("__source"))
+        & (F.col("__text") == F.col("__content"))
+    )
+    met = own.join(chosen, same)
+    alone = met.where("rows = 1").select("__row", "copies")
+    unit = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("__id", "__content", "__source")])
+    several = kept(
+        met.where("rows > 1").select("__row", "copies", "rows", unit.alias("__unit")).withColumn(
+            "__order", F.monotonically_increasing_id()
+        ),
+        "repeated",
     )
-    times = F.explode(F.sequence(F.lit(1).cast("bigint"), chosen["copies"])).alias("__time")
-    return docs.join(chosen, same).select(*[docs[c] for c in docs.columns], times).drop("__time")
+    placed = ranked(several, "__unit", ["__order"], F.col("__order")).select("__row", of_row(F.col("rank")).alias("copies"))
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    taken = alone.union(placed.where("copies > 0"))
+    return taken.select("__row", times.alias("__time")).select("__row.*")

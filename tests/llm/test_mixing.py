@@ -78,6 +78,27 @@ def test_mixed_repeats_documents_and_keeps_columns(spark):
     assert out.count() == copies
 
 
+def test_repeated_rows_come_near_the_target(spark):
+    """A source of one row repeated 1,000 times, one with some repeated rows, and others."""
+    rng = random.Random(8)
+    rows = [(7, sentence(rng, 12), "s0", "x")] * 1000
+    rows += [(i, sentence(rng, rng.randint(1, 40)), f"s{i % 3 + 1}", "y") for i in range(900)]
+    rows += [rows[1500]] * 11
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    told = mixing.mix(docs)
+    assert told.count() == len(rows) and told.where("taken > 2 * size").count() == 0
+    sums = told.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in sums)
+    counts = {}
+    for r in told.where("source = 's0'").collect():
+        counts[r["copies"]] = counts.get(r["copies"], 0) + 1
+    assert len(counts) == 2 and max(counts) - min(counts) == 1
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and out.count() == told.agg(F.sum("copies")).first()[0]
+    taken = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert taken == {r["source"]: r["n"] for r in told.groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+
+
 def test_empty_tables_and_texts(spark):
     docs = hard_docs(spark, random.Random(7))
     assert mixing.mix(none_of(docs)).count() == 0 and mixing.mixed(none_of(docs)).count() == 0
