@@ -296,7 +296,7 @@ def near_copies(
 
     Near copies share about ``similarity`` of their shingles or more, as told by 256 bits: of pairs at a
     similarity of 0.8 one in twenty is missed, at 0.9 none; of pairs at 0.7 half is taken, at 0.6 one in
-    twelve, at 0.5 none. Texts without words are copies of each other. Null ids take part but name no component unless all ids of
+    eighteen, at 0.5 one in a hundred. Texts without words are copies of each other. Null ids take part but name no component unless all ids of
     it are null. Other columns are not read; an empty table gives an empty result.
     """
     printed = kept(sketches(docs, id_col, text_col, shingle), "sketches")
