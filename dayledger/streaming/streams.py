@@ -27,6 +27,15 @@ from dayledger.sources.pointers import (
 )
 from dayledger.streaming.results import ResultTable
 
+#: Parts in which `day_alarms` keeps the keys of a day.
+ALARM_PARTS = 64
+#: How keys are written as text and read back, times to the microsecond.
+KEY_TEXT = {
+    "timeZone": "UTC",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 def stream_pointers(
     spark: SparkSession,
@@ -145,7 +154,8 @@ def day_completeness(
 
 
 def day_alarms(
-    df: DataFrame, keys: list[str], kind: str, kinds: list[str], ts: str, delay: str = "1 day"
+    df: DataFrame, keys: list[str], kind: str, kinds: list[str], ts: str, delay: str = "1 day",
+    spread: int = ALARM_PARTS,
 ) -> DataFrame:
     """One row per key and day: ``complete`` as soon as all kinds were seen, or not complete once the
     watermark has passed the day's end.
@@ -154,6 +164,11 @@ def day_alarms(
     incomplete is told once, by the batch that moves the watermark past it, even if nothing of that
     key arrives any more. Days of a key may be null as keys may; rows without a time take no part. A
     batch DataFrame gives all days that it holds.
+
+    The keys of a day share their timer, so they are kept and told in ``spread`` parts a day, by hash,
+    and not one by one: a call of the state function costs much more than a key. A batch writes anew
+    the parts it touches. Raise ``spread`` where a day has many millions of keys; a stream keeps the
+    value it began with.
     """
     ordered = sorted(kinds)
     if not df.isStreaming:
@@ -162,36 +177,48 @@ def day_alarms(
     bit = F.lit(0).cast("bigint")
     for i, name in enumerate(ordered):
         bit = F.when(F.col(kind) == name, F.lit(1 << i).cast("bigint")).otherwise(bit)
-    day = F.to_date(ts)
-    ends = F.unix_millis(F.date_add(day, 1).cast("timestamp"))
-    rows = df.withWatermark(ts, delay).where(F.col(ts).isNotNull()).select(*keys, ts, day.alias("day"), ends.alias("__ends"), bit.alias("__bit"))
-    fields = [df.schema[k] for k in keys]
-    schema = T.StructType([
-        *fields, T.StructField("day", T.DateType()), T.StructField("seen", T.StringType()),
-        T.StructField("complete", T.BooleanType()),
-    ])
-
-    def told(key: tuple, mask: int) -> pd.DataFrame:
-        seen = "+".join(name for i, name in enumerate(ordered) if mask >> i & 1)
-        return pd.DataFrame([(*key[:-1], seen, mask == whole)], columns=schema.fieldNames())
-
-    def of_day(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0
+    ends = F.unix_millis(F.date_add(F.to_date(ts), 1).cast("timestamp"))
+    # The key travels and is kept as a line of text, which has nulls and whole numbers of any size.
+    packed = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]), KEY_TEXT)
+    rows = df.withWatermark(ts, delay).where(F.col(ts).isNotNull()).select(
+        ts, ends.alias("__ends"), packed.alias("__key"), bit.alias("__bit")
+    ).withColumn("__part", F.pmod(F.xxhash64("__key"), F.lit(spread)))
+
+    def of_part(part: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        masks = {}
+        if state.exists:
+            lines, numbers = state.get
+            masks = dict(zip(lines.split("\n"), np.frombuffer(numbers, np.int64).tolist()))
         if state.hasTimedOut:
             state.remove()
-            if before != whole:
-                yield told(key, before)
-            return
-        mask = before
-        for frame in frames:
-            mask |= int(np.bitwise_or.reduce(frame["__bit"].to_numpy(np.int64)))
-        state.update((mask,))
-        state.setTimeoutTimestamp(int(key[-1]))
-        if mask == whole != before:
-            yield told(key, mask)
-
-    return rows.groupBy(*keys, "day", "__ends").applyInPandasWithState(
-        of_day, schema, "mask BIGINT", "append", "EventTimeTimeout"
+            told = [key for key, mask in masks.items() if mask != whole]
+        else:
+            told = []
+            for frame in frames:
+                codes, found = pd.factorize(frame["__key"])
+                bits = np.zeros(len(found), np.int64)
+                np.bitwise_or.at(bits, codes, frame["__bit"].to_numpy(np.int64))
+                for key, new in zip(found, bits.tolist()):
+                    before = masks.get(key, 0)
+                    masks[key] = before | new
+                    if before | new == whole != before:
+                        told.append(key)
+            state.update(("\n".join(masks), np.fromiter(masks.values(), np.int64).tobytes()))
+            state.setTimeoutTimestamp(int(part[0]))
+        if told:
+            yield pd.DataFrame({"__key": told, "__ends": part[0], "__mask": [masks[key] for key in told]})
+
+    told = rows.groupBy("__ends", "__part").applyInPandasWithState(
+        of_part, "__key STRING, __ends BIGINT, __mask BIGINT", "keys STRING, masks BINARY",
+        "append", "EventTimeTimeout",
+    )
+    fields = T.StructType([T.StructField(f"k{i}", df.schema[k].dataType) for i, k in enumerate(keys)])
+    key = F.from_json("__key", fields, {**KEY_TEXT, "mode": "FAILFAST"})
+    named = [F.when(F.col("__mask").bitwiseAND(F.lit(1 << i)) != 0, name) for i, name in enumerate(ordered)]
+    day = F.date_sub(F.to_date(F.timestamp_millis("__ends")), 1)
+    return told.withColumn("__key", key).select(
+        *[F.col(f"__key.k{i}").alias(k) for i, k in enumerate(keys)], day.alias("day"),
+        F.concat_ws("+", *named).alias("seen"), (F.col("__mask") == whole).alias("complete"),
     )
 
 

@@ -188,6 +188,50 @@ def test_alarms_with_nulls_and_in_a_batch(spark, tmp_path):
     ], key=repr)
 
 
+def test_alarms_keep_the_keys_of_a_day_in_parts(spark, tmp_path):
+    """State and calls go by parts of a day, not by key; keys come back as they were."""
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema, day = "id BIGINT, name STRING, ts TIMESTAMP, kind STRING", dt.datetime(2024, 1, 1, 5)
+    ids = [None, 0, 2**53 + 1, -(2**63), *range(10, 3000)]
+    names = [None, "", "a\nb", '"k1": null', "\u00e9\U0001f600"]
+    keys = [(n, names[i % 5]) for i, n in enumerate(ids)]
+
+    def deliver(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        told = streams.day_alarms(stream, ["id", "name"], "kind", ["x", "y"], "ts")
+        assert told.dtypes == [("id", "bigint"), ("name", "string"), ("day", "date"), ("seen", "string"), ("complete", "boolean")]
+        return sorted(map(tuple, streams.append_to_table(told, out, state).collect()), key=repr)
+
+    assert deliver([(*k, day, "x") for k in keys]) == []
+    kept = spark.read.format("statestore").load(state)
+    assert 0 < kept.count() < len(keys) / 10
+    whole = [(*k, day.date(), "x+y", True) for k in keys[::3]]
+    again = [(*k, day, kind) for k in keys[::3] for kind in "yx"]
+    assert deliver(again) == sorted(whole, key=repr)
+    assert deliver(again) == sorted(whole, key=repr)
+    lacking = [(*k, day.date(), "x", False) for i, k in enumerate(keys) if i % 3]
+    assert deliver([(None, None, day + dt.timedelta(days=9), "q")]) == sorted(whole + lacking, key=repr)
+
+
+@pytest.mark.parametrize("of_type", ["DATE", "TIMESTAMP", "TIMESTAMP_NTZ", "DOUBLE", "DECIMAL(38,6)", "BINARY", "BOOLEAN", "STRUCT<p: INT, q: ARRAY<STRING>>"])
+def test_alarms_by_keys_of_any_type(spark, tmp_path, of_type):
+    values = {
+        "DATE": "DATE'1899-12-31'", "TIMESTAMP": "TIMESTAMP'2024-03-31 01:30:00.123456'", "BOOLEAN": "true",
+        "TIMESTAMP_NTZ": "TIMESTAMP_NTZ'0999-02-28 23:59:59.999999'", "DOUBLE": "1 / 3D", "BINARY": "X'00FF0A'",
+        "DECIMAL(38,6)": "12345678901234567890123456789012.345678BD", "STRUCT<p: INT, q: ARRAY<STRING>>": "struct(1, array('a', null))",
+    }
+    others = {"DOUBLE": ["DOUBLE('NaN')", "DOUBLE('-Infinity')", "4.9E-324D"], "DATE": ["DATE'+12024-01-01'"]}.get(of_type, [])
+    some = ["NULL", values[of_type], *others]
+    rows = [f"SELECT CAST({v} AS {of_type}) AS key, TIMESTAMP'{ts}' AS ts, 'x' AS kind" for ts in ("2024-01-01 05:00:00", "2024-01-10 05:00:00") for v in some]
+    df = spark.sql(" UNION ALL ".join(rows)).coalesce(1)
+    df.write.parquet(str(tmp_path / "in"))
+    told = streams.append_to_table(streams.day_alarms(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ["key"], "kind", ["x", "y"], "ts"))
+    want = streams.day_alarms(df, ["key"], "kind", ["x", "y"], "ts").where("day = '2024-01-01'")
+    assert told.select(*want.columns).exceptAll(want).count() == 0
+    assert told.count() == want.count() == len(some)
+
+
 def table_of(spark, out, keys=("k",)):
     schema = spark.range(0).selectExpr("CAST(id AS INT) AS k", "'' AS v").schema
     return results.ResultTable(spark, str(out), schema, list(keys))
